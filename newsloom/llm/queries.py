@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import secrets, sharding
+from newsloom.llm import secrets, sharding, warc
 from newsloom.llm.work import table
 
 
@@ -27,9 +27,25 @@ def op6_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"))
 
 
+def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.archive_pages(table(spark, sf_dir, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP8_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+     d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h FROM p),
+     m AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY n, h) ELSE page_id END AS k FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
+       CASE WHEN page_id < k THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < k THEN k END AS refers_to
+FROM m
+"""
+
+
 def queries() -> dict:
     return {n: f for n, f in globals().items() if n.startswith("op") and n[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_arc_to_warc": OP8_SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import bpe, packing, secrets, sharding, warc
+from newsloom.llm import bpe, packing, secrets, sharding, simhash, warc
 from newsloom.llm.work import table
 
 
@@ -48,6 +48,10 @@ def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 OP8_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
      d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h FROM p),

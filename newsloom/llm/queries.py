@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import bpe, line_dedup, near_dedup, packing, secrets, sharding, simhash, warc
+from newsloom.llm import bpe, line_dedup, near_dedup, packing, secrets, sharding, simhash, vector_dedup, warc
 from newsloom.llm.work import table
 
 
@@ -73,6 +73,20 @@ def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP9_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+r AS (SELECT vec_id AS v, vec_id AS m FROM v UNION SELECT l.b, r.m FROM r JOIN l ON r.v = l.a WHERE r.m < l.b),
+m AS (SELECT v, min(m) AS m FROM r GROUP BY v),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT m.v AS vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, m.m AS component_id, m.v = m.m AS kept FROM m LEFT JOIN n ON n.a = m.v
+"""
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -93,4 +107,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE_SQL, "op7_minhash_near_dedup": OP7_SQL, "op8_arc_to_warc": OP8_SQL}
+    return {"op1_line_dedup": line_dedup.ORACLE_SQL, "op7_minhash_near_dedup": OP7_SQL, "op8_arc_to_warc": OP8_SQL, "op9_embedding_near_dedup": OP9_SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import bpe, line_dedup, near_dedup, packing, secrets, sharding, simhash, vector_dedup, warc
+from newsloom.llm import bpe, line_dedup, near_dedup, packing, quality, secrets, sharding, simhash, vector_dedup, warc
 from newsloom.llm.work import table
 
 
@@ -43,6 +43,11 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_documents(docs, quality.fitted(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"))
 

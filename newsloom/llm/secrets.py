@@ -10,6 +10,7 @@ from itertools import product
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from newsloom.llm.work import bounded_batches, key_type, text_or_empty
 
@@ -121,3 +122,23 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     rows = docs.select(docs[key].alias("k"), text_or_empty(text).alias("t"))
     return rows.mapInPandas(batches, f"k {key_type(docs, key)}, spans array<struct<kind:string,start:long,end:long>>, redacted string").withColumnRenamed("k", key)
+
+
+def redact_rows(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with the secrets of column text replaced, and n_spans (in place of a column of that name); a null text stays null."""
+    import pyarrow as pa
+
+    bounded_batches(docs.sparkSession)
+    rows = docs.drop("n_spans")
+    names = [*rows.columns, "n_spans"]
+    at = names.index(text)
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            texts = part.column(at).to_pylist()
+            found = [scan(t) if t else [] for t in texts]
+            new = pa.array([redacted(t, x) if x else t for t, x in zip(texts, found)], pa.string())
+            columns = [new if i == at else c for i, c in enumerate(part.columns)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(list(map(len, found)), pa.int32())], names=names)
+
+    return rows.mapInArrow(batches, StructType([*rows.schema.fields, StructField("n_spans", IntegerType())]))

@@ -29,6 +29,8 @@ NODE_MOST, DEEPEST = 2048, 8
 ESTIMATE = 0.60
 #: Ids of candidate documents are broadcast up to this number (8 bytes each), joined by shuffle beyond.
 BROADCAST_IDS = 2_000_000
+#: Full sets of one block, when what links have left apart is compared once more.
+SETS_AT_ONCE = 512
 #: Links of one document that are confirmed in one place.
 LINKS_AT_ONCE = 256
 MASK = (1 << 64) - 1
@@ -173,65 +175,100 @@ def forest(n: int, a: np.ndarray, b: np.ndarray, order: np.ndarray) -> list[int]
     return out
 
 
-def candidates(members: DataFrame, sets: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """a, b: pairs of sets that share a node and may be similar.
+def by_group(rows: DataFrame, keys: list[str], work, schema: str) -> DataFrame:
+    """work(frame) -> (a, b) for the rows of each group of keys; groups are small, so many share one Python call."""
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounded_batches(rows.sparkSession)
 
-    Without labels: per node (or pair of blocks), a spanning forest of the pairs, the likeliest first: as many pairs as
-    members at most. With labels (vertex, component): all pairs of different components; what the forest's links have
-    joined needs no pair.
-    """
-    spanning = labels is None
-    small = sets.select("id", "sig4")
-    if labels is not None:
-        small = small.join(labels, small.id == labels.vertex, "left").select("id", "sig4", F.coalesce("component", "id").alias("c"))
-        mixed_nodes = members.join(small.select("id", "c"), "id").groupBy("node").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
-        rows = block_pairs(members.join(mixed_nodes.select("node"), "node", "left_semi"), ["node"], "id")
-    else:
-        small = small.withColumn("c", F.col("id"))
-        rows = block_pairs(members, ["node"], "id")
-    rows = rows.join(small, "id").select("node", "b1", "b2", "b", "id", "c", "sig4")
-    partitions = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    rows = rows.repartition(partitions, "node", "b1", "b2").sortWithinPartitions("node", "b1", "b2")
-
-    def group(f: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        ids, c, own = f["id"].to_numpy(), f["c"].to_numpy(), f["b"].to_numpy()
+    def framed(found: list) -> pd.DataFrame:
+        a, b = (np.concatenate([np.zeros(0, np.int64), *(x[i] for x in found)]) for i in (0, 1))
+        return pd.DataFrame({"a": np.minimum(a, b).astype(np.int64), "b": np.maximum(a, b).astype(np.int64)})
+
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts: list[pd.DataFrame] = []  # of the last group, which may go on in the next batch
+        for f in frames:
+            own = f[keys].to_numpy()
+            cuts = [0, *(np.flatnonzero((own[1:] != own[:-1]).any(1)) + 1).tolist(), len(f)]
+            found = []
+            for i, j in zip(cuts, cuts[1:]):
+                if parts and (parts[-1][keys].iloc[-1].to_numpy() != own[i]).any():
+                    found.append(work(pd.concat(parts, ignore_index=True)))
+                    parts = []
+                parts.append(f.iloc[i:j])
+            yield framed(found)
+        if parts:
+            yield framed([work(pd.concat(parts, ignore_index=True))])
+
+    return rows.repartition(partitions, *keys).sortWithinPartitions(*keys).mapInPandas(batches, schema)
+
+
+def candidates(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: likely pairs of sets that share a node: those of one hub, the member most alike to the others, and a spanning
+    forest, the likeliest first. So two pairs per member at most, and what is likely connected stays connected."""
+    rows = block_pairs(members, ["node"], "id", NODE_MOST).join(sets.select("id", "sig4"), "id").select("node", "b1", "b2", "b", "id", "sig4")
+
+    def work(f: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        ids, own = f["id"].to_numpy(), f["b"].to_numpy()
         sig = np.frombuffer(b"".join(f["sig4"]), np.uint64).reshape(len(f), -1)
         b1, b2 = f["b1"].iloc[0], f["b2"].iloc[0]
         right = np.flatnonzero(own == b2)
-        pa, pb, pe = [], [], []
+        found = []
         for x in np.flatnonzero(own == b1):
             y = right[right > x] if b1 == b2 else right
-            y = y[c[y] != c[x]]
-            if len(y):
-                e = estimates(sig[x], sig[y])
-                hit = e >= ESTIMATE
-                pa.append(np.full(hit.sum(), x)), pb.append(y[hit]), pe.append(e[hit])
-        if not pa:
+            e = estimates(sig[x], sig[y])
+            y, e = y[e >= ESTIMATE], e[e >= ESTIMATE]
+            found.append((np.full(len(y), x), y, e))
+        if not found:
             return ids[:0], ids[:0]
-        a, b, e = map(np.concatenate, (pa, pb, pe))
-        if spanning:
-            take = forest(len(f), a, b, np.argsort(-e, kind="stable"))
-            a, b = a[take], b[take]
-        return ids[a], ids[b]
+        a, b, e = map(np.concatenate, zip(*found))
+        hub = (np.bincount(a, e, len(f)) + np.bincount(b, e, len(f))).argmax()
+        take = np.union1d(forest(len(f), a, b, np.argsort(-e, kind="stable")), np.flatnonzero((a == hub) | (b == hub))).astype(np.int64)
+        return ids[a[take]], ids[b[take]]
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for f in frames:
-            f = f if rest is None else pd.concat([rest, f], ignore_index=True)
-            keys = f[["node", "b1", "b2"]].to_numpy()
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist()]
-            found = [group(f.iloc[i:j]) for i, j in zip(cuts, cuts[1:])]
-            rest = f.iloc[cuts[-1] :] if len(f) else None  # the last group may go on in the next batch
-            yield framed(found)
-        if rest is not None and len(rest):
-            yield framed([group(rest)])
+    return by_group(rows, ["node", "b1", "b2"], work, "a long, b long").distinct()
 
-    def framed(found: list) -> pd.DataFrame:
-        a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
-        b = np.concatenate([y for _, y in found]) if found else np.zeros(0, np.int64)
-        return pd.DataFrame({"a": np.minimum(a, b).astype(np.int64), "b": np.maximum(a, b).astype(np.int64)})
 
-    return rows.mapInPandas(batches, "a long, b long").distinct()
+def left_apart(clusters: DataFrame, labels: DataFrame, sets: DataFrame, full: DataFrame) -> DataFrame:
+    """a, b: links between different components (labels) within a cluster of likely pairs (clusters), on full sets.
+
+    Sets outside a block's largest component meet all the others of the block pair; links found on the way join
+    components, so no more links come out than sets went in, and pairs are never rows.
+    """
+    c = F.coalesce(labels.component, F.col("id"))
+    rows = full.select("id").join(clusters, full.id == clusters.vertex, "left").select("id", F.coalesce("component", "id").alias("cluster"))
+    rows = rows.join(labels, rows.id == labels.vertex, "left").select("id", "cluster", c.alias("c"))
+    several = rows.groupBy("cluster").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("cluster")
+    rows = materialize(rows.join(several, "cluster", "left_semi"), "apart")
+    rows = block_pairs(rows, ["cluster"], "id", SETS_AT_ONCE).join(sets.select("id", "sig4"), "id").join(full, "id").select("cluster", "b1", "b2", "b", "id", "c", "sig4", "s")
+
+    def work(f: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        ids, own = f["id"].to_numpy(), f["b"].to_numpy()
+        group = np.unique(f["c"].to_numpy(), return_inverse=True)[1]
+        sig = np.frombuffer(b"".join(f["sig4"]), np.uint64).reshape(len(f), -1)
+        sizes = np.array([len(x) // 8 for x in f["s"]])
+        starts = np.append(0, np.cumsum(sizes))
+        words, code = np.unique(np.frombuffer(b"".join(f["s"]), np.uint64), return_inverse=True)
+        here = np.zeros(len(words), bool)
+        b1, b2 = f["b1"].iloc[0], f["b2"].iloc[0]
+        largest = np.bincount(group).argmax()
+        a, b = [], []
+        for x in np.flatnonzero(group != largest):
+            y = np.flatnonzero((group != group[x]) & ((own != own[x]) if b1 != b2 else True))
+            y = y[estimates(sig[x], sig[y]) >= ESTIMATE]
+            if not len(y):
+                continue
+            here[code[starts[x] : starts[x + 1]]] = True
+            for i in y:
+                if group[i] != group[x]:
+                    shared = int(np.count_nonzero(here[code[starts[i] : starts[i + 1]]]))
+                    if 100 * shared >= PERCENT * (sizes[x] + sizes[i] - shared):
+                        a.append(ids[x])
+                        b.append(ids[i])
+                        group[group == group[i]] = group[x]
+            here[code[starts[x] : starts[x + 1]]] = False
+        return np.array(a, np.int64), np.array(b, np.int64)
+
+    return by_group(rows, ["cluster", "b1", "b2"], work, "a long, b long")
 
 
 def full_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
@@ -280,9 +317,10 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", salts: int = 16) -> DataFrame:
     """key, n_shingles, component_id, kept: one row per input row.
 
-    Equal sets are one vertex from the start, so exact copies cost one row each. Links between the others are found in
-    two rounds: first a spanning forest of candidate pairs per node, then, among what the confirmed links have left
-    apart, every candidate pair. A null text counts as empty; an empty set links with nothing and is its own component.
+    Equal sets are one vertex from the start, so exact copies cost one row each. Likely pairs of the others come from
+    the nodes of the trees, a hub's and a spanning forest's per node, and are confirmed on full sets. What these links
+    leave apart within a cluster of likely pairs is then compared outright, so a link that no such pair stands for is
+    found too. A null text counts as empty; an empty set links with nothing and is its own component.
     A null key has no component and is kept. Rows that share a key are one vertex. Other columns are ignored; an empty
     table gives an empty one.
     """
@@ -296,16 +334,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sa
             yield f.assign(sig4=[x.tobytes() for x in nibbles(sig)])
 
     sets = materialize(sets.mapInPandas(shortened, "s1 long, s2 long, id long, sig binary, sig4 binary"), "sets")
-    members = small_nodes(sets)
-    first = materialize(candidates(members, sets, None), "pairs")
-    wanted = materialize(first.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+    pairs = materialize(candidates(small_nodes(sets), sets), "pairs")
+    # whoever has a likely partner is in a hub's or a forest's pair: from here on, only their sets count
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
     full = materialize(full_sets(docs, key, text, wanted).dropDuplicates(["id"]), "full")
-    links = materialize(confirmed(first, full), "links")
+    links = materialize(confirmed(pairs, full), "links")
     labels = components(links)
-    near = members.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "id", "left_semi")
-    second = materialize(candidates(near, sets, labels).join(first, ["a", "b"], "left_anti"), "pairs")
-    if not second.isEmpty():
-        labels = components(links.union(confirmed(second, full)))
+    more = materialize(left_apart(components(pairs), labels, sets, full), "links")
+    if not more.isEmpty():
+        labels = components(links.union(more))
     # a component may span many sets, and a set many documents: documents are dealt over the salts of their set
     found = sets.join(labels, sets.id == labels.vertex, "left").select("s1", "s2", F.coalesce("component", "id").alias("component_id"))
     found = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

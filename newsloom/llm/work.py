@@ -2,26 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.session import shared_dir, ship
+
 #: Rows and bytes of an Arrow batch handed to Python: a batch of long texts stays small.
 BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where the session names none (local runs)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="newsloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """For Python stages: this package on the executors, and batches of bounded size."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
@@ -29,6 +23,7 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/newsloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -44,6 +44,12 @@ BOILERPLATE = (
     r"did not respond to a request for comment\.",
     r"respond to a request for comment\.",
 )
+#: What a text must hold for each of the above to match anywhere: cheap to look for, where the pattern is not.
+BOILERPLATE_NEEDS = (
+    "reporting by ", "editing by ", "reporting by ", "this article was funded in part by ", "it was independently created by the ",
+    " had no editorial involvement in its creation or production.", "did not immediately respond to a request for comment.",
+    "did not respond to a request for comment.", "respond to a request for comment.",
+)
 TAIL_MARKERS = ("featured image via", "feature via image", "image via", "for entire story:")
 LATE_MARKER = "via:"
 TAIL_SHARE = 0.7

@@ -84,7 +84,11 @@ def is_script_text(t: Column) -> Column:
 
 
 def boilerplate_strip(t: Column) -> Column:
-    return normalize_space(reduce(lambda c, p: F.regexp_replace(c, f"(?id){p}", " "), X.BOILERPLATE, t))
+    """A pattern that may begin anywhere runs only on texts that hold its words: it would else look ahead from every character."""
+    for pattern, needs in zip(X.BOILERPLATE, X.BOILERPLATE_NEEDS):
+        out = F.regexp_replace(t, f"(?id){pattern}", " ")
+        t = F.when(F.contains(F.lower(t), F.lit(needs)), out).otherwise(t) if pattern.startswith(".") else out
+    return normalize_space(t)
 
 
 def drop_did_not_respond(t: Column) -> Column:

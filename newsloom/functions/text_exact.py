@@ -77,8 +77,9 @@ def cleaned(text: str | None, cut_read_more: bool) -> str:
     t = re.sub(rf"\b{X.AGENCIES}\b", "[AGENCY]", t, flags=I)
     t = squeezed(re.sub(X.SAID_ON, " ", t, flags=I))
     t = without_markup(without_tail(t))
-    for pattern in X.BOILERPLATE:
-        t = re.sub(pattern, " ", t, flags=I)
+    for pattern, needs in zip(X.BOILERPLATE, X.BOILERPLATE_NEEDS):
+        if needs in t.casefold():
+            t = re.sub(pattern, " ", t, flags=I)
     t = squeezed(" ".join(s for s in re.split(r"(?<=[.!?])\s+", squeezed(t)) if not re.search(X.DID_NOT_RESPOND, s, I)))
     if cut_read_more:
         t = re.sub(X.READ_MORE, "", t, flags=S).strip()

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.work import materialize
+from newsloom.llm.work import free_name, materialize
 
 #: A boundary follows a line where the rolling hash of WINDOW line hashes is a multiple of DIVISOR.
 WINDOW, DIVISOR, BASE = 2, 2, 31
@@ -78,17 +78,18 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 def dedup_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with column text without repeated chunks, and n_lines and n_removed (in place of columns of these names)."""
-    gone = removals(chunked(docs, key, text)).select(F.col("id").alias("__id"), F.col("h").alias("__gone_h"), F.col("removed").alias("__removed"))
-    rows = docs.withColumn("__h", F.xxhash64(docs[text]))
-    step = rows.join(gone, (F.col("__h") == F.col("__gone_h")) & rows[key].eqNullSafe(F.col("__id")), "left")
-    step = step.withColumn("__lines", F.split(docs[text], "\n", -1))
-    removed_lines = F.aggregate(F.coalesce("__removed", F.array().cast("array<long>")), F.lit(0), lambda a, c: a + line_count(c))
+    own_h, gone_h, gone_id, removed, lines = (free_name(docs, n) for n in ("own_h", "gone_h", "gone_id", "removed", "lines"))
+    gone = removals(chunked(docs, key, text)).select(F.col("id").alias(gone_id), F.col("h").alias(gone_h), F.col("removed").alias(removed))
+    rows = docs.withColumn(own_h, F.xxhash64(docs[text]))
+    step = rows.join(gone, (F.col(own_h) == F.col(gone_h)) & rows[key].eqNullSafe(F.col(gone_id)), "left")
+    step = step.withColumn(lines, F.split(docs[text], "\n", -1))
+    removed_lines = F.aggregate(F.coalesce(removed, F.array().cast("array<long>")), F.lit(0), lambda a, c: a + line_count(c))
     # positions of removed lines, as a set; what stays keeps its order
-    dropped = F.flatten(F.transform("__removed", lambda c: F.sequence(first_line(c), first_line(c) + line_count(c) - 1)))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), dropped)
-    rebuilt = F.when(F.col("__removed").isNull(), docs[text]).otherwise(F.array_join(F.transform(stay, lambda i: F.get("__lines", i)), "\n"))
+    dropped = F.flatten(F.transform(removed, lambda c: F.sequence(first_line(c), first_line(c) + line_count(c) - 1)))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), dropped)
+    rebuilt = F.when(F.col(removed).isNull(), docs[text]).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
     own = [rebuilt.alias(c) if c == text else docs[c] for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return step.select(*own, F.coalesce(F.size("__lines"), F.lit(0)).alias("n_lines"), removed_lines.alias("n_removed"))
+    return step.select(*own, F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), removed_lines.alias("n_removed"))
 
 
 ORACLE_SQL = """

@@ -22,6 +22,8 @@ END_ID = 0
 ROUNDS, STEP, GAP = 300, 0.15, 0.0005
 #: A pattern of the linear program is used only where it fills this much of a sequence. Power of the length that a piece is worth when what is left is packed.
 FULL, FAVOUR_LONG = 0.9995, 1.1
+#: Shares of the solution to round, the whole first, and the excess over the bound at which no further share is tried.
+SHARES, SLACK = (1.0, 0.5, 0.0), 0.002
 #: Rows of one length are ranked in this many buckets, so that no task gets all of a frequent length.
 RANK_BUCKETS = 64
 #: Kept stretches, and how many new ones the tokenizer gets in one call.
@@ -191,9 +193,10 @@ def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[t
         price /= price @ counts
         if share.min() > 0 and used / share.min() <= bound * (1 + GAP):
             break
+    # without the cover that ends the loop, the patterns are scaled to the pieces' total; rounding and best fit see to the rest
     low = float((covered / counts).min())
-    # without full cover yet, stay with what the patterns do cover: rounding and best fit see to the rest
-    scale = 1 / low if low > 0 else float(counts @ lengths / max(1, covered @ lengths))
+    even = float(counts @ lengths / max(1, covered @ lengths))
+    scale = min(1 / low, 1.05 * even) if low > 0 else even
     return [(p, x * scale) for p, x in patterns.values()]
 
 
@@ -230,6 +233,21 @@ def rounded(lengths: np.ndarray, counts: np.ndarray, solution: list[tuple[np.nda
     return plan
 
 
+def best_plan(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
+    """The linear program's solution, rounded. Where that leaves more than SLACK over the least conceivable number, because
+    lengths with few pieces each have far more patterns than there were rounds, parts of the solution are rounded too, and the shortest plan is taken."""
+    solution = fractional(lengths, counts, capacity)
+    least = -(-int(lengths @ counts) // capacity)
+    best = None
+    for share in SHARES:
+        plan = rounded(lengths, counts, [(p, x * share) for p, x in solution], capacity)
+        if best is None or sum(t for _, t in plan) < sum(t for _, t in best):
+            best = plan
+        if sum(t for _, t in best) <= least * (1 + SLACK):
+            break
+    return best
+
+
 def placements(lengths: np.ndarray, plan: list[tuple[np.ndarray, int]]) -> pd.DataFrame:
     """length, first (rank of its first piece), times, base (first sequence), place (offset of the first copy), ordered by length and rank.
 
@@ -261,7 +279,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     counts["before"] = counts.groupby("length")["count"].cumsum() - counts["count"]
     histogram = counts.groupby("length")["count"].sum()
     lengths, n = histogram.index.to_numpy(np.int64), histogram.to_numpy(np.int64)
-    plan = rounded(lengths, n, fractional(lengths, n, capacity), capacity)
+    plan = best_plan(lengths, n, capacity)
     places = placements(lengths, plan)
     before = np.zeros((capacity + 1) * RANK_BUCKETS, np.int64)
     before[counts["length"].to_numpy() * RANK_BUCKETS + counts["bucket"].to_numpy()] = counts["before"].to_numpy()

@@ -27,8 +27,8 @@ SECOND = 1 / 3
 NODE_MOST, DEEPEST = 2048, 8
 #: Estimates below this are no candidates: four standard deviations under the threshold.
 ESTIMATE = 0.60
-#: Ids of candidate documents are broadcast up to this number (8 bytes each), joined by shuffle beyond.
-BROADCAST_IDS = 2_000_000
+#: Ids of candidate documents are broadcast up to this number (some 100 MB as a hash table), joined by shuffle beyond.
+BROADCAST_IDS = 250_000
 #: Full sets of one block, when what links have left apart is compared once more.
 SETS_AT_ONCE = 512
 #: Links of one document that are confirmed in one place.

@@ -40,3 +40,19 @@ def summary(df: DataFrame) -> DataFrame:
 def not_found(status: Column) -> Column:
     """What to say of a URL without analysis: processing, finished_without_result, analysis_failed or not_recorded."""
     return F.when(status.isNull(), "not_recorded").when(status.isin(*X.IN_FLIGHT), "processing").when(status == "analysis_done", "finished_without_result").when(status.isin(*X.FINISHED_OR_BLOCKED), "analysis_failed").otherwise("processing")
+
+
+def hover_state(url_in_batch: Column, url_done: Column) -> Column:
+    """done, queued (in the batch, to be brought forward) or new."""
+    return F.when(url_done, "done").when(url_in_batch, "queued").otherwise("new")
+
+
+def work_order(urls: DataFrame, order: str) -> DataFrame:
+    """Open URLs: hovered ones first, the latest hover before the others; then the batch in its order. Done ones are out."""
+    return urls.where("not done").orderBy(F.col("hovered_at").desc_nulls_last(), order)
+
+
+def listing(df: DataFrame, status: str | None = None, most: int = 100, order: str = "last_seen_at", key: str = "normalized_url") -> DataFrame:
+    """The earliest `most` rows, of one status if one is named; 0 means all."""
+    out = (df.where(F.col("crawl_status") == status) if status else df).orderBy(order, key)
+    return out.limit(most) if most else out

@@ -154,3 +154,60 @@ def score_articles(df: DataFrame, key: str, text: str, scorer: Callable = stand_
 
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
     return rows.mapInPandas(batches, f"k {df.schema[key].dataType.simpleString()}, {RESULT}").withColumnRenamed("k", key)
+
+
+# --- small forms ------------------------------------------------------------------------------------------------------
+
+
+def best_chunk(attention: Column) -> Column:
+    """Position of the chunk that the others attend to most: the first greatest column sum of a square matrix (array of rows)."""
+    sums = F.transform(F.sequence(F.lit(0), F.size(attention) - 1), lambda j: F.aggregate(attention, F.lit(0.0), lambda a, row: a + F.get(row, j)))
+    return F.when(F.size(attention) > 0, F.array_position(sums, F.array_max(sums)) - 1).otherwise(-1).cast("int")
+
+
+def token_frequencies(tokens: Column) -> Column:
+    """array of struct(token, n), each token once, in order of first occurrence: the older scorer's token weights."""
+    return F.transform(F.array_distinct(tokens), lambda t: F.struct(t.alias("token"), F.size(F.filter(tokens, lambda x: x == t)).alias("n")))
+
+
+def weights_by_position(positions: Column, weights: Column) -> Column:
+    """Map from token position to the sum of the positive weights of the dimensions it won."""
+    pairs = F.filter(F.arrays_zip(positions.alias("p"), weights.alias("w")), lambda s: s["w"] > 0)
+    return F.map_from_entries(F.transform(F.array_distinct(F.transform(pairs, lambda s: s["p"])), lambda p: F.struct(p, F.aggregate(F.filter(pairs, lambda s: s["p"] == p), F.lit(0.0), lambda a, s: a + s["w"]))))
+
+
+def score_at(weights: Column, position: Column) -> Column:
+    return F.coalesce(F.try_element_at(weights, position), F.lit(0.0))
+
+
+def without_overlaps(ranges: Column) -> Column:
+    """Ranges (struct start, end) by position; one that begins before the last kept one's end is left out."""
+    empty = F.filter(ranges, lambda r: F.lit(False))
+    ordered = F.array_sort(ranges)
+    return F.aggregate(ordered, empty, lambda kept, r: F.when((F.size(kept) == 0) | (F.element_at(kept, -1)["end"] <= r["start"]), F.concat(kept, F.array(r))).otherwise(kept))
+
+
+def highlighted(sentences: Column, colours: tuple[str, ...] = ("first", "second", "third")) -> Column:
+    """The best sentences (struct score, text; ties in order) with a colour by rank."""
+    numbered = F.transform(sentences, lambda s, i: F.struct((-s["score"]).alias("neg"), i.alias("i"), s["text"].alias("text"), s["score"].alias("score")))
+    best = F.slice(F.array_sort(numbered), 1, len(colours))
+    palette = F.array(*[F.lit(c) for c in colours])
+    return F.transform(best, lambda s, i: F.struct(s["text"].alias("text"), s["score"].alias("score"), F.get(palette, i).alias("colour")))
+
+
+def backoff_seconds(attempt: Column) -> Column:
+    return F.least(F.lit(8.0), F.pow(F.lit(2.0), attempt - 1))
+
+
+def duration_text(seconds: Column) -> Column:
+    whole = F.floor(seconds).cast("long")
+    return F.when(whole >= 3600, F.format_string("%dh %dm %ds", F.floor(whole / 3600), F.floor(whole % 3600 / 60), whole % 60)).when(whole >= 60, F.format_string("%dm %ds", F.floor(whole / 60), whole % 60)).otherwise(F.format_string("%ds", whole))
+
+
+def score_text(score: Column) -> Column:
+    """Three decimals within 0 to 1, whole numbers beyond."""
+    return F.when(score.between(0, 1), F.format_string("%.3f", score)).otherwise(F.format_string("%d", F.floor(score + 0.5).cast("long")))
+
+
+def fake_or_real(prediction: Column) -> Column:
+    return F.when(prediction == 1, "real").when(prediction == 0, "fake")

@@ -618,6 +618,55 @@ def bag_cosine_topk(spark, sf):
     return match.top_per_key(pairs, ["conv_id"], "cosine", "turn", 5).drop("rank")
 
 
+@query(f"""WITH c AS (SELECT vec_id // 8 AS doc, vec_id % 8 AS i, e FROM {LOGITS}), u AS (SELECT doc, unnest(e[1:8]) AS a, unnest(range(8)) AS j FROM c WHERE doc IN (SELECT doc FROM c GROUP BY doc HAVING count(*) = 8)),
+s AS (SELECT doc, j, sum(a) AS s FROM u GROUP BY ALL) SELECT doc, CAST(arg_min(j, struct_pack(a := -round(s, 9), b := j)) AS INT) AS best FROM s GROUP BY doc""")
+def best_chunks(spark, sf):
+    d = logits(spark, sf).select(F.floor(F.col("vec_id") / 8).alias("doc"), (F.col("vec_id") % 8).alias("i"), F.slice("e", 1, 8).alias("row"))
+    d = d.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("i", "row"))).alias("m")).where(F.size("m") == 8)
+    return d.select("doc", scoring.best_chunk(F.transform("m", lambda x: x["row"])).alias("best"))
+
+
+@query("""SELECT event_id, CASE WHEN value <= 1 THEN printf('%.3f', value) ELSE printf('%d', CAST(floor(value + 0.5) AS BIGINT)) END AS score,
+CASE WHEN CAST(floor(value * 60) AS BIGINT) >= 3600 THEN printf('%dh %dm %ds', CAST(floor(value * 60) AS BIGINT) // 3600, CAST(floor(value * 60) AS BIGINT) % 3600 // 60, CAST(floor(value * 60) AS BIGINT) % 60)
+WHEN CAST(floor(value * 60) AS BIGINT) >= 60 THEN printf('%dm %ds', CAST(floor(value * 60) AS BIGINT) // 60, CAST(floor(value * 60) AS BIGINT) % 60) ELSE printf('%ds', CAST(floor(value * 60) AS BIGINT)) END AS took,
+least(8.0, pow(2.0, event_id % 7)) AS backoff FROM events""")
+def display_forms(spark, sf):
+    return table(spark, sf, "events").select("event_id", scoring.score_text(F.col("value")).alias("score"), scoring.duration_text(F.col("value") * 60).alias("took"), scoring.backoff_seconds(F.col("event_id") % 7 + 1).alias("backoff"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS token FROM conversations) SELECT conv_id, turn, token, CAST(count(*) AS INT) AS n FROM t GROUP BY ALL""")
+def token_frequencies(spark, sf):
+    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != "")
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.inline(scoring.token_frequencies(words)))
+
+
+@query("""SELECT user_id, event_id, value, CASE r WHEN 1 THEN 'first' WHEN 2 THEN 'second' ELSE 'third' END AS colour FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r FROM events) WHERE r <= 3""")
+def highlight_top3(spark, sf):
+    best = match.top_per_key(table(spark, sf, "events").select("user_id", "event_id", "value"), ["user_id"], "value", "event_id", 3)
+    listed = best.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "event_id", "value"))), lambda x: F.struct(x["value"].alias("score"), x["event_id"].cast("string").alias("text"))).alias("s"))
+    return listed.select("user_id", F.inline(scoring.highlighted(F.col("s")))).select("user_id", F.col("text").cast("long").alias("event_id"), F.col("score").alias("value"), "colour")
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, CAST(event_id AS BIGINT) AS s, CAST(event_id AS BIGINT) + CAST(floor(value * 10) AS BIGINT) AS f, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
+k AS (SELECT user_id, r, s, f, f AS till, true AS kept FROM e WHERE r = 1 UNION ALL SELECT e.user_id, e.r, e.s, e.f, CASE WHEN k.till <= e.s THEN e.f ELSE k.till END, k.till <= e.s FROM k JOIN e ON e.user_id = k.user_id AND e.r = k.r + 1)
+SELECT user_id, s AS start, f AS "end" FROM k WHERE kept""")
+def overlap_removal(spark, sf):
+    ranges = F.struct(F.col("event_id").alias("start"), (F.col("event_id") + F.floor(F.col("value") * 10)).alias("end"))
+    e = table(spark, sf, "events").groupBy("user_id").agg(F.collect_list(ranges).alias("r"))
+    return e.select("user_id", F.inline(scoring.without_overlaps(F.col("r"))))
+
+
+@query(f"""SELECT DISTINCT user_id, CASE WHEN {STATUS_SQL} = 'content_saved' THEN 'done' WHEN event_id % 2 = 0 THEN 'queued' ELSE 'new' END AS state FROM events""")
+def hover_states(spark, sf):
+    s = status_log(spark, sf)
+    return s.select(F.col("normalized_url").alias("user_id"), lookup.hover_state(F.col("seq") % 2 == 0, F.col("crawl_status") == "content_saved").alias("state")).distinct()
+
+
+@query(f"SELECT user_id AS normalized_url, ts AS last_seen_at FROM (SELECT *, {STATUS_SQL} AS s FROM events) WHERE s = 'blocked' ORDER BY ts, user_id LIMIT 100")
+def unknown_listing(spark, sf):
+    return lookup.listing(status_log(spark, sf).withColumnRenamed("updated_at", "last_seen_at"), "blocked").select("normalized_url", "last_seen_at")
+
+
 @query()
 def fuzzy_locate(spark, sf):
     ship(spark)

@@ -11,6 +11,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,9 +34,10 @@ WORDS_KEPT, WORDS_AT_ONCE = 800_000, 500
 WORD_CHARS = 64
 BLANKS = re.compile(r"[ \t-\r]+")
 LETTERS = re.compile(rb"[a-z\xdf-\xf6\xf8-\xff]+")
-#: Latin-1 bytes in lower case; a comma or full stop with another mark at its side.
+#: Latin-1 bytes in lower case.
 LOWER = bytes(ord(c) if len(c := chr(i).lower()) == 1 and ord(c) < 256 else i for i in range(256))
-JOINED_MARKS = re.compile(rb"[^\s0-9a-z\xc0-\xd6\xd8-\xf6\xf8-\xff][,.]|[,.][^\s0-9a-z\xc0-\xd6\xd8-\xf6\xf8-\xff]")
+#: Kinds of Latin-1 bytes: c for comma and full stop, m for other marks, a blank for blanks, w for letters and digits.
+KINDS = bytes(ord("c") if i in b",." else ord(" ") if i in b" \t\n\x0b\f\r" else ord("w") if chr(i).isalnum() and (i < 128 or chr(i).isalpha()) and i not in b"\xaa\xb5\xba" else ord("m") for i in range(256))
 #: A character that the tokenizer gives one id of its own; words that hold it are encoded alone.
 MARK = "\x01"
 
@@ -82,16 +85,16 @@ class WordTokens:
                 at = end + 1
         return done
 
-    def words(self, text: str) -> list:
-        """The text cut at ASCII blanks. One of Latin-1 characters alone becomes bytes in lower case, which the tokenizer
-        makes of it anyway, with commas and full stops apart where no other mark stands beside them, as in the tokenizer."""
+    def plain(self, text: str) -> bytes | None:
+        """A text of Latin-1 characters alone, as bytes in lower case, which the tokenizer makes of it anyway, with commas
+        and full stops apart where no other mark stands beside them, as in the tokenizer. None for other texts."""
         try:
             raw = text.encode("latin-1").translate(LOWER)
         except UnicodeEncodeError:
-            return [w for w in BLANKS.split(text) if w]
-        if not JOINED_MARKS.search(raw):
-            raw = raw.replace(b",", b" , ").replace(b".", b" . ")
-        return raw.split()
+            return None
+        kinds = raw.translate(KINDS)
+        joined = b"cm" in kinds or b"mc" in kinds or b"cc" in kinds
+        return raw if joined else raw.replace(b",", b" , ").replace(b".", b" . ")
 
     def fresh(self, words: list) -> dict:
         """Ids of words that aren't kept; those with the mark go one by one."""
@@ -103,18 +106,42 @@ class WordTokens:
             done[w] = marked[x] if x in marked else np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
         return done
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        cut = list(map(self.words, texts))
+    def known(self, words: list) -> list[bytes]:
+        """Ids of distinct words; new ones are encoded and kept."""
         if len(self.new) > WORDS_KEPT // 2:
             self.new, self.old = {}, self.new
         new, old = self.new, self.old
-        missing = set().union(*cut).difference(new)
-        again = missing.intersection(old)
-        new.update({w: old[w] for w in again})
-        new.update(self.fresh(list(missing - again)))
-        out = [b"".join(map(new.__getitem__, words)) for words in cut]
-        for w in [w for w in missing if len(w) > WORD_CHARS]:
-            del new[w]
+        values = list(map(new.get, words))
+        missing = [w for w, v in zip(words, values) if v is None]
+        if missing:
+            found = {w: v for w in missing if (v := old.get(w)) is not None}
+            found |= self.fresh([w for w in missing if w not in found])
+            values = [found[w] if v is None else v for w, v in zip(words, values)]
+            new.update({w: v for w, v in found.items() if len(w) <= WORD_CHARS})
+        return values
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Words are told apart by Arrow, so that Python sees each distinct one of a batch once; numpy puts the ids in line."""
+        raws = list(map(self.plain, texts))
+        lists = pc.ascii_split_whitespace(pa.array([r or b"" for r in raws], pa.large_binary()).view(pa.large_string()))
+        coded = lists.flatten().dictionary_encode()
+        values = self.known(coded.dictionary.view(pa.large_binary()).to_pylist())
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        starts = np.cumsum(sizes) - sizes
+        at = coded.indices.to_numpy()
+        each = sizes[at]
+        ends = np.cumsum(each)
+        blob = np.frombuffer(b"".join(values), "<u4")
+        line = blob[np.repeat(starts[at] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = 4 * np.append(0, ends)[lists.offsets.to_numpy()]
+        line, out = line.tobytes(), []
+        for i, raw in enumerate(raws):
+            if raw is None:
+                words = [w for w in BLANKS.split(texts[i]) if w]
+                own = dict(zip(some := list(dict.fromkeys(words)), self.known(some)))
+                out.append(b"".join([own[w] for w in words]))
+            else:
+                out.append(line[bounds[i] : bounds[i + 1]])
         return out
 
 
@@ -125,7 +152,7 @@ def word_tokens(path: str) -> WordTokens:
 
 def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, piece, start, length, ids_crc32 and doc_tokens: a document's ids and END_ID, cut only where longer than capacity."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, 4096)  # the more texts, the rarer a word is met again in another batch
     end = np.array([END_ID], "<u4").tobytes()
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions import fixed as X
-from newsloom.session import ship
+from newsloom.session import ship, spread
 
 I, S = re.I, re.I | re.S
 _dateline_steps = [re.compile(p, f) for p, f in ((X.GENERIC_DATELINE, I), (X.CITY_DATE_DATELINE, I), (X.CITY_DATELINE, I), (X.BYLINE, 0), (X.LEADING_QUOTES, 0), (X.LEADING_DASH, 0))]
@@ -107,7 +107,7 @@ def clean_articles(df: DataFrame, text: str = "text", label: str | None = None,
         return pd.Series([cleaned(t, bool(c)) for t, c in zip(texts, cut)])
 
     cut = F.lit(True) if mode == "inference" else F.coalesce(F.col(label) == 0, F.lit(False)) if label else F.lit(False)
-    out = df.withColumn(into, clean(F.col(text), cut))
+    out = spread(df).withColumn(into, clean(F.col(text), cut))
     if mode == "inference":
         from newsloom.functions.text import is_radio_promo, mixed_token_count
 

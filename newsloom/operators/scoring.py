@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions import fixed as X
-from newsloom.session import ship
+from newsloom.session import ship, spread
 
 RESULT = "prediction int, probability_real double, confidence_level string, best_chunk_index int, selected_sentences array<string>, selected_scores array<double>, T_used double, error string"
 FAILED_LEVEL = "不確定 (Uncertain)"
@@ -152,7 +152,7 @@ def score_articles(df: DataFrame, key: str, text: str, scorer: Callable = stand_
             out.insert(0, "k", f["k"])
             yield out
 
-    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    rows = spread(df.select(F.col(key).alias("k"), F.col(text).alias("t")))
     return rows.mapInPandas(batches, f"k {df.schema[key].dataType.simpleString()}, {RESULT}").withColumnRenamed("k", key)
 
 

@@ -14,7 +14,7 @@ from newsloom.functions import text as T
 from newsloom.functions import text_exact as E
 from newsloom.functions import urls as U
 from newsloom.operators import dedup, frontier, ingest, lookup, match, metrics, scoring, state
-from newsloom.session import shared_dir, ship
+from newsloom.session import shared_dir, ship, spread
 from newsloom.sources import io
 from newsloom.streaming import micro_batch
 
@@ -40,7 +40,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def decorated(spark: SparkSession, sf: str, before: str = "''", after: str = "''", where: str = "doc_id % 3 = 0") -> DataFrame:
     """documents whose text has something to clean, on a share of the rows; before and after are SQL in both dialects."""
-    return table(spark, sf, "documents").select("doc_id", F.expr(DECORATED.format(before=before, after=after, where=where)).alias("t"))
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.expr(DECORATED.format(before=before, after=after, where=where)).alias("t"))
 
 
 DECORATED = "concat(CASE WHEN {where} THEN {before} ELSE '' END, text, CASE WHEN {where} THEN {after} ELSE '' END)"
@@ -67,7 +67,7 @@ WITH c AS (SELECT d.doc_id, l.quality, {FLAGSHIP_CLEAN} AS t FROM documents d LE
 k AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id) AS r FROM c WHERE t <> '' AND {TOKENS_SQL.format("t")} >= 5)
 SELECT quality, count(*) AS n FROM k WHERE r = 1 GROUP BY quality""")
 def clean_label_distribution(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.lower(T.normalize_space(T.zero_width_fix(F.col("text")))).alias("t"))
+    d = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.lower(T.normalize_space(T.zero_width_fix(F.col("text")))).alias("t"))
     d = d.where((F.col("t") != "") & (T.mixed_token_count(F.col("t")) >= X.LEAST_TOKENS)).join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
     return metrics.label_distribution(dedup.keep_first(d, ["t"], ["doc_id"]), "quality")
 
@@ -613,8 +613,7 @@ SELECT conv_id, turn, round(s, 6) AS cosine FROM (SELECT *, row_number() OVER (P
 def bag_cosine_topk(spark, sf):
     words = F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != "")
     c = table(spark, sf, "conversations").select("conv_id", "turn", words.alias("w"))
-    following = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("w").alias("v"))
-    pairs = c.join(following, ["conv_id", "turn"]).select("conv_id", "turn", F.round(match.bag_cosine(F.col("w"), F.col("v")), 6).alias("cosine"))
+    pairs = match.neighbour_cosine(c, "conv_id", "turn", "w").select("conv_id", "turn", F.round("cosine", 6).alias("cosine"))
     return match.top_per_key(pairs, ["conv_id"], "cosine", "turn", 5).drop("rank")
 
 
@@ -670,7 +669,7 @@ def unknown_listing(spark, sf):
 @query()
 def fuzzy_locate(spark, sf):
     ship(spark)
-    d = table(spark, sf, "documents").where("length(text) > 0")
+    d = spread(table(spark, sf, "documents").select("doc_id", "text").where("length(text) > 0"))
     sentence = F.lower(F.array_join(F.slice(F.split("text", " "), 4, 9), " "))
     return d.select("doc_id", F.explode(match.fuzzy_locate(F.array(sentence), F.substring("text", 1, 4000))).alias("m")).select("doc_id", "m.*")
 

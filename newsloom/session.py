@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -23,6 +23,17 @@ def ship(spark: SparkSession) -> None:
     context._newsloom_shipped = True
 
 
+#: Estimated sizes between which spread() deals rows anew.
+SPREAD_LEAST, SPREAD_MOST = 1 << 20, 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df on all cores, where it is so small that it may lie in one row group of one file: for stages whose work far
+    exceeds a shuffle of a few MB. Larger tables have files enough and stay as they are."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if SPREAD_LEAST <= size <= SPREAD_MOST else df
+
+
 _local: dict[str, str] = {}
 
 

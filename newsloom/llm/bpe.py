@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from newsloom.llm.work import bounded_batches, key_type, text_or_empty
+from newsloom.session import spread
 
 #: Encoded pre-tokens a Python worker keeps, in two generations: beyond, the older one is forgotten and encoded again when met.
 PIECES_KEPT = 800_000
@@ -199,5 +200,5 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, key: str = "doc_i
                 rows.append((ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"]).assign(k=frame["k"])[["k", "n_tokens", "ids_sha256", "decoded_sha256"]]
 
-    rows = docs.select(docs[key].alias("k"), text_or_empty(text).alias("t"))
+    rows = spread(docs.select(docs[key].alias("k"), text_or_empty(text).alias("t")))
     return rows.mapInPandas(batches, f"k {key_type(docs, key)}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("k", key)

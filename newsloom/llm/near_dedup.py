@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from newsloom.llm.blocks import block_pairs
 from newsloom.llm.components import components
 from newsloom.llm.work import bounded_batches, key_type, materialize, text_or_empty
+from newsloom.session import spread
 
 SHINGLE = 5
 #: Linked from this Jaccard similarity on, in hundredths.
@@ -110,7 +111,7 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
                 rows.append((len(s), (d >> 64) - (1 << 63), (d & MASK) - (1 << 63), minwise(s).tobytes() if len(s) else None))
             yield pd.DataFrame(rows, columns=["n_shingles", "s1", "s2", "sig"]).assign(id=f["id"])[["id", "n_shingles", "s1", "s2", "sig"]]
 
-    rows = docs.select(docs[key].alias("id"), text_or_empty(text).alias("t"))
+    rows = spread(docs.select(docs[key].alias("id"), text_or_empty(text).alias("t")))
     return rows.mapInPandas(batches, f"id {key_type(docs, key)}, n_shingles long, s1 long, s2 long, sig binary")
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.work import bounded_batches, key_type, materialize, text_or_empty
+from newsloom.session import spread
 
 CAPACITY = 2048
 END_ID = 0
@@ -167,7 +168,7 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, key: str = "
                     rows.append((k, piece, start, len(part) // 4, zlib.crc32(part)))
             yield pd.DataFrame(rows, columns=["k", "piece", "start", "length", "ids_crc32"])
 
-    rows = docs.select(docs[key].alias("k"), text_or_empty(text).alias("t"))
+    rows = spread(docs.select(docs[key].alias("k"), text_or_empty(text).alias("t")))
     return rows.mapInPandas(batches, f"k {key_type(docs, key)}, piece int, start long, length long, ids_crc32 long")
 
 

@@ -10,13 +10,18 @@ from pyspark.sql import functions as F
 from newsloom.functions import fixed as X
 
 
+#: Python's white space, as characters and as a class that Java tests by bits for the common ones.
+PY_SPACES = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE_CLASS = r"[\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
 def py_strip(t: Column) -> Column:
     """Python's strip(): all Unicode white space at both ends."""
-    return F.regexp_replace(t, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.btrim(t, F.lit(PY_SPACES))
 
 
 def normalize_space(t: Column) -> Column:
-    return py_strip(F.regexp_replace(t, r"(?U)[\s\x1c-\x1f]+", " "))
+    return py_strip(F.regexp_replace(t, f"{SPACE_CLASS}+", " "))
 
 
 def zero_width_fix(t: Column) -> Column:

@@ -14,7 +14,7 @@ from newsloom.functions import text as T
 from newsloom.functions import text_exact as E
 from newsloom.functions import urls as U
 from newsloom.operators import dedup, frontier, ingest, lookup, match, metrics, scoring, state
-from newsloom.session import shared_dir, ship, spread
+from newsloom.session import computed_once, shared_dir, ship, spread
 from newsloom.sources import io
 from newsloom.streaming import micro_batch
 
@@ -68,7 +68,8 @@ k AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id) AS r FROM c W
 SELECT quality, count(*) AS n FROM k WHERE r = 1 GROUP BY quality""")
 def clean_label_distribution(spark, sf):
     d = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.lower(T.normalize_space(T.zero_width_fix(F.col("text")))).alias("t"))
-    d = d.where((F.col("t") != "") & (T.mixed_token_count(F.col("t")) >= X.LEAST_TOKENS)).join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
+    d = computed_once(d).where((F.col("t") != "") & (T.mixed_token_count(F.col("t")) >= X.LEAST_TOKENS))
+    d = d.join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
     return metrics.label_distribution(dedup.keep_first(d, ["t"], ["doc_id"]), "quality")
 
 
@@ -683,8 +684,8 @@ def score_articles(spark, sf):
 def credibility_by_domain(spark, sf):
     """The flagship: pages to text, one row per content, scored by the stand-in, rated, counted by domain and risk."""
     ship(spark)
-    p = table(spark, sf, "pages").select("page_id", U.host_of(F.col("url")).alias("domain"), T.html_to_text(F.col("html")).alias("text"))
-    p = p.where(T.mixed_token_count(F.col("text")) >= X.LEAST_TOKENS).withColumn("hash", F.sha2("text", 256))
+    p = spread(table(spark, sf, "pages")).select("page_id", U.host_of(F.col("url")).alias("domain"), T.html_to_text(F.col("html")).alias("text"))
+    p = computed_once(p).where(T.mixed_token_count(F.col("text")) >= X.LEAST_TOKENS).withColumn("hash", F.sha2("text", 256))
     p = dedup.keep_first(p, ["hash"], ["page_id"])
     scored = scoring.score_articles(p, "page_id", "text")
     rated = scored.select("page_id", scoring.risk_of(F.col("confidence_level"))["risk_level"].alias("risk_level")).join(p.select("page_id", "domain"), "page_id")

@@ -7,6 +7,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ship(spark: SparkSession) -> None:
@@ -34,6 +35,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if SPREAD_LEAST <= size <= SPREAD_MOST else df
 
 
+def computed_once(df: DataFrame) -> DataFrame:
+    """df whose costly columns are computed here, once: filters on them aren't moved below and spelt out again there."""
+    return df.withColumn("__once", F.monotonically_increasing_id()).where("__once >= 0").drop("__once")
+
+
 _local: dict[str, str] = {}
 
 

@@ -30,7 +30,7 @@ SHARES, SLACK = (1.0, 0.5, 0.0), 0.002
 #: Rows of one length are ranked in this many buckets, so that no task gets all of a frequent length.
 RANK_BUCKETS = 64
 #: Kept stretches, and how many new ones the tokenizer gets in one call.
-WORDS_KEPT, WORDS_AT_ONCE = 800_000, 500
+WORDS_KEPT, WORDS_AT_ONCE = 300_000, 500
 #: Longer ones aren't kept.
 WORD_CHARS = 64
 BLANKS = re.compile(r"[ \t-\r]+")
@@ -153,7 +153,7 @@ def word_tokens(path: str) -> WordTokens:
 
 def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, piece, start, length, ids_crc32 and doc_tokens: a document's ids and END_ID, cut only where longer than capacity."""
-    bounded_batches(docs.sparkSession, 4096)  # the more texts, the rarer a word is met again in another batch
+    bounded_batches(docs.sparkSession, 4096, 12 << 20)  # the more texts, the rarer a word is met again in another batch
     end = np.array([END_ID], "<u4").tobytes()
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -90,7 +90,7 @@ def pages_to_arc(pages: DataFrame, key: str = "page_id", url: str = "url", html:
                     parts, size = [arc_head(version, name, ARC_DATE)], 0
                 parts.append(arc_record(version, u, k, (h or "").encode(), size, name, ARC_DATE))
                 size += len(parts[-1])
-                if size >= BATCH_BYTES // 4 or i == len(frame) - 1:
+                if size >= BATCH_BYTES or i == len(frame) - 1:
                     files.append(b"".join(parts))
                     parts = []
             yield pd.DataFrame({"content": files})

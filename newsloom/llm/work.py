@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from newsloom.session import shared_dir, ship
 
 #: Rows and bytes of an Arrow batch handed to Python: a batch of long texts stays small.
-BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
     """For Python stages: this package on the executors, and batches of bounded size."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

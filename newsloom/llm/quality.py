@@ -160,9 +160,18 @@ def fitted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     prior = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
     rank = F.xxhash64("k", F.lit("train"))
     chosen = known.where("y = 0").orderBy(rank).limit(TRAIN_ROWS // 2).union(known.where("y = 1").orderBy(rank).limit(TRAIN_ROWS // 2))
-    # the sample is bounded, so it may be sent to all readers of the texts
-    rows = docs.select(docs[key].alias("k"), text_or_empty(text).alias("t")).join(F.broadcast(chosen), "k")
-    sample = sorted({(r["k"], r["y"], r["t"]) for r in rows.where(F.octet_length("t") <= TRAIN_BYTES // TRAIN_ROWS * 32).collect()}, key=lambda r: (hash_of(r[0]), r[0], r[2]))
+    # the sample is bounded, so it may be sent to all readers of the texts; sizes first, then as many texts as fit
+    body = docs.select(docs[key].alias("k"), text_or_empty(text).alias("t"))
+    sizes = sorted((hash_of(r["k"]), r["k"], r["n"]) for r in body.join(F.broadcast(chosen), "k").select("k", F.octet_length("t").alias("n")).limit(2 * TRAIN_ROWS).collect())
+    room, fit = TRAIN_BYTES, []
+    for _, k, n in sizes:
+        if n <= room:
+            room -= n
+            fit.append((k,))
+    if not fit:
+        return train([], np.zeros(0), prior)
+    taken = chosen.join(docs.sparkSession.createDataFrame(fit, f"k {key_type(docs, key)}").distinct(), "k", "left_semi")
+    sample = sorted({(r["k"], r["y"], r["t"]) for r in body.join(F.broadcast(taken), "k").where(F.octet_length("t") <= TRAIN_BYTES).limit(2 * TRAIN_ROWS).collect()}, key=lambda r: (hash_of(r[0]), r[0], r[2]))
     texts, ys, size = [], [], 0
     for _, y, t in sample:
         raw = t.encode()

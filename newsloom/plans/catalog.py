@@ -1,4 +1,4 @@
-"""The queries over the reference tables, each with the SQL that says the same in DuckDB where SQL can."""
+"""The catalogue of queries, each with the SQL that says the same in DuckDB where SQL can."""
 
 from __future__ import annotations
 

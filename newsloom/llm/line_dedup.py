@@ -3,6 +3,8 @@ occurrence, after their bytes have been compared. DataFrame functions only."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,13 +25,24 @@ def rolling(hashes: Column) -> Column:
     return F.transform(hashes, lambda x, i: sum((F.coalesce(F.get(hashes, i - j), F.lit(0)) * F.lit(BASE**j) for j in range(1, WINDOW)), x))
 
 
-def chunked(docs: DataFrame, key: str, text: str) -> DataFrame:
+def rolling_ends(step: DataFrame) -> DataFrame:
+    """Lines where the rolling hash says so, and the last: the rule of the query's SQL. Half of the chunks are single lines."""
+    step = step.withColumn("roll", rolling(F.col("hashes")))
+    return step.withColumn("ends", F.filter(F.sequence(F.lit(0), F.col("last")), lambda i: (i == F.col("last")) | (F.get("roll", i) % DIVISOR == 0)))
+
+
+def minimum_ends(step: DataFrame) -> DataFrame:
+    """Lines whose hash is less than both neighbours', and the last: no chunk is a single line unless the text is."""
+    at = lambda i: F.get("hashes", i)
+    least = lambda i: (i > 0) & (i < F.col("last") - 1) & (at(i) < at(i - 1)) & (at(i) < at(i + 1))
+    return step.withColumn("ends", F.filter(F.sequence(F.lit(0), F.col("last")), lambda i: (i == F.col("last")) | least(i)))
+
+
+def chunked(docs: DataFrame, key: str, text: str, ends: Callable[[DataFrame], DataFrame] = rolling_ends) -> DataFrame:
     """id, h (hash of the text, so that rows are told apart by key and text), t, lines, chunks: first line << 32 | number of lines."""
     step = docs.select(docs[key].alias("id"), docs[text].alias("t"), F.xxhash64(docs[text]).alias("h"), F.split(docs[text], "\n", -1).alias("lines"))
-    step = step.withColumn("hashes", F.transform("lines", line_hash))
-    step = step.withColumn("roll", rolling(F.col("hashes"))).withColumn("last", F.size("lines") - 1)
-    ends = F.filter(F.sequence(F.lit(0), F.col("last")), lambda i: (i == F.col("last")) | (F.get("roll", i) % DIVISOR == 0))
-    step = step.withColumn("ends", F.when(F.col("t").isNotNull(), ends))
+    step = ends(step.withColumn("hashes", F.transform("lines", line_hash)).withColumn("last", F.size("lines") - 1))
+    step = step.withColumn("ends", F.when(F.col("t").isNotNull(), F.col("ends")))
 
     def packed(end, j):
         first = F.coalesce(F.get("ends", j - 1) + 1, F.lit(0))
@@ -76,10 +89,10 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return rows.select(key, text, "n_lines", "n_removed")
 
 
-def dedup_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", ends: Callable[[DataFrame], DataFrame] = rolling_ends) -> DataFrame:
     """docs with column text without repeated chunks, and n_lines and n_removed (in place of columns of these names)."""
     own_h, gone_h, gone_id, removed, lines = (free_name(docs, n) for n in ("own_h", "gone_h", "gone_id", "removed", "lines"))
-    gone = removals(chunked(docs, key, text)).select(F.col("id").alias(gone_id), F.col("h").alias(gone_h), F.col("removed").alias(removed))
+    gone = removals(chunked(docs, key, text, ends)).select(F.col("id").alias(gone_id), F.col("h").alias(gone_h), F.col("removed").alias(removed))
     rows = docs.withColumn(own_h, F.xxhash64(docs[text]))
     step = rows.join(gone, (F.col(own_h) == F.col(gone_h)) & rows[key].eqNullSafe(F.col(gone_id)), "left")
     step = step.withColumn(lines, F.split(docs[text], "\n", -1))

@@ -272,6 +272,42 @@ def test_lines_shift(spark):
     assert got[1]["n_removed"] == 0 and got[2]["n_removed"] >= 20 and got[2]["text"].startswith("something else\nand more")
 
 
+def brute_minima(docs):
+    """(doc_id, text) -> text without later multi-line chunks, where a chunk ends at a strict minimum of the line hashes."""
+    h = lambda x: int(hashlib.md5(x.encode()).hexdigest()[:8], 16)
+    seen, out = set(), {}
+    for d, t in sorted(docs):
+        lines = t.split("\n")
+        hashes = [h(x) for x in lines]
+        cuts = [i + 1 for i in range(1, len(lines) - 2) if hashes[i] < hashes[i - 1] and hashes[i] < hashes[i + 1]]
+        kept = []
+        for a, b in zip([0, *cuts], [*cuts, len(lines)]):
+            c = tuple(lines[a:b])
+            assert len(c) > 1 or len(lines) == 1
+            if len(c) > 1 and c in seen:
+                continue
+            seen.add(c)
+            kept += c
+        out[d] = "\n".join(kept)
+    return out
+
+
+def test_lines_stage_leaves_only_edges(spark):
+    """The pipeline's chunks are never single lines: inside a repeated passage every line goes, what stays are its edges."""
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    passages = [[f"passage {p} line {i}" for i in range(30)] for p in range(12)]
+    docs = [(d, "\n".join([f"own {d} {i}" for i in range(rng.randint(0, 4))] + passages[d % 12] + [f"after {d}"])) for d in range(60)]
+    rows = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in docs], "doc_id long, text string, lang string, source string, n_chars int")
+    got = {r["doc_id"]: r for r in corpus_pipeline.line_dedup_stage(spark, rows, "").collect()}
+    assert {d: r["text"] for d, r in got.items()} == brute_minima(docs) and all(r["n_chars"] == len(r["text"]) for r in got.values())
+    for d in range(12, 60):
+        stay = [int(x.rsplit(" ", 1)[1]) for x in got[d]["text"].split("\n") if x.startswith("passage")]
+        inner = set(range(30)) - set(stay)
+        assert len(inner) >= 20 and inner == set(range(min(inner), max(inner) + 1))
+
+
 def test_lines_odd(odd, none):
     out = line_dedup.dedup_rows(odd)
     assert out.columns[:2] == ["doc_id", "text"] and out.count() == odd.count() and out.where("text is null").count() == 2

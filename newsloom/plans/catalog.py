@@ -672,7 +672,7 @@ def fuzzy_locate(spark, sf):
     ship(spark)
     d = spread(table(spark, sf, "documents").select("doc_id", "text").where("length(text) > 0"))
     sentence = F.lower(F.array_join(F.slice(F.split("text", " "), 4, 9), " "))
-    return d.select("doc_id", F.explode(match.fuzzy_locate(F.array(sentence), F.substring("text", 1, 4000))).alias("m")).select("doc_id", "m.*")
+    return d.select("doc_id", F.explode(match.fuzzy_locate(F.array(sentence), F.col("text"))).alias("m")).select("doc_id", "m.*")
 
 
 @query()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.urls import absolute, anchor_links
@@ -17,6 +17,24 @@ def links_of(pages: DataFrame, url: str = "url", html: str = "html") -> DataFram
     return found.select("src", absolute(F.col("src"), F.col("href")).alias("dst")).where("dst is not null").distinct()
 
 
+#: Ranges of one order that are sorted apart.
+RANGES = 256
+
+
+def with_next(df: DataFrame, order: str, value: str, into: str) -> DataFrame:
+    """df with the next row's value by `order` (nulls last), null in the last row. The order is cut into ranges at approximate
+    quantiles; each range's last row takes the first value of the next range that has rows."""
+    cuts = df.select(F.percentile_approx(order, [i / RANGES for i in range(1, RANGES)]).alias("c")).first()["c"]
+    cuts = sorted(set(cuts or []))
+    below = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(order))) if cuts else F.lit(0)
+    rows = df.withColumn("__range", F.when(F.col(order).isNull(), RANGES).otherwise(below))
+    firsts = rows.groupBy("__range").agg(F.min_by(F.struct(value), F.struct(order)).alias("__first"))
+    firsts = firsts.select("__range", F.lead("__first").over(Window.orderBy("__range")).alias("__first"))  # RANGES + 1 rows at most
+    inner = F.lead(F.struct(value)).over(Window.partitionBy("__range").orderBy(F.col(order).asc_nulls_last()))
+    step = rows.withColumn("__next", inner).join(F.broadcast(firsts), "__range", "left")
+    return step.select(*df.columns, F.coalesce("__next", "__first")[value].alias(into))
+
+
 def bfs(seeds: DataFrame, links: DataFrame, depth: int, cap: int | None = None) -> DataFrame:
     """url, depth: what can be reached from seeds (column url) in at most `depth` steps, at its least depth; `cap` is the
     number of visits after which no further level is opened. Each level is written, so that plans stay short."""

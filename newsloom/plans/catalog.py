@@ -370,10 +370,8 @@ def domain_cap(spark, sf):
 
 @query(f"SELECT page_id, coalesce(lead({HOST_SQL}) OVER (ORDER BY page_id) = {HOST_SQL}, false) AS next_same FROM pages")
 def next_same_domain(spark, sf):
-    # the frontier's queue is one order; batches of it are dealt out as ranges, each knowing the first row of the next
     p = table(spark, sf, "pages").select("page_id", U.host_of(F.col("url")).alias("domain"))
-    following = p.select((F.col("page_id") - 1).alias("page_id"), F.col("domain").alias("following"))
-    return p.join(following, "page_id", "left").select("page_id", F.coalesce(F.col("domain") == F.col("following"), F.lit(False)).alias("next_same"))
+    return frontier.with_next(p, "page_id", "domain", "following").select("page_id", F.coalesce(F.col("domain") == F.col("following"), F.lit(False)).alias("next_same"))
 
 
 @query("""WITH RECURSIVE l AS (SELECT page_id AS src, page_id * 2 + 1 AS dst FROM pages UNION ALL SELECT page_id, page_id * 3 FROM pages), b AS (SELECT 0::BIGINT AS url, 0 AS depth UNION SELECT l.dst, b.depth + 1 FROM b JOIN l ON l.src = b.url WHERE b.depth < 4)

@@ -1,8 +1,9 @@
 """Best-fit packing: the configuration linear program over the histogram of lengths, solved by multiplicative weights
-with knapsack pricing, then rounded; what rounding leaves over is packed by best fit."""
+with knapsack pricing, then rounded; what rounding leaves over is a smaller program, until nothing is left."""
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -21,14 +22,13 @@ from newsloom.session import spread
 
 CAPACITY = 2048
 END_ID = 0
-#: Rounds of multiplicative weights at most, step of the weights, and the gap to the bound at which to stop.
-ROUNDS, STEP, GAP = 300, 0.15, 0.0005
-#: A pattern of the linear program is used only where it fills this much of a sequence. Power of the length that a piece is worth when what is left is packed.
-FULL, FAVOUR_LONG = 0.9995, 1.1
-#: Shares of the solution to round, the whole first, and the excess over the bound at which no further share is tried.
-SHARES, SLACK = (1.0, 0.5, 0.0), 0.002
-#: Rows of one length are ranked in this many buckets, so that no task gets all of a frequent length.
-RANK_BUCKETS = 64
+#: How fast a length's price falls once patterns cover it, and the power of its length that it is worth at first: a little over 1, so that
+#: short pieces, which fit anywhere, are kept for the end.
+RATE, FIRST_WORTH = 0.3, 1.05
+#: A round prices the PRICED lengths that are covered least. With TAIL sequences left, several values of the first worth are tried.
+PRICED, TAIL, TAIL_WORTHS = 192, 64, (1.05, 1.2, 1.5, 2.0, 1.0)
+#: Rows of one length are ranked in buckets of about this many rows, or as many more as keep the buckets of all lengths below BUCKETS_MOST.
+RANK_ROWS, BUCKETS_MOST = 512, 65536
 #: Kept stretches, and how many new ones the tokenizer gets in one call.
 WORDS_KEPT, WORDS_AT_ONCE = 300_000, 500
 #: Longer ones aren't kept.
@@ -41,6 +41,17 @@ LOWER = bytes(ord(c) if len(c := chr(i).lower()) == 1 and ord(c) < 256 else i fo
 KINDS = bytes(ord("c") if i in b",." else ord(" ") if i in b" \t\n\x0b\f\r" else ord("w") if chr(i).isalnum() and (i < 128 or chr(i).isalpha()) and i not in b"\xaa\xb5\xba" else ord("m") for i in range(256))
 #: A character that the tokenizer gives one id of its own; words that hold it are encoded alone.
 MARK = "\x01"
+#: Fixed values of a tokenizer that lower-cases and drops white space; only such a one is asked word by word.
+WORD_SHAPE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 
 
 # --- tokens -------------------------------------------------------------------------------------------------------
@@ -49,8 +60,8 @@ MARK = "\x01"
 class WordTokens:
     """Ids by the tokenizers library, as little-endian unsigned 32-bit bytes.
 
-    The tokenizer drops white space and never joins across it, so each stretch between ASCII blanks is encoded once and
-    kept; the kept ones are bounded, in two generations.
+    A tokenizer of WORD_SHAPE drops white space and never joins across it, so each stretch between ASCII blanks is
+    encoded once and kept; the kept ones are bounded, in two generations. With any other one, texts are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -58,6 +69,10 @@ class WordTokens:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        shape = json.loads(self.tokenizer.to_str())
+        self.by_words = {k: shape[k] for k in ("normalizer", "pre_tokenizer")} == WORD_SHAPE and shape["model"].get("end_of_word_suffix") == "</w>"
+        if not self.by_words:
+            return
         (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         # words of lower-case letters alone are one pre-token each: they need no normalising or splitting, and the
         # suffix of their last token tells where each ends
@@ -123,6 +138,8 @@ class WordTokens:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Words are told apart by Arrow, so that Python sees each distinct one of a batch once; numpy puts the ids in line."""
+        if not self.by_words:
+            return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         raws = list(map(self.plain, texts))
         lists = pc.ascii_split_whitespace(pa.array([r or b"" for r in raws], pa.large_binary()).view(pa.large_string()))
         coded = lists.flatten().dictionary_encode()
@@ -177,103 +194,109 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, key: str = "
 
 def priced(lengths: np.ndarray, value: np.ndarray, most: np.ndarray, capacity: int) -> np.ndarray:
     """Knapsack by dynamic programming: how many of each length fill a sequence at the greatest total value, at most `most` of each."""
-    best, pick = np.zeros(capacity + 1), []
     sizes: list[tuple[int, int, int]] = []
-    for i, n in enumerate(lengths):
-        count, left = 1, int(min(most[i], capacity // n))
+    for i, (n, bound) in enumerate(zip(lengths.tolist(), most.tolist())):
+        count, left = 1, min(bound, capacity // n)
         while left > 0:  # a bounded count as powers of two
             take = min(count, left)
-            sizes.append((i, take, int(n) * take))
+            sizes.append((i, take, n * take))
             left, count = left - take, count * 2
-    for i, take, weight in sizes:
-        gain = best[: capacity + 1 - weight] + value[i] * take
-        better = gain > best[weight:] + 1e-15
-        pick.append(better)
-        np.copyto(best[weight:], gain, where=better)
-    pattern, room = np.zeros(len(lengths), np.int64), capacity
-    for (i, take, weight), better in zip(reversed(sizes), reversed(pick)):
-        if room >= weight and better[room - weight]:
-            pattern[i] += take
-            room -= weight
+    best, gain, pick = np.zeros(capacity + 1), np.empty(capacity + 1), np.zeros((len(sizes), capacity + 1), bool)
+    for j, (i, take, weight) in enumerate(sizes):
+        own, rest = gain[: capacity + 1 - weight], best[weight:]
+        np.add(best[: capacity + 1 - weight], value[i] * take, out=own)
+        np.greater(own, rest, out=pick[j, weight:])
+        np.maximum(rest, own, out=rest)
+    pattern, room, j = np.zeros(len(lengths), np.int64), capacity, len(sizes)
+    while len(on := np.flatnonzero(pick[:j, room])):
+        j = int(on[-1])
+        i, take, weight = sizes[j]
+        pattern[i] += take
+        room -= weight
     return pattern
 
 
-def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, float]]:
-    """Patterns and how often to use each, near the optimum of the covering program.
+def lp_bound(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> float:
+    """The better of two feasible solutions of the dual program, which no plan can undercut: a piece is worth its share of
+    a sequence; or a sequence if it is longer than half of one, half a sequence if it is exactly that."""
+    return max(float(lengths @ counts) / capacity, float(counts @ ((2 * lengths > capacity) + 0.5 * (2 * lengths == capacity))))
 
-    Multiplicative weights: a length's price falls as patterns cover it beyond its share; each round adds the pattern
-    that is worth most at these prices. Their average, scaled to cover every length, is the solution.
-    """
-    price = lengths / capacity
-    price = price / (price @ counts)
-    patterns: dict[bytes, list] = {}
-    covered, used, bound = np.zeros(len(lengths)), 0.0, 0.0
-    for _ in range(ROUNDS):
-        pattern = priced(lengths, price, counts, capacity)
-        worth = float(price @ pattern)
-        bound = max(bound, float(price @ counts) / worth)  # prices over the best pattern's worth are feasible in the dual
-        step = float(np.min(counts[pattern > 0] / pattern[pattern > 0])) * STEP
-        patterns.setdefault(pattern.tobytes(), [pattern, 0.0])[1] += step
-        used += step
-        covered += step * pattern
-        share = covered / counts
-        price = np.exp(-(share - share.min()) * np.log(len(lengths) + 2) / max(STEP, share.mean() * 0.05)) * lengths / capacity
-        price /= price @ counts
-        if share.min() > 0 and used / share.min() <= bound * (1 + GAP):
-            break
-    # without the cover that ends the loop, the patterns are scaled to the pieces' total; rounding and best fit see to the rest
-    low = float((covered / counts).min())
-    even = float(counts @ lengths / max(1, covered @ lengths))
-    scale = min(1 / low, 1.05 * even) if low > 0 else even
-    return [(p, x * scale) for p, x in patterns.values()]
 
+def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, worth: float = FIRST_WORTH, seed: int = 0) -> list[tuple[np.ndarray, float]]:
+    """Patterns and how often to use each: a solution of the covering program by multiplicative weights.
 
-def rounded(lengths: np.ndarray, counts: np.ndarray, solution: list[tuple[np.ndarray, float]], capacity: int) -> list[tuple[np.ndarray, int]]:
-    """Whole numbers of patterns that use every piece exactly once.
-
-    Each pattern is used its number rounded down, as far as pieces last. What is left goes by best fit: the longest
-    piece opens a sequence, a knapsack over the pieces left fills it, and the pattern repeats while pieces last, so the
-    cost follows the lengths, not the pieces. The knapsack's values grow a little faster than the lengths, so that
-    short pieces are kept for the last sequences.
+    A length is worth a power of itself at first, and less by a factor with each use of patterns that cover it. Each round
+    adds the pattern that a knapsack prices highest over the least covered lengths, as often as its scarcest pieces
+    last, until every length is covered; the solution is scaled so that the least covered one is covered once.
     """
-    left, plan = counts.copy(), []
-    for pattern, x in sorted(solution, key=lambda s: (-int(s[0] @ lengths), -s[1])):
+    rng, patterns = np.random.default_rng(seed), {}
+    base, covered = (lengths / capacity) ** worth, np.zeros(len(lengths))
+    while (low := (share := covered / counts).min()) < 1:
+        need = np.exp(-np.minimum((share - low) * RATE, 60))
+        some = np.arange(len(lengths))
+        if len(some) > PRICED:
+            some = np.sort(np.argpartition(rng.random(len(lengths)) * -1e-3 - need, PRICED)[:PRICED])
+        pattern = np.zeros(len(lengths), np.int64)
+        pattern[some] = priced(lengths[some], (base * need)[some], counts[some], capacity)
         on = pattern > 0
-        times = min(int(x + 1e-9), int(np.min(left[on] // pattern[on]))) if on.any() else 0
-        if times and pattern @ lengths >= capacity * FULL:
+        times = float(np.min(counts[on] / pattern[on]))
+        patterns.setdefault(pattern.tobytes(), [pattern, 0.0])[1] += times
+        covered += times * pattern
+    return [(p, x / low) for p, x in patterns.values()]
+
+
+def rounded(lengths: np.ndarray, left: np.ndarray, solution: list[tuple[np.ndarray, float]]) -> list[tuple[np.ndarray, int]]:
+    """Whole uses of the solution's fullest patterns, long pieces first: each as often as the solution says, once at least,
+    as far as pieces last. `left` loses what they use; the other patterns' pieces are left to the next program."""
+    plan, fullest = [], max(int(p @ lengths) for p, _ in solution)
+    for pattern, x in sorted(solution, key=lambda s: (-int(np.flatnonzero(s[0])[-1]), -s[1])):
+        if pattern @ lengths < fullest:
+            continue
+        on = pattern > 0
+        times = min(max(1, int(x + 1e-9)), int(np.min(left[on] // pattern[on])))
+        if times:
             plan.append((pattern, times))
             left -= times * pattern
-    value = (lengths / capacity) ** FAVOUR_LONG
-    while left.any():
-        at = np.flatnonzero(left)
-        pattern = np.zeros(len(lengths), np.int64)
-        longest = at[-1]
-        pattern[longest] = 1
-        room = capacity - int(lengths[longest])
-        spare = left[at] - pattern[at]
-        fit = (lengths[at] <= room) & (spare > 0)
-        if fit.any():
-            pattern[at[fit]] += priced(lengths[at[fit]], value[at[fit]], spare[fit], room)
-        on = pattern > 0
-        times = int(np.min(left[on] // pattern[on]))
-        plan.append((pattern, times))
-        left -= times * pattern
     return plan
 
 
+def rounds_of(lengths: np.ndarray, counts: np.ndarray, capacity: int, worth: float, until: int) -> tuple[list[tuple[np.ndarray, int]], np.ndarray]:
+    """Programs, each over what rounding the one before left, until a volume of `until` sequences is left; the plan and what is left."""
+    left, plan, number = counts.copy(), [], 0
+    while left @ lengths > until * capacity:
+        at = np.flatnonzero(left)
+        own = left[at]
+        for pattern, times in rounded(lengths[at], own, fractional(lengths[at], left[at], capacity, worth, number)):
+            whole = np.zeros(len(lengths), np.int64)
+            whole[at] = pattern
+            plan.append((whole, times))
+        left[at] = own
+        number += 1
+    return plan, left
+
+
 def best_plan(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
-    """The linear program's solution, rounded. Where that leaves more than SLACK over the least conceivable number, because
-    lengths with few pieces each have far more patterns than there were rounds, parts of the solution are rounded too, and the shortest plan is taken."""
-    solution = fractional(lengths, counts, capacity)
-    least = -(-int(lengths @ counts) // capacity)
-    best = None
-    for share in SHARES:
-        plan = rounded(lengths, counts, [(p, x * share) for p, x in solution], capacity)
-        if best is None or sum(t for _, t in plan) < sum(t for _, t in best):
-            best = plan
-        if sum(t for _, t in best) <= least * (1 + SLACK):
+    """Patterns with whole numbers that use every piece exactly once.
+
+    Every pattern comes from a program's solution. Together they are a solution of the first program too, whose value
+    can be held against lp_bound(). The last TAIL sequences are solved under several first worths; the shortest plan stays.
+    """
+    plan, left = rounds_of(lengths, counts, capacity, FIRST_WORTH, TAIL)
+    at = np.flatnonzero(left)
+    if not len(at):
+        return plan
+    own, least, best = left[at], int(np.ceil(lp_bound(lengths[at], left[at], capacity) - 1e-9)), None
+    for worth in TAIL_WORTHS:
+        tail, _ = rounds_of(lengths[at], own, capacity, worth, 0)
+        if best is None or sum(t for _, t in tail) < sum(t for _, t in best):
+            best = tail
+        if sum(t for _, t in best) <= least:
             break
-    return best
+    for pattern, times in best:
+        whole = np.zeros(len(lengths), np.int64)
+        whole[at] = pattern
+        plan.append((whole, times))
+    return plan
 
 
 def placements(lengths: np.ndarray, plan: list[tuple[np.ndarray, int]]) -> pd.DataFrame:
@@ -296,32 +319,33 @@ def placements(lengths: np.ndarray, plan: list[tuple[np.ndarray, int]]) -> pd.Da
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces (columns k, piece, length and others, lengths 1 to capacity) with sequence_id and offset.
 
-    Only the histogram of lengths (at most `capacity` numbers) and counts per length and rank bucket reach the driver;
-    the plan sent back has a row per pattern and length. Equal rows are ranked in any order: each gets a place.
+    Only the histogram of lengths (at most `capacity` numbers) and counts per length and rank bucket (BUCKETS_MOST and a
+    bucket per length at most) reach the driver; the plan sent back has a row per pattern and length. Pieces of one
+    length are ranked in as many buckets as their number asks for. Equal rows are ranked in any order: each gets a place.
     """
-    bucketed = pieces.withColumn("bucket", F.pmod(F.xxhash64("k", "piece"), F.lit(RANK_BUCKETS)).cast("int"))
-    counts = bucketed.groupBy("length", "bucket").count().toPandas()
-    if counts.empty:
+    histogram = pieces.groupBy("length").count().toPandas().sort_values("length")
+    if histogram.empty:
         return pieces.selectExpr("*", "0L as sequence_id", "0L as offset")
-    counts = counts.sort_values(["length", "bucket"], ignore_index=True)
-    counts["before"] = counts.groupby("length")["count"].cumsum() - counts["count"]
-    histogram = counts.groupby("length")["count"].sum()
-    lengths, n = histogram.index.to_numpy(np.int64), histogram.to_numpy(np.int64)
-    plan = best_plan(lengths, n, capacity)
-    places = placements(lengths, plan)
-    before = np.zeros((capacity + 1) * RANK_BUCKETS, np.int64)
-    before[counts["length"].to_numpy() * RANK_BUCKETS + counts["bucket"].to_numpy()] = counts["before"].to_numpy()
+    lengths, n = histogram["length"].to_numpy(np.int64), histogram["count"].to_numpy(np.int64)
+    places = placements(lengths, best_plan(lengths, n, capacity))
+    buckets = np.ones(capacity + 1, np.int64)
+    buckets[lengths] = -(-n // max(RANK_ROWS, int(n.sum()) // BUCKETS_MOST))
+    base_of = np.cumsum(buckets) - buckets
+    bucketed = pieces.withColumn("bucket", F.pmod(F.xxhash64("k", "piece"), F.get(F.lit(buckets.tolist()), F.col("length").cast("int"))))
+    counts = bucketed.groupBy("length", "bucket").count().toPandas().sort_values(["length", "bucket"], ignore_index=True)
+    before = np.zeros(int(buckets.sum()), np.int64)
+    before[base_of[counts["length"].to_numpy()] + counts["bucket"].to_numpy()] = (counts.groupby("length")["count"].cumsum() - counts["count"]).to_numpy()
     wide = np.int64(1) << 40
     keys = places["length"].to_numpy(np.int64) * wide + places["first"].to_numpy(np.int64)
     first, times, base, place = (places[c].to_numpy(np.int64) for c in ("first", "times", "base", "place"))
-    shared = pieces.sparkSession.sparkContext.broadcast((before, keys, first, times, base, place))
+    shared = pieces.sparkSession.sparkContext.broadcast((before, base_of, keys, first, times, base, place))
     ranked = bucketed.selectExpr("*", "row_number() over (partition by length, bucket order by struct(k, piece)) - 1 as r")
 
     def placed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        before, keys, first, times, base, place = shared.value
+        before, base_of, keys, first, times, base, place = shared.value
         for f in frames:
             length = f["length"].to_numpy(np.int64)
-            rank = f["r"].to_numpy(np.int64) + before[length * RANK_BUCKETS + f["bucket"].to_numpy()]
+            rank = f["r"].to_numpy(np.int64) + before[base_of[length] + f["bucket"].to_numpy()]
             at = np.searchsorted(keys, length * wide + rank, "right") - 1
             rank = rank - first[at]
             yield f.drop(columns=["bucket", "r"]).assign(sequence_id=base[at] + rank % times[at], offset=place[at] + rank // times[at] * length)

@@ -148,8 +148,7 @@ def test_packing_query(spark):
         for i, r in by[d].items():
             part = ids[2048 * i : 2048 * (i + 1)]
             assert (r["start"], r["length"], r["ids_crc32"]) == (2048 * i, len(part), zlib.crc32(np.array(part, "<u4").tobytes()))
-    used, least = check_packed(rows), -(-sum(r["length"] for r in rows) // 2048)
-    assert used <= least * 1.02 + 1
+    assert check_packed(rows) == -(-sum(r["length"] for r in rows) // 2048)  # no plan can use fewer
 
 
 def test_packing_odd(odd, none):
@@ -159,13 +158,63 @@ def test_packing_odd(odd, none):
     assert packing.pack_documents(none, WORDS).count() == 0
 
 
-@pytest.mark.parametrize("lengths", [[5], [3] * 1000, [2048] * 10, [1500, 600, 500, 48] * 50, list(range(1, 2049)), [1025] * 7 + [1] * 3])
-def test_plans(lengths):
+@pytest.mark.parametrize(("lengths", "least"), [([5], 1), ([3] * 1000, 2), ([2048] * 10, 10), ([1500, 600, 500, 48] * 50, 67), (list(range(1, 2049)), 1025), ([1025] * 7 + [1] * 3, 7)])
+def test_plans(lengths, least):
     sizes, counts = np.unique(lengths, return_counts=True)
     plan = packing.best_plan(sizes, counts, 2048)
     assert (sum(p * t for p, t in plan) == counts).all() and all(p @ sizes <= 2048 for p, _ in plan)
-    big = sum(c for s, c in zip(sizes, counts) if s > 1024)
-    assert sum(t for _, t in plan) <= max(big, -(-sum(lengths) // 2048)) * 1.05 + 1
+    assert packing.lp_bound(sizes, counts, 2048) <= sum(t for _, t in plan) == least
+
+
+def exact_bins(lengths, capacity):
+    """The least number of sequences, by trying every place for every piece, the longest first."""
+    lengths, best = sorted(lengths, reverse=True), [len(lengths)]
+
+    def place(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(lengths):
+            best[0] = len(bins)
+            return
+        for b in sorted({b for b in bins if b + lengths[i] <= capacity}):
+            j = bins.index(b)
+            place(i + 1, [*bins[:j], b + lengths[i], *bins[j + 1 :]])
+        place(i + 1, [*bins, lengths[i]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_plans_by_exact_packing():
+    rng = np.random.default_rng(8)
+    for case in range(80):
+        capacity = int(rng.choice([20, 30, 100, 2048]))
+        lengths = rng.integers(1, capacity + 1 if case % 2 else capacity // 2 + 1, rng.integers(1, 11))
+        sizes, counts = np.unique(lengths, return_counts=True)
+        used, least = sum(t for _, t in packing.best_plan(sizes, counts, capacity)), exact_bins(lengths.tolist(), capacity)
+        assert least >= packing.lp_bound(sizes, counts, capacity) - 1e-9 and used == least
+
+
+def test_fractional_covers():
+    """The program's solution covers every length and stays within the knapsack."""
+    rng = np.random.default_rng(2)
+    sizes = np.sort(rng.choice(np.arange(1, 2049), 400, replace=False))
+    counts = rng.integers(1, 30, 400)
+    solution = packing.fractional(sizes, counts, 2048)
+    assert all(p @ sizes <= 2048 and (p <= counts).all() for p, _ in solution) and (sum(p * x for p, x in solution) >= counts * (1 - 1e-9)).all()
+
+
+def test_packing_hot_length(spark):
+    """A third of all pieces of one length, ranked in many buckets."""
+    df = spark.range(6000).selectExpr("id as k", "0 as piece", "if(id % 3 = 0, 2048L, 1 + id % 700) as length")
+    assert check_packed(packing.pack(df).collect()) == -(-sum(2048 if i % 3 == 0 else 1 + i % 700 for i in range(6000)) // 2048)
+
+
+def test_other_tokenizers():
+    """A tokenizer of another shape gets whole texts."""
+    path = P.path("byte_bpe_50k.json")
+    texts = ["Two words,  and blanks \n", "", "é\x01日本 x" * 50]
+    assert packing.WordTokens(path).ids(texts) == [np.array(Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
 def test_knapsack_by_brute_force():

@@ -4,6 +4,8 @@ Hamming radius."""
 from __future__ import annotations
 
 import hashlib
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.blocks import block_pairs
-from newsloom.llm.sharding import LOW, bucket_of, splitters
-from newsloom.llm.work import bounded_batches, key_type, materialize, text_or_empty
+from newsloom.llm.sharding import LOW, RANGES_MOST, as_arrays, bucket_of, splitters
+from newsloom.llm.work import bounded_batches, key_type, materialize, need_integral, text_or_empty
 
 BITS = 256
 WORDS64 = BITS // 64
@@ -24,29 +26,48 @@ RADIUS = 7
 BLOCKS = RADIUS + 1
 #: Odd multipliers that spread one word hash over the fingerprint's 64-bit parts: multiples of the golden ratio's fraction.
 SPREAD = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) & (1 << 64) - 1 for i in range(WORDS64)], np.uint64)
-#: Bytes of text aimed at in one range of neighbouring documents.
+#: Characters of scripts written without blanks: Thai, Lao, Burmese, Khmer, Han, Kana and what lies between.
+NO_BLANKS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+RUNS = re.compile(f"{NO_BLANKS.pattern}+|[^{NO_BLANKS.pattern[1:]}+")
+#: Bytes of text aimed at in one range of neighbouring documents (more, where that gave over RANGES_MOST ranges).
 RANGE_BYTES = 16 << 20
 
 
-def weight_of(word: str) -> int:
-    """Long words tell more than short ones."""
-    n = len(word)
-    return 1 if n <= 3 else 2 if n <= 6 else 3
+def terms_of(text: str) -> Counter:
+    """How often each term of the lower-cased text occurs: words between blanks; in scripts without blanks, pairs of neighbouring characters."""
+    words = text.lower().split()
+    if not text.isascii() and NO_BLANKS.search(text):
+        cut = []
+        for word in words:
+            for run in RUNS.findall(word):
+                cut += [run] if len(run) < 3 or not NO_BLANKS.match(run) else [run[i : i + 2] for i in range(len(run) - 1)]
+        words = cut
+    return Counter(words)
+
+
+def weight_of(term: str, times: int) -> int:
+    """Its length class (long words tell more than short ones) times one more than the logarithm of its frequency.
+
+    How many documents hold a term doesn't count: a text's fingerprint would change with the corpus around it, and
+    fingerprints of two tables could not be compared.
+    """
+    n = len(term)
+    return (1 if n <= 3 else 2 if n <= 6 else 3) * times.bit_length()
 
 
 def fingerprint(text: str) -> bytes:
-    """Each distinct word of the lower-cased text votes with its weight on each bit; a tie and an empty text give 0."""
-    words = list(set(text.lower().split()))
-    if not words:
+    """Each distinct term votes with its weight on each bit; a tie and an empty text give 0."""
+    terms = terms_of(text)
+    if not terms:
         return bytes(BITS // 8)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, terms), np.uint64, len(terms))
     h = h[:, None] * SPREAD
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(32)
-    weights = np.fromiter(map(weight_of, words), np.int64, len(words))
+    weights = np.fromiter(map(weight_of, terms, terms.values()), np.int64, len(terms))
     votes = np.zeros(BITS, np.int64)
-    for w in (1, 2, 3):
+    for w in np.unique(weights).tolist():
         bits = np.unpackbits(h[weights == w].view(np.uint8), axis=1)
         for first in range(0, len(bits), 255):  # sums of 255 rows fit in a byte
             votes += w * np.add.reduce(bits[first : first + 255], axis=0, dtype=np.uint8).astype(np.int64)
@@ -71,30 +92,32 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     before. Null keys come first; rows with one key are ordered by a hash of their text; a null text counts as empty.
     """
     spark = docs.sparkSession
+    need_integral(docs, key)
     body = text_or_empty(text)
     order = (F.coalesce(docs[key].cast("long"), F.lit(LOW)).alias("h"), F.xxhash64(body).alias("k"))
     narrow = materialize(docs.select(*order, (F.octet_length(body).cast("long") + 64).alias("size")), "order")
     total = narrow.agg(F.sum("size")).first()[0] or 0
-    parts = max(1, -(-total // RANGE_BYTES), min(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 65536))
+    parts = min(RANGES_MOST, max(1, -(-total // RANGE_BYTES), min(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 65536)))
     cuts, _ = splitters(narrow, parts, 1, 0.1, 0.1) if parts > 1 else ([], [])
+    shared = spark.sparkContext.broadcast(as_arrays(cuts))
 
     def firsts_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            f = f.assign(p=bucket_of(f["h"].to_numpy(), f["k"].to_numpy(), cuts)).sort_values(["p", "h", "k"])
+            f = f.assign(p=bucket_of(f["h"].to_numpy(), f["k"].to_numpy(), *shared.value)).sort_values(["p", "h", "k"])
             yield f.groupby("p", as_index=False).first()[["p", "h", "k"]]
 
     least = narrow.select("h", "k").mapInPandas(firsts_of, "p long, h long, k long").groupBy("p").agg(F.min(F.struct("h", "k")).alias("m"))
-    firsts = sorted((r["p"], r["m"]["h"], r["m"]["k"]) for r in least.collect())  # one row per range
-    before = {(h, k): firsts[i - 1][0] for i, (_, h, k) in enumerate(firsts)}  # the first one's is the last range
+    firsts = sorted((r["p"], r["m"]["h"], r["m"]["k"]) for r in least.collect())  # one row per range, RANGES_MOST at most
+    before = spark.sparkContext.broadcast({(h, k): firsts[i - 1][0] for i, (_, h, k) in enumerate(firsts)})  # the first one's is the last range
     bounded_batches(spark)
     kind = key_type(docs, key)
 
     def dealt(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pack = zstandard.ZstdCompressor(3).compress
         for f in frames:
-            p = bucket_of(f["h"].to_numpy(), f["k"].to_numpy(), cuts).astype(np.int32)
+            p = bucket_of(f["h"].to_numpy(), f["k"].to_numpy(), *shared.value).astype(np.int32)
             f = f.assign(p=p, tail=0, z=[pack(t.encode()) for t in f["t"]]).drop(columns="t")
-            also = [(i, before[x]) for i, x in enumerate(zip(f["h"], f["k"])) if x in before]
+            also = [(i, before.value[x]) for i, x in enumerate(zip(f["h"], f["k"])) if x in before.value]
             tails = f.iloc[[i for i, _ in also]].assign(p=np.array([q for _, q in also], np.int32), tail=1)
             yield pd.concat([f, tails])[["p", "tail", "h", "k", "id", "z"]]
 
@@ -123,12 +146,12 @@ def near_counts(prints: DataFrame, salts: int = 16) -> DataFrame:
 
     BLOCKS tables hold each distinct fingerprint under one of its blocks. A pair counts in the first table where its
     blocks agree, so no pair counts twice; large buckets are compared block by block. Fingerprints near none but their
-    equals are left to their count.
+    equals are left to their count. Null fingerprints are near nothing and come out as one row; no rows give none.
     """
     spark = prints.sparkSession
     distinct = prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
     width = BITS // BLOCKS // 8
-    tables = distinct.select("fp", "n", F.posexplode(F.array(*[F.substring("fp", 1 + i * width, width) for i in range(BLOCKS)])).alias("i", "v"))
+    tables = distinct.where("fp is not null").select("fp", "n", F.posexplode(F.array(*[F.substring("fp", 1 + i * width, width) for i in range(BLOCKS)])).alias("i", "v"))
     bounded_batches(spark)
 
     def compared(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
@@ -147,15 +170,15 @@ def near_counts(prints: DataFrame, salts: int = 16) -> DataFrame:
         return pd.DataFrame({"fp": f["fp"].iloc[at], "more": found[at]})
 
     near = block_pairs(tables, ["i", "v"], "fp").groupBy("i", "v", "b1", "b2").applyInPandas(compared, "fp binary, more long").groupBy("fp").agg(F.sum("more").alias("more"))
-    return distinct.join(near, "fp", "left").select("fp", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_near"))
+    return distinct.join(near, "fp", "left").select("fp", F.when(F.col("fp").isNull(), F.lit(0)).otherwise(F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_near"))
 
 
 def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", salts: int = 16) -> DataFrame:
     """key, n_chars, edited_sha256, fingerprint, edited_fingerprint (hex), near_edited, near_next, n_near: one row per input row.
 
     n_near counts the other rows whose fingerprint lies within RADIUS bits. A null text counts as empty: fingerprint 0.
-    Null keys and repeated rows are kept (see with_next); other columns are ignored; an empty table gives an empty one;
-    a lone document is its own next.
+    Null keys and repeated rows are kept (see with_next); keys that are no integers are refused; other columns are
+    ignored; an empty table gives an empty one; a lone document is its own next.
     """
     rows = materialize(with_next(docs, key, text), "prints")
     # copies may hold a third of all rows: rows are dealt over the salts, each fingerprint's count is repeated for them

@@ -58,3 +58,13 @@ def text_or_empty(column: str = "text"):
 
 def key_type(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
+
+
+def is_integral(df: DataFrame, column: str) -> bool:
+    return key_type(df, column) in ("tinyint", "smallint", "int", "bigint")
+
+
+def need_integral(df: DataFrame, column: str) -> None:
+    """For operators whose results are ordered by the key or name a smallest one."""
+    if not is_integral(df, column):
+        raise TypeError(f"column {column} is {key_type(df, column)}; this operator needs integer keys")

@@ -13,15 +13,15 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.blocks import block_pairs
 from newsloom.llm.components import components
-from newsloom.llm.work import bounded_batches, key_type, materialize, text_or_empty
+from newsloom.llm.work import bounded_batches, key_type, materialize, need_integral, text_or_empty
 from newsloom.session import spread
 
 SHINGLE = 5
 #: Linked from this Jaccard similarity on, in hundredths.
 PERCENT = 75
 #: Minwise tokens of a set, and trees. A node keeps one token of its own choice, and a second one in SECOND of the
-#: cases: 1 / 0.75 branches on average. At similarity 0.75 a pair stays together down to depth 4 of one tree with
-#: probability 0.53, so twelve trees miss one pair in 8,000; at 0.8, one in 60,000.
+#: cases: 1 / 0.75 branches on average. A pair of similarity s stays together in one more level with odds that follow
+#: p -> 1 - (1 - s p) (1 - s p / 3): at 0.75, twelve trees miss one pair in 9,000 at depth 4 and one in 260 at depth 8.
 TOKENS, TREES, DEPTH = 128, 12, 4
 SECOND = 1 / 3
 #: Nodes with more members branch again, down to DEEPEST; what is still larger there is compared block by block.
@@ -146,11 +146,12 @@ def small_nodes(sets: DataFrame) -> DataFrame:
     """node, id: members of the nodes to compare. Nodes of more than NODE_MOST sets branch again until DEEPEST."""
     nodes, done = materialize(tree_nodes(sets), "nodes"), []
     for depth in range(DEPTH, DEEPEST + 1):
-        sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("g"))
+        # written, so that adaptive execution can split the semi-joins where one node's rows make a partition too large
+        sizes = materialize(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("g")).where("g > 1"), "node-sizes")
         if depth == DEEPEST or sizes.agg(F.max("g")).first()[0] is None or sizes.where(F.col("g") > NODE_MOST).isEmpty():
             done.append(nodes)
             break
-        done.append(nodes.join(sizes.where(F.col("g").between(2, NODE_MOST)), "node", "left_semi"))
+        done.append(nodes.join(sizes.where(F.col("g") <= NODE_MOST), "node", "left_semi"))
         nodes = materialize(deeper(nodes.join(sizes.where(F.col("g") > NODE_MOST), "node", "left_semi"), sets), "nodes")
     out = done[0]
     for more in done[1:]:
@@ -238,7 +239,7 @@ def left_apart(clusters: DataFrame, labels: DataFrame, sets: DataFrame, full: Da
     c = F.coalesce(labels.component, F.col("id"))
     rows = full.select("id").join(clusters, full.id == clusters.vertex, "left").select("id", F.coalesce("component", "id").alias("cluster"))
     rows = rows.join(labels, rows.id == labels.vertex, "left").select("id", "cluster", c.alias("c"))
-    several = rows.groupBy("cluster").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("cluster")
+    several = materialize(rows.groupBy("cluster").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("cluster"), "several")
     rows = materialize(rows.join(several, "cluster", "left_semi"), "apart")
     rows = block_pairs(rows, ["cluster"], "id", SETS_AT_ONCE).join(sets.select("id", "sig4"), "id").join(full, "id").select("cluster", "b1", "b2", "b", "id", "c", "sig4", "s")
 
@@ -287,7 +288,8 @@ def full_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFr
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs a, b whose full sets are similar enough. A document with many pairs is dealt out in lots of LINKS_AT_ONCE."""
-    degree = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("g"))
+    # written, so that adaptive execution can split the joins where a hub's pairs make a partition too large
+    degree = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("g")), "degree")
     both = pairs.join(degree.select(F.col("id").alias("a"), F.col("g").alias("ga")), "a").join(degree.select(F.col("id").alias("b"), F.col("g").alias("gb")), "b")
     # x is the end with more pairs: its set is sent once per lot, the other's once per pair
     turned = both.select(F.when(F.col("ga") >= F.col("gb"), F.col("a")).otherwise(F.col("b")).alias("x"), F.when(F.col("ga") >= F.col("gb"), F.col("b")).otherwise(F.col("a")).alias("y"), F.ceil(F.greatest("ga", "gb") / F.lit(LINKS_AT_ONCE)).cast("int").alias("lots"))
@@ -322,9 +324,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sa
     the nodes of the trees, a hub's and a spanning forest's per node, and are confirmed on full sets. What these links
     leave apart within a cluster of likely pairs is then compared outright, so a link that no such pair stands for is
     found too. A null text counts as empty; an empty set links with nothing and is its own component.
-    A null key has no component and is kept. Rows that share a key are one vertex. Other columns are ignored; an empty
-    table gives an empty one.
+    A null key has no component and is kept. Rows that share a key are one vertex. Keys that are no integers are refused.
+    Other columns are ignored; an empty table gives an empty one.
     """
+    need_integral(docs, key)
     rows = materialize(signatures(docs, key, text), "signatures")
     linked = rows.where("n_shingles > 0 and id is not null").select("s1", "s2", F.col("id").cast("long").alias("id"), "sig")
     sets = linked.groupBy("s1", "s2").agg(F.min("id").alias("id"), F.min("sig").alias("sig"))

@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.components import components
-from newsloom.llm.work import bounded_batches, materialize
+from newsloom.llm.work import bounded_batches, materialize, need_integral
 
 THRESHOLD = 0.95
-#: Vectors per pivot aimed at, pivots at most (all of them reach the driver), and rows of a block.
-CELL_ROWS, PIVOTS_MOST, BLOCK = 8192, 512, 4096
+#: Vectors per pivot aimed at, pivots at most (all of them reach the driver), and rows of a block: a vector goes to as many
+#: tasks as its cell has blocks.
+CELL_ROWS, PIVOTS_MOST, BLOCK = 8192, 4096, 8192
 #: Rows compared at a time within a block.
 STRIPE = 512
 
@@ -32,12 +33,23 @@ def cells_of(u: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarr
     within the radius of that hyperplane: (|x - p|^2 - |x - q|^2) / (2 |p - q|). A pair is joined in the cell of the
     smaller number, so x goes to smaller cells only.
     """
-    cosine = u @ pivots.T
-    home = cosine.argmax(1)
-    apart = np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 0))
-    margin = (cosine[np.arange(len(u)), home][:, None] - cosine) / np.maximum(apart[home], 1e-12)
-    x, cell = np.nonzero((margin <= radius + 1e-9) & (np.arange(len(pivots)) < home[:, None]))
-    return home, x, cell
+    apart = np.maximum(np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 0)), 1e-12)
+    homes, xs, cells = [], [], []
+    for first in range(0, len(u), STRIPE):
+        cosine = u[first : first + STRIPE] @ pivots.T
+        home = cosine.argmax(1)
+        margin = (cosine[np.arange(len(home)), home][:, None] - cosine) / apart[home]
+        x, cell = np.nonzero((margin <= radius + 1e-9) & (np.arange(len(pivots)) < home[:, None]))
+        homes.append(home)
+        xs.append(x + first)
+        cells.append(cell)
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (homes, xs, cells))
+
+
+def each_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) for j below counts[i], for every i."""
+    at = np.repeat(np.arange(len(counts)), counts)
+    return at, np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
 def linked_counts(ids: np.ndarray, v: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -81,10 +93,11 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do rows with a null
     key; their component is their key, and they are kept. Equal vectors are one vertex from the start. Vectors of
-    different lengths aren't compared. Rows that share a key are one vertex of a component. Other columns are ignored;
-    an empty table gives an empty one.
+    different lengths aren't compared. Rows that share a key are one vertex of a component. Keys that are no integers are
+    refused. Other columns are ignored; an empty table gives an empty one.
     """
     spark = vectors.sparkSession
+    need_integral(vectors, key)
     bounded_batches(spark, 4096)
     kind = "<f4" if vectors.schema[vector].dataType.elementType.simpleString() == "float" else "<f8"
 
@@ -148,20 +161,17 @@ def joined(distinct: DataFrame, kind: str, threshold: float) -> DataFrame:
             home, x, cell = cells_of(unit(v), pivots, radius)
             ids = f["id"].to_numpy()
             spread = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-            at, task = [], []
+            # a cell's own vectors meet its own blocks and the replicas' blocks; a replica meets the cell's own blocks
             nh, nc = blocks[home].T
             own = (spread % np.maximum(nh, 1).astype(np.uint64)).astype(np.int64)
-            for i in range(len(f)):
-                for j in range(nh[i] + nc[i]):
-                    at.append(i), task.append((home[i], min(own[i], j), max(own[i], j), own[i]))
-            for i, c in zip(x, cell):
-                h, r = blocks[c]
-                if h:
-                    b = h + int(spread[i]) % r
-                    for j in range(h):
-                        at.append(i), task.append((c, j, b, b))
-            out = f.iloc[at].reset_index(drop=True)
-            out[["cell", "b1", "b2", "b"]] = np.array(task, np.int32).reshape(-1, 4)
+            i, j = each_of(nh + nc)
+            tasks = [np.column_stack([home[i], np.minimum(own[i], j), np.maximum(own[i], j), own[i]])]
+            h, r = blocks[cell].T
+            b = h + (spread[x] % np.maximum(r, 1).astype(np.uint64)).astype(np.int64)
+            k, j = each_of(h)
+            tasks.append(np.column_stack([cell[k], j, b[k], b[k]]))
+            out = f.iloc[np.concatenate([i, x[k]])].reset_index(drop=True)
+            out[["cell", "b1", "b2", "b"]] = np.concatenate(tasks).astype(np.int32)
             yield out[["cell", "b1", "b2", "b", "id", "n", "v"]]
 
     def compared(f: pd.DataFrame) -> pd.DataFrame:

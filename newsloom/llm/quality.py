@@ -149,10 +149,12 @@ def held_out(key: Column) -> Column:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> Network:
-    """A network trained on at most TRAIN_ROWS labelled rows of at most TRAIN_BYTES bytes in all, whole texts each.
+    """A network trained on at most TRAIN_ROWS labelled keys and TRAIN_BYTES bytes, whole texts each.
 
-    Half of the rows at most have one label, those first by a hash of their key; the labels' shares among all rows weight
-    them. Rows of held_out(), without key, with another label than 0 and 1 or with both take no part.
+    Half of the keys at most have one label, those first by a hash of their key; the labels' shares among all rows weight
+    them. Where a key has several texts, the one with the smallest hash stands for it. Texts are taken in the order of the
+    hash until the bytes are used up; one text may have a quarter of them at most. Rows of held_out(), without key, with
+    another label than 0 and 1 or with both take no part. Without any such row the network gives 0.5 to every text.
     """
     known = labels.select(labels[key].alias("k"), labels[label].alias("y")).where("k is not null and y in (0, 1)").where(~held_out(F.col("k")))
     known = known.groupBy("k").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").drop("z")
@@ -160,26 +162,19 @@ def fitted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     prior = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
     rank = F.xxhash64("k", F.lit("train"))
     chosen = known.where("y = 0").orderBy(rank).limit(TRAIN_ROWS // 2).union(known.where("y = 1").orderBy(rank).limit(TRAIN_ROWS // 2))
-    # the sample is bounded, so it may be sent to all readers of the texts; sizes first, then as many texts as fit
+    # the sample is bounded, so it may be sent to all readers of the texts: one text a key, sizes first, then as many texts as fit
     body = docs.select(docs[key].alias("k"), text_or_empty(text).alias("t"))
-    sizes = sorted((hash_of(r["k"]), r["k"], r["n"]) for r in body.join(F.broadcast(chosen), "k").select("k", F.octet_length("t").alias("n")).limit(2 * TRAIN_ROWS).collect())
-    room, fit = TRAIN_BYTES, []
-    for _, k, n in sizes:
-        if n <= room:
-            room -= n
-            fit.append((k,))
-    if not fit:
+    one = body.join(F.broadcast(chosen), "k").groupBy("k").agg(F.min(F.struct(F.xxhash64("t").alias("h"), F.octet_length("t").alias("n"))).alias("s"), F.first("y").alias("y"))
+    rows = [r for r in one.collect() if r["s"]["n"] <= TRAIN_BYTES // 4]  # TRAIN_ROWS rows at most
+    listed = sorted((hash_of(r["k"]), r["k"], r["s"]["h"], r["s"]["n"], r["y"]) for r in rows)
+    sizes = np.cumsum([x[3] for x in listed])
+    taken = {x[1]: x for x in listed[: int(np.searchsorted(sizes, TRAIN_BYTES, "right"))]}
+    if not taken:
         return train([], np.zeros(0), prior)
-    taken = chosen.join(docs.sparkSession.createDataFrame(fit, f"k {key_type(docs, key)}").distinct(), "k", "left_semi")
-    sample = sorted({(r["k"], r["y"], r["t"]) for r in body.join(F.broadcast(taken), "k").where(F.octet_length("t") <= TRAIN_BYTES).limit(2 * TRAIN_ROWS).collect()}, key=lambda r: (hash_of(r[0]), r[0], r[2]))
-    texts, ys, size = [], [], 0
-    for _, y, t in sample:
-        raw = t.encode()
-        if size + len(raw) <= TRAIN_BYTES:
-            texts.append(raw)
-            ys.append(y)
-            size += len(raw)
-    return train(texts, np.array(ys), prior)
+    wanted = docs.sparkSession.createDataFrame([(k, h) for k, (_, _, h, _, _) in taken.items()], f"k {key_type(docs, key)}, h long")
+    found = body.withColumn("h", F.xxhash64("t")).join(F.broadcast(wanted), ["k", "h"]).groupBy("k").agg(F.min("t").alias("t")).collect()
+    sample = sorted((taken[r["k"]], r["t"]) for r in found)
+    return train([t.encode() for _, t in sample], np.array([x[4] for x, _ in sample]), prior)
 
 
 def hash_of(key) -> int:
@@ -206,9 +201,10 @@ def score_documents(docs: DataFrame, net: Network, key: str = "doc_id", text: st
 
 
 def score_rows(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
-    """docs with column score (in place of one of that name)."""
+    """docs with column score (in place of one of that name, in letters of any case), from the text alone: a null text counts
+    as empty; nulls elsewhere, repeated rows and other columns stay as they are; an empty table gives an empty one."""
     bounded_batches(docs.sparkSession)
-    columns = [c for c in docs.columns if c != "score"]
+    columns = [c for c in docs.columns if c.lower() != "score"]
 
     return docs.select(*columns).mapInArrow(with_scores(net, columns, text), StructType([*docs.select(*columns).schema.fields, StructField("score", DoubleType())]))
 

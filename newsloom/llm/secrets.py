@@ -19,7 +19,7 @@ KINDS = ("assign", "access", "hex", "github", "npm")
 ASSIGN = re.compile(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
-CHECKED = re.compile(r"(gh[pousr]|npm)_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
+CHECKED = re.compile(r"(?<![A-Za-z0-9])(gh[pousr]|npm)_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: A run of HEX_LEAST hexadecimal digits holds this many overlapping grams of four.
@@ -125,11 +125,15 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 
 def redact_rows(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the secrets of column text replaced, and n_spans (in place of a column of that name); a null text stays null."""
+    """docs with the secrets of column text replaced, and n_spans (in place of a column of that name, in letters of any case).
+
+    A null text stays null with no spans; nulls elsewhere, repeated rows and other columns stay as they are; an empty
+    table gives an empty one. Texts of any length are read whole.
+    """
     import pyarrow as pa
 
     bounded_batches(docs.sparkSession)
-    rows = docs.drop("n_spans")
+    rows = docs.select(*[docs[c] for c in docs.columns if c.lower() != "n_spans"])
     names = [*rows.columns, "n_spans"]
     at = names.index(text)
 

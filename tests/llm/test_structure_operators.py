@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from newsloom.llm import components, near_dedup, quality, sharding, vector_dedup, warc
+from newsloom.llm import components, near_dedup, quality, sharding, simhash, vector_dedup, warc
 from newsloom.llm.queries import queries
 from tests.llm.conftest import docs_of
 
@@ -76,12 +76,28 @@ def test_quality_batches_do_not_matter():
     assert np.allclose(quality.scores(net, texts), np.concatenate([quality.scores(net, [t]) for t in texts]))
 
 
+def test_quality_repeated_keys(spark):
+    """Many rows of one key give one text, whatever the order of the rows."""
+    rows = [(i % 40, f"text {'good words here' if i % 2 else '%%## junk'} {i}") for i in range(9000)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    nets = [quality.fitted(spark.createDataFrame(r, "doc_id long, text string").repartition(n), labels) for r, n in ((rows, 3), (rows[::-1], 7))]
+    assert all(np.array_equal(getattr(nets[0], x), getattr(nets[1], x)) for x in "wcvb")
+
+
+def test_keys_must_be_integers(spark):
+    df = spark.createDataFrame([("a", "one two three four five six", [1.0])], "doc_id string, text string, embedding array<double>")
+    for f in (near_dedup.near_duplicates, simhash.fingerprint_documents, lambda d: vector_dedup.near_vectors(d, "doc_id")):
+        with pytest.raises(TypeError, match="integer keys"):
+            f(df)
+
+
 def test_quality_odd(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, None), (None, 1), (5, 0), (5, 1)], "doc_id long, quality int")
     net = quality.fitted(odd, labels)
     assert quality.score_documents(odd, net).count() == odd.count() and quality.score_documents(none, net).count() == 0
     assert quality.score_rows(odd, net).count() == odd.count()
     quality.fitted(none, labels.limit(0))
+    assert [c for c in quality.score_rows(odd.withColumnRenamed("score", "SCORE"), net).columns if c.lower() == "score"] == ["score"]
 
 
 # --- sharding --------------------------------------------------------------------------------------------------------
@@ -123,7 +139,34 @@ def test_buckets():
     rng = np.random.default_rng(3)
     h, k = rng.integers(-3, 3, 500), rng.integers(-3, 3, 500)
     probes = sorted({(int(a), int(b)) for a, b in rng.integers(-3, 3, (12, 2))})
-    assert list(sharding.bucket_of(h, k, probes)) == [sum(p <= (x, y) for p in probes) for x, y in zip(h, k)]
+    assert list(sharding.bucket_of(h, k, *sharding.as_arrays(probes))) == [sum(p <= (x, y) for p in probes) for x, y in zip(h, k)]
+
+
+def test_many_splitters_in_seconds():
+    """60,000 ranges: the driver's work follows their number. Counts come from sorted keys in memory here."""
+    import time
+
+    rng = np.random.default_rng(9)
+    h = np.sort(rng.integers(-(1 << 62), 1 << 62, 600_000))
+    size = rng.integers(1, 2000, len(h))
+    total = np.append(0, np.cumsum(size))
+
+    def count(probes):
+        cut = [0, *np.searchsorted(h, sharding.as_arrays(probes)[0], "left").tolist(), len(h)]
+        return {b: (int(total[j] - total[i]), j - i, int(h[i]), int(h[j - 1]), 0, 0) for b, (i, j) in enumerate(zip(cut, cut[1:])) if j > i}
+
+    began = time.time()
+    cuts, below = sharding.refined(count, 60_000, 1, 0.1, 0.5)
+    assert time.time() - began < 60 and len(cuts) == len(below) == 59_999 and cuts == sorted(cuts)
+    at = np.searchsorted(h, sharding.as_arrays(cuts)[0], "left")
+    assert below == at.tolist() and (np.abs(total[at] - total[-1] * np.arange(1, 60_000) / 60_000) <= 2000).all()
+
+
+def test_shards_other_keys(spark):
+    df = spark.range(500).select(F.concat(F.lit("key "), F.col("id")).alias("k"), F.concat(F.lit("text "), F.col("id") % 50).alias("t")).union(spark.createDataFrame([(None, "x")], "k string, t string"))
+    rows = sharding.shard_rows(df, "k", "t").collect()
+    check_shards(rows, [r["size"] for r in rows])
+    assert len(rows) == 501
 
 
 # --- near-dedup ------------------------------------------------------------------------------------------------------

@@ -50,6 +50,7 @@ def test_checksums():
     assert secrets.spans_text(secrets.scan(good)) == "github:2:42"
     assert secrets.scan(good.replace("0123", "0124")) == []
     assert secrets.redacted(good, secrets.scan(good)) == "x [SECRET] y"
+    assert secrets.scan(good.replace("x ", "x")) == []  # part of a longer word
 
 
 def test_secret_query(spark):
@@ -232,6 +233,41 @@ def test_knapsack_by_brute_force():
 # --- fingerprints ----------------------------------------------------------------------------------------------------
 
 
+def voted(text):
+    """The fingerprint by plain integers: every occurrence class of every word votes bit by bit."""
+    import xxhash
+
+    mask, votes, total = (1 << 64) - 1, [0] * 256, 0
+    for word, times in Counter(text.lower().split()).items():
+        w = (1 if len(word) <= 3 else 2 if len(word) <= 6 else 3) * (1 + int(np.log2(times)))
+        total += w
+        for part in range(4):
+            x = xxhash.xxh3_64_intdigest(word) * (0x9E3779B97F4A7C15 * (2 * part + 1) & mask) & mask
+            x = (x ^ x >> 32) * 0xD6E8FEB86659FD93 & mask
+            x ^= x >> 32
+            for place, byte in enumerate(x.to_bytes(8, "little")):
+                for bit in range(8):
+                    votes[64 * part + 8 * place + bit] += w * (byte >> 7 - bit & 1)
+    return sum(1 << 255 - i for i, v in enumerate(votes) if 2 * v > total).to_bytes(32, "big")
+
+
+def test_simhash_votes():
+    rng = random.Random(6)
+    words = ["a", "the", "seven", "letters", "öffentlich", "x1", "Repeated", "repeated"]
+    for n in (0, 1, 2, 5, 40, 900):
+        text = " ".join(rng.choice(words) + (str(rng.randrange(300)) if n > 100 else "") for _ in range(n))
+        assert simhash.fingerprint(text) == voted(text)
+    assert simhash.fingerprint("one two two two two") != simhash.fingerprint("one one one one two")
+
+
+def test_simhash_scripts_without_blanks():
+    """Pairs of characters stand for words, so texts that differ in a few characters are alike."""
+    a = "".join(chr(0x4E00 + i * 7 % 900) for i in range(400))
+    b = a[:200] + "他" + a[201:]
+    assert simhash.terms_of("日本語 abc, x語y") == Counter(["日本", "本語", "abc,", "x", "語", "y"])
+    assert simhash.likeness(simhash.fingerprint(a), simhash.fingerprint(b)) > 0.9 > simhash.likeness(simhash.fingerprint(a), simhash.fingerprint(a[::-1]))
+
+
 def test_simhash_query(spark):
     got, docs = by_id(queries()["op10_simhash"](spark, SF)), docs_of()
     prints = {d: simhash.fingerprint(t or "") for d, t, *_ in docs}

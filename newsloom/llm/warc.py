@@ -7,14 +7,16 @@ import base64
 import gzip
 import hashlib
 import io
+import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.work import BATCH_BYTES, bounded_batches, shared_dir
+from newsloom.llm.work import BATCH_BYTES, bounded_batches, materialize, need_integral, shared_dir
 
 #: Fixed values of the two ARC versions: the fields of a URL record, in order.
 ARC_FIELDS = {
@@ -27,8 +29,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 RECORD_END = "\r\n\r\n"
 #: Payloads shorter than this are never replaced by a revisit.
 REVISIT_LEAST = 1000
-#: Records in one archive file at most.
-FILE_RECORDS = 2048
+#: Compressed bytes after which an archive file is closed: a file holds this much, or one record more.
+FILE_BYTES = 16 << 20
 #: Where the pages have no capture time of their own.
 ARC_DATE = "20240101000000"
 ID_HEADER = "X-Page-Id"
@@ -51,26 +53,48 @@ def arc_record(version: int, url: str, page_id, payload: bytes, offset: int, nam
     return f"\n{url} 0.0.0.0 {date} text/html{middle} {len(doc)}\n".encode() + doc
 
 
-def parse_arc(data: bytes) -> Iterator[dict]:
-    """Records of an ARC file; URL, IP, date, type and body. The version line in the file's first block says which fields a header line has."""
-    at = data.index(b"\n") + 1
-    length = int(data[:at].split()[-1])
-    version = int(data[at : at + length].split(b" ", 1)[0])
-    names = ARC_FIELDS[version].split()
+#: A header line: what stands before it, and any fields that end in a length.
+HEADER = re.compile(rb"(?:^|\n)([^\s][^\n]* [0-9]+)\r?\n")
+
+
+def parse_arc(data: bytes, problems: list[tuple[int, str]] | None = None) -> Iterator[dict]:
+    """Records of an ARC file; URL, IP, date, type and body. The version line in the file's first block says which fields a header line has.
+
+    A URL with blanks keeps them: the fields are counted from the end of the line. What can't be read raises ValueError; with a
+    list of problems it is noted there, as (byte, reason), and passed over up to the next line that can be a header.
+    """
+
+    def refuse(at: int, reason: str) -> None:
+        if problems is None:
+            raise ValueError(f"{reason} at byte {at}")
+        problems.append((at, reason))
+
+    try:
+        at = data.index(b"\n") + 1
+        length = int(data[:at].split()[-1])
+        names = ARC_FIELDS[int(data[at : at + length].split(b" ", 1)[0])].split()
+    except (ValueError, IndexError, KeyError):
+        return refuse(0, "no ARC version block")
     at += length
     while True:
         while data[at : at + 1] in (b"\n", b"\r"):
             at += 1
         if at >= len(data):
             return
-        end = data.index(b"\n", at)
-        values = data[at:end].decode("utf-8", "replace").rstrip("\r").split(" ")
-        if len(values) != len(names):
-            raise ValueError(f"ARC {version} header line with {len(values)} fields at byte {at}")
+        end = data.find(b"\n", at)
+        values = data[at : max(end, at)].decode("utf-8", "replace").rstrip("\r").rsplit(" ", len(names) - 1)
+        if end < 0 or len(values) != len(names) or not values[0] or not values[-1].isascii() or not values[-1].isdigit():
+            refuse(at, f"header line with {len(values)} of {len(names)} fields")
+            following = HEADER.search(data, max(end, at))
+            if end < 0 or not following:
+                return
+            at = following.start(1)
+            continue
         fields = dict(zip(names, values))
         n = int(fields["Archive-length"])
         if end + 1 + n > len(data):
-            raise ValueError(f"ARC record at byte {at} declares {n} bytes; the file ends earlier")
+            refuse(at, f"record declares {n} bytes; the file ends earlier,")
+            return
         yield fields | {"body": data[end + 1 : end + 1 + n]}
         at = end + 1 + n
 
@@ -123,30 +147,51 @@ def split_http(body: bytes) -> tuple[bytes, bytes, dict[str, str]]:
     return head, payload, {n.strip().lower(): v.strip() for n, _, v in (x.partition(":") for x in lines)}
 
 
-def arc_to_records(arcs: DataFrame) -> DataFrame:
-    """Columns page_id, uri, date, head, payload, digest (SHA-1 in hex), payload_bytes: one row per record of the ARC files in column content."""
+def arc_problems(arcs: DataFrame) -> DataFrame:
+    """at, reason: what arc_to_records() passes over in the ARC files in column content; null and empty files have one problem each."""
     bounded_batches(arcs.sparkSession, 4)
 
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found: list[tuple[int, str]] = []
+            for content in frame["content"]:
+                for _ in parse_arc(content or b"", found):
+                    pass
+            yield pd.DataFrame(found, columns=["at", "reason"])
+
+    return arcs.select("content").mapInPandas(batches, "at long, reason string")
+
+
+def warc_date(d: str) -> str:
+    return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
+
+
+def arc_to_records(arcs: DataFrame, whole: bool = True) -> DataFrame:
+    """Columns page_id, uri, date, head, payload, digest (SHA-1 in hex), payload_bytes: one row per record of the ARC files
+    in column content; only page_id, digest and payload_bytes where not whole. Malformed records are passed over
+    (see arc_problems); a record without a page's number has a null page_id."""
+    bounded_batches(arcs.sparkSession, 4)
+    columns = {"page_id": "long", "uri": "string", "date": "string", "head": "binary", "payload": "binary", "digest": "string", "payload_bytes": "long"}
+    kept = [c for c in columns if whole or c in ("page_id", "digest", "payload_bytes")]
+
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for content in frame["content"]:
                 rows = []
-                for r in parse_arc(content):
+                for r in parse_arc(content or b"", []):
                     head, payload, fields = split_http(r["body"])
-                    d = r["Archive-date"]
-                    date = f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
-                    page = int(fields[ID_HEADER.lower()]) if ID_HEADER.lower() in fields else None
-                    rows.append((page, r["URL"], date, head, payload, hashlib.sha1(payload).hexdigest(), len(payload)))
+                    number = fields.get(ID_HEADER.lower(), "")
+                    page = int(number) if re.fullmatch("-?[0-9]{1,19}", number) else None
+                    rows.append((page, r["URL"], warc_date(r["Archive-date"]), head, payload, hashlib.sha1(payload).hexdigest(), len(payload)))
                 if rows:
-                    out = pd.DataFrame(rows, columns=["page_id", "uri", "date", "head", "payload", "digest", "payload_bytes"])
-                    yield out.astype({"page_id": "Int64"})
+                    yield pd.DataFrame(rows, columns=list(columns)).astype({"page_id": "Int64"})[kept]
 
-    return arcs.select("content").mapInPandas(batches, "page_id long, uri string, date string, head binary, payload binary, digest string, payload_bytes long")
+    return arcs.select("content").mapInPandas(batches, ", ".join(f"{c} {columns[c]}" for c in kept))
 
 
 def revisits(records: DataFrame, least: int = REVISIT_LEAST, salts: int = 16) -> DataFrame:
     """page_id, refers_to: of records with equal payloads of at least `least` bytes, all refer to that with the largest page_id."""
-    narrow = records.where(F.col("payload_bytes") >= least).select("page_id", "digest", "payload_bytes")
+    narrow = records.where((F.col("payload_bytes") >= least) & F.col("page_id").isNotNull()).select("page_id", "digest", "payload_bytes")
     groups = narrow.groupBy("digest", "payload_bytes").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least")).where("least < refers_to").drop("least")
     # a digest may hold a third of all rows: its rows are dealt over the salts, its group's row is repeated for each
     groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -172,26 +217,40 @@ def warc_info(date: str) -> bytes:
     return f"{WARC_VERSION}\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <{record_id(None, f'info {date}')}>\r\nWARC-Date: {date}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block
 
 
+def member(record: bytes) -> bytes:
+    """A gzip member that holds one record, or nothing."""
+    pack = zlib.compressobj(1, zlib.DEFLATED, 31)
+    return pack.compress(record) + pack.flush()
+
+
 def write_warc(records: DataFrame, path: str) -> None:
-    """Write records (with refers_to) as .gz archives under path.
+    """Write records (with refers_to) as compressed archives under path: one gzip member a record, a warcinfo record first in each file.
 
-    The text sink with the record separator as its line separator writes the bytes of a WARC file exactly, on any file
-    system that Spark knows, with Spark's commit protocol: a lost executor leaves no half archive.
+    Spark's text sink writes one row a file, on any file system that Spark knows and with Spark's commit protocol: a lost
+    executor leaves no half archive. The sink ends a row with a separator, a zero byte here. A file ends in an empty
+    member, whose last byte is zero too, so the row leaves that byte to the sink and the file's bytes are exact.
     """
     bounded_batches(records.sparkSession)
+    end = member(b"")[:-1]
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first = True
+        parts, size = [], 0
         for frame in frames:
-            if len(frame):
-                ids = [None if pd.isna(x) else int(x) for x in frame["page_id"]]
-                to = [None if pd.isna(x) else int(x) for x in frame["refers_to"]]
-                made = [warc_record(*x) for x in zip(ids, frame["uri"], frame["date"], frame["head"], frame["payload"], frame["digest"], to)]
-                yield pd.DataFrame({"record": [warc_info(frame["date"].iloc[0]), *made] if first else made})
-                first = False
+            ids = [None if pd.isna(x) else int(x) for x in frame["page_id"]]
+            to = [None if pd.isna(x) else int(x) for x in frame["refers_to"]]
+            for row in zip(ids, frame["uri"], frame["date"], frame["head"], frame["payload"], frame["digest"], to):
+                if not parts:
+                    parts = [member(warc_info(row[2]) + RECORD_END.encode())]
+                parts.append(member(warc_record(*row) + RECORD_END.encode()))
+                size += len(parts[-1])
+                if size >= FILE_BYTES:
+                    yield pd.DataFrame({"file": [b"".join([*parts, end])]})
+                    parts, size = [], 0
+        if parts:
+            yield pd.DataFrame({"file": [b"".join([*parts, end])]})
 
-    lines = records.select("page_id", "uri", "date", "head", "payload", "digest", "refers_to").mapInPandas(batches, "record binary")
-    lines.select(F.col("record").cast("string").alias("value")).write.option("lineSep", RECORD_END).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    files = records.select("page_id", "uri", "date", "head", "payload", "digest", "refers_to").mapInPandas(batches, "file binary")
+    files.select(F.col("file").cast("string").alias("value")).write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", 1).text(path)
 
 
 def parse_warc(stream) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -215,7 +274,11 @@ def parse_warc(stream) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def read_warc(spark, path: str) -> DataFrame:
-    """page_id, uri, record_type, refers_to, payload_bytes, payload_digest (of the full payload), payload (null for revisits): one row per response or revisit."""
+    """page_id, uri, record_type, refers_to, payload_bytes, payload_digest (of the full payload), payload (null for revisits): one row per response or revisit.
+
+    Compressed and plain files are read, by one member or many; records of other types are passed over. A record that ends
+    early or differs from its digest raises ValueError: these are the operator's own archives.
+    """
     bounded_batches(spark, 1)
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -253,11 +316,14 @@ def archive_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html
     """Pages to legacy ARC, to WARC files in the shared folder, and back: the rows of read_warc().
 
     A null html counts as empty, a null url as urn:page:none; white space in a URL is percent-encoded. Records with a
-    null page_id are responses. Rows that repeat the kept page_id are responses too. Other columns are ignored; an
-    empty table gives an empty one.
+    null page_id are responses. Rows that repeat the kept page_id are responses too. Keys that are no integers are
+    refused. Other columns are ignored; an empty table gives an empty one.
     """
     spark = pages.sparkSession
-    records = arc_to_records(pages_to_arc(pages, key, url, html))
+    need_integral(pages, key)
+    arcs = pages_to_arc(pages, key, url, html)
+    # which records repeat others is told from their digests, written once; payloads are converted once more to be written
+    narrow = materialize(arc_to_records(arcs, whole=False), "digests")
     path = f"{shared_dir(spark)}/newsloom-warc-{uuid.uuid4().hex}"
-    write_warc(records.join(revisits(records), "page_id", "left"), path)
+    write_warc(arc_to_records(arcs).join(materialize(revisits(narrow), "revisits"), "page_id", "left"), path)
     return read_warc(spark, path)

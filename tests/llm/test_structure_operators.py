@@ -289,6 +289,42 @@ def test_arc_versions():
             list(warc.parse_arc(data[:-3]))
 
 
+def test_arc_malformed(spark):
+    """A URL with blanks is kept, a line that is no header is passed over with what belongs to it, a cut end is noted."""
+    for version in (1, 2):
+        record = lambda url, body: warc.arc_record(version, "http://x", 5, body, 0, "n.arc", warc.ARC_DATE).replace(b"http://x", url)  # noqa: B023, E731
+        data = warc.arc_head(version, "n.arc", warc.ARC_DATE) + record(b"http://a b  c", b"one") + b"\nnot a header\nlines\n" + record(b"http://d", b"two") + record(b"http://e", b"three")[:-2]
+        problems = []
+        got = list(warc.parse_arc(data, problems))
+        assert [r["URL"] for r in got] == ["http://a b  c", "http://d"] and [warc.split_http(r["body"])[1] for r in got] == [b"one", b"two"]
+        assert [reason.split()[0] for _, reason in problems] == ["header", "record"]
+        arcs = spark.createDataFrame([(bytearray(data),), (bytearray(b"junk"),), (None,)], "content binary")
+        assert warc.arc_to_records(arcs).count() == 2 and warc.arc_problems(arcs).count() == 4
+
+
+def test_archive_files_are_bounded(spark, tmp_path, monkeypatch):
+    """Files close by their bytes; each begins with a warcinfo record, and each record is a gzip member of its own."""
+    import glob
+    import zlib
+
+    monkeypatch.setattr(warc, "FILE_BYTES", 2000)
+    pages = spark.createDataFrame([(i, f"http://a/{i}", "".join(chr(97 + (i * j * j) % 26) for j in range(700))) for i in range(40)], "page_id long, url string, html string")
+    warc.write_warc(warc.arc_to_records(warc.pages_to_arc(pages)).withColumn("refers_to", F.lit(None).cast("long")), f"file://{tmp_path}/w")
+    files = glob.glob(f"{tmp_path}/w/part-*")
+    assert len(files) >= 6
+    records = 0
+    for path in files:
+        rest, members = open(path, "rb").read(), []
+        while rest:
+            unpack = zlib.decompressobj(31)
+            members.append(unpack.decompress(rest))
+            assert unpack.eof
+            rest = unpack.unused_data
+        assert members[-1] == b"" and b"WARC-Type: warcinfo" in members[0] and all(m.startswith(b"WARC/1.1") and m.count(b"WARC-Type: ") == 1 for m in members[:-1])
+        records += len(members) - 2
+    assert records == 40
+
+
 def test_record_ids():
     for n in (0, 1, -1, 2**63 - 1, -(2**63), 12345678901234):
         assert warc.page_of(warc.record_id(n)) == n and uuid.UUID(warc.record_id(n)[9:]).version == 8
@@ -305,7 +341,7 @@ def test_archives_are_warc(spark, tmp_path):
     records = warc.arc_to_records(warc.pages_to_arc(pages))
     warc.write_warc(records.join(warc.revisits(records), "page_id", "left"), f"file://{tmp_path}/w")
     kinds = defaultdict(int)
-    for path in glob.glob(f"{tmp_path}/w/*.gz"):
+    for path in glob.glob(f"{tmp_path}/w/part-*"):
         for fields, block in warc.parse_warc(io.BytesIO(gzip.open(path).read())):
             kinds[fields["warc-type"]] += 1
             assert int(fields["content-length"]) == len(block)

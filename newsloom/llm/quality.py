@@ -16,16 +16,16 @@ from newsloom.llm.work import bounded_batches, key_type, text_or_empty
 from newsloom.session import spread
 
 #: Filters, bytes under one filter, stride; bytes of a chunk and how far the next one starts.
-FILTERS, KERNEL, STRIDE = 16, 6, 2
+FILTERS, KERNEL, STRIDE = 16, 6, 1
 CHUNK, STEP = 256, 224
 #: Training rows and their bytes at most (rows by hash of their key, as many of each label), epochs, batch, rate, decay.
-TRAIN_ROWS, TRAIN_BYTES = 3000, 12 << 20
-EPOCHS, BATCH, RATE, DECAY = 12, 32, 0.02, 1e-4
+TRAIN_ROWS, TRAIN_BYTES = 2000, 8 << 20
+EPOCHS, BATCH, RATE, DECAY = 8, 32, 0.02, 1e-4
 #: Small samples are gone through more often, for this many steps at least and this many epochs at most.
 STEPS_LEAST, EPOCHS_MOST = 600, 60
 ACCEPT = 0.7
 #: Chunks in one numpy call.
-CHUNKS_AT_ONCE = 1024
+CHUNKS_AT_ONCE = 512
 OFFSETS = np.arange(0, CHUNK - KERNEL + 1, STRIDE)
 
 

@@ -46,8 +46,8 @@ def test_quality_held_out(spark):
     assert auc > 0.97 and ((got.score >= 0.7) == (got.quality == 1)).mean() > 0.9 and (got.predicted == (got.score >= 0.7)).all()
 
 
-def test_quality_gradient():
-    """The trained network's loss falls, and the compiled tables give what the filters give."""
+def test_quality_learns():
+    """The network learns to tell texts apart, and the tables of byte pairs give what the filters give."""
     rng = np.random.default_rng(0)
     texts = [bytes(rng.integers(97, 123, rng.integers(1, 700), dtype=np.uint8)) for _ in range(60)]
     y = np.array([i % 2 for i in range(60)])
@@ -70,6 +70,15 @@ def test_quality_looks_everywhere():
     assert set(range(5000)) <= covered
 
 
+def test_quality_shifted_texts():
+    """Filters look at every byte: a pattern counts the same wherever it stands in a chunk."""
+    net = quality.Network.fresh()
+    net.w[:] = 0
+    net.w[np.arange(quality.KERNEL), np.frombuffer(b"needle", np.uint8)] = 1
+    texts = [b"-" * i + b"needle" + b"-" * (60 - i) for i in range(60)]
+    assert np.ptp(quality.scores(net, texts)) < 1e-6 < abs(quality.scores(net, texts)[0] - quality.scores(net, [b"-" * 66])[0])
+
+
 def test_quality_batches_do_not_matter():
     net = quality.Network.fresh()
     texts = [b"abc" * i for i in range(200)]

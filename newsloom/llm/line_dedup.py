@@ -11,7 +11,8 @@ from newsloom.llm.work import free_name, materialize
 
 #: The rolling hash spans WINDOW lines: a polynomial in BASE, modulo MODULUS. Lines beside a repeated chunk that are compared, on each side.
 WINDOW, BASE, MODULUS, BESIDE = 2, 31, 1 << 32, 4
-SALTS = 16
+#: Salts of the chunks' hashes, and occurrences of one chunk that are compared with its first one in one place.
+SALTS, HOT_ROWS = 16, 256
 
 
 def line_hash(line: Column) -> Column:
@@ -74,8 +75,12 @@ def chunked(rows: DataFrame) -> DataFrame:
     return found.select("id", "h", "chunk", body.alias("body")).where(F.col("body").rlike(r"\S")).select("id", "h", "chunk", F.xxhash64("body").alias("bh"))
 
 
-def salted(df: DataFrame) -> DataFrame:
-    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+def salted(df: DataFrame, salts: Column) -> DataFrame:
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+
+
+def salt_of(salts: Column) -> Column:
+    return F.coalesce(F.pmod(F.xxhash64("id", "h"), salts).cast("int"), F.lit(0))
 
 
 def equal_run(a: Column, b: Column) -> Column:
@@ -93,20 +98,21 @@ def removals(rows: DataFrame, key: str, text: str, h: str) -> DataFrame:
     place = F.struct("id", "h", "chunk")
     own = [rows[key].alias("id"), rows[h].alias("h"), lines_of(rows[text]).alias("lines")]
     found = materialize(chunked(rows.select(*own)), "chunks")
-    # a chunk may be in a third of all documents: occurrences are dealt over the salts, the other side is repeated for each
-    salt = F.coalesce(F.pmod(F.xxhash64("id", "h"), F.lit(SALTS)).cast("int"), F.lit(0))
-    groups = found.groupBy("bh").agg(F.min(place).alias("first"), F.max(place).alias("final")).where(~F.col("first").eqNullSafe(F.col("final"))).drop("final")
-    later = found.withColumn("salt", salt).join(salted(groups), ["bh", "salt"]).where(~place.eqNullSafe(F.col("first"))).select("id", "h", "chunk", "bh", F.lit(False).alias("head"))
-    heads = groups.select("first.*", "bh", F.lit(True).alias("head"))
-    wanted = later.union(heads).groupBy(F.col("id").alias("wid"), F.col("h").alias("wh")).agg(F.collect_set(F.struct("chunk", "bh", "head")).alias("wanted"))
+    # a chunk may be in a third of all documents: occurrences are dealt over salts, the other side is repeated for each; where that
+    # side holds texts, there are as many salts as the occurrences of its chunk ask for
+    groups = found.groupBy("bh").agg(F.min(place).alias("first"), F.max(place).alias("final"), F.ceil(F.count(F.lit(1)) / F.lit(HOT_ROWS)).cast("int").alias("salts"))
+    groups = groups.where(~F.col("first").eqNullSafe(F.col("final"))).drop("final")
+    later = found.withColumn("salt", salt_of(F.lit(SALTS))).join(salted(groups, F.lit(SALTS)), ["bh", "salt"]).where(~place.eqNullSafe(F.col("first"))).select("id", "h", "chunk", "bh", F.lit(False).alias("head"), "salts")
+    heads = groups.select("first.*", "bh", F.lit(True).alias("head"), "salts")
+    wanted = later.union(heads).groupBy(F.col("id").alias("wid"), F.col("h").alias("wh")).agg(F.collect_set(F.struct("chunk", "bh", "head", "salts")).alias("wanted"))
     wanted = materialize(wanted, "chunks")
     # the texts move by (h, key) here as in the last join: nothing is renamed or filtered below, so that Spark moves them once
     texts = rows.join(wanted, (rows[h] == wanted["wh"]) & rows[key].eqNullSafe(wanted["wid"])).select(*own, F.explode(wanted["wanted"]).alias("w")).select("id", "h", "lines", "w.*")
     first, count = first_line(F.col("chunk")), line_count(F.col("chunk"))
     start = F.greatest(first - BESIDE, F.lit(0))
-    texts = texts.select("id", "h", "chunk", "bh", "head", lines_at(first, count).alias("body"), F.reverse(lines_at(start, first - start)).alias("before"), lines_at(first + count, F.lit(BESIDE)).alias("after"))
-    kept = texts.where("head").groupBy("bh").agg(F.min(F.struct("body", "before", "after")).alias("kept"))
-    again = texts.where("not head").withColumn("salt", salt).join(salted(kept), ["bh", "salt"]).where(F.col("body") == F.col("kept.body"))
+    texts = texts.select("id", "h", "chunk", "bh", "head", "salts", lines_at(first, count).alias("body"), F.reverse(lines_at(start, first - start)).alias("before"), lines_at(first + count, F.lit(BESIDE)).alias("after"))
+    kept = texts.where("head").groupBy("bh").agg(F.min(F.struct("body", "before", "after")).alias("kept"), F.max("salts").alias("salts"))
+    again = texts.where("not head").withColumn("salt", salt_of(F.col("salts"))).drop("salts").join(salted(kept, F.col("salts")), ["bh", "salt"]).where(F.col("body") == F.col("kept.body"))
     up, down = equal_run(F.col("before"), F.col("kept.before")), equal_run(F.col("after"), F.col("kept.after"))
     return again.select("id", "h", packed(first - up, count + up + down).alias("range")).groupBy("id", "h").agg(F.collect_set("range").alias("removed"))
 

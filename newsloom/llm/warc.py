@@ -149,7 +149,7 @@ def split_http(body: bytes) -> tuple[bytes, bytes, dict[str, str]]:
 
 def arc_problems(arcs: DataFrame) -> DataFrame:
     """at, reason: what arc_to_records() passes over in the ARC files in column content; null and empty files have one problem each."""
-    bounded_batches(arcs.sparkSession, 4)
+    bounded_batches(arcs.sparkSession)
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -170,7 +170,7 @@ def arc_to_records(arcs: DataFrame, whole: bool = True) -> DataFrame:
     """Columns page_id, uri, date, head, payload, digest (SHA-1 in hex), payload_bytes: one row per record of the ARC files
     in column content; only page_id, digest and payload_bytes where not whole. Malformed records are passed over
     (see arc_problems); a record without a page's number has a null page_id."""
-    bounded_batches(arcs.sparkSession, 4)
+    bounded_batches(arcs.sparkSession)
     columns = {"page_id": "long", "uri": "string", "date": "string", "head": "binary", "payload": "binary", "digest": "string", "payload_bytes": "long"}
     kept = [c for c in columns if whole or c in ("page_id", "digest", "payload_bytes")]
 

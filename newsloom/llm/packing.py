@@ -28,7 +28,7 @@ RATE, FIRST_WORTH = 0.3, 1.05
 #: A round prices the PRICED lengths that are covered least. With TAIL sequences left, several values of the first worth are tried.
 PRICED, TAIL, TAIL_WORTHS = 192, 64, (1.05, 1.2, 1.5, 2.0, 1.0)
 #: Rows of one length are ranked in buckets of about this many rows, or as many more as keep the buckets of all lengths below BUCKETS_MOST.
-RANK_ROWS, BUCKETS_MOST = 512, 65536
+RANK_ROWS, BUCKETS_MOST = 128, 65536
 #: Kept stretches, and how many new ones the tokenizer gets in one call.
 WORDS_KEPT, WORDS_AT_ONCE = 150_000, 500
 #: Longer ones aren't kept.

@@ -99,27 +99,36 @@ def parse_arc(data: bytes, problems: list[tuple[int, str]] | None = None) -> Ite
         at = end + 1 + n
 
 
-def pages_to_arc(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Legacy archives, one file's bytes a row (column content); versions 1 and 2 in turn. A file holds some MB at most, or one page."""
+def arc_files(frames: Iterator[pd.DataFrame]) -> Iterator[bytes]:
+    """ARC files of pages (k, u, h); versions 1 and 2 in turn. A file holds some MB at most, or one page."""
+    number = 0
+    for frame in frames:
+        parts, size = [], 0
+        for i, (k, u, h) in enumerate(zip(frame["k"], frame["u"], frame["h"])):
+            if not parts:
+                number += 1
+                version, name = 1 + number % 2, f"newsloom-{number}.arc"
+                parts, size = [arc_head(version, name, ARC_DATE)], 0
+            parts.append(arc_record(version, u, k, (h or "").encode(), size, name, ARC_DATE))
+            size += len(parts[-1])
+            if size >= BATCH_BYTES or i == len(frame) - 1:
+                yield b"".join(parts)
+                parts = []
+
+
+def page_rows(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
     bounded_batches(pages.sparkSession)
+    return pages.select(pages[key].cast("string").alias("k"), pages[url].alias("u"), pages[html].alias("h"))
+
+
+def pages_to_arc(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """Legacy archives, one file's bytes a row (column content)."""
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number = 0
-        for frame in frames:
-            files, parts, size = [], [], 0
-            for i, (k, u, h) in enumerate(zip(frame["k"], frame["u"], frame["h"])):
-                if not parts:
-                    number += 1
-                    version, name = 1 + number % 2, f"newsloom-{number}.arc"
-                    parts, size = [arc_head(version, name, ARC_DATE)], 0
-                parts.append(arc_record(version, u, k, (h or "").encode(), size, name, ARC_DATE))
-                size += len(parts[-1])
-                if size >= BATCH_BYTES or i == len(frame) - 1:
-                    files.append(b"".join(parts))
-                    parts = []
-            yield pd.DataFrame({"content": files})
+        for content in arc_files(frames):
+            yield pd.DataFrame({"content": [content]})
 
-    return pages.select(pages[key].cast("string").alias("k"), pages[url].alias("u"), pages[html].alias("h")).mapInPandas(batches, "content binary")
+    return page_rows(pages, key, url, html).mapInPandas(batches, "content binary")
 
 
 # --- ARC records as WARC ------------------------------------------------------------------------------------------
@@ -166,27 +175,46 @@ def warc_date(d: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-def arc_to_records(arcs: DataFrame, whole: bool = True) -> DataFrame:
-    """Columns page_id, uri, date, head, payload, digest (SHA-1 in hex), payload_bytes: one row per record of the ARC files
-    in column content; only page_id, digest and payload_bytes where not whole. Malformed records are passed over
-    (see arc_problems); a record without a page's number has a null page_id."""
+#: Columns of a record: its page, its place, its HTTP head and body, the body's SHA-1 in hex.
+RECORD = {"page_id": "long", "uri": "string", "date": "string", "head": "binary", "payload": "binary", "digest": "string", "payload_bytes": "long"}
+NARROW = ("page_id", "digest", "payload_bytes")
+
+
+def record_frames(contents: Iterator[bytes | None], kept: tuple[str, ...]) -> Iterator[pd.DataFrame]:
+    """The kept columns of the records of ARC files, a frame a file."""
+    for content in contents:
+        rows = []
+        for r in parse_arc(content or b"", []):
+            head, payload, fields = split_http(r["body"])
+            number = fields.get(ID_HEADER.lower(), "")
+            page = int(number) if re.fullmatch("-?[0-9]{1,19}", number) else None
+            rows.append((page, r["URL"], warc_date(r["Archive-date"]), head, payload, hashlib.sha1(payload).hexdigest(), len(payload)))
+        if rows:
+            yield pd.DataFrame(rows, columns=list(RECORD)).astype({"page_id": "Int64"})[list(kept)]
+
+
+def schema_of(kept: tuple[str, ...]) -> str:
+    return ", ".join(f"{c} {RECORD[c]}" for c in kept)
+
+
+def arc_to_records(arcs: DataFrame, kept: tuple[str, ...] = tuple(RECORD)) -> DataFrame:
+    """One row per record of the ARC files in column content, with the kept columns of RECORD. Malformed records are passed
+    over (see arc_problems); a record without a page's number has a null page_id."""
     bounded_batches(arcs.sparkSession)
-    columns = {"page_id": "long", "uri": "string", "date": "string", "head": "binary", "payload": "binary", "digest": "string", "payload_bytes": "long"}
-    kept = [c for c in columns if whole or c in ("page_id", "digest", "payload_bytes")]
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for content in frame["content"]:
-                rows = []
-                for r in parse_arc(content or b"", []):
-                    head, payload, fields = split_http(r["body"])
-                    number = fields.get(ID_HEADER.lower(), "")
-                    page = int(number) if re.fullmatch("-?[0-9]{1,19}", number) else None
-                    rows.append((page, r["URL"], warc_date(r["Archive-date"]), head, payload, hashlib.sha1(payload).hexdigest(), len(payload)))
-                if rows:
-                    yield pd.DataFrame(rows, columns=list(columns)).astype({"page_id": "Int64"})[kept]
+        return record_frames((c for f in frames for c in f["content"]), kept)
+
+    return arcs.select("content").mapInPandas(batches, schema_of(kept))
+
+
+def pages_to_records(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", kept: tuple[str, ...] = tuple(RECORD)) -> DataFrame:
+    """arc_to_records() of pages_to_arc(), in one Python worker instead of two."""
+
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return record_frames(arc_files(frames), kept)
 
-    return arcs.select("content").mapInPandas(batches, ", ".join(f"{c} {columns[c]}" for c in kept))
+    return page_rows(pages, key, url, html).mapInPandas(batches, schema_of(kept))
 
 
 def revisits(records: DataFrame, least: int = REVISIT_LEAST, salts: int = 16) -> DataFrame:
@@ -321,9 +349,8 @@ def archive_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html
     """
     spark = pages.sparkSession
     need_integral(pages, key)
-    arcs = pages_to_arc(pages, key, url, html)
     # which records repeat others is told from their digests, written once; payloads are converted once more to be written
-    narrow = materialize(arc_to_records(arcs, whole=False), "digests")
+    narrow = materialize(pages_to_records(pages, key, url, html, NARROW), "digests")
     path = f"{shared_dir(spark)}/newsloom-warc-{uuid.uuid4().hex}"
-    write_warc(arc_to_records(arcs).join(materialize(revisits(narrow), "revisits"), "page_id", "left"), path)
+    write_warc(pages_to_records(pages, key, url, html).join(materialize(revisits(narrow), "revisits"), "page_id", "left"), path)
     return read_warc(spark, path)

@@ -285,6 +285,8 @@ def test_archive_odd(spark):
     got = sorted((str(r["page_id"]), r["record_type"], r["refers_to"], r["payload_bytes"]) for r in out.collect())
     assert got == sorted([("1", "revisit", 2, 1500), ("2", "response", None, 1500), ("2", "response", None, 1500), ("3", "response", None, 0), ("4", "response", None, 0), ("None", "response", None, 1500), ("-5", "response", None, 5), ("7", "response", None, 5), ("8", "response", None, 3600)])
     assert warc.archive_pages(df.limit(0)).count() == 0
+    two, one = warc.arc_to_records(warc.pages_to_arc(df)), warc.pages_to_records(df)
+    assert sorted(map(str, two.collect())) == sorted(map(str, one.collect())) and one.count() == len(rows)
     assert {r["uri"] for r in out.collect()} == {"http://a/b%20c", "urn:page:none", "u", "http://a/é"}
 
 

@@ -11,7 +11,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from newsloom.llm.work import bounded_batches, key_type, text_or_empty
+from newsloom.llm.work import bounded_batches, key_type, released, text_or_empty
 from newsloom.session import spread
 
 #: Encoded pre-tokens a Python worker keeps, in two generations: beyond, the older one is forgotten and encoded again when met.
@@ -201,4 +201,4 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, key: str = "doc_i
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"]).assign(k=frame["k"])[["k", "n_tokens", "ids_sha256", "decoded_sha256"]]
 
     rows = spread(docs.select(docs[key].alias("k"), text_or_empty(text).alias("t")))
-    return rows.mapInPandas(batches, f"k {key_type(docs, key)}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("k", key)
+    return rows.mapInPandas(released(batches), f"k {key_type(docs, key)}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("k", key)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.blocks import block_pairs
 from newsloom.llm.components import components
-from newsloom.llm.work import bounded_batches, key_type, materialize, need_integral, text_or_empty
+from newsloom.llm.work import bounded_batches, key_type, materialize, need_integral, released, text_or_empty
 from newsloom.session import spread
 
 SHINGLE = 5
@@ -112,7 +112,7 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["n_shingles", "s1", "s2", "sig"]).assign(id=f["id"])[["id", "n_shingles", "s1", "s2", "sig"]]
 
     rows = spread(docs.select(docs[key].alias("id"), text_or_empty(text).alias("t")))
-    return rows.mapInPandas(batches, f"id {key_type(docs, key)}, n_shingles long, s1 long, s2 long, sig binary")
+    return rows.mapInPandas(released(batches), f"id {key_type(docs, key)}, n_shingles long, s1 long, s2 long, sig binary")
 
 
 def tree_nodes(sets: DataFrame) -> DataFrame:
@@ -129,7 +129,7 @@ def tree_nodes(sets: DataFrame) -> DataFrame:
                     node, member = branch(node, member, sig)
                 yield pd.DataFrame({"node": node.view(np.int64), "id": ids[member]})
 
-    return sets.select("id", "sig").mapInPandas(batches, "node long, id long")
+    return sets.select("id", "sig").mapInPandas(released(batches), "node long, id long")
 
 
 def deeper(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -139,7 +139,7 @@ def deeper(members: DataFrame, sets: DataFrame) -> DataFrame:
             node, member = branch(f["node"].to_numpy().view(np.uint64), np.arange(len(f)), sig)
             yield pd.DataFrame({"node": node.view(np.int64), "id": f["id"].to_numpy()[member]})
 
-    return members.join(sets, "id").select("node", "id", "sig").mapInPandas(batches, "node long, id long")
+    return members.join(sets, "id").select("node", "id", "sig").mapInPandas(released(batches), "node long, id long")
 
 
 def small_nodes(sets: DataFrame) -> DataFrame:
@@ -201,7 +201,7 @@ def by_group(rows: DataFrame, keys: list[str], work, schema: str) -> DataFrame:
         if parts:
             yield framed([work(pd.concat(parts, ignore_index=True))])
 
-    return rows.repartition(partitions, *keys).sortWithinPartitions(*keys).mapInPandas(batches, schema)
+    return rows.repartition(partitions, *keys).sortWithinPartitions(*keys).mapInPandas(released(batches), schema)
 
 
 def candidates(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -283,7 +283,7 @@ def full_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFr
         for f in frames:
             yield pd.DataFrame({"id": f["id"], "s": [shingles(t).tobytes() for t in f["t"]]})
 
-    return rows.join(side, "id", "left_semi").mapInPandas(batches, "id long, s binary")
+    return rows.join(side, "id", "left_semi").mapInPandas(released(batches), "id long, s binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -314,7 +314,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     out.append((x, int(y)))
             yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    return rows.mapInPandas(batches, "a long, b long")
+    return rows.mapInPandas(released(batches), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", salts: int = 16) -> DataFrame:
@@ -337,7 +337,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sa
             sig = np.frombuffer(b"".join(f["sig"]), np.uint16).reshape(-1, TOKENS)
             yield f.assign(sig4=[x.tobytes() for x in nibbles(sig)])
 
-    sets = materialize(sets.mapInPandas(shortened, "s1 long, s2 long, id long, sig binary, sig4 binary"), "sets")
+    sets = materialize(sets.mapInPandas(released(shortened), "s1 long, s2 long, id long, sig binary, sig4 binary"), "sets")
     pairs = materialize(candidates(small_nodes(sets), sets), "pairs")
     # whoever has a likely partner is in a hub's or a forest's pair: from here on, only their sets count
     wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")

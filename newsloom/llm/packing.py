@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.work import bounded_batches, key_type, materialize, text_or_empty
+from newsloom.llm.work import bounded_batches, key_type, materialize, released, text_or_empty
 from newsloom.session import spread
 
 CAPACITY = 2048
@@ -186,7 +186,7 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, key: str = "
             yield pd.DataFrame(rows, columns=["k", "piece", "start", "length", "ids_crc32"])
 
     rows = spread(docs.select(docs[key].alias("k"), text_or_empty(text).alias("t")))
-    return rows.mapInPandas(batches, f"k {key_type(docs, key)}, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInPandas(released(batches), f"k {key_type(docs, key)}, piece int, start long, length long, ids_crc32 long")
 
 
 # --- the linear program -------------------------------------------------------------------------------------------
@@ -351,7 +351,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield f.drop(columns=["bucket", "r"]).assign(sequence_id=base[at] + rank % times[at], offset=place[at] + rank // times[at] * length)
 
     schema = ", ".join(f"{c} {t}" for c, t in pieces.dtypes)
-    return ranked.mapInPandas(placed, f"{schema}, sequence_id long, offset long")
+    return ranked.mapInPandas(released(placed), f"{schema}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:

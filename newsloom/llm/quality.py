@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from newsloom.llm.work import bounded_batches, key_type, text_or_empty
+from newsloom.llm.work import bounded_batches, key_type, released, text_or_empty
 from newsloom.session import spread
 
 #: Filters, bytes under one filter, stride; bytes of a chunk and how far the next one starts.
@@ -196,7 +196,7 @@ def score_documents(docs: DataFrame, net: Network, key: str = "doc_id", text: st
         for f in frames:
             yield pd.DataFrame({"k": f["k"], "score": scores(net, [t.encode() for t in f["t"]], tables)})
 
-    rows = spread(docs.select(docs[key].alias("k"), text_or_empty(text).alias("t"))).mapInPandas(batches, f"k {key_type(docs, key)}, score double")
+    rows = spread(docs.select(docs[key].alias("k"), text_or_empty(text).alias("t"))).mapInPandas(released(batches), f"k {key_type(docs, key)}, score double")
     return rows.select(F.col("k").alias(key), F.coalesce(held_out(F.col("k")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
 
 
@@ -206,7 +206,7 @@ def score_rows(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
     bounded_batches(docs.sparkSession)
     columns = [c for c in docs.columns if c.lower() != "score"]
 
-    return docs.select(*columns).mapInArrow(with_scores(net, columns, text), StructType([*docs.select(*columns).schema.fields, StructField("score", DoubleType())]))
+    return docs.select(*columns).mapInArrow(released(with_scores(net, columns, text)), StructType([*docs.select(*columns).schema.fields, StructField("score", DoubleType())]))
 
 
 def with_scores(net: Network, columns: list[str], text: str):

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from newsloom.llm.work import bounded_batches, key_type, text_or_empty
+from newsloom.llm.work import bounded_batches, key_type, released, text_or_empty
 
 #: Kinds, in the order that decides between spans with one start.
 KINDS = ("assign", "access", "hex", "github", "npm")
@@ -121,7 +121,7 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             yield pd.DataFrame({"k": frame["k"], "spans": [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in x] for x in found], "redacted": [redacted(t, x) for t, x in zip(frame["t"], found)]})
 
     rows = docs.select(docs[key].alias("k"), text_or_empty(text).alias("t"))
-    return rows.mapInPandas(batches, f"k {key_type(docs, key)}, spans array<struct<kind:string,start:long,end:long>>, redacted string").withColumnRenamed("k", key)
+    return rows.mapInPandas(released(batches), f"k {key_type(docs, key)}, spans array<struct<kind:string,start:long,end:long>>, redacted string").withColumnRenamed("k", key)
 
 
 def redact_rows(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -145,4 +145,4 @@ def redact_rows(docs: DataFrame, text: str = "text") -> DataFrame:
             columns = [new if i == at else c for i, c in enumerate(part.columns)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(list(map(len, found)), pa.int32())], names=names)
 
-    return rows.mapInArrow(batches, StructType([*rows.schema.fields, StructField("n_spans", IntegerType())]))
+    return rows.mapInArrow(released(batches), StructType([*rows.schema.fields, StructField("n_spans", IntegerType())]))

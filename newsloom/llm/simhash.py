@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.blocks import block_pairs
 from newsloom.llm.sharding import LOW, RANGES_MOST, as_arrays, bucket_of, splitters
-from newsloom.llm.work import bounded_batches, key_type, materialize, need_integral, text_or_empty
+from newsloom.llm.work import bounded_batches, key_type, materialize, need_integral, released, text_or_empty
 
 BITS = 256
 WORDS64 = BITS // 64
@@ -106,7 +106,7 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
             f = f.assign(p=bucket_of(f["h"].to_numpy(), f["k"].to_numpy(), *shared.value)).sort_values(["p", "h", "k"])
             yield f.groupby("p", as_index=False).first()[["p", "h", "k"]]
 
-    least = narrow.select("h", "k").mapInPandas(firsts_of, "p long, h long, k long").groupBy("p").agg(F.min(F.struct("h", "k")).alias("m"))
+    least = narrow.select("h", "k").mapInPandas(released(firsts_of), "p long, h long, k long").groupBy("p").agg(F.min(F.struct("h", "k")).alias("m"))
     firsts = sorted((r["p"], r["m"]["h"], r["m"]["k"]) for r in least.collect())  # one row per range, RANGES_MOST at most
     before = spark.sparkContext.broadcast({(h, k): firsts[i - 1][0] for i, (_, h, k) in enumerate(firsts)})  # the first one's is the last range
     bounded_batches(spark)
@@ -121,7 +121,7 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
             tails = f.iloc[[i for i, _ in also]].assign(p=np.array([q for _, q in also], np.int32), tail=1)
             yield pd.concat([f, tails])[["p", "tail", "h", "k", "id", "z"]]
 
-    moved = docs.select(*order, docs[key].alias("id"), body.alias("t")).mapInPandas(dealt, f"p int, tail int, h long, k long, id {kind}, z binary")
+    moved = docs.select(*order, docs[key].alias("id"), body.alias("t")).mapInPandas(released(dealt), f"p int, tail int, h long, k long, id {kind}, z binary")
     moved = moved.repartition(parts, "p").sortWithinPartitions("p", "tail", "h", "k")
 
     def paired(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -138,7 +138,7 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
                 last = None if tail else (p, i, text, print_)
             yield pd.DataFrame(rows, columns=["id", "n_chars", "edited_sha256", "fp", "edited_fp", "next_fp"])
 
-    return moved.mapInPandas(paired, f"id {kind}, n_chars long, edited_sha256 string, fp binary, edited_fp binary, next_fp binary")
+    return moved.mapInPandas(released(paired), f"id {kind}, n_chars long, edited_sha256 string, fp binary, edited_fp binary, next_fp binary")
 
 
 def near_counts(prints: DataFrame, salts: int = 16) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.components import components
-from newsloom.llm.work import bounded_batches, materialize, need_integral
+from newsloom.llm.work import bounded_batches, materialize, need_integral, released
 
 THRESHOLD = 0.95
 #: Vectors per pivot aimed at, pivots at most (all of them reach the driver), and rows of a block: a vector goes to as many
@@ -110,7 +110,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
                 out.append(v.tobytes() if good else None)
             yield pd.DataFrame({"id": f["id"].astype("Int64"), "v": out})
 
-    rows = materialize(vectors.select(vectors[key].cast("long").alias("id"), vectors[vector].alias("v")).mapInPandas(packed, "id long, v binary"), "vectors")
+    rows = materialize(vectors.select(vectors[key].cast("long").alias("id"), vectors[vector].alias("v")).mapInPandas(released(packed), "id long, v binary"), "vectors")
     good = rows.where("v is not null")
     distinct = materialize(good.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "distinct")
     results = None
@@ -150,7 +150,7 @@ def joined(distinct: DataFrame, kind: str, threshold: float) -> DataFrame:
             cells = range(len(pivots))
             yield pd.DataFrame({"cell": cells, "home": np.bincount(home, minlength=len(pivots)), "copies": np.bincount(cell, minlength=len(pivots))})
 
-    sizes = distinct.select("v").mapInPandas(counted, "cell int, home long, copies long").groupBy("cell").agg(F.sum("home"), F.sum("copies")).collect()
+    sizes = distinct.select("v").mapInPandas(released(counted), "cell int, home long, copies long").groupBy("cell").agg(F.sum("home"), F.sum("copies")).collect()
     blocks = np.zeros((len(pivots), 2), np.int64)
     for cell, home, copies in sizes:
         blocks[cell] = -(-home // BLOCK), -(-copies // BLOCK)
@@ -184,5 +184,5 @@ def joined(distinct: DataFrame, kind: str, threshold: float) -> DataFrame:
         at = np.flatnonzero(found)
         return pd.DataFrame({"id": ids[at], "links": found[at], "root": ids[label[at]]})
 
-    tasks = distinct.select("id", "n", "v").mapInPandas(dealt, "cell int, b1 int, b2 int, b int, id long, n long, v binary")
+    tasks = distinct.select("id", "n", "v").mapInPandas(released(dealt), "cell int, b1 int, b2 int, b int, id long, n long, v binary")
     return tasks.groupBy("cell", "b1", "b2").applyInPandas(compared, "id long, links long, root long")

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.work import BATCH_BYTES, bounded_batches, materialize, need_integral, shared_dir
+from newsloom.llm.work import BATCH_BYTES, bounded_batches, materialize, need_integral, released, shared_dir
 
 #: Fixed values of the two ARC versions: the fields of a URL record, in order.
 ARC_FIELDS = {
@@ -128,7 +128,7 @@ def pages_to_arc(pages: DataFrame, key: str = "page_id", url: str = "url", html:
         for content in arc_files(frames):
             yield pd.DataFrame({"content": [content]})
 
-    return page_rows(pages, key, url, html).mapInPandas(batches, "content binary")
+    return page_rows(pages, key, url, html).mapInPandas(released(batches), "content binary")
 
 
 # --- ARC records as WARC ------------------------------------------------------------------------------------------
@@ -168,7 +168,7 @@ def arc_problems(arcs: DataFrame) -> DataFrame:
                     pass
             yield pd.DataFrame(found, columns=["at", "reason"])
 
-    return arcs.select("content").mapInPandas(batches, "at long, reason string")
+    return arcs.select("content").mapInPandas(released(batches), "at long, reason string")
 
 
 def warc_date(d: str) -> str:
@@ -205,7 +205,7 @@ def arc_to_records(arcs: DataFrame, kept: tuple[str, ...] = tuple(RECORD)) -> Da
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return record_frames((c for f in frames for c in f["content"]), kept)
 
-    return arcs.select("content").mapInPandas(batches, schema_of(kept))
+    return arcs.select("content").mapInPandas(released(batches), schema_of(kept))
 
 
 def pages_to_records(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", kept: tuple[str, ...] = tuple(RECORD)) -> DataFrame:
@@ -214,7 +214,7 @@ def pages_to_records(pages: DataFrame, key: str = "page_id", url: str = "url", h
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return record_frames(arc_files(frames), kept)
 
-    return page_rows(pages, key, url, html).mapInPandas(batches, schema_of(kept))
+    return page_rows(pages, key, url, html).mapInPandas(released(batches), schema_of(kept))
 
 
 def revisits(records: DataFrame, least: int = REVISIT_LEAST, salts: int = 16) -> DataFrame:
@@ -277,7 +277,7 @@ def write_warc(records: DataFrame, path: str) -> None:
         if parts:
             yield pd.DataFrame({"file": [b"".join([*parts, end])]})
 
-    files = records.select("page_id", "uri", "date", "head", "payload", "digest", "refers_to").mapInPandas(batches, "file binary")
+    files = records.select("page_id", "uri", "date", "head", "payload", "digest", "refers_to").mapInPandas(released(batches), "file binary")
     files.select(F.col("file").cast("string").alias("value")).write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", 1).text(path)
 
 
@@ -337,7 +337,7 @@ def read_warc(spark, path: str) -> DataFrame:
         return pd.DataFrame(rows, columns=["page_id", "uri", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]).astype({"page_id": "Int64", "refers_to": "Int64"})
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInPandas(batches, "page_id long, uri string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
+    return files.mapInPandas(released(batches), "page_id long, uri string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
 
 
 def archive_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

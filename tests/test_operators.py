@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +90,34 @@ def test_matching():
     assert match.locate([], text) == [] and match.locate(["a"], None) == []
 
 
+def test_group_bounds():
+    """Runs follow each other, hold n tokens unless the next segment would make it over 2n, and end as soon as they do."""
+    rng = random.Random(5)
+    for _ in range(500):
+        counts, n = [rng.randint(1, 9) for _ in range(rng.randint(0, 30))], rng.randint(1, 12)
+        runs = match.group_bounds(counts, n)
+        assert [i for a, b in runs for i in range(a, b)] == list(range(len(counts)))
+        for a, b in runs:
+            size = sum(counts[a:b])
+            assert b == a + 1 or sum(counts[a : b - 1]) < n and size <= 2 * n
+            assert size >= n or b == len(counts) or size + counts[b] > 2 * n
+
+
+def test_best_window_by_brute_force():
+    rng = random.Random(6)
+    for _ in range(300):
+        words, wanted = [rng.choice("abcd") for _ in range(rng.randint(1, 30))], [rng.choice("abcde") for _ in range(rng.randint(1, 9))]
+        text = " ".join(words)
+        got = match.best_window(wanted, text, 0, len(text))
+        if len(words) <= len(wanted):
+            assert got == (round(match.edit_similarity(wanted, words), 4), 0, len(text))
+            continue
+        sizes = range(len(wanted), min(len(words), int(len(wanted) * 1.5)) + 1)
+        tried = [(-match.edit_similarity(wanted, words[i : i + k]), k, i) for k in sizes for i in range(len(words) - k + 1)]
+        like, k, i = min(tried)
+        assert got == (round(-like, 4), 2 * i, 2 * (i + k) - 1)
+
+
 def test_bands(spark):
     df = spark.createDataFrame([(x,) for x in (0.8, 0.7999, 0.6, 0.4, 0.2, 0.1999)], "p double")
     assert [r[0] for r in df.select(scoring.band(F.col("p"))).collect()] == ["Highly Real", "Likely Real", "Likely Real", "Uncertain", "Likely Fake", "Highly Fake"]

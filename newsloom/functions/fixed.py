@@ -179,3 +179,6 @@ CANDIDATES, MATCH_LEAST, WINDOW_MOST = 5, 0.30, 1.5
 SENTENCE_TOKENS, TOP_TOKENS, TOP_SENTENCES, RELATIVE_SHARE = 8, 7, 3, 0.35
 WINDOW, OVERLAP, SPECIALS = 512, 128, 2
 CACHE_SECONDS, POLL_SECONDS, HOVER_MS = 300, 30, 200
+
+#: The host of which only articles are looked at, and what begins an article's path.
+ARTICLES_ONLY = ("www.mission-tw.com", r"^/article/[^/]+/\d+")

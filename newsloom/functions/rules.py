@@ -21,10 +21,11 @@ def host_matches(host: Column, rule: str) -> Column:
 
 
 def allow_reason(url: Column, *, schemes=("http", "https"), hosts=(), deny_urls=(), deny_prefixes=(), deny_fragments=(), allow_prefixes=()) -> Column:
-    """ok, or why not; tests in order: scheme, host, denied URL, prefix, path fragment, allowed prefixes (if any)."""
+    """ok, or why not; tests in order: scheme, host (a leading dot stands for a whole site), denied URL, prefix, path fragment,
+    allowed prefixes (if any)."""
     scheme = F.lower(F.regexp_extract(url, r"^([^:/?#]+):", 1))
     path = F.lower(path_of(url))
-    out = F.when(~scheme.isin(*schemes), "filtered: scheme not allowed").when(~host_of(url).isin(*hosts), "offsite").when(url.isin(*deny_urls) if deny_urls else F.lit(False), "denied: exact URL")
+    out = F.when(~scheme.isin(*schemes), "filtered: scheme not allowed").when(~any_of(host_matches(host_of(url), h) for h in hosts), "offsite").when(url.isin(*deny_urls) if deny_urls else F.lit(False), "denied: exact URL")
     out = out.when(any_of(F.startswith(url, F.lit(p)) for p in deny_prefixes), "denied: prefix").when(any_of(F.contains(path, F.lit(x)) for x in deny_fragments), "denied: path fragment")
     if allow_prefixes:
         out = out.when(~any_of(F.startswith(url, F.lit(p)) for p in allow_prefixes), "filtered: not in allow-prefixes")
@@ -58,6 +59,11 @@ def paywall_reason(url: Column) -> Column:
     return out
 
 
+def skipped(url: Column) -> Column:
+    """Whether a page of the host that is asked for articles alone is none: such pages are neither fetched nor analysed."""
+    return (host_of(url) == X.ARTICLES_ONLY[0]) & ~F.regexp_like(path_of(url), F.lit(X.ARTICLES_ONLY[1]))
+
+
 def domain_class(url: Column) -> Column:
     """trusted (no need to fetch), refused (not news) or open; refusal wins."""
     host = host_of(url)

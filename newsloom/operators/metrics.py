@@ -53,16 +53,12 @@ def label_distribution(df: DataFrame, label: str) -> DataFrame:
 
 
 def nll_grid(df: DataFrame, margin: str, y: str, low: float = 0.5, high: float = 5.0, steps: int = 100, clip: float = 1e-7) -> DataFrame:
-    """Mean negative log-likelihood at each temperature of the grid: one aggregate pass, a column per grid point."""
-    grid = [low + (high - low) * i / (steps - 1) for i in range(steps)]
-
-    def loss(t: float) -> Column:
-        p = F.greatest(F.least(1 / (1 + F.exp(-F.col(margin) / t)), F.lit(1 - clip)), F.lit(clip))
-        return F.avg(-F.log(F.when(F.col(y) == 1, p).otherwise(1 - p)))
-
-    sums = df.agg(*[loss(t).alias(f"l{i}") for i, t in enumerate(grid)])
-    pairs = [F.struct(F.lit(i).alias("i"), F.lit(t).alias("temperature"), F.col(f"l{i}").alias("nll")) for i, t in enumerate(grid)]
-    return sums.select(F.explode(F.array(*pairs)).alias("x")).select("x.*")
+    """Mean negative log-likelihood at each temperature of the grid: rows times grid points go into a partial mean per point, so a
+    task hands on `steps` rows."""
+    grid = [F.struct(F.lit(i).alias("i"), F.lit(low + (high - low) * i / (steps - 1)).alias("temperature")) for i in range(steps)]
+    each = df.select(F.col(margin).alias("m"), F.col(y).alias("y"), F.explode(F.array(*grid)).alias("g")).select("m", "y", "g.*")
+    p = F.greatest(F.least(1 / (1 + F.exp(-F.col("m") / F.col("temperature"))), F.lit(1 - clip)), F.lit(clip))
+    return each.groupBy("i", "temperature").agg(F.avg(-F.log(F.when(F.col("y") == 1, p).otherwise(1 - p))).alias("nll"))
 
 
 def best_temperature(grid: DataFrame) -> DataFrame:
@@ -71,7 +67,11 @@ def best_temperature(grid: DataFrame) -> DataFrame:
 
 
 def latency_summary(df: DataFrame, value: str, groups: list[str] | None = None) -> DataFrame:
-    """Count, sum, mean, exact percentiles, extremes and sample deviation (0 for one value)."""
+    """Count, sum, mean, exact percentiles, extremes and sample deviation (0 for one value).
+
+    Exact percentiles count each distinct value of a group, merged from partial counts in one task per group: values are
+    rounded by their source (milliseconds), so that a group's distinct values stay bounded.
+    """
     x = F.col(value)
     percentiles = [F.percentile(x, F.lit(q / 100)).alias(f"p{q}") for q in (50, 75, 90, 95, 99)]
     return df.where(x.isNotNull()).groupBy(*(groups or [])).agg(

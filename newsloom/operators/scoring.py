@@ -141,8 +141,9 @@ def result_of(text: str | None, scorer: Callable, t: float) -> tuple:
         return -1, 0.5, FAILED_LEVEL, -1, [], [], t, f"{type(e).__name__}: {e}"
 
 
-def score_articles(df: DataFrame, key: str, text: str, scorer: Callable = stand_in, t: float = X.TEMPERATURE) -> DataFrame:
-    """key and the result columns, one row per input row; scorer(text) gives two logits and a score per blank-separated token."""
+def score_articles(df: DataFrame, key: str, text: str, scorer: Callable = stand_in, t: float = X.TEMPERATURE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """key, the result columns and those to carry along, one row per input row; scorer(text) gives two logits and a score per
+    blank-separated token."""
     ship(df.sparkSession)
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -150,10 +151,12 @@ def score_articles(df: DataFrame, key: str, text: str, scorer: Callable = stand_
             rows = [result_of(x, scorer, t) for x in f["t"]]
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")])
             out.insert(0, "k", f["k"])
-            yield out
+            yield out.assign(**{f"c{i}": f[f"c{i}"] for i in range(len(carry))})
 
-    rows = spread(df.select(F.col(key).alias("k"), F.col(text).alias("t")))
-    return rows.mapInPandas(batches, f"k {df.schema[key].dataType.simpleString()}, {RESULT}").withColumnRenamed("k", key)
+    rows = spread(df.select(F.col(key).alias("k"), F.col(text).alias("t"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]))
+    kind = lambda c: df.schema[c].dataType.simpleString()
+    scored = rows.mapInPandas(batches, ", ".join([f"k {kind(key)}", RESULT, *[f"c{i} {kind(c)}" for i, c in enumerate(carry)]]))
+    return scored.withColumnsRenamed({"k": key} | {f"c{i}": c for i, c in enumerate(carry)})
 
 
 # --- small forms ------------------------------------------------------------------------------------------------------
@@ -187,6 +190,31 @@ def without_overlaps(ranges: Column) -> Column:
     return F.aggregate(ordered, empty, lambda kept, r: F.when((F.size(kept) == 0) | (F.element_at(kept, -1)["end"] <= r["start"]), F.concat(kept, F.array(r))).otherwise(kept))
 
 
+def kept_ranges(df: DataFrame, key: str, start: str = "start", end: str = "end") -> DataFrame:
+    """key, start, end: without_overlaps() for keys with any number of ranges. Rows come sorted by key and place, and only the
+    last kept end is remembered; ranges with nulls are left out."""
+
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        owner, till = None, None
+        for f in frames:
+            keep = np.zeros(len(f), bool)
+            for i, (k, a, b) in enumerate(zip(f["k"], f["a"], f["b"])):
+                if k != owner or till <= a:
+                    owner, till, keep[i] = k, b, True
+            yield f[keep]
+
+    ship(df.sparkSession)
+    rows = df.select(F.col(key).alias("k"), F.col(start).alias("a"), F.col(end).alias("b")).where("k is not null and a is not null and b is not null")
+    fields = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
+    sorted_rows = rows.repartition("k").sortWithinPartitions("k", "a", "b")
+    return sorted_rows.mapInPandas(batches, fields).withColumnsRenamed({"k": key, "a": start, "b": end})
+
+
+def older_score(margin: Column) -> Column:
+    """The older scorer's probability: its own temperature, two decimals."""
+    return F.round(temperature_sigmoid(margin, X.OLD_TEMPERATURE), 2)
+
+
 def highlighted(sentences: Column, colours: tuple[str, ...] = ("first", "second", "third")) -> Column:
     """The best sentences (struct score, text; ties in order) with a colour by rank."""
     numbered = F.transform(sentences, lambda s, i: F.struct((-s["score"]).alias("neg"), i.alias("i"), s["text"].alias("text"), s["score"].alias("score")))

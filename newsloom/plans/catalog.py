@@ -120,11 +120,10 @@ def split_semi(spark, sf):
     return io.by_keys(table(spark, sf, "documents").select("doc_id", "lang"), io.read_collection(spark, f"{sf}/labels.parquet", ["doc_id"], quality=1), "doc_id")
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE CAST(quality AS INT) END AS label FROM labels WHERE doc_id % 7 <> 0""")
+@query("""SELECT doc_id, CASE WHEN doc_id % 7 = 0 OR doc_id % 5 = 0 THEN NULL ELSE CAST(quality AS INT) END AS label FROM labels""")
 def label_validity(spark, sf):
     raw = F.when(F.col("doc_id") % 7 == 0, F.lit("2")).when(F.col("doc_id") % 5 == 0, F.lit("abc")).when(F.col("doc_id") % 3 == 0, F.concat(F.col("quality").cast("string"), F.lit(".0"))).otherwise(F.col("quality").cast("string"))
-    d = table(spark, sf, "labels").select("doc_id", raw.alias("raw"))
-    return d.where(F.col("raw") != "2").select("doc_id", ingest.valid_label(F.col("raw")).alias("label"))
+    return table(spark, sf, "labels").select("doc_id", ingest.valid_label(raw).alias("label"))
 
 
 @query("SELECT doc_id, CAST(length(text) AS INT) AS text_len FROM documents WHERE length(text) >= 200")
@@ -302,15 +301,12 @@ def domain_counts(spark, sf):
     return table(spark, sf, "pages").groupBy(U.host_of(F.col("url")).alias("domain")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""SELECT page_id, CASE WHEN lower(regexp_extract(url, '^([^:/?#]+):', 1)) NOT IN ('https') THEN 'filtered: scheme not allowed' WHEN NOT {HOST_SQL} LIKE '%.example.com' THEN 'offsite'
-WHEN contains(lower({PATH_SQL}), '/fr/') THEN 'denied: path fragment' ELSE 'ok' END AS reason FROM pages""")
+@query(f"""SELECT page_id, CASE WHEN {HOST_SQL} NOT LIKE '%.example.com' AND {HOST_SQL} <> 'example.com' THEN 'offsite' WHEN contains(lower({PATH_SQL}), '/fr/') THEN 'denied: path fragment'
+WHEN NOT starts_with(url, 'https:') THEN 'filtered: not in allow-prefixes' ELSE 'ok' END AS reason FROM pages""")
 def url_allow_reason(spark, sf):
-    # the hosts of the site are the corpus's own: a distinct list, bounded by this filter's rule
-    u = F.col("url")
-    on = table(spark, sf, "pages").select("page_id", "url", F.endswith(U.host_of(u), F.lit(".example.com")).alias("on"))
-    path = F.lower(U.path_of(u))
-    reason = F.when(F.lower(F.regexp_extract(u, r"^([^:/?#]+):", 1)) != "https", "filtered: scheme not allowed").when(~F.col("on"), "offsite").when(F.contains(path, F.lit("/fr/")), "denied: path fragment").otherwise("ok")
-    return on.select("page_id", reason.alias("reason"))
+    """A whole site: a host rule with a leading dot, a denied path fragment, allowed prefixes."""
+    reason = R.allow_reason(F.col("url"), hosts=(".example.com",), deny_fragments=("/fr/",), allow_prefixes=("https:",))
+    return table(spark, sf, "pages").select("page_id", reason.alias("reason"))
 
 
 @query(f"""SELECT page_id, CASE WHEN lower(regexp_extract(url, '^([^:/?#]+):', 1)) NOT IN ('http', 'https') THEN 'filtered: scheme not allowed' WHEN {HOST_SQL} NOT IN ('ththre.example.com', 'm.ththth.example.net') THEN 'offsite'
@@ -418,14 +414,15 @@ def insert_if_absent(spark, sf):
     return state.insert_if_absent(old, e.select("user_id", "event_id"), ["user_id"], ["event_id"])
 
 
-@query(f"""WITH s AS (SELECT event_id % 97 AS job_id, {STATUS_SQL} AS s FROM events WHERE event_id % 97 < 30 AND (event_id % 97 >= 20 OR event_type = CASE WHEN event_id % 97 < 10 THEN 'purchase' ELSE 'error' END))
+JOB_SQL = f"CASE WHEN event_id % 97 < 10 THEN 'content_saved' WHEN event_id % 97 < 20 THEN 'blocked' ELSE {STATUS_SQL} END"
+
+
+@query(f"""WITH s AS (SELECT event_id % 97 AS job_id, {JOB_SQL} AS s FROM events)
 SELECT job_id, count(*) FILTER (s = 'content_saved') AS saved, count(*) FILTER (s <> 'content_saved') AS failed, count(*) FILTER (s = 'blocked') AS blocked,
 CASE WHEN count(*) FILTER (s <> 'content_saved') = 0 THEN 'content_saved' WHEN count(*) FILTER (s = 'blocked') > 0 AND count(*) FILTER (s = 'content_saved') = 0 THEN 'blocked' ELSE 'partial_done' END AS job_status FROM s GROUP BY job_id""")
 def job_status_fold(spark, sf):
-    # jobs of which all URLs were saved, all were blocked, or some of each
-    e = table(spark, sf, "events").withColumn("job_id", F.col("event_id") % 97).withColumn("status", F.expr(STATUS_SQL))
-    e = e.where("job_id < 30 AND (job_id >= 20 OR event_type = CASE WHEN job_id < 10 THEN 'purchase' ELSE 'error' END)")
-    return state.job_status(e)
+    """All events, folded into jobs of which all URLs were saved, all were blocked, or some of each."""
+    return state.job_status(table(spark, sf, "events").select((F.col("event_id") % 97).alias("job_id"), F.expr(JOB_SQL).alias("status")))
 
 
 @query("""SELECT event_type, count(value) AS n, sum(value) AS total, avg(value) AS mean, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.75) AS p75, quantile_cont(value, 0.9) AS p90, quantile_cont(value, 0.95) AS p95,
@@ -560,10 +557,10 @@ def nll_grid(spark, sf):
 
 @query(f"""WITH g AS (SELECT i, 0.5 + 4.5 * i / 99 AS t FROM range(100) r(i)), l AS (SELECT z1 - z0 AS m, CAST(label % 2 AS INT) AS y FROM {LOGITS}),
 n AS (SELECT i, t, avg(-ln(CASE WHEN y = 1 THEN p ELSE 1 - p END)) AS nll FROM (SELECT i, t, y, greatest(least(1 / (1 + exp(-m / t)), 1 - 1e-7), 1e-7) AS p FROM l, g) GROUP BY i, t)
-SELECT round(min(nll), 6) AS nll FROM n""")
+SELECT CAST(arg_min(i, nll) AS INT) AS i, arg_min(t, nll) AS temperature, round(min(nll), 6) AS nll FROM n""")
 def nll_grid_argmin(spark, sf):
     d = logits(spark, sf).select((F.col("z1") - F.col("z0")).alias("m"), (F.col("label") % 2).alias("y"))
-    return metrics.best_temperature(metrics.nll_grid(d, "m", "y")).select(F.round("nll", 6).alias("nll"))
+    return metrics.best_temperature(metrics.nll_grid(d, "m", "y")).select("i", "temperature", F.round("nll", 6).alias("nll"))
 
 
 @query(f"SELECT vec_id // 10 AS doc, round(avg(z0), 6) AS z0, round(avg(z1), 6) AS z1, CAST(avg(z1) > avg(z0) AS INT) AS class FROM {LOGITS} GROUP BY 1")
@@ -616,12 +613,13 @@ def bag_cosine_topk(spark, sf):
     return match.top_per_key(pairs, ["conv_id"], "cosine", "turn", 5).drop("rank")
 
 
-@query(f"""WITH c AS (SELECT vec_id // 8 AS doc, vec_id % 8 AS i, e FROM {LOGITS}), u AS (SELECT doc, unnest(e[1:8]) AS a, unnest(range(8)) AS j FROM c WHERE doc IN (SELECT doc FROM c GROUP BY doc HAVING count(*) = 8)),
+@query(f"""WITH c AS (SELECT vec_id // 8 AS doc, e[1:count(*) OVER (PARTITION BY vec_id // 8)] AS e FROM {LOGITS}), u AS (SELECT doc, unnest(e) AS a, unnest(range(len(e))) AS j FROM c),
 s AS (SELECT doc, j, sum(a) AS s FROM u GROUP BY ALL) SELECT doc, CAST(arg_min(j, struct_pack(a := -round(s, 9), b := j)) AS INT) AS best FROM s GROUP BY doc""")
 def best_chunks(spark, sf):
+    """Eight vectors at most stand for a document's chunks; as many of their components for what each chunk sees in the others."""
     d = logits(spark, sf).select(F.floor(F.col("vec_id") / 8).alias("doc"), (F.col("vec_id") % 8).alias("i"), F.slice("e", 1, 8).alias("row"))
-    d = d.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("i", "row"))).alias("m")).where(F.size("m") == 8)
-    return d.select("doc", scoring.best_chunk(F.transform("m", lambda x: x["row"])).alias("best"))
+    d = d.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("i", "row"))).alias("m"))
+    return d.select("doc", scoring.best_chunk(F.transform("m", lambda x: F.slice(x["row"], F.lit(1), F.size("m")))).alias("best"))
 
 
 @query("""SELECT event_id, CASE WHEN value <= 1 THEN printf('%.3f', value) ELSE printf('%d', CAST(floor(value + 0.5) AS BIGINT)) END AS score,
@@ -649,9 +647,8 @@ def highlight_top3(spark, sf):
 k AS (SELECT user_id, r, s, f, f AS till, true AS kept FROM e WHERE r = 1 UNION ALL SELECT e.user_id, e.r, e.s, e.f, CASE WHEN k.till <= e.s THEN e.f ELSE k.till END, k.till <= e.s FROM k JOIN e ON e.user_id = k.user_id AND e.r = k.r + 1)
 SELECT user_id, s AS start, f AS "end" FROM k WHERE kept""")
 def overlap_removal(spark, sf):
-    ranges = F.struct(F.col("event_id").alias("start"), (F.col("event_id") + F.floor(F.col("value") * 10)).alias("end"))
-    e = table(spark, sf, "events").groupBy("user_id").agg(F.collect_list(ranges).alias("r"))
-    return e.select("user_id", F.inline(scoring.without_overlaps(F.col("r"))))
+    ranges = table(spark, sf, "events").select("user_id", F.col("event_id").alias("start"), (F.col("event_id") + F.floor(F.col("value") * 10)).alias("end"))
+    return scoring.kept_ranges(ranges, "user_id")
 
 
 @query(f"""SELECT DISTINCT user_id, CASE WHEN {STATUS_SQL} = 'content_saved' THEN 'done' WHEN event_id % 2 = 0 THEN 'queued' ELSE 'new' END AS state FROM events""")
@@ -665,12 +662,18 @@ def unknown_listing(spark, sf):
     return lookup.listing(status_log(spark, sf).withColumnRenamed("updated_at", "last_seen_at"), "blocked").select("normalized_url", "last_seen_at")
 
 
+def three_sentences(text: str = "text"):
+    """Nine words each from the beginning, the middle and the end, in lower case."""
+    words = F.split(text, " ")
+    part = lambda first: F.lower(F.array_join(F.slice(words, F.greatest(first, F.lit(1)).cast("int"), F.lit(9)), " "))
+    return F.array(part(F.lit(4)), part(F.floor(F.size(words) / 2)), part(F.size(words) - 8))
+
+
 @query()
 def fuzzy_locate(spark, sf):
     ship(spark)
     d = spread(table(spark, sf, "documents").select("doc_id", "text").where("length(text) > 0"))
-    sentence = F.lower(F.array_join(F.slice(F.split("text", " "), 4, 9), " "))
-    return d.select("doc_id", F.explode(match.fuzzy_locate(F.array(sentence), F.col("text"))).alias("m")).select("doc_id", "m.*")
+    return d.select("doc_id", F.explode(match.fuzzy_locate(three_sentences(), F.col("text"))).alias("m")).select("doc_id", "m.*")
 
 
 @query()
@@ -685,8 +688,8 @@ def credibility_by_domain(spark, sf):
     p = spread(table(spark, sf, "pages")).select("page_id", U.host_of(F.col("url")).alias("domain"), T.html_to_text(F.col("html")).alias("text"))
     p = computed_once(p).where(T.mixed_token_count(F.col("text")) >= X.LEAST_TOKENS).withColumn("hash", F.sha2("text", 256))
     p = dedup.keep_first(p, ["hash"], ["page_id"])
-    scored = scoring.score_articles(p, "page_id", "text")
-    rated = scored.select("page_id", scoring.risk_of(F.col("confidence_level"))["risk_level"].alias("risk_level")).join(p.select("page_id", "domain"), "page_id")
+    scored = scoring.score_articles(p, "page_id", "text", carry=("domain",))
+    rated = scored.select("domain", scoring.risk_of(F.col("confidence_level"))["risk_level"].alias("risk_level"))
     return rated.groupBy("domain", "risk_level").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -182,3 +182,13 @@ CACHE_SECONDS, POLL_SECONDS, HOVER_MS = 300, 30, 200
 
 #: The host of which only articles are looked at, and what begins an article's path.
 ARTICLES_ONLY = ("www.mission-tw.com", r"^/article/[^/]+/\d+")
+
+#: Fixed values of the answers that hold no analysis: risk level, risk label, status label, reason.
+ANSWERS = {
+    "processing": (3, "分析中", "處理中", "系統正在背景爬取並分析此網頁，請稍候..."),
+    "analysis_failed": (3, "無法分析", "分析失敗", "此 URL 已嘗試爬取但未能取得有效內容，無法完成分析。"),
+    "not_recorded": (3, "未知", "未標記", "資料庫中沒有這個 URL 的標記結果。"),
+    "paywalled": (3, "無法分析", "付費/贊助內容", None),
+    "skipped_non_article": (3, "不分析", "非文章頁", "此為分類／導覽頁，非單篇文章，系統不予爬取與分析。"),
+}
+RECORDED_LABEL = "已收錄"

@@ -21,13 +21,18 @@ def links_of(pages: DataFrame, url: str = "url", html: str = "html") -> DataFram
 RANGES = 256
 
 
-def with_next(df: DataFrame, order: str, value: str, into: str) -> DataFrame:
-    """df with the next row's value by `order` (nulls last), null in the last row. The order is cut into ranges at approximate
-    quantiles; each range's last row takes the first value of the next range that has rows."""
+def ranged(df: DataFrame, order: str) -> DataFrame:
+    """df with __range: the order cut at approximate quantiles, nulls in the last range."""
     cuts = df.select(F.percentile_approx(order, [i / RANGES for i in range(1, RANGES)]).alias("c")).first()["c"]
     cuts = sorted(set(cuts or []))
     below = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(order))) if cuts else F.lit(0)
-    rows = df.withColumn("__range", F.when(F.col(order).isNull(), RANGES).otherwise(below))
+    return df.withColumn("__range", F.when(F.col(order).isNull(), RANGES).otherwise(below))
+
+
+def with_next(df: DataFrame, order: str, value: str, into: str) -> DataFrame:
+    """df with the next row's value by `order` (nulls last), null in the last row. Each range's last row takes the first value
+    of the next range that has rows."""
+    rows = ranged(df, order)
     firsts = rows.groupBy("__range").agg(F.min_by(F.struct(value), F.struct(order)).alias("__first"))
     firsts = firsts.select("__range", F.lead("__first").over(Window.orderBy("__range")).alias("__first"))  # RANGES + 1 rows at most
     inner = F.lead(F.struct(value)).over(Window.partitionBy("__range").orderBy(F.col(order).asc_nulls_last()))

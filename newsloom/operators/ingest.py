@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import fixed as X
 from newsloom.functions import text as T
+from newsloom.operators import frontier
 
 EXPORT_COLUMNS = ("job_id", "url", "normalized_url", "domain", "site", "title", "text", "text_len", "fetched_at", "status", "error_message")
 
@@ -22,6 +23,30 @@ def unprocessed(articles: DataFrame, analyses: DataFrame) -> DataFrame:
     return out.join(keys.withColumnRenamed("url", "normalized_url"), "normalized_url", "left_anti").select(articles.columns)
 
 
+def result_rows(predictions: DataFrame, details: DataFrame, raw: DataFrame, cleaned: DataFrame, titles: DataFrame, key: str = "url") -> DataFrame:
+    """Predictions with what else is known of their URL: details, raw_content, cleaned_content (the raw one where there is none) and
+    title, empty where unknown. Each table has one row a key; all joins are on the key, so one partitioning serves them."""
+    out = predictions
+    for other in (details, raw, cleaned, titles):
+        out = out.join(other, key, "left")
+    raw_text = F.coalesce("raw_content", F.lit(""))
+    return out.withColumns({"raw_content": raw_text, "cleaned_content": F.coalesce("cleaned_content", raw_text), "title": F.coalesce("title", F.lit(""))})
+
+
+def merged_stats(parts: DataFrame, names: list[str]) -> DataFrame:
+    """The workers' counters added up, one row; a counter that a worker lacks counts 0, and so does every one without workers."""
+    return parts.agg(*[F.coalesce(F.sum(F.col(n)) if n in parts.columns else F.lit(0).cast("long"), F.lit(0)).cast("long").alias(n) for n in names])
+
+
+def with_row_ids(df: DataFrame, order: str, prefix: str = "d", into: str = "row_id") -> DataFrame:
+    """df with prefix and the row's number from 0 by `order` (nulls last): numbers within ranges of the order, plus the rows of the ranges before."""
+    rows = frontier.ranged(df, order)
+    sizes = rows.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__before"))  # frontier.RANGES + 1 rows at most
+    rank = F.row_number().over(Window.partitionBy("__range").orderBy(F.col(order).asc_nulls_last())) - 1 + F.col("__before")
+    return rows.join(F.broadcast(before), "__range").select(*df.columns, F.concat(F.lit(prefix), rank.cast("string")).alias(into))
+
+
 def export_rows(df: DataFrame) -> DataFrame:
     """The fixed columns, with defaults and a status by whether there is text."""
     body = T.blank_to_null(F.col("text"))

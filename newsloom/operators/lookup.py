@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions import fixed as X
+from newsloom.functions import rules
 from newsloom.functions.text import blank_to_null
 from newsloom.functions.urls import host_of
 from newsloom.operators.scoring import risk_of
@@ -33,8 +34,32 @@ def detail(df: DataFrame) -> DataFrame:
     return df.select("normalized_url", host_of(F.col("normalized_url")).alias("domain"), label.alias("raw_label"), pick("risk_level").alias("risk_level"), pick("risk_label").alias("risk_label"), pick("short_reason").alias("short_reason"), content.alias("content"))
 
 
-def summary(df: DataFrame) -> DataFrame:
-    return detail(df).select("normalized_url", "domain", "raw_label", "risk_level", "risk_label", "short_reason")
+def summary(df: DataFrame, requested: str = "requested_url") -> DataFrame:
+    """The thirteen fields of a known analysis; a missing requested URL is the normalized one."""
+    label = F.coalesce(blank_to_null(F.col("raw_label")), blank_to_null(F.col("confidence_level")))
+    risk = risk_of(F.coalesce(label, F.lit("Unknown")))
+    pick = lambda c, other: F.coalesce(F.col(c), other) if c in df.columns else other
+    return df.select(
+        pick(requested, F.col("normalized_url")).alias("requested_url"), "normalized_url", host_of(F.col("normalized_url")).alias("domain"),
+        *[pick(c, risk[c]).alias(c) for c in ("risk_level", "risk_label")], F.lit("recorded").alias("data_status"), F.lit(X.RECORDED_LABEL).alias("data_status_label"),
+        pick("short_reason", risk["short_reason"]).alias("short_reason"), F.lit(True).alias("detail_available"), F.lit("url").alias("match_scope"), F.lit("normalized_url").alias("matched_by"),
+        (F.col("analysis_time") if "analysis_time" in df.columns else F.lit(None).cast("timestamp")).alias("analysis_time"), label.alias("raw_label"),
+    )
+
+
+def answer_of(url: Column, status: Column) -> Column:
+    """What to say of a URL without analysis: a page that is no article, a paywalled one, or not_found()."""
+    return F.when(rules.skipped(url), "skipped_non_article").when(rules.paywall_reason(url).isNotNull(), "paywalled").otherwise(not_found(status))
+
+
+def no_result(df: DataFrame, answer: Column, url: str = "normalized_url") -> DataFrame:
+    """The thirteen fields for URLs without analysis, by their answer."""
+    given = lambda i, kind: F.coalesce(*[F.when(answer == name, F.lit(values[i]).cast(kind)) for name, values in X.ANSWERS.items()])
+    return df.select(
+        F.col(url).alias("requested_url"), F.col(url).alias("normalized_url"), host_of(F.col(url)).alias("domain"), given(0, "int").alias("risk_level"), given(1, "string").alias("risk_label"),
+        answer.alias("data_status"), given(2, "string").alias("data_status_label"), F.coalesce(given(3, "string"), rules.paywall_reason(F.col(url))).alias("short_reason"), F.lit(False).alias("detail_available"),
+        F.lit("none").alias("match_scope"), F.lit("none").alias("matched_by"), F.lit(None).cast("timestamp").alias("analysis_time"), F.lit(None).cast("string").alias("raw_label"),
+    )
 
 
 def not_found(status: Column) -> Column:

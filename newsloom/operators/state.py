@@ -44,6 +44,16 @@ def last_non_null(df: DataFrame, key: str, order: str, columns: list[str]) -> Da
     return df.groupBy(key).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in columns])
 
 
+def numeric_suffix(name: Column) -> Column:
+    """The number that ends a checkpoint's name; null without one."""
+    return F.regexp_extract(name, r"([0-9]+)$", 1).try_cast("long")
+
+
+def latest_checkpoint(df: DataFrame, name: str, groups: list[str]) -> DataFrame:
+    """Per group the checkpoint with the greatest numeric suffix (checkpoint-10 is later than checkpoint-9); those without one don't count."""
+    return df.groupBy(*groups).agg(F.max_by(name, numeric_suffix(F.col(name))).alias(name))
+
+
 def fresh(df: DataFrame, expires_at: str, now: Column, bypass: bool = False) -> DataFrame:
     """Cache entries that haven't expired; none with bypass."""
     return df.where(F.lit(not bypass) & (F.col(expires_at) > now))

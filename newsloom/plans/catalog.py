@@ -693,6 +693,72 @@ def credibility_by_domain(spark, sf):
     return rated.groupBy("domain", "risk_level").agg(F.count(F.lit(1)).alias("n"))
 
 
+# --- results, answers, counters ----------------------------------------------------------------------------------------
+
+
+@query("""SELECT p.url, p.page_id, CASE WHEN p.page_id % 3 = 0 THEN d.quality END AS quality, coalesce(CASE WHEN p.page_id % 2 = 0 THEN t.text END, '') AS raw_content,
+coalesce(CASE WHEN p.page_id % 4 = 0 THEN t.text || ' clean' END, CASE WHEN p.page_id % 2 = 0 THEN t.text END, '') AS cleaned_content, CASE WHEN p.page_id % 5 = 0 THEN 'T' || CAST(p.page_id AS VARCHAR) ELSE '' END AS title
+FROM pages p LEFT JOIN labels d ON d.doc_id = p.page_id LEFT JOIN documents t ON t.doc_id = p.page_id""")
+def result_join(spark, sf):
+    """Predictions of all pages, with details, texts and titles of some of them."""
+    p = table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), "url")
+    texts = p.join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    details = p.where("doc_id % 3 = 0").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
+    # a URL stands for one page here: several pages of one URL are told apart by their number
+    keyed = lambda d, *c: d.select(F.struct("url", "doc_id").alias("key"), *c)
+    raw, cleaned = keyed(texts.where("doc_id % 2 = 0"), F.col("text").alias("raw_content")), keyed(texts.where("doc_id % 4 = 0"), F.concat("text", F.lit(" clean")).alias("cleaned_content"))
+    titles = keyed(p.where("doc_id % 5 = 0"), F.concat(F.lit("T"), F.col("doc_id").cast("string")).alias("title"))
+    out = ingest.result_rows(keyed(p), keyed(details, "quality"), raw, cleaned, titles, "key")
+    return out.select("key.url", F.col("key.doc_id").alias("page_id"), "quality", "raw_content", "cleaned_content", "title")
+
+
+ASKED_SQL = "CASE event_id % 4 WHEN 0 THEN 'https://www.mission-tw.com/category/' WHEN 1 THEN 'https://www.mission-tw.com/article/x/' WHEN 2 THEN 'https://www.chinatimes.com/album/memberarticles/' ELSE 'https://a.com/' END"
+
+
+@query(f"""SELECT url AS requested_url, url AS normalized_url, regexp_extract(url, '//([^/]+)', 1) AS domain, CAST(3 AS INT) AS risk_level, answer AS data_status, false AS detail_available, 'none' AS match_scope, 'none' AS matched_by,
+CAST(NULL AS TIMESTAMP) AS analysis_time, CAST(NULL AS VARCHAR) AS raw_label,
+CASE answer WHEN 'skipped_non_article' THEN '不分析' WHEN 'processing' THEN '分析中' ELSE '無法分析' END AS risk_label,
+CASE answer WHEN 'skipped_non_article' THEN '非文章頁' WHEN 'paywalled' THEN '付費/贊助內容' WHEN 'processing' THEN '處理中' ELSE '分析失敗' END AS data_status_label,
+CASE answer WHEN 'skipped_non_article' THEN '此為分類／導覽頁，非單篇文章，系統不予爬取與分析。' WHEN 'paywalled' THEN '此為中時新聞網會員付費專區文章，無法爬取內容。' WHEN 'processing' THEN '系統正在背景爬取並分析此網頁，請稍候...' ELSE '此 URL 已嘗試爬取但未能取得有效內容，無法完成分析。' END AS short_reason
+FROM (SELECT url, CASE WHEN contains(url, '/category/') THEN 'skipped_non_article' WHEN contains(url, 'chinatimes') THEN 'paywalled' WHEN s IN ('queued', 'crawling') THEN 'processing' ELSE 'analysis_failed' END AS answer
+FROM (SELECT {ASKED_SQL} || CAST(event_id AS VARCHAR) AS url, {STATUS_SQL} AS s FROM events))""")
+def no_result_answers(spark, sf):
+    asked = table(spark, sf, "events").select(F.concat(F.expr(ASKED_SQL), F.col("event_id").cast("string")).alias("normalized_url"), F.expr(STATUS_SQL).alias("crawl_status"))
+    return lookup.no_result(asked, lookup.answer_of(F.col("normalized_url"), F.col("crawl_status")))
+
+
+@query("""SELECT p.url AS requested_url, p.url AS normalized_url, regexp_extract(lower(p.url), '//([^/?#]*)', 1) AS domain, CAST(CASE l.quality WHEN 1 THEN 1 ELSE 5 END AS INT) AS risk_level, CASE l.quality WHEN 1 THEN '高度可信' ELSE '高度假新聞' END AS risk_label,
+'recorded' AS data_status, '已收錄' AS data_status_label, 'r' || CAST(l.doc_id AS VARCHAR) AS short_reason, true AS detail_available, 'url' AS match_scope, 'normalized_url' AS matched_by, CAST(NULL AS TIMESTAMP) AS analysis_time,
+CASE l.quality WHEN 1 THEN 'Highly Real' ELSE 'Highly Fake' END AS raw_label FROM pages p JOIN labels l ON l.doc_id = p.page_id""")
+def summary_fields(spark, sf):
+    label = F.when(F.col("quality") == 1, "Highly Real").otherwise("Highly Fake")
+    a = table(spark, sf, "pages").join(table(spark, sf, "labels"), F.col("doc_id") == F.col("page_id"))
+    return lookup.summary(a.select(F.col("url").alias("normalized_url"), F.lit("").alias("raw_label"), label.alias("confidence_level"), F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("short_reason")))
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (length(text) < 300) AS filtered, count(*) FILTER (lang <> 'en') AS denied, 0 AS errors FROM documents")
+def crawl_stats_merge(spark, sf):
+    """Each source is a worker that counts what it saw; the counters are added up."""
+    d = table(spark, sf, "documents")
+    parts = d.groupBy("source").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.length("text") < 300).alias("filtered"), F.count_if(F.col("lang") != "en").alias("denied"))
+    return ingest.merged_stats(parts, ["total", "filtered", "denied", "errors"])
+
+
+@query("SELECT doc_id, 'd' || CAST(row_number() OVER (ORDER BY doc_id) - 1 AS VARCHAR) AS row_id FROM labels")
+def surrogate_ids(spark, sf):
+    return ingest.with_row_ids(table(spark, sf, "labels").select("doc_id"), "doc_id")
+
+
+@query("SELECT event_type, 'checkpoint-' || CAST(max(event_id) AS VARCHAR) AS name FROM events GROUP BY event_type")
+def latest_checkpoints(spark, sf):
+    return state.latest_checkpoint(table(spark, sf, "events").select("event_type", F.concat(F.lit("checkpoint-"), F.col("event_id").cast("string")).alias("name")), "name", ["event_type"])
+
+
+@query(f"SELECT vec_id, round(1 / (1 + exp(-(z1 - z0) / 3)), 2) AS p FROM {LOGITS}")
+def older_scores(spark, sf):
+    return logits(spark, sf).select("vec_id", scoring.older_score(F.col("z1") - F.col("z0")).alias("p"))
+
+
 @query()
 def micro_batch_analyses(spark, sf):
     """The documents as arriving article files, through the streaming pipeline into its table."""

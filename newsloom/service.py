@@ -50,12 +50,13 @@ class Service:
         return lookup.summary(found)
 
     def details(self, urls: DataFrame) -> DataFrame:
-        """normalized_url, answer and, where it is `found`, the detail view; paywalled URLs get their reason."""
+        """normalized_url, answer and, where it is `found`, the detail view; paywalled URLs get their reason, pages that are no articles are skipped."""
         keyed = self.keyed(urls)
         status = state.latest_status(self.log.read(), "normalized_url", "crawl_status")
         out = keyed.join(lookup.detail(self.analyses.read()), "normalized_url", "left").join(status, "normalized_url", "left")
-        reason = rules.paywall_reason(F.col("normalized_url"))
-        answer = F.when(reason.isNotNull(), "paywalled").when(F.col("raw_label").isNotNull(), "found").otherwise(lookup.not_found(F.col("crawl_status")))
+        url, reason = F.col("normalized_url"), rules.paywall_reason(F.col("normalized_url"))
+        blocked = rules.skipped(url) | reason.isNotNull()  # such pages are never looked up
+        answer = F.when(F.col("raw_label").isNotNull() & ~blocked, "found").otherwise(lookup.answer_of(url, F.col("crawl_status")))
         return out.withColumn("answer", answer).withColumn("reason", reason)
 
     def save_urls(self, urls: DataFrame, now, batch: int) -> None:

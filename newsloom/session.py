@@ -44,9 +44,12 @@ _local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see, named by spark.checkpoint.dir; a temporary one only where the session names none (local runs)."""
+    """The folder that all executors see, named by spark.checkpoint.dir. Where the session names none, a temporary one on a
+    local master; on any other one executors would write to disks of their own, so that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _local:
             _local[app] = "file://" + tempfile.mkdtemp(prefix="newsloom-")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.functions.urls import slug
+
 from newsloom.functions.text import blank_to_null, is_empty_html
 from newsloom.sources import schemas
 
@@ -87,9 +89,10 @@ def standard_page(page: Column, fallback_url: Column) -> Column:
 # --- sinks ----------------------------------------------------------------------------------------------------------
 
 
-def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
-    """The fixed columns, in order; a missing one and nulls are empty. No byte-order mark."""
-    df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in df.columns else F.lit("").alias(c) for c in columns]).write.option("header", True).option("escape", '"').csv(path)
+def write_csv(df: DataFrame, path: str, columns: list[str], mark: bool = False) -> None:
+    """The fixed columns, in order; a missing one and nulls are empty. With mark, each file begins with a byte-order mark."""
+    named = lambda c: "\ufeff" + c if mark and c == columns[0] else c
+    df.select(*[(F.coalesce(F.col(c).cast("string"), F.lit("")) if c in df.columns else F.lit("")).alias(named(c)) for c in columns]).write.option("header", True).option("escape", '"').csv(path)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -101,6 +104,17 @@ def write_predictions(df: DataFrame, path: str, key: str = "url") -> None:
     df.select(key, F.struct(*[c for c in df.columns if c != key]).alias("result")).write.json(path)
 
 
+def write_metrics(df: DataFrame, path: str) -> None:
+    """A metrics table as CSV and as JSON, one file each: metrics are a few rows."""
+    df.coalesce(1).write.option("header", True).csv(f"{path}/csv")
+    df.coalesce(1).write.json(f"{path}/json")
+
+
+def write_pages(df: DataFrame, path: str, url: str = "url") -> None:
+    """Saved articles as CSV in a folder per URL, named by its slug."""
+    df.withColumn("slug", slug(F.col(url))).write.partitionBy("slug").option("header", True).option("escape", '"').csv(path)
+
+
 def write_documents(df: DataFrame, path: str, by: str = "domain") -> None:
     """Bodies as text, in a folder per domain."""
     df.select(by, F.col("text").alias("value")).write.partitionBy(by).text(path)

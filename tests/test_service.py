@@ -25,6 +25,15 @@ def test_round_trip(spark, tmp_path):
     assert s.health()["urls"] == 3
 
 
+def test_answers_without_analysis(spark, tmp_path):
+    """Pages that are no articles are skipped before anything is looked up; paywalled ones come next."""
+    s = Service(spark, str(tmp_path))
+    urls = spark.createDataFrame([("https://www.mission-tw.com/category/x",), ("https://www.mission-tw.com/article/a/12",), ("https://www.chinatimes.com/album/memberarticles/1",)], "url string")
+    assert [r["answer"] for r in s.details(urls).orderBy("normalized_url").collect()] == ["paywalled", "not_recorded", "skipped_non_article"]
+    one = s.check(urls)
+    assert one.count() == 0 and len(one.columns) == 13
+
+
 def test_pushed_once(spark, tmp_path):
     s = Service(spark, str(tmp_path))
     urls = spark.createDataFrame([("http://a.com/1",)], "url string")

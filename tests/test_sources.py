@@ -40,3 +40,16 @@ def test_page_lists(spark):
     shapes = ['[{"a":1},{"a":2}]', '{"data":[{"a":1}]}', '{"a":1}']
     got = [len(r[0]) for r in spark.createDataFrame([(s,) for s in shapes], "j string").select(io.pages_of(F.col("j"))).collect()]
     assert got == [2, 1, 1]
+
+
+def test_sinks_of_articles_and_metrics(spark, tmp_path):
+    import glob
+
+    df = spark.createDataFrame([("http://a.com/1", 1), ("http://a.com/2", None)], "url string, n int")
+    io.write_csv(df, f"file://{tmp_path}/marked", ["url", "n"], mark=True)
+    (first, *_) = sorted(glob.glob(f"{tmp_path}/marked/*.csv"))
+    assert open(first, "rb").read().startswith(b"\xef\xbb\xbfurl,n")
+    io.write_pages(df, f"file://{tmp_path}/pages")
+    assert len(glob.glob(f"{tmp_path}/pages/slug=*")) == 2
+    io.write_metrics(df, f"file://{tmp_path}/metrics")
+    assert len(glob.glob(f"{tmp_path}/metrics/csv/*.csv")) == len(glob.glob(f"{tmp_path}/metrics/json/*.json")) == 1

@@ -14,9 +14,10 @@ from newsloom.llm.components import components
 from newsloom.llm.work import bounded_batches, materialize, need_integral, released
 
 THRESHOLD = 0.95
-#: Vectors per pivot aimed at, pivots at most (all of them reach the driver), and rows of a block: a vector goes to as many
-#: tasks as its cell has blocks.
-CELL_ROWS, PIVOTS_MOST, BLOCK = 8192, 4096, 8192
+#: Vectors per pivot aimed at, and pivots at most (all of them reach the driver).
+CELL_ROWS, PIVOTS_MOST = 8192, 4096
+#: Rows of a block: a vector goes to as many tasks as its cell has blocks, a task holds two blocks. They grow with the root of the number of vectors.
+BLOCK_LEAST, BLOCK_MOST, BLOCK_GROWTH = 1024, 16384, 16
 #: Rows compared at a time within a block.
 STRIPE = 512
 
@@ -151,9 +152,10 @@ def joined(distinct: DataFrame, kind: str, threshold: float) -> DataFrame:
             yield pd.DataFrame({"cell": cells, "home": np.bincount(home, minlength=len(pivots)), "copies": np.bincount(cell, minlength=len(pivots))})
 
     sizes = distinct.select("v").mapInPandas(released(counted), "cell int, home long, copies long").groupBy("cell").agg(F.sum("home"), F.sum("copies")).collect()
+    block = min(BLOCK_MOST, max(BLOCK_LEAST, int(BLOCK_GROWTH * count**0.5)))
     blocks = np.zeros((len(pivots), 2), np.int64)
     for cell, home, copies in sizes:
-        blocks[cell] = -(-home // BLOCK), -(-copies // BLOCK)
+        blocks[cell] = -(-home // block), -(-copies // block)
 
     def dealt(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

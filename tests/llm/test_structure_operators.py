@@ -369,10 +369,11 @@ def brute_vectors(vectors, threshold=0.95):
     return hit.sum(1) - 1, least_reachable(len(x), np.argwhere(hit).tolist())
 
 
-@pytest.mark.parametrize(("cell", "block"), [(8192, 4096), (60, 25), (20, 7)])
+@pytest.mark.parametrize(("cell", "block"), [(8192, 16384), (60, 25), (20, 7)])
 def test_vectors_by_brute_force(spark, monkeypatch, cell, block):
     monkeypatch.setattr(vector_dedup, "CELL_ROWS", cell)
-    monkeypatch.setattr(vector_dedup, "BLOCK", block)
+    monkeypatch.setattr(vector_dedup, "BLOCK_LEAST", min(block, 1024))
+    monkeypatch.setattr(vector_dedup, "BLOCK_MOST", block)
     rng = np.random.default_rng(6)
     parts = [rng.normal(size=(250, 8))]
     for size, noise in ((60, 0.05), (30, 0.12), (10, 0.2)):

@@ -57,6 +57,40 @@ def cleaned_sql(expr: str, source: str) -> str:
 
 TOKENS_SQL = r"(len(regexp_extract_all({0}, '[\x{{4e00}}-\x{{9fff}}]')) + len(regexp_extract_all({0}, '[A-Za-z0-9]+(?:[-_][A-Za-z0-9]+)*')))"
 
+
+
+def quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def replaced_sql(expr: str, pattern: str, new: str, flags: str) -> str:
+    return f"regexp_replace({expr}, {quoted(pattern)}, {quoted(new)}, '{flags}')"
+
+
+def chain_sql(expr: str, cut: str, opening: str = "^ ") -> str:
+    """The whole cleaning chain for texts whose opening is a known one and which hold no entities, code or tail markers."""
+    t = SPACE.format(f"regexp_replace(trim(replace(replace({expr}, chr(8203), ''), chr(160), ' ')), {quoted(opening)}, '')")
+    for pattern in (X.URL, X.BARE_DOMAIN, X.HANDLE, X.PICTURE_LINK, X.PHOTO_BY):
+        t = replaced_sql(t, pattern, " ", "gi")
+    t = replaced_sql(SPACE.format(t), rf"\b{X.AGENCIES}\b", "[AGENCY]", "gi")
+    t = SPACE.format(replaced_sql(t, X.SAID_ON, " ", "gi"))
+    t = SPACE.format(replaced_sql(replaced_sql(t, X.TAG, " ", "gs"), X.NOT_KEPT, " ", "g"))
+    for pattern in X.BOILERPLATE:
+        t = replaced_sql(t, pattern, " ", "gi")
+    t = SPACE.format(t)
+    t = f"trim(CASE WHEN {cut} THEN {replaced_sql(t, X.READ_MORE, '', 'gsi')} ELSE {t} END)"
+    t = replaced_sql(t, X.SOURCE_LINK_TAIL, "", "gsi")
+    for pattern in X.SITE_NAMES:
+        t = replaced_sql(t, pattern, " ", "gi")
+    return f"lower({SPACE.format(t)})"
+
+
+NOTICE = {"before": "'- share this page with friends' || chr(10)"}
+NOISE_SQL, URL_SQL = quoted(f"(?i){X.LINE_NOISE}"), quoted(f"(?i){X.INLINE_URL}")
+LINES_SQL = f"(SELECT doc_id, trim(unnest(string_split(t, chr(10)))) AS x, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM {dec(**NOTICE)})"
+UNBULLETED_SQL = r"regexp_replace(x, '^[-*+•·▪◦0-9]+\s*', '')"
+FEW_URLS_SQL = f"length(coalesce(array_to_string(regexp_extract_all({{0}}, {URL_SQL}), ''), '')) / greatest(length({{0}}), 1) < 0.15"
+
 # --- articles: cleaning chain, labels, duplicates -------------------------------------------------------------------
 
 FLAGSHIP_CLEAN = "lower(" + SPACE.format(r"replace(replace(text, chr(8203), ''), chr(160), ' ')") + ")"
@@ -203,42 +237,69 @@ def url_ratio(spark, sf):
     return decorated(spark, sf, before=repr("https://example.com/a/very/long/path/of/a/page www.example.org ")).select("doc_id", (T.url_share(F.col("t")) >= X.URL_SHARE).alias("too_many"))
 
 
-@query()
+@query(f"SELECT doc_id, {SPACE.format('text')} AS cleaned FROM documents")
 def dateline_clean(spark, sf):
     ship(spark)
     return decorated(spark, sf, before=repr("LONDON, Jan. 5 (AP) - By John Smith and Jane Doe - ")).select("doc_id", E.dateline_clean(F.col("t")).alias("cleaned"))
 
 
-@query()
+REPORTED = {"before": repr("LONDON (Reuters) - "), "after": repr(" Read more at: x")}
+
+
+@query(f"SELECT doc_id, {chain_sql('t', 'coalesce(quality = 0, false)', r'^LONDON [(]Reuters[)] - ')} AS cleaned_content FROM {dec(**REPORTED)} LEFT JOIN labels USING (doc_id)")
 def clean_one_row_full(spark, sf):
-    d = decorated(spark, sf, before=repr("LONDON (Reuters) - "), after=repr(" Read more at: x")).join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
+    d = decorated(spark, sf, **REPORTED).join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
     return E.clean_articles(d, "t", "quality", "train").select("doc_id", "cleaned_content")
 
 
-@query()
+@query(f"""WITH c AS (SELECT doc_id, {chain_sql('t', 'true', r'^PARIS [(]AFP[)] - ')} AS c FROM {dec(before=repr('PARIS (AFP) - '))})
+SELECT doc_id, CASE WHEN c <> '' AND {TOKENS_SQL.format('c')} >= 5 THEN c END AS cleaned_content FROM c""")
 def clean_inference(spark, sf):
     return E.clean_articles(decorated(spark, sf, before=repr("PARIS (AFP) - ")), "t", mode="inference").select("doc_id", "cleaned_content")
 
 
-@query()
+@query(f"""WITH c AS (SELECT d.doc_id, quality, {chain_sql('text', 'quality = 0')} AS c FROM documents d JOIN labels l USING (doc_id)),
+k AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY doc_id) AS r FROM c WHERE quality IN (0, 1) AND c <> '' AND {TOKENS_SQL.format('c')} >= 5
+      AND NOT regexp_matches(c, 'alternate current radio network|social rejects club|direct download episode'))
+SELECT c AS text, CAST(quality AS INT) AS label FROM k WHERE r = 1""")
 def training_table(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
     return ingest.training_table(E.clean_articles(d, "text", "quality", "train", "cleaned"), "cleaned", "quality", ["doc_id"])
 
 
-@query()
+@query(f"""WITH l AS (SELECT doc_id, i, regexp_replace({UNBULLETED_SQL}, '(?i)(?:閱讀全文|Read more|更多)$', '') AS x FROM {LINES_SQL} WHERE NOT regexp_matches(x, {NOISE_SQL}) AND {FEW_URLS_SQL.format('x')} AND length(x) >= 15),
+b AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(string_agg(x, ' ' ORDER BY i), {URL_SQL}, ' ', 'g'), '([。．.!?？！;:])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS b FROM l WHERE trim(x) <> '' GROUP BY doc_id),
+s AS (SELECT doc_id, trim(unnest(b)) AS s, generate_subscripts(b, 1) AS j FROM b),
+k AS (SELECT doc_id, string_agg(s, ' ' ORDER BY j) AS c FROM s WHERE length(s) >= 8 AND NOT regexp_matches(s, {NOISE_SQL}) AND {FEW_URLS_SQL.format('s')} GROUP BY doc_id)
+SELECT d.doc_id, coalesce({SPACE.format('c')}, '') AS cleaned FROM documents d LEFT JOIN k USING (doc_id)""")
 def strict_body_filter(spark, sf):
-    return decorated(spark, sf, before="'- share this page with friends' || chr(10)").select("doc_id", T.strict_body(F.col("t")).alias("cleaned"))
+    return decorated(spark, sf, **NOTICE).select("doc_id", T.strict_body(F.col("t")).alias("cleaned"))
 
 
-@query()
+@query(f"""SELECT d.doc_id, coalesce({SPACE.format('c')}, '') AS cleaned FROM documents d LEFT JOIN (SELECT doc_id, string_agg(regexp_replace({UNBULLETED_SQL}, {URL_SQL}, ' ', 'g'), ' ' ORDER BY i) AS c FROM {LINES_SQL}
+WHERE length(x) >= 20 AND NOT regexp_matches(x, {NOISE_SQL}) AND len(regexp_extract_all(x, {URL_SQL})) < 2 GROUP BY doc_id) USING (doc_id)""")
 def frontier_body_filter(spark, sf):
-    return decorated(spark, sf, before="'- share this page with friends' || chr(10)").select("doc_id", T.frontier_body(F.col("t")).alias("cleaned"))
+    return decorated(spark, sf, **NOTICE).select("doc_id", T.frontier_body(F.col("t")).alias("cleaned"))
 
 
-@query()
+MARKED = {"before": "'# Head' || chr(10) || '> quoted' || chr(10) || '- item' || chr(10)", "after": "chr(10) || '## 延伸閱讀' || chr(10) || 'gone'"}
+
+
+@query(f"""WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM (SELECT doc_id, regexp_replace(text, '`[^`]+`', ' ', 'g') AS text FROM documents)),
+k AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY i) AS c FROM l WHERE x <> '' AND NOT regexp_matches(x, '^#{{1,6}}\\s+|^>\\s+|^([*+•·▪◦-]|[0-9]+[.)])\\s+|^(-{{3,}}|\\*{{3,}}|_{{3,}})\\s*$') GROUP BY doc_id),
+r AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(c, '\\*\\*|\\*|__|_', '', 'g'), '<[^>]+>', ' ', 'g'), {URL_SQL}, ' ', 'g') AS c FROM k)
+SELECT d.doc_id, coalesce(trim(regexp_replace(regexp_replace(regexp_replace(c, '\\s+', ' ', 'g'), '\\s*([。．.!?？！；;,:：，、])\\s*', '\\1', 'g'), '([。．!?？！])[。．!?？！]+', '\\1', 'g')), '') AS cleaned FROM documents d LEFT JOIN r USING (doc_id)""")
 def markdown_body(spark, sf):
-    return decorated(spark, sf, before="'# Head' || chr(10) || '> quoted' || chr(10) || '- item' || chr(10)", after="chr(10) || '## 延伸閱讀' || chr(10) || 'gone'").select("doc_id", T.short_run_cut(T.body_of_markdown(F.col("t"))).alias("cleaned"))
+    return decorated(spark, sf, **MARKED).select("doc_id", T.body_of_markdown(F.col("t")).alias("cleaned"))
+
+
+@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'A long enough opening, closed by its mark.' WHEN 1 THEN 'x y. z' ELSE CAST(event_id AS VARCHAR) || '。 b c。' END AS kept FROM events""")
+def short_run_cut(spark, sf):
+    """Three short words in a row without a closing mark end the text and go; fewer don't."""
+    opening, n = F.lit("A long enough opening, closed by its mark."), F.col("event_id").cast("string")
+    # blanks that don't part words here stand for the scripts this rule is for
+    text = F.when(F.col("event_id") % 3 == 0, F.concat(F.replace(opening, F.lit(" "), F.lit("\u2007")), F.lit(" one two three four"))).when(F.col("event_id") % 3 == 1, F.lit("x y. z")).otherwise(F.concat(n, F.lit("。 b c。")))
+    return table(spark, sf, "events").select("event_id", F.replace(T.short_run_cut(text), F.lit("\u2007"), F.lit(" ")).alias("kept"))
 
 
 # --- pages ----------------------------------------------------------------------------------------------------------
@@ -286,7 +347,10 @@ def url_normalize_exact(spark, sf):
     return table(spark, sf, "pages").select("page_id", U.normalize_url(F.col("url")).alias("normalized_url"))
 
 
-@query()
+CRAWL_SQL = KEY_SQL.replace("list_sort(", "(", 1).replace(r"CASE WHEN p = '/' THEN p ELSE regexp_replace(p, '/+$', '') END", "p").replace("AS normalized_url", "AS crawl_url")
+
+
+@query(CRAWL_SQL)
 def url_crawl_form(spark, sf):
     ship(spark)
     return table(spark, sf, "pages").select("page_id", U.normalize_url(F.col("url"), sort=False, keep_slash=True, keep_params=True).alias("crawl_url"))
@@ -676,12 +740,25 @@ def fuzzy_locate(spark, sf):
     return d.select("doc_id", F.explode(match.fuzzy_locate(three_sentences(), F.col("text"))).alias("m")).select("doc_id", "m.*")
 
 
+STAND_IN_SQL = r"list_avg(list_transform(list_filter(regexp_split_to_array(lower({0}), '\s+'), lambda x: x <> ''), lambda x: CAST('0x' || substr(sha256(x), 1, 8) AS BIGINT) / 4294967296.0))"
+SCORED_SQL = "SELECT *, 1 / (1 + exp(-8 * (z - 0.5) / 0.88)) AS p FROM"
+
+
+@query(f"""SELECT doc_id, CASE WHEN z IS NULL THEN -1 ELSE CAST(p >= 0.5 AS INT) END AS prediction, CASE WHEN z IS NULL THEN 0.5 ELSE round(p, 6) END AS probability_real, CASE WHEN z IS NULL THEN '無法分析' ELSE {BAND_SQL} END AS confidence_level
+FROM ({SCORED_SQL} (SELECT doc_id, {STAND_IN_SQL.format('text')} AS z FROM documents))""")
+def score_levels(spark, sf):
+    scored = scoring.score_articles(table(spark, sf, "documents"), "doc_id", "text")
+    return scored.select("doc_id", "prediction", F.round("probability_real", 6).alias("probability_real"), "confidence_level")
+
+
 @query()
 def score_articles(spark, sf):
     return scoring.score_articles(table(spark, sf, "documents"), "doc_id", "text")
 
 
-@query()
+@query(f"""WITH t AS (SELECT page_id, {HOST_SQL} AS domain, {HTML_SQL} AS text FROM pages), k AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY page_id) AS r FROM t WHERE {TOKENS_SQL.format('text')} >= 5),
+s AS ({SCORED_SQL} (SELECT domain, {STAND_IN_SQL.format('text')} AS z FROM k WHERE r = 1))
+SELECT domain, CAST(CASE WHEN p >= 0.8 THEN 1 WHEN p >= 0.6 THEN 2 WHEN p >= 0.4 THEN 3 WHEN p >= 0.2 THEN 4 ELSE 5 END AS INT) AS risk_level, count(*) AS n FROM s GROUP BY ALL""")
 def credibility_by_domain(spark, sf):
     """The flagship: pages to text, one row per content, scored by the stand-in, rated, counted by domain and risk."""
     ship(spark)

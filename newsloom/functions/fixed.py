@@ -192,3 +192,16 @@ ANSWERS = {
     "skipped_non_article": (3, "不分析", "非文章頁", "此為分類／導覽頁，非單篇文章，系統不予爬取與分析。"),
 }
 RECORDED_LABEL = "已收錄"
+
+#: Fixed patterns of Markdown and of the body filters, with what takes their place.
+MARKDOWN_STEPS = (
+    ("(?s)```.*?```", ""), (r"!\[([^\]]*)\]\((?:[^)]+)\)", "$1"), (r"\[([^\]]+)\]\((?:[^)]+)\)", "$1"), ("`([^`]+)`", "$1"),
+    (r"(?m)^\s{0,3}#{1,6}\s*", ""), (r"(?m)^\s{0,3}>\s?", ""), (r"(?m)^\s*[-*+]\s+", ""), (r"(?m)^\s*\d+\.\s+", ""),
+)
+BODY_SPANS = (("(?s)```.*?```", " "), (r"!\[[^\]]*\]\([^\)]*\)", " "), (r"\[([^\]]+)\]\((https?://[^\)]+)\)", "$1"), ("`[^`]+`", " "))
+MD_HEADING_LINE = r"^\s{0,3}#{1,6}\s+.*$"
+MD_OTHER_LINE = r"^\s{0,3}>\s+.*$|^\s{0,3}([*\-\+•·▪◦]|[0-9]+[.)])\s+|^\s{0,3}([-*_])\2{2,}\s*$"
+BODY_ENDS = ((r"\*\*|\*|__|_", ""), (TAG, " "), (f"(?i){INLINE_URL}", " "), (r"(?U)\s+", " "), (r"(?U)\s*([。．.!?？！；;,:：，、])\s*", "$1"), (r"([。．!?？！])[。．!?？！]+", "$1"))
+BODY_BULLETS = r"^[\-\*\+•·▪◦\d]+\s*"
+BODY_READ_ON = "(?:閱讀全文|Read more|更多)$"
+BODY_SENTENCE_END = r"(?<=[。．.!?？！])\s+|(?<=[;:;])\s+"

@@ -137,27 +137,19 @@ def is_empty_html(html: Column, least: int = 20) -> Column:
 
 def markdown_to_text(md: Column) -> Column:
     """Markup goes, the words of links, pictures, headings, quotes and lists stay."""
-    steps = (
-        ("(?s)```.*?```", ""), (r"!\[([^\]]*)\]\((?:[^)]+)\)", "$1"), (r"\[([^\]]+)\]\((?:[^)]+)\)", "$1"), ("`([^`]+)`", "$1"),
-        (r"(?m)^\s{0,3}#{1,6}\s*", ""), (r"(?m)^\s{0,3}>\s?", ""), (r"(?m)^\s*[-*+]\s+", ""), (r"(?m)^\s*\d+\.\s+", ""),
-    )
-    return normalize_space(reduce(lambda c, s: F.regexp_replace(c, *s), steps, md))
+    return normalize_space(reduce(lambda c, s: F.regexp_replace(c, *s), X.MARKDOWN_STEPS, md))
 
 
 def body_of_markdown(md: Column) -> Column:
     """Running text alone: headings, quotes, list items and rules go, and all from a related-articles heading on."""
-    s = md
-    for pattern, new in (("(?s)```.*?```", " "), (r"!\[[^\]]*\]\([^\)]*\)", " "), (r"\[([^\]]+)\]\((https?://[^\)]+)\)", "$1"), ("`[^`]+`", " ")):
-        s = F.regexp_replace(s, pattern, new)
+    s = reduce(lambda c, x: F.regexp_replace(c, *x), X.BODY_SPANS, md)
     lines = F.filter(F.transform(F.split(s, r"\r\n|[\n\r\x0b\f\x1c-\x1e\x85\u2028\u2029]"), py_strip), lambda x: x != "")
-    heading = lambda x: F.regexp_like(x, F.lit(r"^\s{0,3}#{1,6}\s+.*$"))
+    heading = lambda x: F.regexp_like(x, F.lit(X.MD_HEADING_LINE))
     related = lambda x: heading(x) & reduce(lambda a, w: a | F.contains(x, F.lit(w)), X.RELATED_HEADINGS, F.lit(False))
     stop = F.array_position(F.transform(lines, related), F.lit(True))
     kept = F.when(stop > 0, F.slice(lines, F.lit(1), (stop - 1).cast("int"))).otherwise(lines)
-    other = r"^\s{0,3}>\s+.*$|^\s{0,3}([*\-\+•·▪◦]|[0-9]+[.)])\s+|^\s{0,3}([-*_])\2{2,}\s*$"
-    s = F.array_join(F.filter(kept, lambda x: ~heading(x) & ~F.regexp_like(x, F.lit(other))), "\n")
-    for pattern, new in ((r"\*\*|\*|__|_", ""), (X.TAG, " "), (f"(?i){X.INLINE_URL}", " "), (r"(?U)\s+", " "), (r"(?U)\s*([。．.!?？！；;,:：，、])\s*", "$1"), (r"([。．!?？！])[。．!?？！]+", "$1")):
-        s = F.regexp_replace(s, pattern, new)
+    s = F.array_join(F.filter(kept, lambda x: ~heading(x) & ~F.regexp_like(x, F.lit(X.MD_OTHER_LINE))), "\n")
+    s = reduce(lambda c, x: F.regexp_replace(c, *x), X.BODY_ENDS, s)
     return py_strip(s)
 
 
@@ -175,9 +167,9 @@ def strict_body(t: Column) -> Column:
     """Lines, then sentences, without notices, link lists and scraps."""
     lines = F.filter(F.transform(F.split(F.regexp_replace(t, r"[ \t]*\n+[ \t]*", "\n"), "\n"), py_strip), lambda x: x != "")
     lines = F.filter(lines, lambda x: ~is_noise_line(x) & (url_share(x) < X.URL_SHARE) & (F.length(x) >= 15))
-    lines = F.transform(lines, lambda x: F.regexp_replace(F.regexp_replace(x, r"(?U)^[\-\*\+•·▪◦•\d]+\s*", ""), "(?i)(?:閱讀全文|Read more|更多)$", ""))
+    lines = F.transform(lines, lambda x: F.regexp_replace(F.regexp_replace(x, f"(?U){X.BODY_BULLETS}", ""), f"(?i){X.BODY_READ_ON}", ""))
     blob = F.regexp_replace(F.array_join(F.filter(lines, lambda x: py_strip(x) != ""), " "), f"(?i){X.INLINE_URL}", " ")
-    sentences = F.transform(F.split(blob, r"(?U)(?<=[。．.!?？！])\s+|(?<=[;:;])\s+"), py_strip)
+    sentences = F.transform(F.split(blob, f"(?U){X.BODY_SENTENCE_END}"), py_strip)
     sentences = F.filter(sentences, lambda x: (F.length(x) >= 8) & ~is_noise_line(x) & (url_share(x) < X.URL_SHARE))
     return normalize_space(F.array_join(sentences, " "))
 
@@ -185,13 +177,13 @@ def strict_body(t: Column) -> Column:
 def frontier_body(t: Column) -> Column:
     """The lighter body filter: lines without notices, of 20 characters and more, with one URL at most; bullets and URLs go."""
     lines = F.filter(F.transform(F.split(t, "\n"), py_strip), lambda x: (F.length(x) >= 20) & ~is_noise_line(x) & (F.regexp_count(x, F.lit(f"(?i){X.INLINE_URL}")) < 2))
-    lines = F.transform(lines, lambda x: F.regexp_replace(F.regexp_replace(x, r"(?U)^[\-\*\+•·▪◦\d]+\s*", ""), f"(?i){X.INLINE_URL}", " "))
+    lines = F.transform(lines, lambda x: F.regexp_replace(F.regexp_replace(x, f"(?U){X.BODY_BULLETS}", ""), f"(?i){X.INLINE_URL}", " "))
     return normalize_space(F.array_join(lines, " "))
 
 
 def keep_paragraph(p: Column, least: int = X.PARAGRAPH_LEAST) -> Column:
     s = py_strip(p)
-    return (F.length(s) >= least) & ~F.regexp_like(s, F.lit(f"(?i){X.PARAGRAPH_NOISE}")) & ((F.length(s) >= X.PARAGRAPH_SURE) | F.regexp_like(s, F.lit(X.SENTENCE_END)))
+    return (F.length(s) >= least) & ~F.regexp_like(s, F.lit(f"(?i){X.PARAGRAPH_NOISE}")) & ((F.length(s) >= X.PARAGRAPH_SURE) | F.regexp_like(s, F.lit(X.BODY_SENTENCE_END)))
 
 
 def keyword_cut(t: Column, words=X.CUT_WORDS, from_start: bool = True) -> Column:
@@ -251,4 +243,4 @@ def is_block_status(status: Column) -> Column:
 
 
 def sentence_marks(t: Column) -> Column:
-    return F.regexp_count(t, F.lit(X.SENTENCE_END))
+    return F.regexp_count(t, F.lit(X.BODY_SENTENCE_END))

@@ -41,8 +41,8 @@ class Service:
         to_fetch = unknown.join(old.where("crawler_pushed").select("normalized_url"), "normalized_url", "left_anti").where(rules.is_supported(F.col("normalized_url"), hosts) if hosts else F.lit(True))
         pushed = to_fetch.select("normalized_url", F.lit(True).alias("now_pushed"))
         marked = seen.join(pushed, "normalized_url", "left").withColumn("crawler_pushed", F.coalesce("now_pushed", F.lit(False))).drop("now_pushed")
-        merged = old.unionByName(marked).groupBy("normalized_url").agg(F.max("domain").alias("domain"), F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"), F.sum("seen_count").alias("seen_count"), F.bool_or("crawler_pushed").alias("crawler_pushed"))
-        self.sightings.replace(merged.select([f.name for f in schemas.of(schemas.SIGHTINGS)]), batch)
+        totals = [F.max("domain").alias("domain"), F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"), F.sum("seen_count").alias("seen_count"), F.bool_or("crawler_pushed").alias("crawler_pushed")]
+        self.sightings.update(marked, batch, lambda old, new: old.unionByName(new).groupBy("normalized_url").agg(*totals))
         return labels, to_fetch
 
     def check(self, urls: DataFrame) -> DataFrame:
@@ -62,7 +62,7 @@ class Service:
     def save_urls(self, urls: DataFrame, now, batch: int) -> None:
         """Sightings of URLs that aren't known yet; known ones stay as they are."""
         new = self.keyed(urls).select("normalized_url", host_of(F.col("normalized_url")).alias("domain"), F.lit(now).cast("timestamp").alias("first_seen_at"), F.lit(now).cast("timestamp").alias("last_seen_at"), F.lit(1).cast("long").alias("seen_count"), F.lit(False).alias("crawler_pushed"))
-        self.sightings.replace(state.insert_if_absent(self.sightings.read(), new, ["normalized_url"], ["first_seen_at"]), batch)
+        self.sightings.update(new, batch, lambda old, new: state.insert_if_absent(old, new, ["normalized_url"], ["first_seen_at"]))
 
     def unknown_urls(self, status: str | None = None, most: int = 100) -> DataFrame:
         current = state.latest_status(self.log.read(), "normalized_url", "crawl_status")
@@ -71,10 +71,10 @@ class Service:
     def mark(self, urls: DataFrame, status: str, now, batch: int, job: str | None = None) -> None:
         """Append a status to the log of each URL."""
         rows = self.keyed(urls).select("normalized_url", F.lit(status).alias("crawl_status"), F.lit(now).cast("timestamp").alias("updated_at"), F.lit(batch).cast("long").alias("seq"), F.lit(job).cast("string").alias("job_id"))
-        self.log.replace(self.log.read().unionByName(rows), batch)
+        self.log.update(rows, batch, lambda old, new: old.unionByName(new))
 
     def run_pipeline(self, articles: DataFrame, now, batch: int, scorer: Callable = stand_in) -> None:
         """Clean, score and rate saved articles, and merge the analyses by URL."""
         made = micro_batch.analysed(articles, scorer).withColumns({"analysis_time": F.lit(now).cast("timestamp"), "raw_label": F.col("confidence_level")})
         columns = [(F.col(f.name) if f.name in made.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.of(schemas.ANALYSES)]
-        self.analyses.replace(state.upsert(self.analyses.read(), made.select(columns), ["normalized_url"], ["analysis_time"]), batch)
+        self.analyses.update(made.select(columns), batch, lambda old, new: state.upsert(old, new, ["normalized_url"], ["analysis_time"]))

@@ -40,6 +40,12 @@ def computed_once(df: DataFrame) -> DataFrame:
     return df.withColumn("__once", F.monotonically_increasing_id()).where("__once >= 0").drop("__once")
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder on any file system that Spark knows; none there is no error."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 _local: dict[str, str] = {}
 
 

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from newsloom.functions.text_exact import clean_articles
 from newsloom.functions.urls import normalize_url
 from newsloom.operators.scoring import risk_of, score_articles, stand_in
+from newsloom.session import delete
 from newsloom.sources import schemas
 
 
@@ -31,45 +32,73 @@ def analysed(rows: DataFrame, scorer: Callable = stand_in) -> DataFrame:
 
 
 class Table:
-    """A Parquet table that is replaced as a whole: each version is a folder of its own, and one row names the current one.
+    """A Parquet table by key, cut into parts by a hash of the key. An update writes the parts that its keys fall into anew; a
+    manifest per batch names the folder of every part, so readers see one batch or the next, never a mix.
 
-    A batch that is repeated after a failure finds its own number and does nothing, so a merge happens once.
+    A batch that is repeated after a failure finds its own number and does nothing, so a merge happens once. The last
+    `keep` manifests and what they name stay; older folders are deleted, so a reader has that many batches' time.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path, schema
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str = "normalized_url", parts: int = 32, keep: int = 3):
+        self.spark, self.path, self.schema, self.key, self.parts, self.keep = spark, path, schema, key, parts, keep
 
-    def versions(self) -> DataFrame | None:
+    def manifests(self) -> dict[int, dict[int, str]]:
+        """batch -> part -> folder; `keep` manifests of `parts` rows at most."""
         try:
-            df = self.spark.read.schema("batch long, folder string").parquet(f"{self.path}/versions")
-            return df if not df.isEmpty() else None
+            rows = self.spark.read.schema("part int, folder string, batch long").parquet(f"{self.path}/versions").collect()
         except Exception as e:
             if "PATH_NOT_FOUND" in str(e):
-                return None
+                return {}
             raise
+        found: dict[int, dict[int, str]] = {}
+        for r in rows:
+            found.setdefault(r["batch"], {})[r["part"]] = r["folder"]
+        return found
+
+    def rows_of(self, folders: list[str]) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*folders) if folders else self.spark.createDataFrame([], self.schema)
 
     def read(self) -> DataFrame:
-        v = self.versions()
-        if v is None:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(v.orderBy(F.col("batch").desc()).first()["folder"])
-
-    def replace(self, df: DataFrame, batch: int) -> None:
-        v = self.versions()
-        if v is not None and not v.where(F.col("batch") >= batch).isEmpty():
+        found = self.manifests()
+        return self.rows_of([f for f in found[max(found)].values() if f] if found else [])
+
+    def update(self, new: DataFrame, batch: int, merged: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+        """Put merged(old rows, new rows) in place of the parts that the new rows' keys fall into."""
+        found = self.manifests()
+        if found and max(found) >= batch:
             return
+        part = F.pmod(F.xxhash64(self.key), F.lit(self.parts)).cast("int")
+        columns = [f.name for f in schemas.of(self.schema)]
         folder = f"{self.path}/data-{batch}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(folder)
-        self.spark.createDataFrame([(batch, folder)], "batch long, folder string").coalesce(1).write.mode("append").parquet(f"{self.path}/versions")
+        arrived = f"{folder}/new"
+        new.select(columns).write.parquet(arrived)  # computed once
+        new = self.rows_of([arrived])
+        touched = sorted(r[0] for r in new.select(part).distinct().collect())
+        current = dict(found[max(found)]) if found else {}
+        old = self.rows_of([current[p] for p in touched if current.get(p)])
+        merged(old, new).select(*columns, part.alias("part")).repartition("part").write.partitionBy("part").parquet(f"{folder}/rows")
+        current |= {p: f"{folder}/rows/part={p}" for p in touched}
+        rows = self.spark.createDataFrame(sorted(current.items()) or [(0, "")], "part int, folder string")
+        rows.coalesce(1).write.parquet(f"{self.path}/versions/batch={batch}")
+        delete(self.spark, arrived)
+        found[batch] = current
+        live = sorted(found)[-self.keep :]
+        used = {f for b in live for f in found[b].values()}
+        for b in sorted(found)[: -self.keep]:
+            for f in set(found[b].values()) - used - {""}:
+                delete(self.spark, f)
+            delete(self.spark, f"{self.path}/versions/batch={b}")
 
 
 def run_analyses(spark: SparkSession, folder: str, target: Table, checkpoint: str, scorer: Callable = stand_in, once: bool = True, form: str = "csv") -> StreamingQuery:
     """Each micro-batch of article files is analysed and merged into target by normalized URL; the checkpoint is the single-writer lock."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        new = analysed(batch, scorer).withColumn("batch", F.lit(number).cast("long")).select(*[f.name for f in schemas.of(target.schema)])
-        both = target.read().unionByName(new)
-        target.replace(both.groupBy("normalized_url").agg(F.max_by(F.struct(*both.columns), F.struct("batch", "probability_real")).alias("r")).select("r.*"), number)
+        target.update(analysed(batch, scorer).withColumn("batch", F.lit(number).cast("long")), number, latest)
+
+    def latest(old: DataFrame, new: DataFrame) -> DataFrame:
+        both = old.unionByName(new)
+        return both.groupBy("normalized_url").agg(F.max_by(F.struct(*both.columns), F.struct("batch", "probability_real")).alias("r")).select("r.*")
 
     writer = article_files(spark, folder, form=form).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()

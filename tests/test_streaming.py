@@ -21,11 +21,24 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 5
 
 
-def test_repeated_batch_does_nothing(spark, tmp_path):
-    t = M.Table(spark, str(tmp_path), "a int")
-    t.replace(spark.range(3).selectExpr("cast(id as int) a"), 0)
-    t.replace(spark.range(9).selectExpr("cast(id as int) a"), 0)
-    assert t.read().count() == 3
+def test_tables_update_parts(spark, tmp_path):
+    """A repeated batch does nothing; an update leaves other parts' folders alone; old folders go, what is current stays."""
+    import glob
+
+    t = M.Table(spark, str(tmp_path), "a int, v int", key="a", parts=8, keep=2)
+    newest = lambda old, new: old.join(new, "a", "left_anti").unionByName(new)
+    t.update(spark.range(50).selectExpr("cast(id as int) a", "0 v"), 0, newest)
+    t.update(spark.range(90).selectExpr("cast(id as int) a", "9 v"), 0, newest)
+    assert t.read().count() == 50 and t.read().agg(F.max("v")).first()[0] == 0
+    before = t.manifests()[0]
+    t.update(spark.range(1).selectExpr("cast(id as int) a", "1 v"), 1, newest)
+    after = t.manifests()[1]
+    assert sum(before[p] != after[p] for p in before) == 1
+    for batch in range(2, 7):
+        t.update(spark.range(50, 55).selectExpr("cast(id as int) a", f"{batch} v"), batch, newest)
+    assert sorted(t.manifests()) == [5, 6] and len(glob.glob(f"{tmp_path}/versions/batch=*")) == 2
+    assert sorted(map(tuple, t.read().collect())) == sorted([(0, 1), *[(i, 0) for i in range(1, 50)], *[(i, 6) for i in range(50, 55)]])
+    assert not glob.glob(f"{tmp_path}/data-3-*/rows/part=*") and not glob.glob(f"{tmp_path}/data-*/new")
 
 
 def test_sightings_stream(spark, tmp_path):

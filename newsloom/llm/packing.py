@@ -30,7 +30,7 @@ PRICED, TAIL, TAIL_WORTHS = 192, 64, (1.05, 1.2, 1.5, 2.0, 1.0)
 #: Rows of one length are ranked in buckets of about this many rows, or as many more as keep the buckets of all lengths below BUCKETS_MOST.
 RANK_ROWS, BUCKETS_MOST = 128, 65536
 #: Kept stretches, and how many new ones the tokenizer gets in one call.
-WORDS_KEPT, WORDS_AT_ONCE = 150_000, 500
+WORDS_KEPT, WORDS_AT_ONCE = 120_000, 500
 #: Longer ones aren't kept.
 WORD_CHARS = 64
 BLANKS = re.compile(r"[ \t-\r]+")
@@ -170,7 +170,7 @@ def word_tokens(path: str) -> WordTokens:
 
 def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, piece, start, length, ids_crc32 and doc_tokens: a document's ids and END_ID, cut only where longer than capacity."""
-    bounded_batches(docs.sparkSession, 4096, 8 << 20)  # the more texts, the rarer a word is met again in another batch
+    bounded_batches(docs.sparkSession, 4096, 5 << 20)  # the more texts, the rarer a word is met again in another batch
     end = np.array([END_ID], "<u4").tobytes()
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

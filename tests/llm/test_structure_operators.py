@@ -420,6 +420,22 @@ def test_pipeline_stages(spark):
     assert set(packed.index) == set(clean.index)
 
 
+def test_pipeline_stages_odd(spark, odd, none, tmp_path):
+    """Null keys and texts, empty and long texts, repeated rows, other columns of clashing names and empty tables, through every stage."""
+    spark.createDataFrame([(1, 1), (2, 0), (3, None), (None, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    more = {"lang": F.lit(None).cast("string"), "source": F.lit("s"), "n_chars": F.length("text")}
+    for rows in (odd, none):
+        docs = rows.withColumns(more)
+        n = docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            got = out.select(out.columns[0], out.columns[1]).collect()
+            assert len(got) <= n if name != "best_fit_packing" else len({(r[0]) for r in got}) == len({r[0] for r in docs.select("doc_id").collect()})
+            assert name == "best_fit_packing" or out.columns == list(corpus_pipeline.COLUMNS)
+            if name in ("line_dedup", "secret_scans"):
+                assert len(got) == n and sum(r["text"] is None for r in got) == docs.where("text is null").count()
+
+
 def test_pipeline_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0

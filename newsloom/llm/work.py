@@ -36,6 +36,27 @@ def released(batches: Callable[[Iterator], Iterator]) -> Callable[[Iterator], It
     return run
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most `rows` rows and `size` bytes; a longer row is a piece of its own. The session's own
+    settings bound what one batch brings (10,000 rows and 64 MB unless they say otherwise) and stay as they are."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            rest = [batch.slice(first, rows)]
+            while rest:
+                piece = rest.pop()
+                if piece.num_rows > 1 and piece.nbytes > size:
+                    half = piece.num_rows // 2
+                    rest += [piece.slice(half), piece.slice(0, half)]
+                else:
+                    yield piece
+
+
+def in_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> DataFrame:
+    """df.mapInArrow(work, schema), where work gets pieces of bounded size."""
+    ship(df.sparkSession)
+    return df.mapInArrow(released(lambda batches: work(sliced(batches, rows, size))), schema)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: cuts lineage and survives lost executors."""
     spark = df.sparkSession

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import bpe, line_dedup, near_dedup, packing, quality, search, secrets, sharding, simhash, vector_dedup, warc
+from newsloom.llm import bpe, line_dedup, near_dedup, packing, phrases, quality, search, secrets, sharding, simhash, vector_dedup, warc
 from newsloom.llm.work import table
 
 
@@ -107,6 +107,10 @@ FROM m
 """
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -116,4 +120,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE_SQL, "op7_minhash_near_dedup": OP7_SQL, "op8_arc_to_warc": OP8_SQL, "op9_embedding_near_dedup": OP9_SQL, "op13_ranked_search": search.ORACLE_SQL}
+    return {"op1_line_dedup": line_dedup.ORACLE_SQL, "op7_minhash_near_dedup": OP7_SQL, "op8_arc_to_warc": OP8_SQL, "op9_embedding_near_dedup": OP9_SQL, "op11_phrase_mining": phrases.ORACLE_SQL, "op13_ranked_search": search.ORACLE_SQL}

@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from newsloom.llm import search
+from newsloom.llm import phrases, search
 from tests.llm.conftest import docs_of
 
 TERM = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
@@ -70,3 +70,77 @@ def test_search_impacts_stay_exact():
     big = 1 << 45
     got = search.impact(np.array([3]), np.array([big]), 1 << 20, 1 << 50)
     assert got.tolist() == [3_000_000_000 // (3000 + 12 * (75 + 25 * big * (1 << 20) // (1 << 50)))]
+
+
+# --- phrases -----------------------------------------------------------------------------------------------------------
+
+
+def brute_phrases(docs, least=100, top=2000):
+    """(lang, rank, phrase, a, l, r, n, score) straight from the definitions; the longer candidates are all looked at."""
+    f, n = Counter(), Counter()
+    for text, lang in docs:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\n-\r]", (text or "").translate(LOWER)):
+            w = re.findall("[^ \t]+", piece)
+            n[lang] += len(w)
+            f.update((lang, tuple(w[i : i + size])) for size in range(1, 6) for i in range(len(w) - size + 1))
+    out = []
+    for lang in n:
+        own = {p: a for (x, p), a in f.items() if x == lang and len(p) > 1 and a >= least}
+        rows = []
+        for p, a in own.items():
+            if any(len(q) > len(p) and 100 * b >= 100 * a and any(q[i : i + len(p)] == p for i in range(len(q))) for q, b in own.items()):
+                continue
+            score, k = min((1000 * a * n[lang] // (f[lang, p[:k]] * f[lang, p[k:]]), k) for k in range(1, len(p)))
+            rows.append((-score, -a, " ".join(p).encode(), f[lang, p[:k]], f[lang, p[k:]]))
+        out += [(lang, i + 1, p.decode(), -a, left, right, n[lang], -s) for i, (s, a, p, left, right) in enumerate(sorted(rows)[:top])]
+    return sorted(out)
+
+
+def phrase_docs():
+    rng = random.Random(11)
+    docs = []
+    for _ in range(400):
+        words = [f"w{min(int(rng.expovariate(0.4)), 30)}" for _ in range(rng.choice([0, 3, 40]))]
+        text = "".join(w + rng.choice([" ", " ", "  ", "\t", ", ", ".", "\n", "\x1f"]) for w in words)
+        docs.append((text.replace("w2 ", "one Two three four five SIX "), rng.choice(["en", "fr", None, "und"])))
+    docs += [("ab ab ab ab ab ab " * 40, "en"), ("é É 日 本 é É 日 本 " * 60, "fr"), (None, "en"), ("", None), ("x " * 20_000, "")]
+    return docs
+
+
+def test_phrases_by_brute_force(spark, monkeypatch):
+    """Prefixes split over tasks, and filters so small that they let everything through, give what whole ones give."""
+    docs = phrase_docs()
+    df = spark.createDataFrame(docs, "text string, lang string").repartition(3)
+    want = brute_phrases(docs, 20)
+    assert len(want) > 30 and {len(r[2].split()) for r in want} == {2, 3, 4, 5}
+    got = lambda **x: sorted(map(tuple, phrases.collocations(df, **x).collect()))
+    assert got(least=20) == want
+    assert got(least=20, top=7) == brute_phrases(docs, 20, 7)
+    monkeypatch.setattr(phrases, "GROUP_ROWS", 8)
+    monkeypatch.setattr(phrases, "PAIRS_SPLIT", 2)
+    monkeypatch.setattr(phrases, "FILTER_BITS", 7)
+    monkeypatch.setattr(phrases, "TEXT_BYTES", 500)
+    assert got(least=20) == want
+
+
+def test_phrase_scores_stay_exact(spark):
+    """Products of counts beyond 64 bits, and a cut chosen after flooring."""
+    a, big = 9_000_000_000_000_000, 9_100_000_000_000_000
+    counts = spark.createDataFrame([("en", "", 9_223_372_036_854_775_807), ("en", "p", big), ("en", "q", big + 1), ("en", "s", big + 2), ("en", "p q", a), ("en", "q s", a + 1), ("en", "p q s", a - 7)], "lang string, phrase string, n long")
+    f = {r["phrase"]: r["n"] for r in counts.collect()}
+    cut = lambda p, k: (1000 * f[p] * f[""] // (f[" ".join(p.split()[:k])] * f[" ".join(p.split()[k:])]), k)
+    got = {r["phrase"]: (r["score"], r["l"], r["r"]) for r in phrases.scored(counts).collect()}
+    want = {}
+    for p in ("p q", "q s", "p q s"):
+        score, k = min(cut(p, k) for k in range(1, len(p.split())))
+        want[p] = (score, f[" ".join(p.split()[:k])], f[" ".join(p.split()[k:])])
+    assert got == want
+
+
+def test_phrases_on_odd_input(spark, odd, none):
+    lang = lambda df: df.withColumn("lang", F.lit(None).cast("string"))
+    docs = [(r["text"], None) for r in odd.collect()]
+    got = sorted(map(tuple, phrases.collocations(lang(odd).withColumn("phrase", F.lit("x")), least=2).collect()))
+    assert got == brute_phrases(docs, 2) and got[0][0] == "und"
+    assert phrases.collocations(lang(none)).count() == 0

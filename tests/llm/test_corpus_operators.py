@@ -87,9 +87,10 @@ def brute_phrases(docs, least=100, top=2000):
     out = []
     for lang in n:
         own = {p: a for (x, p), a in f.items() if x == lang and len(p) > 1 and a >= least}
+        inner = {q[i:j]: (q, b) for q, b in own.items() for i in range(len(q)) for j in range(i + 2, len(q) + 1) if j - i < len(q) and 100 * b >= 100 * own[q[i:j]]}
         rows = []
         for p, a in own.items():
-            if any(len(q) > len(p) and 100 * b >= 100 * a and any(q[i : i + len(p)] == p for i in range(len(q))) for q, b in own.items()):
+            if p in inner:
                 continue
             score, k = min((1000 * a * n[lang] // (f[lang, p[:k]] * f[lang, p[k:]]), k) for k in range(1, len(p)))
             rows.append((-score, -a, " ".join(p).encode(), f[lang, p[:k]], f[lang, p[k:]]))

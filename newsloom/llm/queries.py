@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import bpe, line_dedup, near_dedup, packing, phrases, quality, search, secrets, sharding, simhash, vector_dedup, warc
+from newsloom.llm import bpe, context_tree, line_dedup, near_dedup, packing, phrases, quality, search, secrets, sharding, simhash, vector_dedup, warc
 from newsloom.llm.work import table
 
 
@@ -111,6 +111,10 @@ def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

@@ -3,12 +3,13 @@
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from newsloom.llm import phrases, search
+from newsloom.llm import context_tree, phrases, search
 from tests.llm.conftest import docs_of
 
 TERM = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
@@ -145,3 +146,130 @@ def test_phrases_on_odd_input(spark, odd, none):
     got = sorted(map(tuple, phrases.collocations(lang(odd).withColumn("phrase", F.lit("x")), least=2).collect()))
     assert got == brute_phrases(docs, 2) and got[0][0] == "und"
     assert phrases.collocations(lang(none)).count() == 0
+
+
+# --- context trees -------------------------------------------------------------------------------------------------------
+
+
+class SlowTree:
+    """The weighted tree in dictionaries: counts of every (depth, context, decision), recursion for the probabilities."""
+
+    def __init__(self, texts, depth=5):
+        self.n, self.depth, self.children, self.kept = Counter(), depth, {}, {}
+        for t in texts:
+            data = b"\xff" * depth + t + b"\xff"
+            for i in range(depth, len(data)):
+                for d in range(depth + 1):
+                    context = data[i - d : i]
+                    if d:
+                        self.children.setdefault(context[1:], set()).add(context)
+                    for k in range(8):
+                        self.n[context, k, data[i] >> (8 - k), data[i] >> (7 - k) & 1] += 1
+
+    def counts(self, context, k, prefix):
+        return self.n[context, k, prefix, 0], self.n[context, k, prefix, 1]
+
+    def own(self, context, k, prefix):
+        a, b = self.counts(context, k, prefix)
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    def below(self, context, k, prefix):
+        return sum(self.weighted(c, k, prefix) for c in self.children.get(context, ()))
+
+    def weighted(self, context, k, prefix):
+        at = context, k, prefix
+        if at not in self.kept:
+            own = self.own(*at)
+            if len(context) < self.depth:
+                other = self.below(*at)
+                top = max(own, other)
+                own = top + math.log(math.exp(own - top) + math.exp(other - top)) - math.log(2)
+            self.kept[at] = own
+        return self.kept[at]
+
+    def log10(self, context, byte):
+        total = 0.0
+        for k in range(8):
+            prefix, bit = byte >> (8 - k), byte >> (7 - k) & 1
+            p = None
+            for d in range(self.depth, -1, -1):
+                at = context[len(context) - d :], k, prefix
+                n = self.counts(*at)
+                if sum(n):
+                    kt = (n[bit] + 0.5) / (sum(n) + 1)
+                    w = 1 if p is None else 1 / (1 + math.exp(min(700, self.below(*at) - self.own(*at))))
+                    p = w * kt + (1 - w) * (p or 0)
+            total += math.log10(0.5 if p is None else p)
+        return total
+
+
+def brute_scores(docs):
+    """key -> held out, tokens, known, training tokens, base score, score."""
+    held = [zlib.crc32(("" if k is None else str(k)).encode()) % 7 == 2 for k, _ in docs]
+    texts = [(t or "").translate(LOWER) for _, t in docs]
+    tokens = [[*re.findall("[^ \t-\r]+", t), None] for t in texts]
+    c = Counter(w for own, h in zip(tokens, held) if not h for w in own)
+    n, v = sum(c.values()), len(c)
+    tree = SlowTree([t.encode() for t, h in zip(texts, held) if not h])
+    out = []
+    for (k, _), h, t, own in zip(docs, held, texts, tokens):
+        data = b"\xff" * 5 + t.encode() + b"\xff"
+        score = sum(tree.log10(data[i - 5 : i], data[i]) for i in range(5, len(data)))
+        out.append((k, h, len(own), sum(c[w] > 0 for w in own), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in own), score))
+    return out
+
+
+def close(got, want):
+    rank = lambda r: (repr(r[:5]), r[5])
+    got, want = sorted((tuple(r)[:7] for r in got), key=rank), sorted(want, key=rank)
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    for a, b in zip(got, want):
+        assert a[5:] == pytest.approx(b[5:], rel=1e-9, abs=1e-9)
+
+
+def test_tree_by_brute_force(spark, monkeypatch):
+    """One block or many, small slices and merges: the same scores, and those of the definition."""
+    rng = random.Random(12)
+    words = ["the", "The", "house", "of", "é", "日本", "and\x0b", "on", "", "x\x00y"]
+    docs = [(i, " ".join(rng.choices(words, k=rng.choice([0, 1, 5, 30])))) for i in range(60)] + [(None, "the house"), (70, None), (next(i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 7 == 2), "zzz unseen ZZZ"), (3, "the house of")]
+    want = brute_scores(docs)
+    assert sum(r[1] for r in want) > 4 and any(r[1] and r[3] < r[2] for r in want)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    close(context_tree.score_documents(df).collect(), want)
+    monkeypatch.setattr(context_tree, "BLOCK_BYTES", 300)
+    close(context_tree.score_documents(df).collect(), want)
+
+
+def test_tree_slices_and_sums_to_one(monkeypatch):
+    import numpy as np
+
+    texts = [b"abracadabra", b"", b"abba" * 9]
+    whole = [(k, o) for keys, owner in context_tree.grams_of(texts) for k, o in zip(keys.tolist(), owner.tolist())]
+    monkeypatch.setattr(context_tree, "SLICE", 4)
+    assert sorted(whole) == sorted((k, o) for keys, owner in context_tree.grams_of(texts) for k, o in zip(keys.tolist(), owner.tolist()))
+    assert len(whole) == sum(map(len, texts)) + 3
+    grams, n = context_tree.added(np.array([k for k, _ in whole], np.uint64), np.ones(len(whole), np.int64))
+    context = int(grams[5]) >> 8 << 8
+    every = np.array([context | b for b in range(256)], np.uint64)
+    tree = context_tree.Subtree(*context_tree.added(np.append(grams, every), np.append(n, np.zeros(256, np.int64))))
+    p = 10 ** tree.log10s(context_tree.tops_of(*tree.roots()))
+    assert p[np.isin(tree.keys, every)].sum() == pytest.approx(1)
+    keys, numbers = context_tree.unpacked(context_tree.packed(grams, n))
+    assert (keys == grams).all() and (numbers == n).all()
+
+
+def test_tree_on_odd_input(spark, odd, none):
+    got = context_tree.score_documents(odd)
+    rows = got.collect()
+    assert got.columns[0] == "doc_id" and len(rows) == odd.count() and all(r["score"] < 0 for r in rows)
+    by = {}
+    for r, t in zip(sorted(rows, key=lambda r: repr(r["doc_id"])), sorted(((r["doc_id"], r["text"]) for r in odd.collect()), key=lambda r: repr(r[0]))):
+        by.setdefault(r["doc_id"], []).append(r["score"])
+    assert by[1] == by[2] and by[3] == by[4] and by[7] == by[8]
+    assert context_tree.score_documents(none).count() == 0
+
+
+def test_tree_beats_words(spark):
+    """Held-out texts of the corpus are likelier under the tree than by word frequencies."""
+    got = context_tree.score_documents(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).where("held_out and n_tokens > 20").agg(F.sum("score"), F.sum("base_score"), F.avg("bits_per_byte"), F.count("*")).first()
+    assert got[0] > got[1] and got[2] < 3 and got[3] > 500

@@ -27,7 +27,7 @@ CUT = 3
 #: Stands before a text and after it; no UTF-8 text holds this byte.
 EDGE = b"\xff"
 #: Text bytes of a block of documents; positions that are looked at together; grams that are merged together.
-BLOCK_BYTES, SLICE, MERGED = 64 << 20, 1 << 21, 1 << 22
+BLOCK_BYTES, SLICE, MERGED = 32 << 20, 1 << 19, 1 << 20
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 U = np.uint64
 PARTED = "kind string, block long, part int, payload binary"

@@ -27,6 +27,11 @@ END_ID = 0
 RATE, FIRST_WORTH = 0.3, 1.05
 #: A round prices the PRICED lengths that are covered least. With TAIL sequences left, several values of the first worth are tried.
 PRICED, TAIL, TAIL_WORTHS = 192, 64, (1.05, 1.2, 1.5, 2.0, 1.0)
+#: Steps of the weights, in all and more for each length; the share of a step, how fast a covered length loses worth, steps between two
+#: knapsacks; the share of a program that rounding down must settle, else the rest is rounded up.
+STEPS, STEPS_A_LENGTH, STEP, GROWTH, PRICE_EVERY, ENOUGH = 6000, 2, 1e-3, 150.0, 25, 0.005
+#: So many lengths are few; programs that are solved over all of more.
+FEW, PROGRAMS = 32, 3
 #: Rows of one length are ranked in buckets of about this many rows, or as many more as keep the buckets of all lengths below BUCKETS_MOST.
 RANK_ROWS, BUCKETS_MOST = 128, 65536
 #: Kept stretches, and how many new ones the tokenizer gets in one call.
@@ -275,11 +280,9 @@ def rounds_of(lengths: np.ndarray, counts: np.ndarray, capacity: int, worth: flo
     return plan, left
 
 
-def best_plan(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
-    """Patterns with whole numbers that use every piece exactly once.
-
-    Every pattern comes from a program's solution. Together they are a solution of the first program too, whose value
-    can be held against lp_bound(). The last TAIL sequences are solved under several first worths; the shortest plan stays.
+def filled_plan(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
+    """The fullest patterns of program after program. Together they are a solution of the first one too, whose value can be held
+    against lp_bound(). The last TAIL sequences are solved under several first worths; the shortest plan stays.
     """
     plan, left = rounds_of(lengths, counts, capacity, FIRST_WORTH, TAIL)
     at = np.flatnonzero(left)
@@ -299,6 +302,100 @@ def best_plan(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tu
     return plan
 
 
+def weighed(lengths: np.ndarray, counts: np.ndarray, capacity: int, seed: int = 0, growth: float = GROWTH) -> tuple[np.ndarray, np.ndarray, float]:
+    """Patterns (rows), how often to use each, and a bound that no solution of the program undercuts.
+
+    Multiplicative weights over all lengths at once: a length is worth exp(-growth * what of it is covered) a piece. A step uses the
+    pattern that is worth most, a share STEP of what its scarcest pieces allow. A knapsack prices a new pattern every PRICE_EVERY steps,
+    and each step until every length has one; in between the best of the known ones counts. What the second half of the steps
+    adds is the solution, scaled so that no length is used more often than there are pieces. The mean worths, priced over all
+    lengths, are a dual solution.
+    """
+    rng, n = np.random.default_rng(seed), counts.astype(float)
+    share, worths = np.zeros(len(n)), np.zeros(len(n))
+    patterns, uses, most = np.zeros((0, len(n))), np.zeros(0), np.zeros(0)
+    known: set[bytes] = set()
+    half: tuple[np.ndarray, np.ndarray] | None = None
+    steps, t = STEPS + STEPS_A_LENGTH * len(n), 0
+    while t < steps:
+        worth = np.exp(-np.minimum((share - share.min()) * growth, 600)) / n
+        if t % PRICE_EVERY == 0 or len(known) < 2 * len(n) and not patterns.any(0).all():
+            some = np.arange(len(n))
+            if len(some) > PRICED:
+                some = np.sort(np.argpartition(rng.random(len(n)) * -1e-3 - worth * n * (1 + ~patterns.any(0)), PRICED)[:PRICED])
+            pattern = np.zeros(len(n))
+            pattern[some] = priced(lengths[some], worth[some], counts[some], capacity)
+            if pattern.tobytes() not in known:
+                known.add(pattern.tobytes())
+                on = pattern > 0
+                patterns, uses, most = np.vstack([patterns, pattern]), np.append(uses, 0.0), np.append(most, (n[on] / pattern[on]).min())
+        values = patterns @ worth
+        k = int(values.argmax())
+        uses[k] += STEP * most[k]
+        share += STEP * most[k] * patterns[k] / n
+        t += 1
+        if t > steps // 2:
+            worths += worth / values[k]
+        elif t == steps // 2:
+            half = uses.copy(), share.copy()
+    first = np.append(half[0], np.zeros(len(uses) - len(half[0])))
+    worths /= worths.max()
+    best = float(priced(lengths, worths, counts, capacity) @ worths)
+    return patterns.astype(np.int64), (uses - first) / (share - half[1]).max(), float(n @ worths) / best
+
+
+def program_plan(lengths: np.ndarray, counts: np.ndarray, capacity: int, growth: float = GROWTH) -> tuple[list[tuple[np.ndarray, int]], float]:
+    """The plan of program after program: all patterns of a solution as often as it says, rounded down, and the rest is the next
+    program; once rounding leaves little, each pattern once more as far as pieces last. With more than FEW lengths what PROGRAMS
+    programs leave over goes to filled_plan(). Also the first program's bound."""
+    left, plan, bound, number = counts.copy(), [], None, 0
+    while left.any():
+        if number == PROGRAMS and len(lengths) > FEW:
+            return plan + filled_plan(lengths, left, capacity), bound
+        at = np.flatnonzero(left)
+        own = left[at]
+        patterns, uses, least = weighed(lengths[at], own, capacity, number, growth)
+        bound, number = least if bound is None else bound, number + 1
+        whole = np.floor(uses + 1e-9).astype(np.int64)
+        last = whole.sum() < max(1, ENOUGH * least)
+        if last:
+            whole, order = np.ceil(uses - 1e-9).astype(np.int64), np.argsort(-uses, kind="stable")
+        else:
+            order = np.arange(len(uses))
+        found = []
+        for k in order.tolist():
+            on = patterns[k] > 0
+            times = min(int(whole[k]), int((own[on] // patterns[k][on]).min()))
+            if times:
+                found.append((patterns[k], times))
+                own = own - times * patterns[k]
+        if not found:
+            pattern = priced(lengths[at], lengths[at].astype(float), own, capacity)
+            on = pattern > 0
+            found = [(pattern, int((own[on] // pattern[on]).min()))]
+            own = own - found[0][1] * pattern
+        for pattern, times in found:
+            wide = np.zeros(len(lengths), np.int64)
+            wide[at] = pattern
+            plan.append((wide, times))
+        left[at] = own
+    return plan, bound or 0.0
+
+
+def best_plan(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
+    """Patterns with whole numbers that use every piece exactly once, each from a program's solution.
+
+    Where short pieces fill what long ones leave, the fullest patterns meet the bound at once (filled_plan). Otherwise the
+    program is solved over all lengths and all its patterns are rounded (program_plan); the shorter plan stays.
+    """
+    plan = filled_plan(lengths, counts, capacity)
+    size = lambda x: sum(t for _, t in x)
+    if size(plan) <= int(np.ceil(lp_bound(lengths, counts, capacity) - 1e-9)) + 1:
+        return plan
+    growths = (GROWTH, 2 * GROWTH, GROWTH / 2) if len(lengths) <= FEW else (GROWTH,)
+    return min([plan, *(program_plan(lengths, counts, capacity, g)[0] for g in growths)], key=size)
+
+
 def placements(lengths: np.ndarray, plan: list[tuple[np.ndarray, int]]) -> pd.DataFrame:
     """length, first (rank of its first piece), times, base (first sequence), place (offset of the first copy), ordered by length and rank.
 

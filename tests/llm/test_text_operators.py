@@ -431,3 +431,43 @@ def test_lines_same_key(spark):
 def test_lines_plan_is_native(spark, odd):
     plan = line_dedup.dedup_lines(odd)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def exact_program(lengths, counts, capacity):
+    """The optimum of the configuration program: the simplex method on its dual, over all maximal patterns."""
+    patterns = []
+
+    def fill(i, room, own):
+        if i < len(lengths):
+            for k in range(room // lengths[i] + 1):
+                fill(i + 1, room - k * lengths[i], [*own, k])
+        elif room < min(lengths):
+            patterns.append(own)
+
+    fill(0, capacity, [])
+    a, m, p = np.array(patterns, float), len(lengths), len(patterns)
+    t = np.block([[a, np.eye(p), np.ones((p, 1))], [-np.array(counts, float)[None], np.zeros((1, p + 1))]])
+    basis = list(range(m, m + p))
+    while (t[p, :-1] < -1e-9).any():
+        j = int(np.flatnonzero(t[p, :-1] < -1e-9)[0])
+        i = min((t[r, -1] / t[r, j], basis[r], r) for r in range(p) if t[r, j] > 1e-9)[2]
+        t[i] /= t[i, j]
+        others = np.arange(p + 1) != i
+        t[others] -= np.outer(t[others, j], t[i])
+        basis[i] = j
+    return t[p, -1]
+
+
+def test_plans_against_the_exact_program():
+    """Few long lengths with thousands of pieces: within one sequence and the number of lengths of the program's optimum, and bounds that hold."""
+    rng = np.random.default_rng(2)
+    cases = [((526, 710, 1096), (3118, 3141, 4519)), ((316, 412, 825, 859), (4393, 673, 4815, 2134)), ((280, 670, 776), (3000, 2500, 4100))]
+    for _ in range(20):
+        m = int(rng.integers(3, 7))
+        cases.append((np.sort(rng.choice(np.arange(150, 1300), m, False)), rng.integers(500, 5000, m)))
+    for lengths, counts in cases:
+        lengths, counts = np.array(lengths), np.array(counts)
+        best, plan = exact_program(lengths.tolist(), counts, 2048), packing.best_plan(lengths, counts, 2048)
+        assert (sum(times * pattern for pattern, times in plan) == counts).all() and all(pattern @ lengths <= 2048 for pattern, _ in plan)
+        assert best - 1e-6 <= sum(times for _, times in plan) <= best + 1 + len(lengths)
+        assert packing.weighed(lengths, counts, 2048)[2] <= best + 1e-6

@@ -30,10 +30,8 @@ COUNTED = "lang string, phrase string, n long"
 
 def coded(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     """The different words, after b"\\n" for a piece's end, and all words of all texts by their place in that list."""
-    words = [w for w in b"\n".join(texts).translate(FOLD).replace(b"\n", b" \n ").split(b" ") if w]
-    code = {b"\n": 0}
-    for w in words:
-        code.setdefault(w, len(code))
+    words = list(filter(None, b"\n".join(texts).translate(FOLD).replace(b"\n", b" \n ").split(b" ")))
+    code = {w: i for i, w in enumerate(dict.fromkeys([b"\n", *words]))}
     return list(code), np.fromiter(map(code.__getitem__, words), np.int64, len(words))
 
 
@@ -93,12 +91,13 @@ def filter_of(phrases: DataFrame) -> np.ndarray:
     return bits
 
 
-def framed(rows: list[tuple], fields: str) -> pa.RecordBatch:
+def framed(columns: list[tuple], fields: str) -> pa.RecordBatch:
+    """A batch of parts, each a lang and a list (of bytes or numbers) for every other column."""
     kinds = [f.split() for f in fields.split(", ")]
-    arrays = []
-    for i, (_, kind) in enumerate(kinds):
-        values = [r[i] for r in rows]
-        arrays.append(pa.array(values, pa.int64()) if kind == "long" else pa.array([v if isinstance(v, bytes) else v.encode() for v in values], pa.binary()).cast(pa.string()))
+    arrays = [pa.array([lang for lang, own, *_ in columns for _ in range(len(own))], pa.string())]
+    for i, (_, kind) in enumerate(kinds[1:], 1):
+        whole = [x for part in columns for x in part[i]]
+        arrays.append(pa.array(whole, pa.int64()) if kind == "long" else pa.array(whole, pa.binary()).cast(pa.string()))
     return pa.RecordBatch.from_arrays(arrays, names=[k for k, _ in kinds])
 
 
@@ -116,7 +115,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
             for lang, texts in by_lang(b):
                 words, ids = coded(texts)
                 n = np.bincount(ids, minlength=len(words)).tolist()
-                out += [(lang, b"", sum(n[1:])), *((lang, w, c) for w, c in zip(words[1:], n[1:]))]
+                out.append((lang, [b"", *words[1:]], [sum(n[1:]), *n[1:]]))
             yield framed(out, COUNTED)
 
     return in_arrow(rows, counted, COUNTED, 1 << 20, TEXT_BYTES)
@@ -134,7 +133,8 @@ def pair_counts(rows: DataFrame, shared) -> DataFrame:
                 good[0] = False
                 at = np.flatnonzero(good[ids[:-1]] & good[ids[1:]])
                 keys, n = np.unique(ids[at] * len(words) + ids[at + 1], return_counts=True)
-                out += [(lang, words[k // len(words)] + b" " + words[k % len(words)], c) for k, c in zip(keys.tolist(), n.tolist())]
+                a, b2 = (keys // len(words)).tolist(), (keys % len(words)).tolist()
+                out.append((lang, [words[x] + b" " + words[y] for x, y in zip(a, b2)], n.tolist()))
             yield framed(out, COUNTED)
 
     return in_arrow(rows, counted, COUNTED, 1 << 20, TEXT_BYTES)
@@ -167,7 +167,8 @@ def projections(rows: DataFrame, shared) -> DataFrame:
                     runs = runs[order]
                     first = np.flatnonzero(np.append(True, (runs[1:] != runs[:-1]).any(1)))
                     n = np.diff(np.append(first, len(runs)))
-                    out += [(lang, words[r[0]] + b" " + words[r[1]], b" ".join([words[x] for x in r[2:] if x]), c) for r, c in zip(runs[first].tolist(), n.tolist())]
+                    each = runs[first].tolist()
+                    out.append((lang, [words[r[0]] + b" " + words[r[1]] for r in each], [b" ".join([words[x] for x in r[2:] if x]) for r in each], n.tolist()))
             yield framed(out, PROJECTED)
 
     return in_arrow(rows, projected, PROJECTED, 1 << 20, TEXT_BYTES)
@@ -216,9 +217,10 @@ def grown(projected: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
                 ends.append(len(flat))
                 n.append(r[5])
             ends = np.array(ends)
-            found = extended(prefix, np.array(flat), list(code), np.append(0, ends[:-1]), ends, np.array(n), least if splits == 1 else 1)
-            out += [(lang, phrase, c) for phrase, c in found]
-            if len(out) > 1 << 14:
+            found = list(extended(prefix, np.array(flat), list(code), np.append(0, ends[:-1]), ends, np.array(n), least if splits == 1 else 1))
+            if found:
+                out.append((lang, *zip(*found)))
+            if len(out) > 1 << 12:
                 yield framed(out, COUNTED)
                 out = []
         yield framed(out, COUNTED)
@@ -228,7 +230,8 @@ def grown(projected: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
 
 def scored(counts: DataFrame) -> DataFrame:
     """lang, phrase, a, l, r, n, score of each phrase of two words and more in counts, by the cut that scores lowest; all in exact decimals."""
-    totals = counts.where("phrase = ''").select("lang", F.col("n").alias("total"))
+    # a row per lang, written, so that its size is known when the join is planned
+    totals = materialize(counts.where("phrase = ''").select("lang", F.col("n").alias("total")), "totals")
     parts = counts.where("phrase <> ''")
     words = F.split("phrase", " ")
     cuts = parts.withColumn("w", words).where("size(w) > 1").select("lang", "phrase", F.col("n").alias("a"), "w", F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("k"))

@@ -37,9 +37,7 @@ def postings(texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray, np.nda
     often each holds the term, and each document's number of terms."""
     each = [terms_of(t) for t in texts]
     sizes = np.fromiter(map(len, each), np.int64, len(each))
-    code: dict[bytes, int] = {}
-    for term in chain.from_iterable(each):
-        code.setdefault(term, len(code))
+    code = {term: i for i, term in enumerate(dict.fromkeys(chain.from_iterable(each)))}
     flat = np.fromiter(map(code.__getitem__, chain.from_iterable(each)), np.int64, int(sizes.sum()))
     keys, times = np.unique(flat * len(each) + np.repeat(np.arange(len(each)), sizes), return_counts=True)
     starts = np.searchsorted(keys, np.arange(len(code) + 1) * len(each))

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.work import bounded_batches, key_type, materialize, released, text_or_empty
+from newsloom.llm.work import bounded, key_type, materialize, released, text_or_empty
 from newsloom.session import spread
 
 CAPACITY = 2048
@@ -175,7 +175,7 @@ def word_tokens(path: str) -> WordTokens:
 
 def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, piece, start, length, ids_crc32 and doc_tokens: a document's ids and END_ID, cut only where longer than capacity."""
-    bounded_batches(docs.sparkSession, 4096, 5 << 20)  # the more texts, the rarer a word is met again in another batch
+    docs = bounded(docs, 4096, 5 << 20)  # the more texts, the rarer a word is met again in another batch
     end = np.array([END_ID], "<u4").tobytes()
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.blocks import block_pairs
 from newsloom.llm.sharding import LOW, RANGES_MOST, as_arrays, bucket_of, splitters
-from newsloom.llm.work import bounded_batches, key_type, materialize, need_integral, released, text_or_empty
+from newsloom.llm.work import bounded, key_type, materialize, need_integral, released, text_or_empty
 
 BITS = 256
 WORDS64 = BITS // 64
@@ -109,7 +109,7 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     least = narrow.select("h", "k").mapInPandas(released(firsts_of), "p long, h long, k long").groupBy("p").agg(F.min(F.struct("h", "k")).alias("m"))
     firsts = sorted((r["p"], r["m"]["h"], r["m"]["k"]) for r in least.collect())  # one row per range, RANGES_MOST at most
     before = spark.sparkContext.broadcast({(h, k): firsts[i - 1][0] for i, (_, h, k) in enumerate(firsts)})  # the first one's is the last range
-    bounded_batches(spark)
+    docs = bounded(docs)
     kind = key_type(docs, key)
 
     def dealt(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -148,12 +148,11 @@ def near_counts(prints: DataFrame, salts: int = 16) -> DataFrame:
     blocks agree, so no pair counts twice; large buckets are compared block by block. Fingerprints near none but their
     equals are left to their count. Null fingerprints are near nothing and come out as one row; no rows give none.
     """
+    prints = bounded(prints)
     spark = prints.sparkSession
     distinct = prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
     width = BITS // BLOCKS // 8
     tables = distinct.where("fp is not null").select("fp", "n", F.posexplode(F.array(*[F.substring("fp", 1 + i * width, width) for i in range(BLOCKS)])).alias("i", "v"))
-    bounded_batches(spark)
-
     def compared(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         i, _, b1, b2 = key
         bits = np.frombuffer(b"".join(f["fp"]), np.uint64).reshape(len(f), WORDS64)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.components import components
-from newsloom.llm.work import bounded_batches, materialize, need_integral, released
+from newsloom.llm.work import bounded, materialize, need_integral, released
 
 THRESHOLD = 0.95
 #: Vectors per pivot aimed at, and pivots at most (all of them reach the driver).
@@ -97,9 +97,8 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     different lengths aren't compared. Rows that share a key are one vertex of a component. Keys that are no integers are
     refused. Other columns are ignored; an empty table gives an empty one.
     """
-    spark = vectors.sparkSession
     need_integral(vectors, key)
-    bounded_batches(spark, 4096)
+    vectors = bounded(vectors, 4096)
     kind = "<f4" if vectors.schema[vector].dataType.elementType.simpleString() == "float" else "<f8"
 
     def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -16,11 +16,19 @@ from newsloom.session import shared_dir, ship
 BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
-    """For Python stages: this package on the executors, and batches of bounded size."""
+def bounded(df: DataFrame, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> DataFrame:
+    """df for Python stages: this package on the executors, and Arrow batches of bounded size.
+
+    Spark reads a session's batch settings when a plan runs, so the plan gets a session of its own: a copy with the caller's
+    settings and these bounds. What is made from the result keeps them; the caller's session stays as it is.
+    """
+    spark = df.sparkSession
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    own.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    plan = df._jdf.queryExecution().logical()
+    return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, plan), own)
 
 
 def released(batches: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:

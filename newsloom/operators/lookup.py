@@ -10,13 +10,16 @@ from newsloom.functions import rules
 from newsloom.functions.text import blank_to_null
 from newsloom.functions.urls import host_of
 from newsloom.operators.scoring import risk_of
+from newsloom.operators.state import latest_status
 
 
 def label_map(urls: DataFrame, analyses: DataFrame, statuses: DataFrame) -> DataFrame:
-    """urls (normalized_url) with label: the analysis's, else by status: processing, analysis_failed, or processing for the unknown."""
-    known = analyses.groupBy("normalized_url").agg(F.max_by(F.coalesce(blank_to_null(F.col("raw_label")), blank_to_null(F.col("confidence_level")), F.lit("Unknown")), "analysis_time").alias("found"))
-    by_request = analyses.where("requested_url is not null").groupBy(F.col("requested_url").alias("normalized_url")).agg(F.max_by(F.coalesce(blank_to_null(F.col("raw_label")), blank_to_null(F.col("confidence_level")), F.lit("Unknown")), "analysis_time").alias("asked"))
-    status = statuses.groupBy("normalized_url").agg(F.max_by("crawl_status", "updated_at").alias("crawl_status"))
+    """urls (normalized_url) with label: the analysis's, else by its latest status (at equal times by seq, without one by name): processing,
+    analysis_failed, or processing for the unknown. Of analyses of one time the greater label counts, so rows in any order give one answer."""
+    label = F.coalesce(blank_to_null(F.col("raw_label")), blank_to_null(F.col("confidence_level")), F.lit("Unknown"))
+    known = analyses.groupBy("normalized_url").agg(F.max_by(label, F.struct("analysis_time", label)).alias("found"))
+    by_request = analyses.where("requested_url is not null").groupBy(F.col("requested_url").alias("normalized_url")).agg(F.max_by(label, F.struct("analysis_time", label)).alias("asked"))
+    status = latest_status(statuses, "normalized_url", "crawl_status", ("updated_at", "seq") if "seq" in statuses.columns else ("updated_at", "crawl_status"))
     joined = urls.join(known, "normalized_url", "left").join(by_request, "normalized_url", "left").join(status, "normalized_url", "left")
     return joined.withColumn("label", F.coalesce("found", "asked", status_label(F.col("crawl_status")))).drop("found", "asked")
 

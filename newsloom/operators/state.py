@@ -28,6 +28,11 @@ def merge_sightings(state: DataFrame, new: DataFrame, url: str = "url") -> DataF
     return state.unionByName(new).groupBy(url).agg(F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"), F.sum("seen_count").alias("seen_count"), F.bool_or("crawler_pushed").alias("crawler_pushed"))
 
 
+def sum_sightings(rows: DataFrame, url: str = "normalized_url") -> DataFrame:
+    """merge_sightings() of rows that also have a domain, for stored tables."""
+    return rows.groupBy(url).agg(F.max("domain").alias("domain"), F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"), F.sum("seen_count").alias("seen_count"), F.bool_or("crawler_pushed").alias("crawler_pushed"))
+
+
 def latest_status(log: DataFrame, key: str = "url", status: str = "status", order: tuple[str, ...] = ("updated_at", "seq")) -> DataFrame:
     return log.groupBy(key).agg(F.max_by(status, F.struct(*order)).alias(status))
 

@@ -842,6 +842,6 @@ def micro_batch_analyses(spark, sf):
     run = f"{shared_dir(spark)}/newsloom-stream-{uuid.uuid4().hex}"
     rows = table(spark, sf, "documents").select(*[x.alias(c) for c, x in {"job_id": F.lit("j"), "url": F.concat(F.lit("http://a.com/"), F.col("doc_id").cast("string")), "normalized_url": F.lit(""), "domain": F.lit("a.com"), "site": F.lit("a"), "title": F.lit(""), "text": F.col("text"), "text_len": F.length("text"), "fetched_at": F.lit(""), "status": F.lit("content_saved"), "error_message": F.lit("")}.items()])
     rows.write.parquet(f"{run}/in")
-    target = micro_batch.Table(spark, f"{run}/table", micro_batch.ANALYSED)
+    target = micro_batch.analyses_table(spark, f"{run}/table")
     micro_batch.run_analyses(spark, f"{run}/in", target, f"{run}/checkpoint", form="parquet").awaitTermination()
     return target.read().drop("batch")

@@ -40,8 +40,13 @@ def by_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return df.join(keys.select(key).distinct(), key, "left_semi")
 
 
-def point_lookup(df: DataFrame, url: str) -> DataFrame:
-    return df.where((F.col("normalized_url") == url) | (F.col("requested_url") == url)).limit(1)
+def point_lookup(df: DataFrame, url: str, *keys: str) -> DataFrame:
+    """One row that has the URL under any of the keys (both forms by default); the filter reaches the scan. Stored tables have a
+    lookup that reads less: keyed.Table.lookup() and lookup_either()."""
+    hit = F.lit(False)
+    for key in keys or ("normalized_url", "requested_url"):
+        hit = hit | (F.col(key) == url)
+    return df.where(hit).limit(1)
 
 
 def read_jobs(spark: SparkSession, path: str) -> DataFrame:
@@ -111,7 +116,8 @@ def write_metrics(df: DataFrame, path: str) -> None:
 
 
 def write_pages(df: DataFrame, path: str, url: str = "url") -> None:
-    """Saved articles as CSV in a folder per URL, named by its slug."""
+    """Saved articles as CSV in a folder per URL, named by its slug; rows whose status isn't content_saved are left out."""
+    df = df.where("status = 'content_saved'") if "status" in df.columns else df
     df.withColumn("slug", slug(F.col(url))).write.partitionBy("slug").option("header", True).option("escape", '"').csv(path)
 
 

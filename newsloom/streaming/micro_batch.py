@@ -1,8 +1,8 @@
-"""Streams: article files as they arrive, sightings, a push-once gate, cache expiry, debounced hovers."""
+"""Streams: article files as they arrive, sightings, a push-once gate; see stateful for what needs timers."""
 
 from __future__ import annotations
 
-import uuid
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +14,7 @@ from newsloom.functions.urls import normalize_url
 from newsloom.operators.scoring import risk_of, score_articles, stand_in
 from newsloom.session import delete
 from newsloom.sources import schemas
+from newsloom.streaming.keyed import Folder, Lease, Table, latest
 
 
 def article_files(spark: SparkSession, folder: str, schema: str = schemas.CRAWL_CSV, form: str = "csv", clean: str | None = None) -> DataFrame:
@@ -24,87 +25,65 @@ def article_files(spark: SparkSession, folder: str, schema: str = schemas.CRAWL_
 
 def analysed(rows: DataFrame, scorer: Callable = stand_in) -> DataFrame:
     """Saved articles, cleaned, scored and rated, under their normalized URL."""
-    saved = rows.where("status = 'content_saved'").select(normalize_url(F.col("url")).alias("normalized_url"), F.col("url").alias("requested_url"), "title", "text", "job_id")
+    fetched = F.col("fetched_at") if "fetched_at" in rows.columns else F.lit(None).cast("string")
+    saved = rows.where("status = 'content_saved'").select(normalize_url(F.col("url")).alias("normalized_url"), F.col("url").alias("requested_url"), "title", "text", "job_id", fetched.alias("fetched_at"), F.monotonically_increasing_id().alias("seq"))
     cleaned = clean_articles(saved)
-    scored = score_articles(cleaned, "normalized_url", "cleaned_content", scorer)
+    scored = score_articles(cleaned, "normalized_url", "cleaned_content", scorer, carry=("fetched_at", "seq"))
     risk = risk_of(F.col("confidence_level"))
     return scored.select("*", risk["risk_level"].alias("risk_level"), risk["risk_label"].alias("risk_label"))
 
 
-class Table:
-    """A Parquet table by key, cut into parts by a hash of the key. An update writes the parts that its keys fall into anew; a
-    manifest per batch names the folder of every part, so readers see one batch or the next, never a mix.
-
-    A batch that is repeated after a failure finds its own number and does nothing, so a merge happens once. The last
-    `keep` manifests and what they name stay; older folders are deleted, so a reader has that many batches' time.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, schema: str, key: str = "normalized_url", parts: int = 32, keep: int = 3):
-        self.spark, self.path, self.schema, self.key, self.parts, self.keep = spark, path, schema, key, parts, keep
-
-    def manifests(self) -> dict[int, dict[int, str]]:
-        """batch -> part -> folder; `keep` manifests of `parts` rows at most."""
-        try:
-            rows = self.spark.read.schema("part int, folder string, batch long").parquet(f"{self.path}/versions").collect()
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return {}
-            raise
-        found: dict[int, dict[int, str]] = {}
-        for r in rows:
-            found.setdefault(r["batch"], {})[r["part"]] = r["folder"]
-        return found
-
-    def rows_of(self, folders: list[str]) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(*folders) if folders else self.spark.createDataFrame([], self.schema)
-
-    def read(self) -> DataFrame:
-        found = self.manifests()
-        return self.rows_of([f for f in found[max(found)].values() if f] if found else [])
-
-    def update(self, new: DataFrame, batch: int, merged: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
-        """Put merged(old rows, new rows) in place of the parts that the new rows' keys fall into."""
-        found = self.manifests()
-        if found and max(found) >= batch:
-            return
-        part = F.pmod(F.xxhash64(self.key), F.lit(self.parts)).cast("int")
-        columns = [f.name for f in schemas.of(self.schema)]
-        folder = f"{self.path}/data-{batch}-{uuid.uuid4().hex[:8]}"
-        arrived = f"{folder}/new"
-        new.select(columns).write.parquet(arrived)  # computed once
-        new = self.rows_of([arrived])
-        touched = sorted(r[0] for r in new.select(part).distinct().collect())
-        current = dict(found[max(found)]) if found else {}
-        old = self.rows_of([current[p] for p in touched if current.get(p)])
-        merged(old, new).select(*columns, part.alias("part")).repartition("part").write.partitionBy("part").parquet(f"{folder}/rows")
-        current |= {p: f"{folder}/rows/part={p}" for p in touched}
-        rows = self.spark.createDataFrame(sorted(current.items()) or [(0, "")], "part int, folder string")
-        rows.coalesce(1).write.parquet(f"{self.path}/versions/batch={batch}")
-        delete(self.spark, arrived)
-        found[batch] = current
-        live = sorted(found)[-self.keep :]
-        used = {f for b in live for f in found[b].values()}
-        for b in sorted(found)[: -self.keep]:
-            for f in set(found[b].values()) - used - {""}:
-                delete(self.spark, f)
-            delete(self.spark, f"{self.path}/versions/batch={b}")
+ANALYSED = "normalized_url string, prediction int, probability_real double, confidence_level string, risk_level int, risk_label string, fetched_at string, batch long, seq long"
+
+
+def analyses_table(spark: SparkSession, path: str, lease: Lease | None = None) -> Table:
+    """Analyses by URL; of several the one that was written last stays, whatever its verdict: the later batch, within a batch the
+    later fetch, then the later row."""
+    return Table(spark, path, ANALYSED, merge=latest("normalized_url", "batch", "fetched_at", "seq"), lease=lease)
 
 
 def run_analyses(spark: SparkSession, folder: str, target: Table, checkpoint: str, scorer: Callable = stand_in, once: bool = True, form: str = "csv") -> StreamingQuery:
-    """Each micro-batch of article files is analysed and merged into target by normalized URL; the checkpoint is the single-writer lock."""
+    """Each micro-batch of article files is analysed and merged into target (analyses_table) by normalized URL. The checkpoint keeps
+    each file from being read twice; the target's lease, if it has one, keeps out a second writer."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        target.update(analysed(batch, scorer).withColumn("batch", F.lit(number).cast("long")), number, latest)
-
-    def latest(old: DataFrame, new: DataFrame) -> DataFrame:
-        both = old.unionByName(new)
-        return both.groupBy("normalized_url").agg(F.max_by(F.struct(*both.columns), F.struct("batch", "probability_real")).alias("r")).select("r.*")
+        target.update(analysed(batch, scorer).withColumn("batch", F.lit(number).cast("long")), number)
 
     writer = article_files(spark, folder, form=form).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
 
 
-ANALYSED = "normalized_url string, prediction int, probability_real double, confidence_level string, risk_level int, risk_label string, batch long"
+def ask_to_stop(spark: SparkSession, folder: str) -> None:
+    """Leave the mark that stopped_at_mark() waits for."""
+    Folder(spark, folder).create("stop", "")
+
+
+def stopped_at_mark(query: StreamingQuery, folder: str, every: float = 0.2) -> None:
+    """Wait for the mark in folder, let the running batch end and be merged, and stop. A batch that begins in that moment is cut
+    off unmerged: the checkpoint doesn't count it, so the next start takes it up."""
+    marks = Folder(SparkSession.active(), folder)
+    while query.isActive and not marks.names("stop"):
+        time.sleep(every)
+    while query.isActive and query.status["isTriggerActive"]:
+        time.sleep(every)
+    query.stop()
+    delete(marks.spark, f"{folder}/stop")
+
+
+def caught_up(spark: SparkSession, folder: str, target: Table, checkpoint: str, scorer: Callable = stand_in, form: str = "csv") -> int:
+    """The last sweep: all files that have arrived by now, then all files once more as a batch, of which only URLs that the table
+    lacks are merged. The number of those; 0, unless rows were lost."""
+    run_analyses(spark, folder, target, checkpoint, scorer, True, form).awaitTermination()
+    files = spark.read.schema(schemas.CRAWL_CSV)
+    files = files.option("header", True).option("escape", '"').option("multiLine", True) if form == "csv" else files
+    rows = files.format(form).load(folder)
+    keyed = rows.where("status = 'content_saved'").withColumn("normalized_url", normalize_url(F.col("url")))
+    lost = keyed.join(target.read().select("normalized_url"), "normalized_url", "left_anti")
+    count = lost.count()
+    if count:
+        number = target.manifest()["batch"] + 1
+        target.update(analysed(lost, scorer).withColumn("batch", F.lit(number).cast("long")), number)
+    return count
 
 
 def running_sightings(events: DataFrame, url: str = "url", at: str = "ts") -> DataFrame:
@@ -115,15 +94,3 @@ def running_sightings(events: DataFrame, url: str = "url", at: str = "ts") -> Da
 def push_once(events: DataFrame, url: str = "url", at: str = "ts", within: str = "1 day") -> DataFrame:
     """Each URL passes once within the watermark."""
     return events.withWatermark(at, within).dropDuplicatesWithinWatermark([url])
-
-
-def polled(pending: DataFrame, statuses: DataFrame, key: str = "normalized_url") -> DataFrame:
-    """Pending URLs of a trigger that have a finished status by now: a stream-static join, the statuses read anew each time."""
-    from newsloom.functions.fixed import FINISHED_OR_BLOCKED
-
-    return pending.join(statuses.where(F.col("crawl_status").isin(*FINISHED_OR_BLOCKED)), key)
-
-
-def hover_sessions(hovers: DataFrame, user: str = "user_id", at: str = "ts", gap: str = "200 milliseconds") -> DataFrame:
-    """The last of a user's hovers that follow each other within the gap."""
-    return hovers.withWatermark(at, gap).groupBy(user, F.session_window(at, gap)).agg(F.max(at).alias("settled_at"), F.count(F.lit(1)).alias("hovers"))

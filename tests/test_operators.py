@@ -158,3 +158,14 @@ def test_lookup(spark):
 def test_bfs(spark):
     links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "src string, dst string")
     assert rows(frontier.bfs(spark.createDataFrame([("a",)], "url string"), links, 2)) == [("a", 0), ("b", 1), ("c", 2)]
+
+
+def test_label_map_ties(spark):
+    """Statuses and analyses of one time give one answer, whatever the order of the rows."""
+    urls = spark.createDataFrame([("u",), ("w",)], "normalized_url string")
+    analyses = [("w", None, "A", "x", 1), ("w", None, "B", "x", 1)]
+    log = [("u", "queued", 5, 1), ("u", "failed", 5, 2)]
+    for turn in (1, -1):
+        a = spark.createDataFrame(analyses[::turn], "normalized_url string, requested_url string, raw_label string, confidence_level string, analysis_time int").coalesce(1)
+        s = spark.createDataFrame(log[::turn], "normalized_url string, crawl_status string, updated_at int, seq int").coalesce(1)
+        assert {r["normalized_url"]: r["label"] for r in lookup.label_map(urls, a, s).collect()} == {"u": "analysis_failed", "w": "B"}

@@ -18,11 +18,16 @@ def test_round_trip(spark, tmp_path):
     got = {r["normalized_url"]: r["label"] for r in labels.collect()}
     assert got["http://a.com/2"] == "analysis_failed" and got["http://a.com/1"] in {n for _, n in scoring.X.BANDS}
     assert fetch.count() == 0 and s.health() == {"status": "ok", "analyses": 1, "urls": 2}
-    assert s.check(urls).count() == 1
+    assert s.check(urls).count() == 1 and [s.check_one(u).count() for u in ("http://A.com/1?utm_source=x", "http://a.com/1", "http://a.com/2")] == [1, 1, 0]
     assert {r["normalized_url"]: r["answer"] for r in s.details(urls).collect()} == {"http://a.com/1": "found", "http://a.com/2": "analysis_failed"}
     assert [r["normalized_url"] for r in s.unknown_urls("blocked").collect()] == ["http://a.com/2"]
     s.save_urls(spark.createDataFrame([("http://a.com/3",), ("http://a.com/1",)], "url string"), "2026-01-04 00:00:00", 3)
     assert s.health()["urls"] == 3
+    s.mark(urls, "queued", "2026-01-02 00:00:00", 2, "job")
+    s.mark(urls.where("url like '%2'"), "analysis_done", "2026-01-02 00:00:00", 3, "job")
+    assert [tuple(r) for r in s.pipeline_status("job").collect()] == [("job", 2, 1, 1, False)]
+    s.mark(urls, "blocked", "2026-01-02 00:00:01", 4, "job")
+    assert [r["done"] for r in s.pipeline_status().collect()] == [True]
 
 
 def test_answers_without_analysis(spark, tmp_path):

@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from newsloom.sources import schemas
@@ -12,7 +14,7 @@ def articles(spark, ids):
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    target = M.Table(spark, str(tmp_path / "table"), M.ANALYSED)
+    target = M.analyses_table(spark, str(tmp_path / "table"))
     for part in ([1, 2, 3], [3, 4], [5]):
         articles(spark, part).write.mode("append").option("header", True).csv(str(tmp_path / "in"))
         M.run_analyses(spark, str(tmp_path / "in"), target, str(tmp_path / "checkpoint")).awaitTermination()
@@ -21,24 +23,39 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 5
 
 
-def test_tables_update_parts(spark, tmp_path):
-    """A repeated batch does nothing; an update leaves other parts' folders alone; old folders go, what is current stays."""
-    import glob
-
-    t = M.Table(spark, str(tmp_path), "a int, v int", key="a", parts=8, keep=2)
-    newest = lambda old, new: old.join(new, "a", "left_anti").unionByName(new)
-    t.update(spark.range(50).selectExpr("cast(id as int) a", "0 v"), 0, newest)
-    t.update(spark.range(90).selectExpr("cast(id as int) a", "9 v"), 0, newest)
-    assert t.read().count() == 50 and t.read().agg(F.max("v")).first()[0] == 0
-    before = t.manifests()[0]
-    t.update(spark.range(1).selectExpr("cast(id as int) a", "1 v"), 1, newest)
-    after = t.manifests()[1]
-    assert sum(before[p] != after[p] for p in before) == 1
-    for batch in range(2, 7):
-        t.update(spark.range(50, 55).selectExpr("cast(id as int) a", f"{batch} v"), batch, newest)
-    assert sorted(t.manifests()) == [5, 6] and len(glob.glob(f"{tmp_path}/versions/batch=*")) == 2
-    assert sorted(map(tuple, t.read().collect())) == sorted([(0, 1), *[(i, 0) for i in range(1, 50)], *[(i, 6) for i in range(50, 55)]])
-    assert not glob.glob(f"{tmp_path}/data-3-*/rows/part=*") and not glob.glob(f"{tmp_path}/data-*/new")
+def test_the_last_written_analysis_stays(spark, tmp_path):
+    """Two analyses of one URL in a batch: the later fetch counts, and at equal times the later row, not the kinder score."""
+    scorer = lambda text: (0.0, 5.0 if "kind" in text else -5.0, [0.1] * len(text.split()))
+    base = articles(spark, [1]).first().asDict()
+    rows = [base | {"text": "a kind verdict at first", "fetched_at": "2026-01-01"}, base | {"text": "a harsh verdict later on", "fetched_at": "2026-01-02"}, base | {"url": "http://a.com/2", "text": "a kind verdict"}, base | {"url": "http://a.com/2", "text": "a harsh verdict"}]
+    spark.createDataFrame(rows, schemas.CRAWL_CSV).coalesce(1).write.option("header", True).csv(str(tmp_path / "in"))
+    target = M.analyses_table(spark, str(tmp_path / "table"))
+    M.run_analyses(spark, str(tmp_path / "in"), target, str(tmp_path / "checkpoint"), scorer).awaitTermination()
+    got = {r["normalized_url"]: r["prediction"] for r in target.read().collect()}
+    assert got == {"http://a.com/1": 0, "http://a.com/2": 0}
+
+
+def test_stop_and_catch_up_lose_nothing(spark, tmp_path):
+    """Stopped between batches with files unread: the sweep reads them, the reprocess finds nothing new; what is lost it brings back."""
+    folder, mark = str(tmp_path / "in"), str(tmp_path / "marks")
+    target = M.analyses_table(spark, str(tmp_path / "table"))
+    give = lambda ids: articles(spark, ids).coalesce(1).write.mode("append").option("header", True).csv(folder)
+    give([1, 2])
+    query = M.run_analyses(spark, folder, target, str(tmp_path / "checkpoint"), once=False)
+    for _ in range(300):
+        if target.manifest()["batch"] >= 0:
+            break
+        time.sleep(0.1)
+    M.ask_to_stop(spark, mark)
+    give([3])
+    M.stopped_at_mark(query, mark)
+    assert not query.isActive and {1, 2} <= {int(r["normalized_url"][-1]) for r in target.read().collect()}
+    give([4, 5])
+    assert M.caught_up(spark, folder, target, str(tmp_path / "checkpoint")) == 0
+    rows = sorted(map(tuple, target.read().drop("batch", "seq").collect()))
+    assert len(rows) == 5
+    assert M.caught_up(spark, folder, M.analyses_table(spark, str(tmp_path / "other")), str(tmp_path / "checkpoint")) == 5  # all files read, none in this table
+    assert sorted(map(tuple, M.analyses_table(spark, str(tmp_path / "other")).read().drop("batch", "seq").collect())) == rows
 
 
 def test_sightings_stream(spark, tmp_path):

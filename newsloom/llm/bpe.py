@@ -11,8 +11,8 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from newsloom.llm.work import bounded, key_type, released, text_or_empty
-from newsloom.session import spread
+from newsloom.llm.work import key_type, released, text_or_empty
+from newsloom.session import ship, spread
 
 #: Encoded pre-tokens a Python worker keeps, in two generations: beyond, the older one is forgotten and encoded again when met.
 PIECES_KEPT = 800_000
@@ -190,7 +190,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, key: str = "doc_i
     A null text counts as empty: no tokens. Null keys stay null, repeated rows give repeated results, other columns
     are ignored, an empty table gives an empty one. Very long pre-tokens cost n log n at most in the queue.
     """
-    docs = bounded(docs)
+    ship(docs.sparkSession)
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = encoder(path, pattern)

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.blocks import block_pairs
 from newsloom.llm.components import components
-from newsloom.llm.work import bounded, key_type, materialize, need_integral, released, text_or_empty
-from newsloom.session import spread
+from newsloom.llm.work import key_type, materialize, need_integral, released, text_or_empty, within_bounds
+from newsloom.session import ship, spread
 
 SHINGLE = 5
 #: Linked from this Jaccard similarity on, in hundredths.
@@ -100,7 +100,7 @@ def branch(node: np.ndarray, member: np.ndarray, sig: np.ndarray) -> tuple[np.nd
 
 def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
     """id, n_shingles, s1, s2 (128-bit hash of the set), sig (minwise tokens; null for an empty set): one row per input row."""
-    docs = bounded(docs)
+    ship(docs.sparkSession)
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -180,7 +180,7 @@ def forest(n: int, a: np.ndarray, b: np.ndarray, order: np.ndarray) -> list[int]
 def by_group(rows: DataFrame, keys: list[str], work, schema: str) -> DataFrame:
     """work(frame) -> (a, b) for the rows of each group of keys; groups are small, so many share one Python call."""
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = bounded(rows)
+    ship(rows.sparkSession)
 
     def framed(found: list) -> pd.DataFrame:
         a, b = (np.concatenate([np.zeros(0, np.int64), *(x[i] for x in found)]) for i in (0, 1))
@@ -277,7 +277,7 @@ def full_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFr
     """id, s: the full shingle sets (as bytes) of the documents whose ids are wanted."""
     rows = docs.select(docs[key].alias("id"), text_or_empty(text).alias("t"))
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    docs = bounded(docs)
+    ship(docs.sparkSession)
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -298,7 +298,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     rows = heads.union(turned.join(sets, turned.y == sets.id).select("x", "lot", "y", "s"))
     partitions = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = rows.repartition(partitions, "x", "lot").sortWithinPartitions("x", "lot", F.col("y").asc_nulls_first())
-    pairs = bounded(pairs)
+    ship(pairs.sparkSession)
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         head = None
@@ -317,6 +317,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.mapInPandas(released(batches), "a long, b long")
 
 
+@within_bounds()
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", salts: int = 16) -> DataFrame:
     """key, n_shingles, component_id, kept: one row per input row.
 

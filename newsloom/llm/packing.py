@@ -17,8 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.work import bounded, key_type, materialize, released, text_or_empty
-from newsloom.session import spread
+from newsloom.llm.work import key_type, materialize, released, text_or_empty, within_bounds
+from newsloom.session import ship, spread
 
 CAPACITY = 2048
 END_ID = 0
@@ -175,7 +175,7 @@ def word_tokens(path: str) -> WordTokens:
 
 def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, piece, start, length, ids_crc32 and doc_tokens: a document's ids and END_ID, cut only where longer than capacity."""
-    docs = bounded(docs, 4096, 5 << 20)  # the more texts, the rarer a word is met again in another batch
+    ship(docs.sparkSession)
     end = np.array([END_ID], "<u4").tobytes()
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -191,7 +191,7 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, key: str = "
             yield pd.DataFrame(rows, columns=["k", "piece", "start", "length", "ids_crc32"])
 
     rows = spread(docs.select(docs[key].alias("k"), text_or_empty(text).alias("t")))
-    return rows.mapInPandas(released(batches), f"k {key_type(docs, key)}, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInPandas(released(batches, 4096, 5 << 20), f"k {key_type(docs, key)}, piece int, start long, length long, ids_crc32 long")
 
 
 # --- the linear program -------------------------------------------------------------------------------------------
@@ -451,6 +451,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.mapInPandas(released(placed), f"{schema}, sequence_id long, offset long")
 
 
+@within_bounds(4096, 5 << 20)  # the more texts, the rarer a word is met again in another batch
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, piece, start, length, ids_crc32, sequence_id, offset: one row per piece of every document.
 

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from newsloom.llm.work import bounded, key_type, released, text_or_empty
-from newsloom.session import spread
+from newsloom.llm.work import key_type, released, text_or_empty
+from newsloom.session import ship, spread
 
 #: Filters, bytes under one filter, stride; bytes of a chunk and how far the next one starts.
 FILTERS, KERNEL, STRIDE = 16, 6, 1
@@ -189,7 +189,7 @@ def score_documents(docs: DataFrame, net: Network, key: str = "doc_id", text: st
     A null text counts as empty, which has a score like any other text. A null key is held out of nothing. Repeated
     rows get repeated results; other columns are ignored; an empty table gives an empty one.
     """
-    docs = bounded(docs)
+    ship(docs.sparkSession)
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tables = net.pairs()
@@ -203,7 +203,7 @@ def score_documents(docs: DataFrame, net: Network, key: str = "doc_id", text: st
 def score_rows(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
     """docs with column score (in place of one of that name, in letters of any case), from the text alone: a null text counts
     as empty; nulls elsewhere, repeated rows and other columns stay as they are; an empty table gives an empty one."""
-    docs = bounded(docs)
+    ship(docs.sparkSession)
     columns = [c for c in docs.columns if c.lower() != "score"]
 
     return docs.select(*columns).mapInArrow(released(with_scores(net, columns, text)), StructType([*docs.select(*columns).schema.fields, StructField("score", DoubleType())]))

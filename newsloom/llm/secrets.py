@@ -12,7 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from newsloom.llm.work import bounded, key_type, released, text_or_empty
+from newsloom.llm.work import key_type, released, text_or_empty
+from newsloom.session import ship
 
 #: Kinds, in the order that decides between spans with one start.
 KINDS = ("assign", "access", "hex", "github", "npm")
@@ -113,7 +114,7 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     A null text counts as empty and has no spans; a null key stays null; repeated rows give repeated results; other
     columns are ignored, whatever their names; an empty table gives an empty one. Texts of any length are read whole.
     """
-    docs = bounded(docs)
+    ship(docs.sparkSession)
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -132,7 +133,7 @@ def redact_rows(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     import pyarrow as pa
 
-    docs = bounded(docs)
+    ship(docs.sparkSession)
     rows = docs.select(*[docs[c] for c in docs.columns if c.lower() != "n_spans"])
     names = [*rows.columns, "n_spans"]
     at = names.index(text)

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.blocks import block_pairs
 from newsloom.llm.sharding import LOW, RANGES_MOST, as_arrays, bucket_of, splitters
-from newsloom.llm.work import bounded, key_type, materialize, need_integral, released, text_or_empty
+from newsloom.llm.work import key_type, materialize, need_integral, released, text_or_empty, within_bounds
+from newsloom.session import ship
 
 BITS = 256
 WORDS64 = BITS // 64
@@ -109,7 +110,7 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     least = narrow.select("h", "k").mapInPandas(released(firsts_of), "p long, h long, k long").groupBy("p").agg(F.min(F.struct("h", "k")).alias("m"))
     firsts = sorted((r["p"], r["m"]["h"], r["m"]["k"]) for r in least.collect())  # one row per range, RANGES_MOST at most
     before = spark.sparkContext.broadcast({(h, k): firsts[i - 1][0] for i, (_, h, k) in enumerate(firsts)})  # the first one's is the last range
-    docs = bounded(docs)
+    ship(docs.sparkSession)
     kind = key_type(docs, key)
 
     def dealt(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -148,7 +149,7 @@ def near_counts(prints: DataFrame, salts: int = 16) -> DataFrame:
     blocks agree, so no pair counts twice; large buckets are compared block by block. Fingerprints near none but their
     equals are left to their count. Null fingerprints are near nothing and come out as one row; no rows give none.
     """
-    prints = bounded(prints)
+    ship(prints.sparkSession)
     spark = prints.sparkSession
     distinct = prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
     width = BITS // BLOCKS // 8
@@ -172,6 +173,7 @@ def near_counts(prints: DataFrame, salts: int = 16) -> DataFrame:
     return distinct.join(near, "fp", "left").select("fp", F.when(F.col("fp").isNull(), F.lit(0)).otherwise(F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_near"))
 
 
+@within_bounds()
 def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", salts: int = 16) -> DataFrame:
     """key, n_chars, edited_sha256, fingerprint, edited_fingerprint (hex), near_edited, near_next, n_near: one row per input row.
 

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.components import components
-from newsloom.llm.work import bounded, materialize, need_integral, released
+from newsloom.llm.work import materialize, need_integral, released, within_bounds
+from newsloom.session import ship
 
 THRESHOLD = 0.95
 #: Vectors per pivot aimed at, and pivots at most (all of them reach the driver).
@@ -89,6 +90,7 @@ def linked_counts(ids: np.ndarray, v: np.ndarray, n: np.ndarray, left: np.ndarra
     return found, label
 
 
+@within_bounds(4096)
 def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """key, n_links (other rows with cosine >= threshold), component_id, kept: one row per input row.
 
@@ -98,7 +100,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     refused. Other columns are ignored; an empty table gives an empty one.
     """
     need_integral(vectors, key)
-    vectors = bounded(vectors, 4096)
+    ship(vectors.sparkSession)
     kind = "<f4" if vectors.schema[vector].dataType.elementType.simpleString() == "float" else "<f8"
 
     def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -16,7 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.work import BATCH_BYTES, bounded, materialize, need_integral, released, shared_dir
+from newsloom.llm.work import BATCH_BYTES, materialize, need_integral, released, shared_dir, within_bounds
+from newsloom.session import ship
 
 #: Fixed values of the two ARC versions: the fields of a URL record, in order.
 ARC_FIELDS = {
@@ -117,7 +118,7 @@ def arc_files(frames: Iterator[pd.DataFrame]) -> Iterator[bytes]:
 
 
 def page_rows(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
-    pages = bounded(pages)
+    ship(pages.sparkSession)
     return pages.select(pages[key].cast("string").alias("k"), pages[url].alias("u"), pages[html].alias("h"))
 
 
@@ -158,7 +159,7 @@ def split_http(body: bytes) -> tuple[bytes, bytes, dict[str, str]]:
 
 def arc_problems(arcs: DataFrame) -> DataFrame:
     """at, reason: what arc_to_records() passes over in the ARC files in column content; null and empty files have one problem each."""
-    arcs = bounded(arcs)
+    ship(arcs.sparkSession)
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -200,7 +201,7 @@ def schema_of(kept: tuple[str, ...]) -> str:
 def arc_to_records(arcs: DataFrame, kept: tuple[str, ...] = tuple(RECORD)) -> DataFrame:
     """One row per record of the ARC files in column content, with the kept columns of RECORD. Malformed records are passed
     over (see arc_problems); a record without a page's number has a null page_id."""
-    arcs = bounded(arcs)
+    ship(arcs.sparkSession)
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return record_frames((c for f in frames for c in f["content"]), kept)
@@ -258,7 +259,7 @@ def write_warc(records: DataFrame, path: str) -> None:
     executor leaves no half archive. The sink ends a row with a separator, a zero byte here. A file ends in an empty
     member, whose last byte is zero too, so the row leaves that byte to the sink and the file's bytes are exact.
     """
-    records = bounded(records)
+    ship(records.sparkSession)
     end = member(b"")[:-1]
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -335,10 +336,12 @@ def read_warc(spark, path: str) -> DataFrame:
     def framed(rows: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=["page_id", "uri", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]).astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    files = bounded(spark.read.format("binaryFile").load(path).select("content"), 1)
+    ship(spark)
+    files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInPandas(released(batches), "page_id long, uri string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
 
 
+@within_bounds()
 def archive_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Pages to legacy ARC, to WARC files in the shared folder, and back: the rows of read_warc().
 

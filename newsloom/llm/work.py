@@ -5,7 +5,9 @@ from __future__ import annotations
 import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from functools import wraps
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,26 +18,54 @@ from newsloom.session import shared_dir, ship
 BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
 
 
-def bounded(df: DataFrame, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> DataFrame:
-    """df for Python stages: this package on the executors, and Arrow batches of bounded size.
-
-    Spark reads a session's batch settings when a plan runs, so the plan gets a session of its own: a copy with the caller's
-    settings and these bounds. What is made from the result keeps them; the caller's session stays as it is.
-    """
-    spark = df.sparkSession
-    ship(spark)
-    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
-    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    own.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
-    plan = df._jdf.queryExecution().logical()
-    return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, plan), own)
-
-
-def released(batches: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """batches, which gives its freed memory back to the system at its end: idle Python workers stay beside those of other stages."""
+def within_bounds(rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Callable:
+    """For operators that write tables on their way: while the operator itself runs, Spark's Arrow batches have these bounds; then
+    the session's own settings come back. What it returns runs later, under those, and cuts its batches itself (released)."""
+
+    def wrap(operator: Callable) -> Callable:
+        @wraps(operator)
+        def run(first, *others, **named):
+            conf = (first if isinstance(first, SparkSession) else first.sparkSession).conf
+            names = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+            before = {n: conf.get(n) for n in names}
+            try:
+                for n, x in names.items():
+                    conf.set(n, str(x))
+                return operator(first, *others, **named)
+            finally:
+                for n, x in before.items():
+                    conf.set(n, x)
+
+        return run
+
+    return wrap
+
+
+def cut_frames(frames: Iterator, rows: int, size: int) -> Iterator:
+    """Pieces of pandas frames or Arrow batches of at most `rows` rows and about `size` bytes of texts."""
+    for f in frames:
+        if isinstance(f, pa.RecordBatch):
+            yield from sliced([f], rows, size)
+            continue
+        weights = np.zeros(len(f))
+        for c in f.columns:
+            if f[c].dtype == object:
+                weights += np.fromiter((len(x) if hasattr(x, "__len__") else 0 for x in f[c]), np.int64, len(f))
+        if len(f) <= rows and weights.sum() <= size:
+            yield f
+            continue
+        number = np.maximum(np.arange(len(f)) // rows, 0) + (np.cumsum(weights) // size).astype(np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(f)]
+        for i, j in zip(cuts, cuts[1:]):
+            yield f.iloc[i:j].reset_index(drop=True)
+
+
+def released(batches: Callable[[Iterator], Iterator], rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Callable[[Iterator], Iterator]:
+    """batches over pieces of bounded size, which gives its freed memory back to the system at its end: idle Python workers stay beside
+    those of other stages."""
 
     def run(frames: Iterator) -> Iterator:
-        yield from batches(frames)
+        yield from batches(cut_frames(frames, rows, size))
         pa.default_memory_pool().release_unused()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's; others have none
         if trim:
@@ -62,7 +92,7 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS, size: int
 def in_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> DataFrame:
     """df.mapInArrow(work, schema), where work gets pieces of bounded size."""
     ship(df.sparkSession)
-    return df.mapInArrow(released(lambda batches: work(sliced(batches, rows, size))), schema)
+    return df.mapInArrow(released(work, rows, size), schema)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -1,10 +1,11 @@
 """Operators leave the caller's session as it was, and each plan keeps its own bounds."""
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from newsloom.llm.queries import queries
-from newsloom.llm.work import bounded, materialize
+from newsloom.llm.work import released, within_bounds
 
 NAMES = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
 
@@ -16,17 +17,26 @@ def test_settings_stay(spark):
 
 
 def test_plans_keep_their_bounds(spark):
-    """Two plans made before either runs, also when they are written, joined and united."""
+    """Two plans made before either runs cut what they get as they say, whatever the session says by then."""
 
     def sizes(frames):
         for f in frames:
             yield pd.DataFrame({"n": [len(f)]})
 
-    rows = spark.range(0, 100, 1, 1)
-    small, large = bounded(rows, 1), bounded(rows, 50)
-    one, fifty = small.mapInPandas(sizes, "n long"), large.mapInPandas(sizes, "n long")
-    assert {r["n"] for r in fifty.collect()} == {50} and {r["n"] for r in one.collect()} == {1}
-    assert {r["n"] for r in materialize(small, "rows").mapInPandas(sizes, "n long").collect()} == {1}
-    met = small.join(large.withColumn("x", F.lit(1)), "id").where(small["id"] < 7)
-    assert met.count() == 7 and small.union(large).count() == 200
-    assert {r["n"] for r in rows.mapInPandas(sizes, "n long").collect()} == {100}
+    rows = spark.range(0, 100, 1, 1).withColumn("t", F.repeat(F.lit("x"), F.lit(1000)))
+    made = [rows.mapInPandas(released(sizes, *bounds), "n long") for bounds in ((1, 1 << 20), (50, 1 << 20), (1000, 10_000))]
+    assert [{r["n"] for r in x.collect()} - {1, 50, 9, 10} for x in made] == [set()] * 3
+    assert [max(r["n"] for r in x.collect()) for x in made] == [1, 50, 10] and all(sum(r["n"] for r in x.collect()) == 100 for x in made)
+
+
+def test_settings_come_back_after_an_error(spark):
+    before = [spark.conf.get(n) for n in NAMES]
+
+    @within_bounds(3, 5)
+    def operator(df):
+        assert [spark.conf.get(n) for n in NAMES] == ["3", "5b"] or [spark.conf.get(n) for n in NAMES] == ["3", "5"]
+        raise ValueError
+
+    with pytest.raises(ValueError):
+        operator(spark.range(1))
+    assert [spark.conf.get(n) for n in NAMES] == before

@@ -205,3 +205,6 @@ BODY_ENDS = ((r"\*\*|\*|__|_", ""), (TAG, " "), (f"(?i){INLINE_URL}", " "), (r"(
 BODY_BULLETS = r"^[\-\*\+•·▪◦\d]+\s*"
 BODY_READ_ON = "(?:閱讀全文|Read more|更多)$"
 BODY_SENTENCE_END = r"(?<=[。．.!?？！])\s+|(?<=[;:;])\s+"
+
+# fixed values: headings of sections with related articles
+PRIORITY_SECTIONS = ("推薦文章", "熱門文章", "同分類文章", "相關文章", "查看更多文章", "延伸閱讀", "相關新聞", "更多新聞")

@@ -62,9 +62,68 @@ def bfs(seeds: DataFrame, links: DataFrame, depth: int, cap: int | None = None)
     return seen
 
 
-def by_priority(links: DataFrame, keywords: list[str], text: str = "text") -> DataFrame:
-    """links with priority (1: the anchor's text has a keyword), each URL once, at its best priority."""
-    hit = F.lit(False)
-    for word in keywords:
-        hit = hit | F.contains(F.lower(F.col(text)), F.lit(word.lower()))
-    return links.withColumn("priority", hit.cast("int")).groupBy("dst").agg(F.max("priority").alias("priority"), F.min("ord").alias("ord"))
+#: Pages taken from the frontier at once; links of one list page, saved articles of one domain and in all, visited and waiting URLs.
+ROUND, PER_LIST, PER_DOMAIN, ARTICLES, VISITED, WAITING = 1000, 40, 5, 500, 200_000, 50_000
+
+
+def seed_links(links: DataFrame, most: int = PER_LIST) -> DataFrame:
+    """url, ord: the first `most` links of each list page (src, dst, page: its place among the list pages, ord), each URL once."""
+    first = links.groupBy("page", "dst").agg(F.min("ord").alias("ord"))
+    some = first.withColumn("r", F.row_number().over(Window.partitionBy("page").orderBy("ord"))).where(F.col("r") <= most)
+    return some.groupBy(F.col("dst").alias("url")).agg(F.min(F.struct("page", "ord")).alias("ord"))
+
+
+def crawled(seeds: DataFrame, links: DataFrame, pages: DataFrame, batch: int = ROUND, articles: int = ARTICLES, per_domain: int = PER_DOMAIN, visited: int = VISITED, waiting: int = WAITING) -> DataFrame:
+    """url, step, outcome (saved, no_content, domain_cap, missing): the URLs in the order in which a frontier gives them.
+
+    The frontier has two ends. Priority links go to its front, so the one found last is the next; others go to its back. A round
+    takes `batch` URLs from the front, as if fetched together, then adds their links, page by page. A URL enters once. A domain
+    with `per_domain` saved articles gives no more; the crawl ends with `articles` saved, `visited` taken or nothing left; beyond
+    `waiting` URLs none is added. With a batch of one this is a plain queue with two ends.
+
+    seeds: url, ord; links: src, dst, priority, ord (see links.page_links; at equal places by dst); pages: url, domain, ok (whether it has content enough).
+    A place in the frontier is where a link was found (round, page, place in the page), so nothing is numbered in one task but a
+    round's own `batch` URLs; each round is written.
+    """
+    spark = seeds.sparkSession
+    root = f"{shared_dir(spark)}/newsloom-frontier-{uuid.uuid4().hex}"
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("append").parquet(f"{root}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
+
+    place = Window.orderBy("ord")
+    start = seeds.groupBy("url").agg(F.min("ord").alias("ord")).orderBy("ord").limit(waiting)
+    start = written(start.select("url", F.lit(False).alias("front"), F.lit(-1).alias("round"), F.lit(0).cast("long").alias("page"), (F.row_number().over(place) - 1).cast("long").alias("ord")), "start")
+    waits, queued = start, written(start.select("url"), "queued")
+    turned = lambda c: F.when(F.col("front"), -F.col(c)).otherwise(F.col(c))
+    order = [~F.col("front"), turned("round"), turned("page"), turned("ord"), F.when(F.col("front"), F.col("url")).desc(), "url"]
+    done = saved = number = 0
+    while saved < articles and done < visited:
+        top = waits.orderBy(*order).limit(min(batch, visited - done))
+        top = top.withColumn("step", (F.row_number().over(Window.orderBy(*order)) + F.lit(done)).cast("long")).select("url", "step")
+        before = spark.read.schema("url string, step long, outcome string, domain string").parquet(f"{root}/visited") if done else spark.createDataFrame([], "url string, step long, outcome string, domain string")
+        counts = before.where("outcome = 'saved'").groupBy("domain").agg(F.count(F.lit(1)).alias("base"))
+        met = top.join(pages.select("url", "domain", "ok"), "url", "left").join(counts, "domain", "left")
+        good = F.coalesce("ok", F.lit(False)).cast("int")
+        earlier = F.coalesce(F.sum(good).over(Window.partitionBy("domain").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.coalesce("base", F.lit(0))
+        met = met.withColumn("outcome", F.when(F.col("ok").isNull(), "missing").when(earlier >= per_domain, "domain_cap").when(F.col("ok"), "saved").otherwise("no_content"))
+        so_far = F.coalesce(F.sum((F.col("outcome") == "saved").cast("int")).over(Window.orderBy("step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.lit(saved)
+        taken = written(met.withColumn("so_far", so_far).where(F.col("so_far") < articles).select("url", "step", "outcome", "domain"), f"round-{number}")
+        size, now = taken.agg(F.count(F.lit(1)), F.count_if(F.col("outcome") == "saved")).first()
+        if not size:
+            break
+        written(taken, "visited")
+        done, saved = done + size, saved + now
+        found = taken.where("outcome in ('saved', 'no_content')").join(links, taken.url == links.src).select("dst", "step", F.col("priority").alias("front"), links.ord.cast("long").alias("ord"))
+        first = found.groupBy(F.col("dst").alias("url")).agg(F.min(F.struct("step", (~F.col("front")).alias("back"), "ord")).alias("m"))
+        new = first.join(queued, "url", "left_anti").select("url", (~F.col("m.back")).alias("front"), F.lit(number).alias("round"), F.col("m.step").alias("page"), F.col("m.ord").alias("ord"))
+        left = written(waits.join(taken.select("url"), "url", "left_anti"), f"left-{number}")
+        room = max(0, waiting - left.count())
+        new = written(new.orderBy("page", ~F.col("front"), "ord", "url").limit(room), f"new-{number}")
+        waits = left.unionByName(new)
+        if number % 8 == 7:
+            waits = written(waits, f"waits-{number}")
+        queued = written(new.select("url"), "queued")
+        number += 1
+    return spark.read.schema("url string, step long, outcome string").parquet(f"{root}/visited") if done else spark.createDataFrame([], "url string, step long, outcome string")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions import fixed as X
+from newsloom.functions import links as L
 from newsloom.functions import rules as R
 from newsloom.functions import text as T
 from newsloom.functions import text_exact as E
@@ -16,7 +17,7 @@ from newsloom.functions import urls as U
 from newsloom.operators import dedup, frontier, ingest, lookup, match, metrics, scoring, state
 from newsloom.session import computed_once, shared_dir, ship, spread
 from newsloom.sources import io
-from newsloom.streaming import micro_batch
+from newsloom.streaming import micro_batch, stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -442,6 +443,24 @@ def link_bfs(spark, sf):
     return frontier.bfs(spark.range(1).select(F.col("id").alias("url")), links, 4)
 
 
+@query()
+def link_context(spark, sf):
+    """Every link of every page, with the kind of place it stands in; the pages' own words stand for headings."""
+    return L.page_links(spread(table(spark, sf, "pages")), keywords=("the", "de"))
+
+
+def frontier_tables(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Seeds, links and pages of the crawl over pages: each page is a seed, in the order of page_id."""
+    p = spread(table(spark, sf, "pages")).withColumn("url", U.normalize_url(F.col("url"), sort=False, keep_slash=True, keep_params=True))
+    pages = p.groupBy("url").agg(U.host_of(F.min("url")).alias("domain"), (F.max(F.length(T.html_to_text(F.col("html")))) >= 400).alias("ok"))
+    return p.select("url", F.col("page_id").alias("ord")), L.page_links(p, keywords=("the", "de")), pages
+
+
+@query()
+def frontier_crawl(spark, sf):
+    return frontier.crawled(*frontier_tables(spark, sf))
+
+
 # --- events as sightings, statuses, latencies -----------------------------------------------------------------------
 
 
@@ -520,11 +539,28 @@ def epoch_history(spark, sf):
     return state.last_non_null(h, "epoch", "event_id", ["loss", "score"]).join(last, "epoch", "left")
 
 
-@query("SELECT event_id FROM events WHERE ts + INTERVAL 5 MINUTE > TIMESTAMP '2024-01-15 00:00:00' AND ts <= TIMESTAMP '2024-01-15 00:00:00'")
+@query("SELECT event_id FROM events WHERE ts + INTERVAL 5 MINUTE > (SELECT max(ts) FROM events)")
 def ttl_fresh(spark, sf):
-    now = F.lit("2024-01-15 00:00:00").cast("timestamp")
-    e = table(spark, sf, "events").where(F.col("ts") <= now).withColumn("expires_at", F.col("ts") + F.expr(f"INTERVAL {X.CACHE_SECONDS} SECONDS"))
-    return state.fresh(e, "expires_at", now).select("event_id")
+    """What a cache that got every event still holds at the time of the last one."""
+    e = table(spark, sf, "events")
+    now = e.agg(F.max("ts").alias("now"))
+    held = e.join(F.broadcast(now)).withColumn("expires_at", F.col("ts") + F.expr(f"INTERVAL {X.CACHE_SECONDS} SECONDS"))
+    return state.fresh(held, "expires_at", F.col("now")).select("event_id")
+
+
+@query("""WITH e AS (SELECT user_id % 50 AS key, ts, event_id AS seq, CASE WHEN event_type IN ('view', 'purchase') THEN props END AS value, event_id % 10 = 0 AS bypass FROM events),
+w AS (SELECT *, last_value(CASE WHEN value IS NOT NULL THEN struct_pack(v := value, t := ts) END IGNORE NULLS) OVER (PARTITION BY key ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS l FROM e),
+a AS (SELECT key, seq, l, CASE WHEN bypass THEN 'bypassed' WHEN l IS NULL THEN 'miss' WHEN ts - l.t < INTERVAL 60 MINUTE THEN 'hit' ELSE 'expired' END AS answer FROM w WHERE value IS NULL)
+SELECT key, seq, answer, CASE WHEN answer = 'hit' THEN l.v END AS value FROM a""")
+def cache_answers(spark, sf):
+    """Events as a cache's rows: two types write, the others ask, some of those past the cache; entries live an hour."""
+    e = table(spark, sf, "events").select((F.col("user_id") % 50).alias("key"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), F.when(F.col("event_type").isin("view", "purchase"), F.col("props")).alias("value"), (F.col("event_id") % 10 == 0).alias("bypass"))
+    return stateful.cached_in(e, 3_600_000)
+
+
+@query("SELECT user_id, props AS url, ts AS settled_at FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n IS NULL OR n - ts > INTERVAL 200 MILLISECOND")
+def hover_settled(spark, sf):
+    return stateful.settled_in(table(spark, sf, "events"), url="props", seq="event_id")
 
 
 @query("SELECT event_id FROM (SELECT event_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n IS NULL OR n - ts >= INTERVAL 6 HOUR")

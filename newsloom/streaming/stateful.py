@@ -203,7 +203,7 @@ def settled_in(hovers: DataFrame, user: str = "user_id", url: str = "url", at: s
     """settled_hovers() over a table: the hovers that no other hover of the user follows within the wait."""
     order = Window.partitionBy(user).orderBy(at, seq)
     then = F.lead(at).over(order)
-    gap = F.unix_micros(then) - F.unix_micros(at)
+    gap = F.unix_micros(then.cast("timestamp")) - F.unix_micros(F.col(at).cast("timestamp"))
     return hovers.withColumn("__gap", gap).where(F.col("__gap").isNull() | (F.col("__gap") > wait * 1000)).select(F.col(user).alias("user_id"), F.col(url).alias("url"), F.col(at).alias("settled_at"))
 
 
@@ -212,6 +212,6 @@ def cached_in(rows: DataFrame, ttl: int = TTL_MS) -> DataFrame:
     order = Window.partitionBy("key").orderBy("at", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = F.last(F.when(F.col("value").isNotNull(), F.struct("value", "at")), ignorenulls=True).over(order)
     seen = rows.withColumn("__last", last).where("value is null")
-    alive = F.unix_micros("at") - F.unix_micros("__last.at") < ttl * 1000
+    alive = F.unix_micros(F.col("at").cast("timestamp")) - F.unix_micros(F.col("__last.at").cast("timestamp")) < ttl * 1000
     answer = F.when(F.coalesce("bypass", F.lit(False)), "bypassed").when(F.col("__last").isNull(), "miss").when(alive, "hit").otherwise("expired")
     return seen.select("key", "seq", answer.alias("answer"), F.when(answer == "hit", F.col("__last.value")).alias("value"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.operators.selection import exact_percentiles, matched
+
 
 def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
@@ -66,17 +68,25 @@ def best_temperature(grid: DataFrame) -> DataFrame:
     return grid.agg(F.min(F.struct("nll", "i", "temperature")).alias("m")).select("m.i", "m.temperature", "m.nll")
 
 
-def latency_summary(df: DataFrame, value: str, groups: list[str] | None = None) -> DataFrame:
+#: Different values of a group that one task may count for its percentiles.
+DISTINCT_MOST = 1_000_000
+
+
+def latency_summary(df: DataFrame, value: str, groups: list[str] | None = None, distinct_most: int = DISTINCT_MOST) -> DataFrame:
     """Count, sum, mean, exact percentiles, extremes and sample deviation (0 for one value).
 
-    Exact percentiles count each distinct value of a group, merged from partial counts in one task per group: values are
-    rounded by their source (milliseconds), so that a group's distinct values stay bounded.
+    Spark's percentile gathers a group's different values in one task. Where a group may have more than `distinct_most` of them
+    (looked up first, with a margin for the estimate), percentiles are selected by counts instead, with the same result.
     """
-    x = F.col(value)
-    percentiles = [F.percentile(x, F.lit(q / 100)).alias(f"p{q}") for q in (50, 75, 90, 95, 99)]
-    return df.where(x.isNotNull()).groupBy(*(groups or [])).agg(
-        F.count(x).alias("n"), F.sum(x).alias("total"), F.avg(x).alias("mean"), *percentiles, F.min(x).alias("least"), F.max(x).alias("most"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("stdev")
-    )
+    x, groups = F.col(value), groups or []
+    shares = {f"p{q}": q / 100 for q in (50, 75, 90, 95, 99)}
+    rows = df.where(x.isNotNull())
+    plain = [F.count(x).alias("n"), F.sum(x).alias("total"), F.avg(x).alias("mean"), F.min(x).alias("least"), F.max(x).alias("most"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("stdev")]
+    most = rows.groupBy(*groups).agg(F.approx_count_distinct(x).alias("d")).agg(F.max("d")).first()[0] or 0
+    order = [*groups, "n", "total", "mean", *shares, "least", "most", "stdev"]
+    if 1.2 * most <= distinct_most:
+        return rows.groupBy(*groups).agg(*plain, *[F.percentile(x, F.lit(q)).alias(name) for name, q in shares.items()]).select(order)
+    return matched(rows.groupBy(*groups).agg(*plain), exact_percentiles(rows, value, shares, groups), groups, "inner").select(order)
 
 
 def success_rates(df: DataFrame, status: str, groups: list[str] | None = None) -> DataFrame:

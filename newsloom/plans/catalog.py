@@ -14,7 +14,7 @@ from newsloom.functions import rules as R
 from newsloom.functions import text as T
 from newsloom.functions import text_exact as E
 from newsloom.functions import urls as U
-from newsloom.operators import dedup, frontier, ingest, lookup, match, metrics, scoring, state
+from newsloom.operators import dedup, frontier, ingest, lookup, match, metrics, scoring, selection, state, suffixes, training
 from newsloom.session import computed_once, shared_dir, ship, spread
 from newsloom.sources import io
 from newsloom.streaming import micro_batch, stateful
@@ -443,6 +443,21 @@ def link_bfs(spark, sf):
     return frontier.bfs(spark.range(1).select(F.col("id").alias("url")), links, 4)
 
 
+SUFFIX_SQL = f"""p AS (SELECT page_id, {HOST_SQL} AS host FROM pages), r AS (SELECT rule, min(page_id) AS page FROM (
+SELECT page_id, host AS rule FROM p WHERE page_id % 5 = 0 UNION ALL SELECT page_id, '.' || regexp_extract(host, '[^.]+[.][^.]+$') FROM p WHERE page_id % 3 = 0 UNION ALL SELECT page_id, '.' || regexp_extract(host, '[^.]+[.][^.]+[.][^.]+$') FROM p WHERE page_id % 7 = 0) WHERE rule <> '.' GROUP BY rule)"""
+
+
+@query(f"""WITH {SUFFIX_SQL}, m AS (SELECT p.page_id, p.host, r.rule, r.page, row_number() OVER (PARTITION BY p.page_id ORDER BY p.host = r.rule DESC, length(r.rule) DESC) AS n
+FROM p LEFT JOIN r ON p.host = r.rule OR '.' || p.host = r.rule OR (r.rule LIKE '.%' AND ends_with(p.host, r.rule))) SELECT page_id, host, rule, page FROM m WHERE n = 1""")
+def host_rules(spark, sf):
+    """Pages under rules that come from the pages themselves: some hosts, and the sites above others."""
+    p = table(spark, sf, "pages").select("page_id", U.host_of(F.col("url")).alias("host"))
+    above = lambda n: F.concat(F.lit("."), F.regexp_extract("host", "[.]".join(["[^.]+"] * n) + "$", 0))
+    rules = p.where("page_id % 5 = 0").select(F.col("host").alias("rule"), "page_id").union(p.where("page_id % 3 = 0").select(above(2), "page_id")).union(p.where("page_id % 7 = 0").select(above(3), "page_id"))
+    rules = rules.where("rule <> '.'").groupBy("rule").agg(F.min("page_id").alias("page"))
+    return suffixes.with_rule(p, "host", rules)
+
+
 @query()
 def link_context(spark, sf):
     """Every link of every page, with the kind of place it stands in; the pages' own words stand for headings."""
@@ -514,6 +529,12 @@ def latency_summary(spark, sf):
     return metrics.latency_summary(table(spark, sf, "events"), "value", ["event_type"])
 
 
+@query("""SELECT user_id, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99 FROM events WHERE value IS NOT NULL GROUP BY user_id""")
+def exact_percentiles(spark, sf):
+    """By selection: no task holds a user's values."""
+    return selection.exact_percentiles(table(spark, sf, "events"), "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, ["user_id"])
+
+
 @query(f"SELECT user_id, count(*) AS n, count(*) FILTER (s = 'content_saved') AS saved, count(*) FILTER (s = 'blocked') AS blocked, count(*) FILTER (s NOT IN ('content_saved', 'blocked')) AS failed, count(*) FILTER (s = 'content_saved') / count(*) AS success_rate FROM (SELECT user_id, {STATUS_SQL} AS s FROM events) GROUP BY user_id")
 def success_rates(spark, sf):
     return metrics.success_rates(status_log(spark, sf).withColumnRenamed("normalized_url", "user_id"), "crawl_status", ["user_id"])
@@ -787,6 +808,20 @@ def score_levels(spark, sf):
     return scored.select("doc_id", "prediction", F.round("probability_real", 6).alias("probability_real"), "confidence_level")
 
 
+def labelled(spark, sf) -> DataFrame:
+    """Documents with their label and split; `labels.quality` stands for a verdict."""
+    rows = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
+    return rows.select("doc_id", "text", "label").join(ingest.stratified_split(rows.select("doc_id", "label"), "doc_id", "label").select("doc_id", "split"), "doc_id")
+
+
+@query()
+def trained_scores(spark, sf):
+    """Every document, scored and rated by a model that learned from the training split of the labels."""
+    model = training.fitted(labelled(spark, sf))
+    scored = scoring.score_articles(table(spark, sf, "documents"), "doc_id", "text", model.scorer(), 1.0)
+    return scored.select("doc_id", "prediction", "probability_real", "confidence_level", F.lit(model.temperature).alias("temperature"), F.lit(model.step).alias("step"))
+
+
 @query()
 def score_articles(spark, sf):
     return scoring.score_articles(table(spark, sf, "documents"), "doc_id", "text")
@@ -797,11 +832,22 @@ s AS ({SCORED_SQL} (SELECT domain, {STAND_IN_SQL.format('text')} AS z FROM k WHE
 SELECT domain, CAST(CASE WHEN p >= 0.8 THEN 1 WHEN p >= 0.6 THEN 2 WHEN p >= 0.4 THEN 3 WHEN p >= 0.2 THEN 4 ELSE 5 END AS INT) AS risk_level, count(*) AS n FROM s GROUP BY ALL""")
 def credibility_by_domain(spark, sf):
     """The flagship: pages to text, one row per content, scored by the stand-in, rated, counted by domain and risk."""
+    return credibility(spark, sf, scoring.stand_in, X.TEMPERATURE)
+
+
+@query()
+def trained_credibility(spark, sf):
+    """The same by a model that learned from the labels."""
+    model = training.fitted(labelled(spark, sf))
+    return credibility(spark, sf, model.scorer(), 1.0)
+
+
+def credibility(spark, sf, scorer: Callable, temperature: float) -> DataFrame:
     ship(spark)
     p = spread(table(spark, sf, "pages")).select("page_id", U.host_of(F.col("url")).alias("domain"), T.html_to_text(F.col("html")).alias("text"))
     p = computed_once(p).where(T.mixed_token_count(F.col("text")) >= X.LEAST_TOKENS).withColumn("hash", F.sha2("text", 256))
     p = dedup.keep_first(p, ["hash"], ["page_id"])
-    scored = scoring.score_articles(p, "page_id", "text", carry=("domain",))
+    scored = scoring.score_articles(p, "page_id", "text", scorer, temperature, carry=("domain",))
     rated = scored.select("domain", scoring.risk_of(F.col("confidence_level"))["risk_level"].alias("risk_level"))
     return rated.groupBy("domain", "risk_level").agg(F.count(F.lit(1)).alias("n"))
 

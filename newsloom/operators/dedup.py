@@ -31,6 +31,14 @@ def cap_per_key(df: DataFrame, key: list, order: list, most: int) -> DataFrame:
     return ranked(df, key, order).where(F.col("__rank") <= most).drop("__rank")
 
 
+def ordered_distinct(df: DataFrame, key: list[str], value: str, order: str, into: str = "values") -> DataFrame:
+    """Per key its different values, each at the place of its first occurrence. Occurrences are reduced to one a value before
+    they are gathered."""
+    first = df.where(F.col(value).isNotNull()).groupBy(*key, value).agg(F.min(order).alias("__at"))
+    listed = F.array_sort(F.collect_list(F.struct("__at", value)))
+    return first.groupBy(*key).agg(F.transform(listed, lambda x: x[value]).alias(into))
+
+
 def content_hash(md: Column, html: Column) -> Column:
     return F.sha2(F.coalesce(blank_to_null(md), html, F.lit("")), 256)
 

@@ -17,25 +17,32 @@ def links_of(pages: DataFrame, url: str = "url", html: str = "html") -> DataFram
     return found.select("src", absolute(F.col("src"), F.col("href")).alias("dst")).where("dst is not null").distinct()
 
 
-#: Ranges of one order that are sorted apart.
-RANGES = 256
-
-
-def ranged(df: DataFrame, order: str) -> DataFrame:
-    """df with __range: the order cut at approximate quantiles, nulls in the last range."""
-    cuts = df.select(F.percentile_approx(order, [i / RANGES for i in range(1, RANGES)]).alias("c")).first()["c"]
-    cuts = sorted(set(cuts or []))
-    below = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(order))) if cuts else F.lit(0)
+#: Ranges of one order that are sorted apart, and the rows by whose places they are cut.
+RANGES, CUT_ROWS = 256, 16_384
+
+
+def ranged(df: DataFrame, order: str, tie: str | None = None) -> DataFrame:
+    """df with __range: the order (of any type that has one), then the tie-breaker, cut into ranges; rows whose order is null are in the
+    last one. The cuts come from CUT_ROWS rows, the least by hash; they decide how even ranges are, never where a row stands."""
+    keys = [order, tie] if tie else [order]
+    some = df.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]).where("k0 is not null")
+    some = some.orderBy(F.xxhash64(*some.columns), *some.columns).limit(CUT_ROWS).distinct().sort(*some.columns).collect()
+    cuts = [some[len(some) * i // RANGES] for i in range(1, RANGES)] if len(some) >= RANGES else some[1:]
+    kinds = [df.schema[k].dataType for k in keys]
+    marks = F.array(*[F.struct(*[F.lit(x).cast(t).alias(f"k{i}") for i, (x, t) in enumerate(zip(c, kinds))]) for c in cuts])
+    own = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    below = F.size(F.filter(marks, lambda c: c <= own)) if cuts else F.lit(0)
     return df.withColumn("__range", F.when(F.col(order).isNull(), RANGES).otherwise(below))
 
 
-def with_next(df: DataFrame, order: str, value: str, into: str) -> DataFrame:
-    """df with the next row's value by `order` (nulls last), null in the last row. Each range's last row takes the first value
-    of the next range that has rows."""
-    rows = ranged(df, order)
-    firsts = rows.groupBy("__range").agg(F.min_by(F.struct(value), F.struct(order)).alias("__first"))
+def with_next(df: DataFrame, order: str, value: str, into: str, tie: str | None = None) -> DataFrame:
+    """df with the next row's value by `order` (nulls last) and `tie` (nulls first), null in the last row; without a tie-breaker rows of one order stand
+    in any order. Each range's last row takes the first value of the next range that has rows."""
+    rows = ranged(df, order, tie)
+    keys = [order, tie] if tie else [order]
+    firsts = rows.groupBy("__range").agg(F.min_by(F.struct(value), F.struct(*keys)).alias("__first"))
     firsts = firsts.select("__range", F.lead("__first").over(Window.orderBy("__range")).alias("__first"))  # RANGES + 1 rows at most
-    inner = F.lead(F.struct(value)).over(Window.partitionBy("__range").orderBy(F.col(order).asc_nulls_last()))
+    inner = F.lead(F.struct(value)).over(Window.partitionBy("__range").orderBy(F.col(order).asc_nulls_last(), *keys[1:]))
     step = rows.withColumn("__next", inner).join(F.broadcast(firsts), "__range", "left")
     return step.select(*df.columns, F.coalesce("__next", "__first")[value].alias(into))
 

@@ -38,12 +38,12 @@ def merged_stats(parts: DataFrame, names: list[str]) -> DataFrame:
     return parts.agg(*[F.coalesce(F.sum(F.col(n)) if n in parts.columns else F.lit(0).cast("long"), F.lit(0)).cast("long").alias(n) for n in names])
 
 
-def with_row_ids(df: DataFrame, order: str, prefix: str = "d", into: str = "row_id") -> DataFrame:
-    """df with prefix and the row's number from 0 by `order` (nulls last): numbers within ranges of the order, plus the rows of the ranges before."""
-    rows = frontier.ranged(df, order)
+def with_row_ids(df: DataFrame, order: str, prefix: str = "d", into: str = "row_id", tie: str | None = None) -> DataFrame:
+    """df with prefix and the row's number from 0 by `order` (nulls last), then `tie`: numbers within ranges of the order, plus the rows of the ranges before."""
+    rows = frontier.ranged(df, order, tie)
     sizes = rows.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__before"))  # frontier.RANGES + 1 rows at most
-    rank = F.row_number().over(Window.partitionBy("__range").orderBy(F.col(order).asc_nulls_last())) - 1 + F.col("__before")
+    rank = F.row_number().over(Window.partitionBy("__range").orderBy(F.col(order).asc_nulls_last(), *([tie] if tie else []))) - 1 + F.col("__before")
     return rows.join(F.broadcast(before), "__range").select(*df.columns, F.concat(F.lit(prefix), rank.cast("string")).alias(into))
 
 
@@ -76,6 +76,11 @@ def outcome_counts(df: DataFrame, outcome: Column) -> DataFrame:
     return df.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def before_and_after(df: DataFrame, kept: Column) -> DataFrame:
+    """before, after, deleted: rows, those that a condition keeps, and the others (null keeps nothing)."""
+    return df.agg(F.count(F.lit(1)).alias("before"), F.count_if(kept).alias("after")).withColumn("deleted", F.col("before") - F.col("after"))
+
+
 def stratified_split(df: DataFrame, key: str, label: str, shares=(0.9, 0.05, 0.05), names=("train", "validation", "test"), seed: int = 42) -> DataFrame:
     """Column split: within each label, rows by a seeded hash of their key get the names in the given shares. A label of
     a third of all rows is one window partition: rank within hash buckets first, so that no task sorts a whole label."""

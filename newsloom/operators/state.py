@@ -49,6 +49,12 @@ def last_non_null(df: DataFrame, key: str, order: str, columns: list[str]) -> Da
     return df.groupBy(key).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in columns])
 
 
+def history_with_loss(history: DataFrame, losses: DataFrame, key: str = "epoch", order: str = "step", loss: str = "loss", into: str = "train_loss") -> DataFrame:
+    """history with the last loss that the training loop logged in each epoch; null in epochs without one."""
+    last = last_non_null(losses, key, order, [loss]).select(key, F.col(loss).alias(into))
+    return history.join(last, key, "left")
+
+
 def numeric_suffix(name: Column) -> Column:
     """The number that ends a checkpoint's name; null without one."""
     return F.regexp_extract(name, r"([0-9]+)$", 1).try_cast("long")

@@ -545,6 +545,25 @@ def global_topn(spark, sf):
     return table(spark, sf, "events").select("event_id", "ts").orderBy("ts", "event_id").limit(100)
 
 
+@query("SELECT count(*) AS before, count(*) FILTER (length(text) >= 2000) AS after, count(*) - count(*) FILTER (length(text) >= 2000) AS deleted FROM documents")
+def before_after_counts(spark, sf):
+    return ingest.before_and_after(table(spark, sf, "documents"), F.length("text") >= 2000)
+
+
+@query("SELECT user_id, string_agg(event_type, ',' ORDER BY first_id) AS types FROM (SELECT user_id, event_type, min(event_id) AS first_id FROM events GROUP BY ALL) GROUP BY user_id")
+def ordered_distinct(spark, sf):
+    return dedup.ordered_distinct(table(spark, sf, "events"), ["user_id"], "event_type", "event_id", "types").withColumn("types", F.array_join("types", ","))
+
+
+@query("""WITH h AS (SELECT CAST(doc_id % 40 AS BIGINT) AS epoch, avg(quality) AS score FROM labels GROUP BY 1), l AS (SELECT event_id % 50 AS epoch, max_by(value, event_id) AS train_loss FROM events WHERE event_type = 'view' AND value IS NOT NULL GROUP BY 1)
+SELECT h.epoch, h.score, l.train_loss FROM h LEFT JOIN l ON l.epoch = h.epoch""")
+def history_with_loss(spark, sf):
+    """Scores from one table, the loop's losses from another."""
+    history = table(spark, sf, "labels").groupBy((F.col("doc_id") % 40).alias("epoch")).agg(F.avg("quality").alias("score"))
+    losses = table(spark, sf, "events").where("event_type = 'view'").select((F.col("event_id") % 50).alias("epoch"), F.col("event_id").alias("step"), F.col("value").alias("loss"))
+    return state.history_with_loss(history, losses)
+
+
 @query("SELECT user_id, sum(value) / count(*) AS top_mean FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC) AS r FROM events) WHERE r <= 7 GROUP BY user_id")
 def topk_mean_score(spark, sf):
     # a user's values could be many: only the seven best of each are kept while they are gathered
@@ -903,6 +922,12 @@ def crawl_stats_merge(spark, sf):
     return ingest.merged_stats(parts, ["total", "filtered", "denied", "errors"])
 
 
+@query("SELECT event_id, 'e' || CAST(row_number() OVER (ORDER BY event_type, event_id) - 1 AS VARCHAR) AS row_id FROM events")
+def row_ids_by_name(spark, sf):
+    """Numbers by a text of few values, with a tie-breaker: ranges cut through a value's rows."""
+    return ingest.with_row_ids(table(spark, sf, "events").select("event_id", "event_type"), "event_type", "e", tie="event_id").select("event_id", "row_id")
+
+
 @query("SELECT doc_id, 'd' || CAST(row_number() OVER (ORDER BY doc_id) - 1 AS VARCHAR) AS row_id FROM labels")
 def surrogate_ids(spark, sf):
     return ingest.with_row_ids(table(spark, sf, "labels").select("doc_id"), "doc_id")

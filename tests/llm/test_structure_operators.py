@@ -440,3 +440,22 @@ def test_pipeline_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "line_dedup", "minhash_near_dedup", "secret_scans", "best_fit_packing"]
+
+
+def test_quality_score_by_brute_force():
+    """The whole score of texts of one chunk and of many, filter by filter and byte by byte."""
+    rng = np.random.default_rng(9)
+    net = quality.Network.fresh(3)
+    net.c[:] = rng.normal(0, 0.1, quality.FILTERS)
+    texts = [b"", b"abc", bytes(rng.integers(32, 127, 256, dtype=np.uint8)), bytes(rng.integers(0, 256, 257, dtype=np.uint8)), bytes(rng.integers(32, 127, 1000, dtype=np.uint8))]
+
+    def slow(text):
+        pooled = []
+        for first in range(0, max(1, len(text) - quality.CHUNK + quality.STEP), quality.STEP):
+            chunk = text[first : first + quality.CHUNK].ljust(quality.CHUNK, b"\0")
+            each = [sum(net.w[k, chunk[p + k]].astype(float) for k in range(quality.KERNEL)) + net.c for p in range(quality.CHUNK - quality.KERNEL + 1)]
+            pooled.append(np.maximum(np.max(each, 0), 0))
+        x = np.append(np.mean(pooled, 0), np.max(pooled, 0))
+        return 1 / (1 + np.exp(-(x @ net.v + net.b[0])))
+
+    assert np.allclose(quality.scores(net, texts), [slow(t) for t in texts], atol=1e-5)

@@ -91,3 +91,16 @@ def test_block_reasons(spark):
     df = spark.createDataFrame([("x", "http 403"), ("Access Denied", ""), ("<p>" + "<b></b>" * 100 + "few words of text</p>", ""), ("", "")], "html string, error string")
     got = [r["r"] for r in df.select(T.block_reason(F.col("html"), F.lit(""), F.col("error"), F.lit("a.com")).alias("r")).collect()]
     assert got == ["http_403", "block_signature:Access Denied", "suspected_soft_block", None]
+
+
+def test_main_text_fixed_rows():
+    """Paragraphs that read like an article's, by length, marks, links, noise and what stands before; lines where there are none."""
+    from newsloom.functions.text_exact import main_text
+
+    long = "This paragraph is long enough to be kept whatever its end may be, since it has more than eighty characters in it"
+    short = "Short but closed by a full stop."
+    page = f"""<html><div class="top sidebar"><p>{long} in a sidebar.</p></div><p>{long}</p><p>{short}</p><p>No end and short here too</p><p>tiny.</p>
+<p><a href=x>{long} but all of it is a link.</a></p><p>Please accept cookies on this page, thank you very much indeed.</p><script><p>{long}</p></script>
+<div><h2>延伸閱讀</h2><p>{long} after a related heading.</p></div><p>A last paragraph outside, which is closed.</p></html>"""
+    assert main_text(page).split("\n") == [long, short, "A last paragraph outside, which is closed."]
+    assert main_text(f"<div>{long}</div><div>x</div>") == long and main_text("") == "" and main_text(None) == ""

@@ -324,8 +324,9 @@ def tops(parts: DataFrame) -> list[tuple[np.ndarray, ...]]:
             yield pa.RecordBatch.from_arrays(arrays, names=["node", "zeros", "ones", "below"])
 
     rows = in_arrow(parts.where("kind = 'gram'").select("roots"), nodes, "node long, zeros long, ones long, below double", 8)
-    found = rows.groupBy("node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("below").alias("below")).toPandas().sort_values("node")
-    return tops_of(*(found[c].to_numpy(t) for c, t in (("node", np.int64), ("zeros", np.int64), ("ones", np.int64), ("below", float))))
+    found = rows.groupBy("node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("below").alias("below")).toArrow()
+    order = np.argsort(found["node"].to_numpy())
+    return tops_of(*(found[c].to_numpy()[order] for c in ("node", "zeros", "ones", "below")))
 
 
 def answers(blocks: DataFrame, whole: DataFrame, shared, parts: int) -> DataFrame:

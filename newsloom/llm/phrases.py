@@ -85,9 +85,9 @@ def filter_of(phrases: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int64)), pa.array(bits.view(np.int64))], names=["slot", "bits"])
 
     rows = in_arrow(phrases.select("lang", F.col("phrase").cast("binary").alias("phrase")), marked, "slot long, bits long", 1 << 16)
-    found = rows.groupBy("slot").agg(F.bit_or("bits").alias("bits")).toPandas()
+    found = rows.groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
     bits = np.zeros(1 << (size - 6), np.uint64)
-    bits[found["slot"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    bits[found["slot"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     return bits
 
 

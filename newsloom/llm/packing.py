@@ -30,6 +30,8 @@ PRICED, TAIL, TAIL_WORTHS = 192, 64, (1.05, 1.2, 1.5, 2.0, 1.0)
 #: Steps of the weights, in all and more for each length; the share of a step, how fast a covered length loses worth, steps between two
 #: knapsacks; the share of a program that rounding down must settle, else the rest is rounded up.
 STEPS, STEPS_A_LENGTH, STEP, GROWTH, PRICE_EVERY, ENOUGH = 6000, 2, 1e-3, 150.0, 25, 0.005
+#: A plan this near its bound is not worth another program, whose steps take minutes for a full histogram.
+GAP = 5e-4
 #: So many lengths are few; programs that are solved over all of more.
 FEW, PROGRAMS = 32, 3
 #: Rows of one length are ranked in buckets of about this many rows, or as many more as keep the buckets of all lengths below BUCKETS_MOST.
@@ -385,12 +387,12 @@ def program_plan(lengths: np.ndarray, counts: np.ndarray, capacity: int, growth:
 def best_plan(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
     """Patterns with whole numbers that use every piece exactly once, each from a program's solution.
 
-    Where short pieces fill what long ones leave, the fullest patterns meet the bound at once (filled_plan). Otherwise the
+    Where short pieces fill what long ones leave, the fullest patterns meet the bound at once, but for a share of GAP and one sequence (filled_plan). Otherwise the
     program is solved over all lengths and all its patterns are rounded (program_plan); the shorter plan stays.
     """
     plan = filled_plan(lengths, counts, capacity)
     size = lambda x: sum(t for _, t in x)
-    if size(plan) <= int(np.ceil(lp_bound(lengths, counts, capacity) - 1e-9)) + 1:
+    if size(plan) <= int(np.ceil(lp_bound(lengths, counts, capacity) * (1 + GAP) - 1e-9)) + 1:
         return plan
     growths = (GROWTH, 2 * GROWTH, GROWTH / 2) if len(lengths) <= FEW else (GROWTH,)
     return min([plan, *(program_plan(lengths, counts, capacity, g)[0] for g in growths)], key=size)

@@ -90,47 +90,51 @@ def crawled(seeds: DataFrame, links: DataFrame, pages: DataFrame, batch: int = R
 
     seeds: url, ord; links: src, dst, priority, ord (see links.page_links; at equal places by dst); pages: url, domain, ok (whether it has content enough).
     A place in the frontier is where a link was found (round, page, place in the page), so nothing is numbered in one task but a
-    round's own `batch` URLs; each round is written.
+    round's own `batch` URLs; links and pages are computed once and written, then each round is.
     """
     spark = seeds.sparkSession
     root = f"{shared_dir(spark)}/newsloom-frontier-{uuid.uuid4().hex}"
+    schemas = {"visited": "url string, step long, outcome string, domain string"}
+
+    def table(name: str) -> DataFrame:
+        return spark.read.schema(schemas[name]).parquet(f"{root}/{name}")
 
     def written(df: DataFrame, name: str) -> DataFrame:
         df.write.mode("append").parquet(f"{root}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
+        schemas.setdefault(name, df.schema)
+        return table(name)
 
+    links, pages = written(links.select("src", "dst", "priority", "ord"), "links"), written(pages.select("url", "domain", "ok"), "pages")
     place = Window.orderBy("ord")
     start = seeds.groupBy("url").agg(F.min("ord").alias("ord")).orderBy("ord").limit(waiting)
-    start = written(start.select("url", F.lit(False).alias("front"), F.lit(-1).alias("round"), F.lit(0).cast("long").alias("page"), (F.row_number().over(place) - 1).cast("long").alias("ord")), "start")
-    waits, queued = start, written(start.select("url"), "queued")
+    start = start.select("url", F.lit(False).alias("front"), F.lit(-1).alias("round"), F.lit(0).cast("long").alias("page"), (F.row_number().over(place) - 1).cast("long").alias("ord"))
+    queued = written(start, "queued")  # all that ever entered: `visited` + `waiting` URLs at most
+    entered = queued.count()
     turned = lambda c: F.when(F.col("front"), -F.col(c)).otherwise(F.col(c))
     order = [~F.col("front"), turned("round"), turned("page"), turned("ord"), F.when(F.col("front"), F.col("url")).desc(), "url"]
     done = saved = number = 0
     while saved < articles and done < visited:
+        before = table("visited") if done else spark.createDataFrame([], schemas["visited"])
+        waits = queued.join(before.select("url"), "url", "left_anti") if done else queued
         top = waits.orderBy(*order).limit(min(batch, visited - done))
         top = top.withColumn("step", (F.row_number().over(Window.orderBy(*order)) + F.lit(done)).cast("long")).select("url", "step")
-        before = spark.read.schema("url string, step long, outcome string, domain string").parquet(f"{root}/visited") if done else spark.createDataFrame([], "url string, step long, outcome string, domain string")
         counts = before.where("outcome = 'saved'").groupBy("domain").agg(F.count(F.lit(1)).alias("base"))
-        met = top.join(pages.select("url", "domain", "ok"), "url", "left").join(counts, "domain", "left")
+        met = top.join(pages, "url", "left").join(counts, "domain", "left")
         good = F.coalesce("ok", F.lit(False)).cast("int")
         earlier = F.coalesce(F.sum(good).over(Window.partitionBy("domain").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.coalesce("base", F.lit(0))
         met = met.withColumn("outcome", F.when(F.col("ok").isNull(), "missing").when(earlier >= per_domain, "domain_cap").when(F.col("ok"), "saved").otherwise("no_content"))
         so_far = F.coalesce(F.sum((F.col("outcome") == "saved").cast("int")).over(Window.orderBy("step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.lit(saved)
-        taken = written(met.withColumn("so_far", so_far).where(F.col("so_far") < articles).select("url", "step", "outcome", "domain"), f"round-{number}")
+        taken = written(met.withColumn("so_far", so_far).where(F.col("so_far") < articles).select("url", "step", "outcome", "domain"), "visited").where(F.col("step") > done)
         size, now = taken.agg(F.count(F.lit(1)), F.count_if(F.col("outcome") == "saved")).first()
         if not size:
             break
-        written(taken, "visited")
         done, saved = done + size, saved + now
-        found = taken.where("outcome in ('saved', 'no_content')").join(links, taken.url == links.src).select("dst", "step", F.col("priority").alias("front"), links.ord.cast("long").alias("ord"))
-        first = found.groupBy(F.col("dst").alias("url")).agg(F.min(F.struct("step", (~F.col("front")).alias("back"), "ord")).alias("m"))
-        new = first.join(queued, "url", "left_anti").select("url", (~F.col("m.back")).alias("front"), F.lit(number).alias("round"), F.col("m.step").alias("page"), F.col("m.ord").alias("ord"))
-        left = written(waits.join(taken.select("url"), "url", "left_anti"), f"left-{number}")
-        room = max(0, waiting - left.count())
-        new = written(new.orderBy("page", ~F.col("front"), "ord", "url").limit(room), f"new-{number}")
-        waits = left.unionByName(new)
-        if number % 8 == 7:
-            waits = written(waits, f"waits-{number}")
-        queued = written(new.select("url"), "queued")
+        room = max(0, waiting - (entered - done))
+        if room:
+            found = F.broadcast(taken.where("outcome in ('saved', 'no_content')")).join(links, taken.url == links.src).select("dst", "step", F.col("priority").alias("front"), links.ord.cast("long").alias("ord"))
+            first = found.groupBy(F.col("dst").alias("url")).agg(F.min(F.struct("step", (~F.col("front")).alias("back"), "ord")).alias("m"))
+            new = first.join(queued.select("url"), "url", "left_anti").select("url", (~F.col("m.back")).alias("front"), F.lit(number).alias("round"), F.col("m.step").alias("page"), F.col("m.ord").alias("ord"))
+            queued = written(new.orderBy("page", ~F.col("front"), "ord", "url").limit(room), "queued")
+            entered = queued.count()
         number += 1
-    return spark.read.schema("url string, step long, outcome string").parquet(f"{root}/visited") if done else spark.createDataFrame([], "url string, step long, outcome string")
+    return table("visited").select("url", "step", "outcome") if done else spark.createDataFrame([], "url string, step long, outcome string")

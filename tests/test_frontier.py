@@ -79,6 +79,25 @@ def test_frontier_is_a_queue_with_two_ends(spark, batch, articles, per_domain, v
     assert [tuple(r) for r in got.orderBy("step").collect()] == want and len(want) > 8
 
 
+def test_frontier_computes_links_and_pages_once(spark):
+    """Not again in every round: the tasks that make them are counted."""
+    runs = {n: spark.sparkContext.accumulator(0) for n in ("links", "pages")}
+
+    def counted(df, name):
+        def batches(frames):
+            runs[name].add(1)
+            yield from frames
+
+        return df.coalesce(1).mapInPandas(batches, df.schema)
+
+    urls = [f"http://d{i}.com/" for i in range(6)]
+    links = spark.createDataFrame([(a, b, False, 0) for a, b in zip(urls, urls[1:])], "src string, dst string, priority boolean, ord int")
+    pages = spark.createDataFrame([(u, u, True) for u in urls], "url string, domain string, ok boolean")
+    got = frontier.crawled(spark.createDataFrame([(urls[0], 0)], "url string, ord int"), counted(links, "links"), counted(pages, "pages"), 1)
+    assert [r["url"] for r in got.orderBy("step").collect()] == urls
+    assert {n: a.value for n, a in runs.items()} == {"links": 1, "pages": 1}
+
+
 def test_seed_links(spark):
     rows = [("l1", f"u{i % 60}", 0, i) for i in range(80)] + [("l2", "u3", 1, 0), ("l2", "v", 1, 1)]
     got = frontier.seed_links(spark.createDataFrame(rows, "src string, dst string, page int, ord int"), 40)

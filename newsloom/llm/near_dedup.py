@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.blocks import block_pairs
 from newsloom.llm.components import components
-from newsloom.llm.work import key_type, materialize, need_integral, released, text_or_empty, within_bounds
+from newsloom.llm.work import BROADCAST_ROWS, key_type, materialize, merged_if_large, need_integral, released, text_or_empty, within_bounds
 from newsloom.session import ship, spread
 
 SHINGLE = 5
@@ -28,8 +28,6 @@ SECOND = 1 / 3
 NODE_MOST, DEEPEST = 2048, 8
 #: Estimates below this are no candidates: four standard deviations under the threshold.
 ESTIMATE = 0.60
-#: Ids of candidate documents are broadcast up to this number (some 100 MB as a hash table), joined by shuffle beyond.
-BROADCAST_IDS = 250_000
 #: Full sets of one block, when what links have left apart is compared once more.
 SETS_AT_ONCE = 512
 #: Links of one document that are confirmed in one place.
@@ -151,6 +149,7 @@ def small_nodes(sets: DataFrame) -> DataFrame:
         if depth == DEEPEST or sizes.agg(F.max("g")).first()[0] is None or sizes.where(F.col("g") > NODE_MOST).isEmpty():
             done.append(nodes)
             break
+        sizes = merged_if_large(sizes)
         done.append(nodes.join(sizes.where(F.col("g") <= NODE_MOST), "node", "left_semi"))
         nodes = materialize(deeper(nodes.join(sizes.where(F.col("g") > NODE_MOST), "node", "left_semi"), sets), "nodes")
     out = done[0]
@@ -237,10 +236,11 @@ def left_apart(clusters: DataFrame, labels: DataFrame, sets: DataFrame, full: Da
     components, so no more links come out than sets went in, and pairs are never rows.
     """
     c = F.coalesce(labels.component, F.col("id"))
+    clusters, labels = merged_if_large(clusters), merged_if_large(labels)
     rows = full.select("id").join(clusters, full.id == clusters.vertex, "left").select("id", F.coalesce("component", "id").alias("cluster"))
     rows = rows.join(labels, rows.id == labels.vertex, "left").select("id", "cluster", c.alias("c"))
     several = materialize(rows.groupBy("cluster").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("cluster"), "several")
-    rows = materialize(rows.join(several, "cluster", "left_semi"), "apart")
+    rows = materialize(rows.join(merged_if_large(several), "cluster", "left_semi"), "apart")
     rows = block_pairs(rows, ["cluster"], "id", SETS_AT_ONCE).join(sets.select("id", "sig4"), "id").join(full, "id").select("cluster", "b1", "b2", "b", "id", "c", "sig4", "s")
 
     def work(f: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -276,7 +276,8 @@ def left_apart(clusters: DataFrame, labels: DataFrame, sets: DataFrame, full: Da
 def full_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
     """id, s: the full shingle sets (as bytes) of the documents whose ids are wanted."""
     rows = docs.select(docs[key].alias("id"), text_or_empty(text).alias("t"))
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    many = wanted.count()
+    side = F.broadcast(wanted) if many <= BROADCAST_ROWS else merged_if_large(wanted, many)
     ship(docs.sparkSession)
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -290,6 +291,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs a, b whose full sets are similar enough. A document with many pairs is dealt out in lots of LINKS_AT_ONCE."""
     # written, so that adaptive execution can split the joins where a hub's pairs make a partition too large
     degree = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("g")), "degree")
+    degree = merged_if_large(degree)
     both = pairs.join(degree.select(F.col("id").alias("a"), F.col("g").alias("ga")), "a").join(degree.select(F.col("id").alias("b"), F.col("g").alias("gb")), "b")
     # x is the end with more pairs: its set is sent once per lot, the other's once per pair
     turned = both.select(F.when(F.col("ga") >= F.col("gb"), F.col("a")).otherwise(F.col("b")).alias("x"), F.when(F.col("ga") >= F.col("gb"), F.col("b")).otherwise(F.col("a")).alias("y"), F.ceil(F.greatest("ga", "gb") / F.lit(LINKS_AT_ONCE)).cast("int").alias("lots"))
@@ -349,6 +351,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sa
     if not more.isEmpty():
         labels = components(links.union(more))
     # a component may span many sets, and a set many documents: documents are dealt over the salts of their set
+    labels = merged_if_large(labels)
     found = sets.join(labels, sets.id == labels.vertex, "left").select("s1", "s2", F.coalesce("component", "id").alias("component_id"))
     found = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = rows.drop("sig").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))

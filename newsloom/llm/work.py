@@ -104,6 +104,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that a join may send to all executors by way of the driver.
+BROADCAST_ROWS = 200_000
+
+
+def merged_if_large(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df as a side of a join: beyond BROADCAST_ROWS it is merged by shuffle. Spark's own threshold takes the bytes of a file, of which an
+    id needs four or five; in the driver's memory its row takes a hundred. Without `rows` a written table is counted, by its footers."""
+    return df.hint("merge") if (df.count() if rows is None else rows) > BROADCAST_ROWS else df
+
+
 def drop_written(spark: SparkSession) -> None:
     """Delete every table that materialize() and the archive writers left in the shared folder."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

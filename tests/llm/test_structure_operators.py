@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from newsloom.llm import components, near_dedup, quality, sharding, simhash, vector_dedup, warc
+from newsloom.llm import components, near_dedup, quality, sharding, simhash, vector_dedup, warc, work
 from newsloom.llm.queries import queries
 from tests.llm.conftest import docs_of
 
@@ -261,6 +261,22 @@ def test_components(spark):
     assert {v: c for v, c in enumerate(label) if v != c} == got
 
 
+def test_large_sides_of_joins_are_not_broadcast(spark, monkeypatch):
+    """A few rows may be broadcast, more may not, however small their file is; salted and plain rounds give the same components."""
+    least = work.materialize(spark.range(1000).select(F.col("id").alias("a"), F.col("id").alias("m")), "least")
+    both = work.materialize(spark.range(5000).select((F.col("id") % 1000).alias("a"), F.col("id").alias("b")), "both")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    few = components.with_least(both, "a", least, 1000)
+    assert "Broadcast" in plan(few) and few.count() == 5000
+    for module in (work, components, near_dedup):
+        monkeypatch.setattr(module, "BROADCAST_ROWS", 100)
+    many = components.with_least(both, "a", least, 1000)
+    assert "Broadcast" not in plan(many) and many.count() == 5000
+    assert "Broadcast" not in plan(both.join(work.merged_if_large(least), "a", "left_semi"))
+    test_components(spark)
+    test_near_families(spark)
+
+
 # --- archives --------------------------------------------------------------------------------------------------------
 
 

@@ -8,9 +8,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.batches import in_arrow
 from newsloom.functions import fixed as X
 from newsloom.session import ship, spread
 
@@ -144,18 +146,18 @@ def result_of(text: str | None, scorer: Callable, t: float) -> tuple:
 def score_articles(df: DataFrame, key: str, text: str, scorer: Callable = stand_in, t: float = X.TEMPERATURE, carry: tuple[str, ...] = ()) -> DataFrame:
     """key, the result columns and those to carry along, one row per input row; scorer(text) gives two logits and a score per
     blank-separated token."""
-    ship(df.sparkSession)
+    names = ["k", *(c.split()[0] for c in RESULT.split(", ")), *(f"c{i}" for i in range(len(carry)))]
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [result_of(x, scorer, t) for x in f["t"]]
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")])
-            out.insert(0, "k", f["k"])
-            yield out.assign(**{f"c{i}": f[f"c{i}"] for i in range(len(carry))})
+    def batches(pieces: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.int32(), pa.float64(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.float64()), pa.float64(), pa.string()
+        for b in pieces:
+            rows = [result_of(x.as_py(), scorer, t) for x in b.column(1)]
+            found = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *found, *b.columns[2:]], names=names)
 
     rows = spread(df.select(F.col(key).alias("k"), F.col(text).alias("t"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]))
     kind = lambda c: df.schema[c].dataType.simpleString()
-    scored = rows.mapInPandas(batches, ", ".join([f"k {kind(key)}", RESULT, *[f"c{i} {kind(c)}" for i, c in enumerate(carry)]]))
+    scored = in_arrow(rows, batches, ", ".join([f"k {kind(key)}", RESULT, *[f"c{i} {kind(c)}" for i, c in enumerate(carry)]]))
     return scored.withColumnsRenamed({"k": key} | {f"c{i}": c for i, c in enumerate(carry)})
 
 

@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.batches import in_arrow
 from newsloom.operators import metrics
 from newsloom.session import shared_dir, ship, spread
 
@@ -20,13 +21,44 @@ from newsloom.session import shared_dir, ship, spread
 FEATURES, STEPS, PATIENCE, RATE, DECAY = 1 << 12, 60, 6, 0.5, 1e-4
 
 
+#: Places of words' and pairs' features that a worker remembers; beyond, it begins anew.
+REMEMBERED = 1 << 16
+_of_word: dict[str, np.ndarray] = {}
+_of_pair: dict[tuple[str, str], int] = {}
+
+
+def place(w: str) -> int:
+    return xxhash.xxh3_64_intdigest(w) % FEATURES
+
+
+def word_places(w: str) -> np.ndarray:
+    """The features of a word and of its runs of three characters; its own comes first."""
+    found = _of_word.get(w)
+    if found is None:
+        if len(_of_word) >= REMEMBERED:
+            _of_word.clear()
+        found = np.array([place(w), *(place(w[i : i + 3]) for i in range(len(w) - 2))], np.int16)
+        if len(w) <= 64:
+            _of_word[w] = found
+    return found
+
+
+def pair_place(pair: tuple[str, str]) -> int:
+    found = _of_pair.get(pair)
+    if found is None:
+        if len(_of_pair) >= REMEMBERED:
+            _of_pair.clear()
+        found = place(" ".join(pair))
+        if len(pair[0]) + len(pair[1]) <= 64:
+            _of_pair[pair] = found
+    return found
+
+
 def features(text: str | None) -> np.ndarray:
-    """The weight of each feature: words and neighbouring pairs by hash, damped counts, of length one."""
+    """The weight of each feature: words, neighbouring pairs and runs of three characters by hash, damped counts, of length one."""
     words = (text or "").lower().split()
-    found = np.zeros(FEATURES)
-    for w in [*words, *map(" ".join, zip(words, words[1:])), *(w[i : i + 3] for w in words for i in range(len(w) - 2))]:
-        found[xxhash.xxh3_64_intdigest(w) % FEATURES] += 1
-    found = np.log1p(found)
+    pairs = np.fromiter(map(pair_place, zip(words, words[1:])), np.int64, max(0, len(words) - 1))
+    found = np.log1p(np.bincount(np.concatenate([pairs, *map(word_places, words)]), minlength=FEATURES))
     norm = np.sqrt(found @ found)
     return found / norm if norm else found
 
@@ -49,7 +81,7 @@ class Model:
 
         def score(text: str) -> tuple[float, float, list[float]]:
             z = self.margin(text) / t
-            return -z / 2, z / 2, [float(max(0.0, words[xxhash.xxh3_64_intdigest(w) % FEATURES])) for w in text.lower().split()]
+            return -z / 2, z / 2, [float(max(0.0, words[word_places(w)[0]])) for w in text.lower().split()]
 
         return score
 
@@ -67,11 +99,14 @@ def fitted(rows: DataFrame, text: str = "text", label: str = "label", split: str
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [features(t).astype("<f4") for t in b.column(0).to_pylist()]
-            at = [np.flatnonzero(f).astype("<u2") for f in found]
-            yield pa.RecordBatch.from_arrays([pa.array([a.tobytes() for a in at], pa.binary()), pa.array([f[a].tobytes() for f, a in zip(found, at)], pa.binary()), b.column(1), b.column(2)], names=["at", "x", "y", "train"])
-
-    chosen.mapInArrow(read, "at binary, x binary, y int, train boolean").write.parquet(path)
+            at, x = [], []
+            for t in b.column(0):  # only what isn't zero is kept of a text
+                f = features(t.as_py()).astype("<f4")
+                at.append(np.flatnonzero(f).astype("<u2"))
+                x.append(f[at[-1]].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([a.tobytes() for a in at], pa.binary()), pa.array(x, pa.binary()), b.column(1), b.column(2)], names=["at", "x", "y", "train"])
+
+    in_arrow(chosen, read, "at binary, x binary, y int, train boolean").write.parquet(path)
     table = spark.read.schema("at binary, x binary, y int, train boolean").parquet(path)
     share = {r["y"]: r["n"] for r in table.where("train").groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     weights, squares, best = np.zeros(FEATURES + 1), np.full(FEATURES + 1, 1e-8), None
@@ -93,6 +128,13 @@ def fitted(rows: DataFrame, text: str = "text", label: str = "label", split: str
     return best
 
 
+def sparse(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(feature, value, row) of all that a batch of rows (at, x, ..) holds."""
+    at, x = b.column(0).to_pylist(), b.column(1).to_pylist()
+    sizes = [len(a) // 2 for a in at]
+    return np.frombuffer(b"".join(at), "<u2").astype(np.int64), np.frombuffer(b"".join(x), "<f4").astype(float), np.repeat(np.arange(len(at)), sizes)
+
+
 def added(table: DataFrame, weights: np.ndarray, balance: dict[int, float]) -> list[tuple[int, float]]:
     """(feature, gradient), and under -1 and -2 the training and the held-out loss, under -3 the held-out weight."""
     shared = table.sparkSession.sparkContext.broadcast(weights)
@@ -100,20 +142,18 @@ def added(table: DataFrame, weights: np.ndarray, balance: dict[int, float]) -> l
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, g, more = shared.value, np.zeros(FEATURES + 1), np.zeros(3)
         for b in batches:
-            for at, x, y, train in zip(*(c.to_pylist() for c in b.columns)):
-                at, x = np.frombuffer(at, "<u2").astype(np.int64), np.frombuffer(x, "<f4").astype(float)
-                z = x @ w[at] + w[-1]
-                p, weight = 1 / (1 + np.exp(-np.clip(z, -30, 30))), balance.get(y, 1.0)
-                loss = weight * (np.logaddexp(0, z) - y * z)
-                if train:
-                    g[at] += weight * (p - y) * x
-                    g[-1] += weight * (p - y)
-                    more[0] += loss
-                else:
-                    more[1:] += loss, weight
+            at, x, own = sparse(b)
+            y, train = b.column(2).to_numpy(zero_copy_only=False), b.column(3).to_numpy(zero_copy_only=False)
+            z = np.bincount(own, x * w[at], b.num_rows) + w[-1]
+            weight = np.array([balance.get(v, 1.0) for v in y.tolist()])
+            loss = weight * (np.logaddexp(0, z) - y * z)
+            off = np.where(train, weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y), 0.0)
+            g[:-1] += np.bincount(at, off[own] * x, FEATURES)
+            g[-1] += off.sum()
+            more += loss[train].sum(), loss[~train].sum(), weight[~train].sum()
         yield pa.RecordBatch.from_arrays([pa.array([*range(FEATURES + 1), -1, -2, -3]), pa.array(np.append(g, more))], names=["i", "g"])
 
-    rows = table.mapInArrow(summed, "i long, g double").groupBy("i").agg(F.sum("g").alias("g"))
+    rows = in_arrow(table, summed, "i long, g double").groupBy("i").agg(F.sum("g").alias("g"))
     return [(r["i"], r["g"]) for r in rows.collect()]  # FEATURES + 4 rows
 
 
@@ -124,9 +164,9 @@ def temperature(table: DataFrame, model: Model) -> float:
     def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         for b in batches:
-            z = [float(np.frombuffer(x, "<f4") @ w[np.frombuffer(at, "<u2")] + w[-1]) for at, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(z, pa.float64()), b.column(2)], names=["margin", "y"])
+            at, x, own = sparse(b)
+            yield pa.RecordBatch.from_arrays([pa.array(np.bincount(own, x * w[at], b.num_rows) + w[-1], pa.float64()), b.column(2)], names=["margin", "y"])
 
     held = table.where("not train")
     some = table if held.isEmpty() else held
-    return float(metrics.best_temperature(metrics.nll_grid(some.mapInArrow(margins, "margin double, y int"), "margin", "y")).first()["temperature"])
+    return float(metrics.best_temperature(metrics.nll_grid(in_arrow(some, margins, "margin double, y int"), "margin", "y")).first()["temperature"])

@@ -96,3 +96,29 @@ def test_gradient(spark):
         step = np.zeros_like(weights)
         step[i] = 1e-5
         assert math.isclose(got[i], (loss(weights + step) - loss(weights - step)) / 2e-5, rel_tol=1e-3, abs_tol=1e-6)
+
+
+def test_features_are_remembered_by_word():
+    """Remembered places give what hashing every word, pair and run of three gives, also when the memory begins anew."""
+    import xxhash
+
+    def plain(text):
+        words, found = text.lower().split(), np.zeros(training.FEATURES)
+        for w in [*words, *map(" ".join, zip(words, words[1:])), *(w[i : i + 3] for w in words for i in range(len(w) - 2))]:
+            found[xxhash.xxh3_64_intdigest(w) % training.FEATURES] += 1
+        found = np.log1p(found)
+        return found / np.sqrt(found @ found)
+
+    for text in ("The cat sat the cat", "a", "x" * 500 + " Ünder 日本語 " * 3):
+        assert np.array_equal(training.features(text), plain(text)) and training.word_places("cat")[0] == training.place("cat")
+    assert not training.features(None).any()
+
+
+def test_python_stages_take_bounded_pieces(spark):
+    from newsloom.functions import text_exact
+    from newsloom.operators import match
+
+    d = spark.createDataFrame([(1, "some text of words")], "id long, t string")
+    s = F.array("t")
+    for df in (scoring.score_articles(d, "id", "t"), text_exact.clean_articles(d, "t"), match.located(d, "id", s, F.col("t"))):
+        assert "MapInArrow" in df._jdf.queryExecution().toString() and df.count() == 1

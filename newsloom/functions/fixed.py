@@ -205,7 +205,8 @@ MD_OTHER_LINE = r"^\s{0,3}>\s+.*$|^\s{0,3}([*\-\+•·▪◦]|[0-9]+[.)])\s+|^\s
 BODY_ENDS = ((r"\*\*|\*|__|_", ""), (TAG, " "), (f"(?i){INLINE_URL}", " "), (r"(?U)\s+", " "), (r"(?U)\s*([。．.!?？！；;,:：，、])\s*", "$1"), (r"([。．!?？！])[。．!?？！]+", "$1"))
 BODY_BULLETS = r"^[\-\*\+•·▪◦\d]+\s*"
 BODY_READ_ON = "(?:閱讀全文|Read more|更多)$"
-BODY_SENTENCE_END = r"(?<=[。．.!?？！])\s+|(?<=[;:;])\s+"
+#: What ends a sentence before white space; the range keeps other characters from being compared with each wide mark.
+BODY_SENTENCE_MARK = r"[.!?;:[\u3002-\uff1f&&[。．？！]]]"
 
 # fixed values: headings of sections with related articles
 PRIORITY_SECTIONS = ("推薦文章", "熱門文章", "同分類文章", "相關文章", "查看更多文章", "延伸閱讀", "相關新聞", "更多新聞")

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from newsloom.functions import fixed as X
 
 
-#: Python's white space, as characters and as a class that Java tests by bits for the common ones.
+#: Python's white space, and what of it isn't a blank: Java tests the first ones by bits and leaves at the range for other letters.
 PY_SPACES = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-SPACE_CLASS = r"[\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+ODD_SPACE = r"[\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]]"
 
 
 def py_strip(t: Column) -> Column:
@@ -21,7 +21,8 @@ def py_strip(t: Column) -> Column:
 
 
 def normalize_space(t: Column) -> Column:
-    return py_strip(F.regexp_replace(t, f"{SPACE_CLASS}+", " "))
+    """One blank for each run of white space. The single blanks between words, most of all runs, are no match."""
+    return py_strip(F.regexp_replace(F.regexp_replace(t, ODD_SPACE, " "), " {2,}", " "))
 
 
 def zero_width_fix(t: Column) -> Column:
@@ -153,31 +154,50 @@ def body_of_markdown(md: Column) -> Column:
     return py_strip(s)
 
 
+#: X.INLINE_URL in any case, behind the three characters that begin it.
+ANY_URL = f"(?i)(?=[hw][tw][tw])(?:{X.INLINE_URL})"
+#: The words of X.LINE_NOISE, and those that can arise where lines are joined by a blank.
+NOISE_WORDS = X.LINE_NOISE.strip("()").split("|")
+JOINED_NOISE = f"(?i){'|'.join(w for w in NOISE_WORDS if ' ' in w)}"
+
+
 def url_share(line: Column) -> Column:
     """Characters of URLs over the line's length."""
-    found = F.regexp_extract_all(line, F.lit(f"(?i)({X.INLINE_URL})"), 1)
+    found = F.regexp_extract_all(line, F.lit(f"({ANY_URL})"), 1)
     return F.aggregate(found, F.lit(0), lambda a, u: a + F.length(u)) / F.greatest(F.length(line), F.lit(1))
 
 
 def is_noise_line(line: Column) -> Column:
-    return F.regexp_like(line, F.lit(f"(?i){X.LINE_NOISE}"))
+    """Whether the line holds a word of X.LINE_NOISE, in any case (a long s is an s, as for Python). A search per word is a fraction
+    of the alternation's cost, which Java tries branch by branch at every character; Han words are looked for in lines with such text."""
+
+    def holds(low: Column, words: list[str]) -> Column:
+        return reduce(lambda a, w: a | F.contains(low, F.lit(w)), words, F.lit(False))
+
+    words = list(dict.fromkeys(w.lower() for w in NOISE_WORDS))
+    words = [w for w in words if not any(v != w and v in w for v in words)]  # cookies: found by cookie
+    latin, han = [w for w in words if w.isascii()], [w for w in words if not w.isascii()]
+    low = F.replace(F.lower(line), F.lit("\u017f"), F.lit("s"))
+    # an array of one: low is computed once for all words
+    return F.exists(F.array(low), lambda x: holds(x, latin) | ((F.octet_length(x) > F.length(x)) & holds(x, han)))
 
 
 def strict_body(t: Column) -> Column:
-    """Lines, then sentences, without notices, link lists and scraps."""
-    lines = F.filter(F.transform(F.split(F.regexp_replace(t, r"[ \t]*\n+[ \t]*", "\n"), "\n"), py_strip), lambda x: x != "")
-    lines = F.filter(lines, lambda x: ~is_noise_line(x) & (url_share(x) < X.URL_SHARE) & (F.length(x) >= 15))
+    """Lines, then sentences, without notices, link lists and scraps. Once noisy lines and URLs have gone, a sentence can hold
+    noise only across the blank that joins two lines, and no URL."""
+    lines = F.filter(F.transform(F.split(t, "\n"), py_strip), lambda x: (F.length(x) >= 15) & ~is_noise_line(x) & (url_share(x) < X.URL_SHARE))
     lines = F.transform(lines, lambda x: F.regexp_replace(F.regexp_replace(x, f"(?U){X.BODY_BULLETS}", ""), f"(?i){X.BODY_READ_ON}", ""))
-    blob = F.regexp_replace(F.array_join(F.filter(lines, lambda x: py_strip(x) != ""), " "), f"(?i){X.INLINE_URL}", " ")
-    sentences = F.transform(F.split(blob, f"(?U){X.BODY_SENTENCE_END}"), py_strip)
-    sentences = F.filter(sentences, lambda x: (F.length(x) >= 8) & ~is_noise_line(x) & (url_share(x) < X.URL_SHARE))
+    blob = F.regexp_replace(F.array_join(F.filter(lines, lambda x: py_strip(x) != ""), " "), ANY_URL, " ")
+    # the blob holds no line end, so that one can part its sentences
+    sentences = F.transform(F.split(F.regexp_replace(blob, rf"({X.BODY_SENTENCE_MARK})(?U:\s)+", "$1\n"), "\n"), py_strip)
+    sentences = F.filter(sentences, lambda x: (F.length(x) >= 8) & ~F.regexp_like(x, F.lit(JOINED_NOISE)))
     return normalize_space(F.array_join(sentences, " "))
 
 
 def frontier_body(t: Column) -> Column:
     """The lighter body filter: lines without notices, of 20 characters and more, with one URL at most; bullets and URLs go."""
-    lines = F.filter(F.transform(F.split(t, "\n"), py_strip), lambda x: (F.length(x) >= 20) & ~is_noise_line(x) & (F.regexp_count(x, F.lit(f"(?i){X.INLINE_URL}")) < 2))
-    lines = F.transform(lines, lambda x: F.regexp_replace(F.regexp_replace(x, f"(?U){X.BODY_BULLETS}", ""), f"(?i){X.INLINE_URL}", " "))
+    lines = F.filter(F.transform(F.split(t, "\n"), py_strip), lambda x: (F.length(x) >= 20) & ~is_noise_line(x) & (F.regexp_count(x, F.lit(ANY_URL)) < 2))
+    lines = F.transform(lines, lambda x: F.regexp_replace(F.regexp_replace(x, f"(?U){X.BODY_BULLETS}", ""), ANY_URL, " "))
     return normalize_space(F.array_join(lines, " "))
 
 

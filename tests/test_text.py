@@ -1,5 +1,7 @@
 """Worked cases of the cleaning steps, native and exact."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +108,26 @@ def test_main_text_fixed_rows():
 <div><h2>延伸閱讀</h2><p>{long} after a related heading.</p></div><p>A last paragraph outside, which is closed.</p></html>"""
     assert main_text(page).split("\n") == [long, short, "A last paragraph outside, which is closed."]
     assert main_text(f"<div>{long}</div><div>x</div>") == long and main_text("") == "" and main_text(None) == ""
+
+
+def test_strict_body_keeps_to_one_pass(spark):
+    """A run of blanks costs its length, not its square; every word of the noise is still found, also where two lines are joined."""
+    from newsloom.functions import fixed as X
+
+    native(spark, T.strict_body, "warm")
+    begun = time.monotonic()
+    assert native(spark, T.strict_body, "a line of words" + " " * 100_000 + "and others after it.") == "a line of words and others after it."
+    assert time.monotonic() - begun < 15
+    words = [v for w in X.LINE_NOISE.strip("()").split("|") for v in (w, w.upper())]
+    rows = spark.createDataFrame([(f"A line with x{w}x in it\nAnother line stays.", w) for w in words], "t string, w string")
+    assert rows.where(T.strict_body(F.col("t")) != "Another line stays.").collect() == []
+    assert native(spark, T.strict_body, "One sentence stays. All there is to read\n2 more lines follow here; the last one stays") == "One sentence stays. the last one stays"
+    assert native(spark, T.strict_body, "Kept,\tas it  is:\u3000more！ \x1c so is this\n- www.a.b/c (a link of a line that is long enough for it, I think)") == "Kept, as it is: so is this (a link of a line that is long enough for it, I think)"
+
+
+def test_normalize_space_takes_python_s(spark):
+    import unicodedata
+
+    marks = [chr(c) for c in range(1, 0x3100) if unicodedata.category(chr(c)) != "Cn"]
+    text = "".join(f"{c} {c}{c}x " for c in marks)
+    assert native(spark, T.normalize_space, text) == " ".join(text.split())

@@ -15,10 +15,12 @@ GENERIC_DATELINE = (
 )
 CITY_DATELINE = rf"^\s*[\"“”']?{CITY_CHAIN}(?:,\s*[A-Za-z.]+)?\s*\({AGENCIES}\){AFTER_AGENCY}"
 CITY_DATE_DATELINE = rf"^\s*[\"“”']?{CITY_CHAIN}\s*,\s*{MONTHS}\s+\d{{1,2}}(?:,\s*\d{{4}})?\s*\({AGENCIES}\){AFTER_AGENCY}"
-#: Our decision: a second "By" is no name, so that a text that only repeats the word keeps it, as the queries' SQL says.
+#: Our decision: a byline is closed by a dash, or fills a line without a full stop. Other texts may begin with "By" and capitals ("By As
+#: en ..", "By By By") and keep them, as the queries' SQL says; the names of an open byline can't be told from the sentence after it.
+NAMES = r"[A-Z][A-Za-z.'-]+(?:[^\S\n]+[A-Z][A-Za-z.'-]+)*"
 BYLINE = (
-    r"^\s*By\s+(?!By\b)[A-Z][A-Za-z.'-]+(?:\s+[A-Z][A-Za-z.'-]+)*(?:\s+and\s+[A-Z][A-Za-z.'-]+(?:\s+[A-Z][A-Za-z.'-]+)*)?"
-    rf"(?:\s+in\s+[A-Za-z0-9 .,'/-]+)?{AFTER_AGENCY}"
+    rf"^\s*By\s+(?!By\b){NAMES}(?:\s+and\s+{NAMES})?"
+    r"(?:(?:\s+in\s+[A-Za-z0-9 .,'/-]+)?(?:\s+-|\s*[–—])\s*|(?:[^\S\n]+in[^\S\n]+[A-Za-z0-9 ,'/-]+)?(?<!\.)[^\S\n]*\n\s*)"
 )
 SAFETY_NET = rf"^\s*.{{0,120}}?\({AGENCIES}\){AFTER_AGENCY}"
 URL = r"https?://\S+|www\.\S+"

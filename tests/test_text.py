@@ -23,6 +23,13 @@ def native(spark, step, value):
         ("東京（AP）text", "東京（AP）text"),
         ("By By By By onnd. onnd.", "By By By By onnd. onnd."),
         ("LONDON, Jan. 5 (AP) - By John Smith and Jane Doe - By By By onnd.", "By By By onnd."),
+        ("By As en ieosdo la llta.", "By As en ieosdo la llta."),
+        ("By As", "By As"),
+        ("By A It.\nAs en la.", "By A It. As en la."),
+        ("By John Smith in New York — Markets fell.", "Markets fell."),
+        ("By John Smith and Jane Doe\nMarkets fell.", "Markets fell."),
+        ("By John Smith in New York\nLONDON (Reuters) - Markets fell.", "Markets fell."),
+        ("LONDON, Jan. 5 (AP) - By John Smith and Jane Doe - By As en ieosdo.", "By As en ieosdo."),
         ("", ""),
     ],
 )

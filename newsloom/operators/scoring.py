@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.batches import in_arrow
+from newsloom.batches import BATCH_BYTES, BATCH_ROWS, in_arrow
 from newsloom.functions import fixed as X
 from newsloom.session import ship, spread
 
@@ -161,6 +161,26 @@ def score_articles(df: DataFrame, key: str, text: str, scorer: Callable = stand_
     return scored.withColumnsRenamed({"k": key} | {f"c{i}": c for i, c in enumerate(carry)})
 
 
+def rated_articles(df: DataFrame, key: str, text: str, margins: Callable[[list], np.ndarray], t: float, carry: tuple[str, ...] = (), rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> DataFrame:
+    """key, prediction, probability_real, confidence_level and the columns to carry along, as score_articles has them, without what
+    explains a score; margins(texts) gives the difference of the two logits for many texts at once."""
+    names = ["k", "margin", *(f"c{i}" for i in range(len(carry)))]
+
+    def batches(pieces: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces:
+            texts = b.column(1).to_pylist()
+            blank = np.array([x is None or not x.strip() for x in texts], bool)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(margins(texts), pa.float64(), mask=blank), *b.columns[2:]], names=names)
+
+    given = spread(df.select(F.col(key).alias("k"), F.col(text).alias("t"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]))
+    kind = lambda c: df.schema[c].dataType.simpleString()
+    found = in_arrow(given, batches, ", ".join([f"k {kind(key)}", "margin double", *[f"c{i} {kind(c)}" for i, c in enumerate(carry)]]), rows, size)
+    p, none = temperature_sigmoid(F.col("margin"), t), F.col("margin").isNull()
+    made = F.when(none, -1).otherwise(hard_class(p)), F.when(none, 0.5).otherwise(p), F.when(none, UNSCORABLE_LEVEL).otherwise(band(p))
+    out = [x.alias(c) for c, x in zip(("prediction", "probability_real", "confidence_level"), made)]
+    return found.select(F.col("k").alias(key), *out, *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)])
+
+
 # --- small forms ------------------------------------------------------------------------------------------------------
 
 

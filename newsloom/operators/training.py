@@ -63,6 +63,48 @@ def features(text: str | None) -> np.ndarray:
     return found / norm if norm else found
 
 
+#: Texts and bytes of them whose features are counted together.
+TEXTS, TEXT_BYTES = 128, 1 << 20
+
+
+def runs_of_three(whole: str) -> tuple[np.ndarray, np.ndarray]:
+    """(position, feature) of each run of three characters without a blank; a run is hashed once however often it occurs."""
+    code = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4")
+    seen = np.zeros(int(code.max(initial=0)) + 1, bool)
+    seen[code] = True
+    letters, a = np.flatnonzero(seen), (np.cumsum(seen) - 1)[code]
+    inside = code != 32
+    at = np.flatnonzero(inside[:-2] & inside[1:-1] & inside[2:])
+    n = len(letters)
+    key = (a[at] * n + a[at + 1]) * n + a[at + 2]
+    if n**3 <= 1 << 22:
+        some = np.zeros(n**3, bool)
+        some[key] = True
+        found, which = np.flatnonzero(some), np.cumsum(some)[key] - 1
+    else:
+        found, which = np.unique(key, return_inverse=True)
+    name = [chr(c) for c in letters.tolist()]
+    places = [place(name[k // (n * n)] + name[k // n % n] + name[k % n]) for k in found.tolist()]
+    return at, np.array(places, np.int64)[which]
+
+
+def features_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(feature, weight, number of the text) of all that isn't zero in features() of each text, by text and feature."""
+    words = [(t or "").lower().split() for t in texts]
+    count = [len(w) for w in words]
+    hashes = [xxhash.xxh3_64_intdigest(x) for w in words for x in w]
+    pairs = [xxhash.xxh3_64_intdigest(x) for w in words for x in map(" ".join, zip(w, w[1:]))]
+    joined = [" ".join(w) for w in words]
+    at, runs = runs_of_three(" ".join(joined))
+    row = np.arange(len(texts))
+    of_run = np.repeat(row, [len(j) + 1 for j in joined])[at]
+    cells = [np.array(hashes, np.uint64).astype(np.int64) % FEATURES + np.repeat(row, count) * FEATURES, np.array(pairs, np.uint64).astype(np.int64) % FEATURES + np.repeat(row, [max(0, n - 1) for n in count]) * FEATURES, runs + of_run * FEATURES]
+    counts = np.bincount(np.concatenate(cells), minlength=len(texts) * FEATURES)
+    cell = np.flatnonzero(counts)
+    x, own = np.log1p(counts[cell]), cell // FEATURES
+    return cell % FEATURES, x / np.sqrt(np.bincount(own, x * x, len(texts)))[own], own
+
+
 @dataclass
 class Model:
     """weights (the last is the bias), the step they come from, its held-out loss, and the temperature."""
@@ -75,6 +117,11 @@ class Model:
     def margin(self, text: str | None) -> float:
         return float(features(text) @ self.weights[:-1] + self.weights[-1])
 
+    def margins(self, texts: list[str | None]) -> np.ndarray:
+        """margin() of each text."""
+        at, x, own = features_of(texts)
+        return np.bincount(own, x * self.weights[at], len(texts)) + self.weights[-1]
+
     def scorer(self) -> Callable:
         """For scoring.score_articles: two logits, and for each word how much it speaks for label 1."""
         t, words = self.temperature, self.weights
@@ -99,14 +146,12 @@ def fitted(rows: DataFrame, text: str = "text", label: str = "label", split: str
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, x = [], []
-            for t in b.column(0):  # only what isn't zero is kept of a text
-                f = features(t.as_py()).astype("<f4")
-                at.append(np.flatnonzero(f).astype("<u2"))
-                x.append(f[at[-1]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([a.tobytes() for a in at], pa.binary()), pa.array(x, pa.binary()), b.column(1), b.column(2)], names=["at", "x", "y", "train"])
-
-    in_arrow(chosen, read, "at binary, x binary, y int, train boolean").write.parquet(path)
+            at, x, own = features_of(b.column(0).to_pylist())
+            till = np.append(0, np.cumsum(np.bincount(own, minlength=b.num_rows)))
+            packed = [pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer((till * v.itemsize).astype("<i4")), pa.py_buffer(v)]) for v in (at.astype("<u2"), x.astype("<f4"))]
+            yield pa.RecordBatch.from_arrays([*packed, b.column(1), b.column(2)], names=["at", "x", "y", "train"])
+
+    in_arrow(chosen, read, "at binary, x binary, y int, train boolean", TEXTS, TEXT_BYTES).write.parquet(path)
     table = spark.read.schema("at binary, x binary, y int, train boolean").parquet(path)
     share = {r["y"]: r["n"] for r in table.where("train").groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     weights, squares, best = np.zeros(FEATURES + 1), np.full(FEATURES + 1, 1e-8), None
@@ -128,11 +173,19 @@ def fitted(rows: DataFrame, text: str = "text", label: str = "label", split: str
     return best
 
 
+def held(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers in a column of binaries as they lie there, and how many each holds."""
+    _, till, data = column.buffers()
+    till = np.frombuffer(till, "<i4")[column.offset : column.offset + len(column) + 1]
+    size = np.dtype(kind).itemsize
+    values = np.frombuffer(data, kind, (int(till[-1]) - int(till[0])) // size, int(till[0])) if data and till[-1] > till[0] else np.empty(0, kind)
+    return values, np.diff(till) // size
+
+
 def sparse(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(feature, value, row) of all that a batch of rows (at, x, ..) holds."""
-    at, x = b.column(0).to_pylist(), b.column(1).to_pylist()
-    sizes = [len(a) // 2 for a in at]
-    return np.frombuffer(b"".join(at), "<u2").astype(np.int64), np.frombuffer(b"".join(x), "<f4").astype(float), np.repeat(np.arange(len(at)), sizes)
+    at, sizes = held(b.column(0), "<u2")
+    return at.astype(np.int64), held(b.column(1), "<f4")[0].astype(float), np.repeat(np.arange(len(sizes)), sizes)
 
 
 def added(table: DataFrame, weights: np.ndarray, balance: dict[int, float]) -> list[tuple[int, float]]:
@@ -153,7 +206,7 @@ def added(table: DataFrame, weights: np.ndarray, balance: dict[int, float]) -> l
             more += loss[train].sum(), loss[~train].sum(), weight[~train].sum()
         yield pa.RecordBatch.from_arrays([pa.array([*range(FEATURES + 1), -1, -2, -3]), pa.array(np.append(g, more))], names=["i", "g"])
 
-    rows = in_arrow(table, summed, "i long, g double").groupBy("i").agg(F.sum("g").alias("g"))
+    rows = in_arrow(table, summed, "i long, g double", TEXTS).groupBy("i").agg(F.sum("g").alias("g"))
     return [(r["i"], r["g"]) for r in rows.collect()]  # FEATURES + 4 rows
 
 
@@ -167,6 +220,6 @@ def temperature(table: DataFrame, model: Model) -> float:
             at, x, own = sparse(b)
             yield pa.RecordBatch.from_arrays([pa.array(np.bincount(own, x * w[at], b.num_rows) + w[-1], pa.float64()), b.column(2)], names=["margin", "y"])
 
-    held = table.where("not train")
-    some = table if held.isEmpty() else held
-    return float(metrics.best_temperature(metrics.nll_grid(in_arrow(some, margins, "margin double, y int"), "margin", "y")).first()["temperature"])
+    apart = table.where("not train")
+    some = table if apart.isEmpty() else apart
+    return float(metrics.best_temperature(metrics.nll_grid(in_arrow(some, margins, "margin double, y int", TEXTS), "margin", "y")).first()["temperature"])

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -114,6 +115,34 @@ def test_features_are_remembered_by_word():
     assert not training.features(None).any()
 
 
+def test_features_of_many_texts(spark):
+    """What features() gives for each, in a fraction of the time."""
+    texts = ["The cat sat the cat", "a", "", None, " \n", "x" * 500 + " Ünder 日本語 " * 3, "𝔘𝔫 ab abc", "".join(chr(0x4E00 + i % 3000) for i in range(9000))]
+    texts += [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    start = time.perf_counter()
+    want = np.array([training.features(t) for t in texts])
+    alone = time.perf_counter() - start
+    start = time.perf_counter()
+    at, x, own = training.features_of(texts)
+    assert time.perf_counter() - start < alone / 1.5
+    got = np.zeros_like(want)
+    got[own, at] = x
+    assert np.allclose(got, want, atol=1e-12) and np.array_equal(got > 0, want > 0) and not len(training.features_of([])[0])
+
+
+def test_ratings_without_reasons(spark):
+    """The columns of score_articles that need no explanation, for blank texts too."""
+    texts = [None, "", " \n", "good news today", "bad bad news"]
+    df = spark.createDataFrame([*enumerate(texts)], "id long, t string")
+    model = training.Model(np.random.default_rng(1).normal(0, 2, training.FEATURES + 1), 1, 0.1, 0.8)
+    names = "id", "prediction", "probability_real", "confidence_level"
+    want = scoring.score_articles(df, "id", "t", model.scorer(), 1.0, carry=("t",)).select(*names, "t").orderBy("id").collect()
+    got = scoring.rated_articles(df, "id", "t", model.margins, model.temperature, carry=("t",)).orderBy("id").collect()
+    for g, w in zip(got, want, strict=True):
+        assert math.isclose(g["probability_real"], w["probability_real"], rel_tol=1e-12)
+        assert all(g[c] == w[c] for c in (*names, "t") if c != "probability_real")
+
+
 def test_python_stages_take_bounded_pieces(spark):
     from newsloom.functions import text_exact
     from newsloom.operators import match
